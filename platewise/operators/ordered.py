@@ -71,3 +71,23 @@ def next_in_group(df: DataFrame, group_cols: list[str], order_col: str, block_si
     return (d.join(heads, keys, "left")
             .withColumn(out_col, F.coalesce(F.lead(order_col).over(inner_w), F.col("__next_head")))
             .drop(blk, "__next_head"))
+
+
+def running_max_blocked(df: DataFrame, group_cols: list[str], order_cols: list[str],
+                        block: Column, value_col: str, out_col: str) -> DataFrame:
+    """Running maximum of ``value_col`` per group along the order (nulls ignored), skew-safe."""
+    blk = "__blk"
+    d = df.withColumn(blk, block)
+    keys = group_cols + [blk]
+    per_block = d.groupBy(*keys).agg(F.max(value_col).alias("__bmax"))
+    carry_w = (Window.partitionBy(*group_cols).orderBy(blk)
+               .rowsBetween(Window.unboundedPreceding, -1))
+    carry = per_block.select(*keys, F.max("__bmax").over(carry_w).alias("__carry"))
+    inner_w = (Window.partitionBy(*keys).orderBy(*order_cols)
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inner = F.max(value_col).over(inner_w)
+    return (d.join(carry, keys, "left")
+            .withColumn(out_col, F.when(F.col("__carry").isNull(), inner)
+                        .when(inner.isNull(), F.col("__carry"))
+                        .otherwise(F.greatest(inner, F.col("__carry"))))
+            .drop(blk, "__carry"))

@@ -46,9 +46,25 @@ def rounded(sql_body: str, double_cols: list[str], digits: int = 6) -> str:
     """Wrap a SELECT so the listed double columns are rounded like ``round_doubles``."""
     if not double_cols:
         return sql_body
-    # DECIMAL rounding is half-away-from-zero on the decimal value, as Spark's ``round``
-    # (which rounds the shortest decimal form of the double); plain DOUBLE rounding differs on ties.
+    # Spark's ``round`` rounds the decimal text of the double half-up; going through the
+    # shortest text and DECIMAL does the same here (plain DOUBLE rounding differs on ties).
     repl = ", ".join(
-        f'(CASE WHEN isfinite("{c}") THEN round("{c}"::DECIMAL(38, 12), {digits})::DOUBLE '
-        f'ELSE "{c}" END) AS "{c}"' for c in double_cols)
+        f'(CASE WHEN isfinite("{c}") AND abs("{c}") < 1e19 '
+        f'THEN round("{c}"::VARCHAR::DECIMAL(38, 18), {digits})::DOUBLE '
+        f'WHEN isfinite("{c}") THEN round("{c}", {digits}) ELSE "{c}" END) AS "{c}"' for c in double_cols)
     return f"SELECT * REPLACE ({repl}) FROM (\n{sql_body}\n) AS __q"
+
+
+def sql_percentile(col: str, q: float) -> str:
+    """DuckDB aggregate expression equal to Spark's exact ``percentile(col, q)``.
+
+    Spark interpolates as ``(hi - pos) * x[lo] + (pos - lo) * x[hi]``; DuckDB's
+    ``quantile_cont`` uses ``x[lo] + (pos - lo) * (x[hi] - x[lo])``, which differs
+    in the last bit, so the oracle spells out Spark's form.
+    """
+    lst = f"list_sort(list({col}) FILTER (WHERE {col} IS NOT NULL))"
+    n = f"count({col})"
+    p = f"({q!r}::DOUBLE * ({n} - 1))"
+    return (f"(CASE WHEN {n} = 0 THEN NULL WHEN floor({p}) = {p} THEN {lst}[{p}::BIGINT + 1] "
+            f"ELSE (ceil({p}) - {p}) * {lst}[floor({p})::BIGINT + 1] "
+            f"+ ({p} - floor({p})) * {lst}[ceil({p})::BIGINT + 1] END)")

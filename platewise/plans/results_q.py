@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise.operators import results as R
-from platewise.plans.registry import register, rounded
+from platewise.plans.registry import register, rounded, sql_percentile
 from platewise.sources import fixtures as FX
 
 RUNS = FX.with_sql(FX.SQL_RUNS)
@@ -109,15 +109,12 @@ def q_best_config_runs(spark, d):
 
 
 # ---------------------------------------------------------------- J6 / J7
-DESCRIBE_SQL_COLS = []
-
-
 def _sql_describe(by: str, metrics: list[str], ranked: bool) -> tuple[str, list[str]]:
     parts, dbl = [], []
     for m in metrics:
         parts += [f"count({m}) AS {m}_count", f"avg({m}) AS {m}_mean", f"stddev_samp({m}) AS {m}_std",
-                  f"min({m})::DOUBLE AS {m}_min", f"quantile_cont({m}, 0.25) AS {m}_25",
-                  f"quantile_cont({m}, 0.5) AS {m}_50", f"quantile_cont({m}, 0.75) AS {m}_75",
+                  f"min({m})::DOUBLE AS {m}_min", f"{sql_percentile(m, 0.25)} AS {m}_25",
+                  f"{sql_percentile(m, 0.5)} AS {m}_50", f"{sql_percentile(m, 0.75)} AS {m}_75",
                   f"max({m})::DOUBLE AS {m}_max"]
         dbl += [f"{m}_{s}" for s in ("mean", "std", "min", "25", "50", "75", "max")]
     body = f"SELECT {by}, {', '.join(parts)} FROM b WHERE {by} IS NOT NULL GROUP BY {by}"
@@ -130,10 +127,6 @@ def _sql_describe(by: str, metrics: list[str], ranked: bool) -> tuple[str, list[
 DESC_METRICS = ["top_5_count", "valid_r2"]
 
 
-def _j5_source() -> str:
-    return J5_SQL.replace("SELECT d.* EXCLUDE", ", b2 AS (SELECT d.* EXCLUDE", 1) + ")\n"
-
-
 def _describe_sql(ranked: bool) -> str:
     body, dbl = _sql_describe("kernel", DESC_METRICS, ranked)
     # the J5 selection is the input, as in the reference's analysis notebook

@@ -15,6 +15,7 @@ def local_session(cores: str = "*", app: str = "platewise", shuffle_partitions:
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
@@ -56,3 +57,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def testdata_dir(sf: str = "0.01") -> str:
     return os.environ.get("PLATEWISE_SF_DIR", f"/root/testdata/sf{sf}")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows when a scan yields fewer partitions than the cluster has cores.
+
+    A small table of long texts often sits in one file and one row group, i.e. one
+    task; heavy per-row work then runs serially. Large inputs already arrive in
+    many splits and are returned untouched (no extra shuffle).
+    """
+    spark = df.sparkSession
+    want = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want, *keys) if keys else df.repartition(want)

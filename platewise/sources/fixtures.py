@@ -12,13 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.operators.ordered import next_in_group
+from platewise.session import spread
 from platewise.sources.tables import table
 
 # ---------------------------------------------------------------- F-cand
 def cand(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
+    # the mean is taken over integer cents, so both engines get the same double
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     sales = (table(spark, d, "lineitem").groupBy("l_partkey")
-             .agg(F.avg("l_extendedprice").alias("avg_price")))
+             .agg((F.sum(cents) / (F.lit(100.0) * F.count(cents))).alias("avg_price")))
     j = part.join(sales, part.p_partkey == sales.l_partkey, "left")
     return j.select(
         F.col("p_partkey").alias("candidate_id"), "p_name", "p_brand", "p_type", "p_size",
@@ -29,7 +32,7 @@ def cand(spark: SparkSession, d: str) -> DataFrame:
 SQL_CAND = """cand AS (
   SELECT p.p_partkey AS candidate_id, p.p_name, p.p_brand, p.p_type, p.p_size,
          CASE WHEN p.p_partkey % 11 = 0 THEN NULL ELSE s.avg_price END AS objective
-  FROM part p LEFT JOIN (SELECT l_partkey, avg(l_extendedprice) AS avg_price
+  FROM part p LEFT JOIN (SELECT l_partkey, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT / (100.0::DOUBLE * count(l_extendedprice)) AS avg_price
                          FROM lineitem GROUP BY l_partkey) s ON p.p_partkey = s.l_partkey)"""
 
 
@@ -69,7 +72,8 @@ SQL_VEC = """vec AS (
 
 # ---------------------------------------------------------------- F-text (whole texts, every document)
 def text(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), "text", "lang")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("candidate_id"), "text", "lang")
+    return spread(docs, "candidate_id")
 
 
 SQL_TEXT = """txt AS (SELECT doc_id AS candidate_id, text, lang FROM documents)"""
@@ -82,8 +86,8 @@ def pair(spark: SparkSession, d: str, block_size: int = 100_000) -> DataFrame:
     nxt = nxt.filter(F.col("next_id").isNotNull())
     left = docs.select(F.col("doc_id").alias("l_id"), F.col("text").alias("left_text"))
     right = docs.select(F.col("doc_id").alias("r_id"), F.col("text").alias("right_text"))
-    return (nxt.join(left, nxt.doc_id == left.l_id).join(right, nxt.next_id == right.r_id)
-            .select(F.col("doc_id").alias("candidate_id"), "left_text", "right_text"))
+    return spread(nxt.join(left, nxt.doc_id == left.l_id).join(right, nxt.next_id == right.r_id)
+                  .select(F.col("doc_id").alias("candidate_id"), "left_text", "right_text"), "candidate_id")
 
 
 SQL_PAIR = """pr AS (
