@@ -91,3 +91,32 @@ def running_max_blocked(df: DataFrame, group_cols: list[str], order_cols: list[s
                         .when(inner.isNull(), F.col("__carry"))
                         .otherwise(F.greatest(inner, F.col("__carry"))))
             .drop(blk, "__carry"))
+
+
+def global_rank(df: DataFrame, order_cols: list[Column | str], n_parts: int | None = None,
+                out_col: str = "rank") -> DataFrame:
+    """Exact 0-based global rank along ``order_cols`` without a single-partition window.
+
+    Rows are range-partitioned on the order (the trailing tie-break columns let the
+    sampled bounds split a hot value) and sorted inside each partition; the
+    partition id and in-partition position are read off
+    ``monotonically_increasing_id``. That layout is checkpointed once, so the
+    partition sizes and the rows come from the same materialisation (a range
+    exchange re-run on shuffled input may sample different bounds). The small
+    (partition -> size) table gives the offsets, joined back by broadcast.
+    """
+    from platewise.session import cut_lineage
+
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    laid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+            .withColumn("__mid", F.monotonically_increasing_id()))
+    laid = cut_lineage(laid.withColumn("__pid", F.shiftright("__mid", 33))
+                       .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))))
+    sizes = laid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    offs = sizes.select("__pid", F.sum("__n").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)).alias("__off"))
+    return (laid.join(F.broadcast(offs), "__pid")
+            .withColumn(out_col, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local"))
+            .drop("__mid", "__pid", "__local", "__off"))

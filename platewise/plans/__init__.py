@@ -1,7 +1,7 @@
 """Query catalogue; importing this package registers every query."""
 
 from platewise.plans import registry
-from platewise.plans import clean_q, features_q, history_q, results_q, sources_q  # noqa: F401
+from platewise.plans import clean_q, features_q, history_q, model_q, results_q, sources_q  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLES = registry.ORACLES
