@@ -69,3 +69,31 @@ def norm_ppf(p: float) -> float:
         else:
             hi = mid
     return 0.5 * (lo + hi)
+
+
+def erfc(x: Column) -> Column:
+    """Complementary error function (A&S 7.1.26 form, absolute error <= 1.5e-7)."""
+    ax = F.abs(x)
+    t = F.lit(1.0) / (F.lit(1.0) + F.lit(AS_P) * ax)
+    a1, a2, a3, a4, a5 = AS_A
+    poly = t * (F.lit(a1) + t * (F.lit(a2) + t * (F.lit(a3) + t * (F.lit(a4) + t * F.lit(a5)))))
+    pos = poly * F.exp(-(ax * ax))
+    return F.when(x < 0, F.lit(2.0) - pos).otherwise(pos)
+
+
+def sql_erfc(x: str) -> str:
+    a1, a2, a3, a4, a5 = AS_A
+    t = f"({_lit(1.0)} / ({_lit(1.0)} + {_lit(AS_P)} * abs({x})))"
+    poly = (f"{t} * ({_lit(a1)} + {t} * ({_lit(a2)} + {t} * ({_lit(a3)} + {t} * ({_lit(a4)} + {t} * "
+            f"{_lit(a5)}))))")
+    pos = f"({poly} * exp(-(abs({x}) * abs({x}))))"
+    return f"(CASE WHEN {x} < 0 THEN {_lit(2.0)} - {pos} ELSE {pos} END)"
+
+
+def two_sided_normal_p(z: Column) -> Column:
+    """P(|Z| >= |z|) = erfc(|z| / sqrt(2)), capped at 1."""
+    return F.least(F.lit(1.0), erfc(F.abs(z) / F.lit(SQRT2)))
+
+
+def sql_two_sided_normal_p(z: str) -> str:
+    return f"least({_lit(1.0)}, {sql_erfc(f'(abs({z}) / {_lit(SQRT2)})')})"

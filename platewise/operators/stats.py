@@ -57,3 +57,254 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], metric: str, id_cols: Sequenc
     ci = per_rep.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("__ci"))
     return base.join(ci, by, "left").select(*by, "mean", "n", F.col("__ci")[0].alias("ci_lo"),
                                             F.col("__ci")[1].alias("ci_hi"))
+
+
+import pandas as pd  # noqa: E402
+
+from platewise.functions.normal import two_sided_normal_p  # noqa: E402
+
+
+# ------------------------------------------------------------------ Student t (Welch p)
+def _betainc_cf(a, b, x, iters: int = 300):
+    """Regularised incomplete beta I_x(a, b) (numpy, vectorised; Lentz continued fraction)."""
+    import numpy as np
+
+    a, b, x = (np.asarray(v, dtype=float) for v in (a, b, x))
+    out = np.full(x.shape, np.nan)
+    ok = np.isfinite(a) & np.isfinite(b) & np.isfinite(x) & (a > 0) & (b > 0)
+    out[ok & (x <= 0)] = 0.0
+    out[ok & (x >= 1)] = 1.0
+    m = ok & (x > 0) & (x < 1)
+    if not m.any():
+        return out
+    a_, b_, x_ = a[m], b[m], x[m]
+    swap = x_ > (a_ + 1) / (a_ + b_ + 2)
+    aa, bb, xx = np.where(swap, b_, a_), np.where(swap, a_, b_), np.where(swap, 1 - x_, x_)
+    lgam = np.vectorize(math.lgamma)
+    lbeta = lgam(aa) + lgam(bb) - lgam(aa + bb)
+    front = np.exp(aa * np.log(xx) + bb * np.log1p(-xx) - lbeta) / aa
+    tiny = 1e-300
+    c = np.ones_like(xx)
+    d = 1 - (aa + bb) * xx / (aa + 1)
+    d = np.where(np.abs(d) < tiny, tiny, d)
+    d = 1 / d
+    f = d.copy()
+    for i in range(1, iters + 1):
+        num = i * (bb - i) * xx / ((aa + 2 * i - 1) * (aa + 2 * i))
+        d = 1 + num * d
+        d = np.where(np.abs(d) < tiny, tiny, d)
+        c = 1 + num / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        d = 1 / d
+        f = f * c * d
+        num = -(aa + i) * (aa + bb + i) * xx / ((aa + 2 * i) * (aa + 2 * i + 1))
+        d = 1 + num * d
+        d = np.where(np.abs(d) < tiny, tiny, d)
+        c = 1 + num / c
+        c = np.where(np.abs(c) < tiny, tiny, c)
+        d = 1 / d
+        delta = c * d
+        f = f * delta
+        if np.all(np.abs(delta - 1) < 1e-15):
+            break
+    res = front * f
+    out[m] = np.where(swap, 1 - res, res)
+    return out
+
+
+def student_t_two_sided_p(t, df):
+    """Two-sided Student-t p-value, I_{df/(df+t^2)}(df/2, 1/2), vectorised."""
+    import numpy as np
+
+    t = np.asarray(t, dtype=float)
+    df = np.asarray(df, dtype=float)
+    return _betainc_cf(df / 2.0, np.full_like(df, 0.5), df / (df + t * t))
+
+
+def _welch_p_batch(tt: pd.Series, dd: pd.Series) -> pd.Series:
+    return pd.Series(student_t_two_sided_p(tt.to_numpy(), dd.to_numpy()))
+
+
+def welch_p(t: Column, dof: Column) -> Column:
+    """Column: Welch two-sided p (Arrow-batched pandas UDF, runs on aggregated rows only)."""
+    return F.pandas_udf(_welch_p_batch, "double")(t, dof)
+
+
+# ------------------------------------------------------------------ K2 / K3 / K4
+def _level_order(df: DataFrame, keys: Sequence[str], param: str, order_col: str) -> DataFrame:
+    w = Window.partitionBy(*keys).orderBy("__first", param) if keys else Window.orderBy("__first", param)
+    firsts = df.groupBy(*keys, param).agg(F.min(order_col).alias("__first"))
+    return firsts.withColumn("__lvl", F.row_number().over(w)).drop("__first")
+
+
+def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
+                    keys: Sequence[str] = (), with_p: bool = True) -> DataFrame:
+    """K3 (and K4 with ``keys``): Mann-Whitney U and Welch t for every unordered pair of
+    levels (i < j in order of first appearance) of ``param``, inside each ``keys`` group.
+
+    Per-level moments and per-(level, value) counts are partial aggregates; the
+    pairs come from a self-join of the small level table; rank sums come from the
+    pooled value counts of each pair.
+    """
+    user_keys = list(keys)
+    keys = user_keys or ["__all"]  # one constant group key instead of a key-less (cross) join
+    d = df.filter(F.col(param).isNotNull() & F.col(metric).isNotNull() & ~F.isnan(metric))
+    d = d.withColumn(param, F.col(param).cast("string"))
+    if not user_keys:
+        d = d.withColumn("__all", F.lit(0))
+    lv = _level_order(d, keys, param, order_col)
+    mom = d.groupBy(*keys, param).agg(F.count(metric).alias("n"), F.avg(metric).alias("m"),
+                                      F.var_samp(metric).alias("v"))
+    mom = mom.join(lv, keys + [param])
+    a = mom.select(*keys, F.col(param).alias("level_a"), F.col("__lvl").alias("ia"), F.col("n").alias("na"),
+                   F.col("m").alias("ma"), F.col("v").alias("va"))
+    b = mom.select(*keys, F.col(param).alias("level_b"), F.col("__lvl").alias("ib"), F.col("n").alias("nb"),
+                   F.col("m").alias("mb"), F.col("v").alias("vb"))
+    pairs = a.join(b, keys).filter(F.col("ia") < F.col("ib"))
+    sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
+    pairs = pairs.withColumn("t", (F.col("ma") - F.col("mb")) / F.sqrt(sa + sb)) \
+        .withColumn("dof", (sa + sb) * (sa + sb) / (sa * sa / (F.col("na") - 1) + sb * sb / (F.col("nb") - 1)))
+    # Mann-Whitney from pooled value counts of each pair
+    vc = d.groupBy(*keys, param, metric).agg(F.count(F.lit(1)).alias("c"))
+    pk = pairs.select(*keys, "level_a", "level_b")
+    side_a = vc.join(pk.withColumnRenamed("level_a", param), keys + [param]) \
+        .select(*keys, F.col(param).alias("level_a"), "level_b", metric, F.col("c").alias("ca"), F.lit(0).cast("bigint").alias("cb"))
+    side_b = vc.join(pk.withColumnRenamed("level_b", param), keys + [param]) \
+        .select(*keys, "level_a", F.col(param).alias("level_b"), metric, F.lit(0).cast("bigint").alias("ca"), F.col("c").alias("cb"))
+    pv = side_a.unionByName(side_b).groupBy(*keys, "level_a", "level_b", metric) \
+        .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
+    w = Window.partitionBy(*keys, "level_a", "level_b").orderBy(metric).rowsBetween(Window.unboundedPreceding, -1)
+    tcount = F.col("ca") + F.col("cb")
+    pv = pv.withColumn("below", F.coalesce(F.sum(tcount).over(w), F.lit(0)))
+    rank = F.col("below") + (tcount + F.lit(1)) / F.lit(2.0)
+    rs = pv.groupBy(*keys, "level_a", "level_b").agg(
+        F.sum(F.col("ca") * rank).alias("r_a"),
+        F.sum(tcount * tcount * tcount - tcount).cast("double").alias("tie"))
+    out = pairs.join(rs, keys + ["level_a", "level_b"])
+    na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
+    n = na + nb
+    u1 = F.col("r_a") - na * (na + F.lit(1.0)) / F.lit(2.0)
+    u = F.greatest(u1, na * nb - u1)
+    sigma = F.sqrt(na * nb / F.lit(12.0) * ((n + F.lit(1.0)) - F.col("tie") / (n * (n - F.lit(1.0)))))
+    z = (u - na * nb / F.lit(2.0) - F.lit(0.5)) / sigma
+    out = out.withColumn("u", u1).withColumn("z", F.when(sigma > 0, z)) \
+        .withColumn("p_mwu", F.when(sigma > 0, two_sided_normal_p(F.col("z"))))
+    out = out.withColumn("comparison", F.concat_ws(" vs ", "level_a", "level_b"))
+    cols = [*user_keys, "comparison", "level_a", "level_b", F.col("na").alias("n_a"), F.col("nb").alias("n_b"),
+            "u", "z", "p_mwu", "t", F.col("dof").alias("df")]
+    if with_p:
+        cols.append(welch_p(F.col("t"), F.col("dof")).alias("p_ttest"))
+    return out.select(*cols)
+
+
+def significant_only(tests: DataFrame, alpha: float = 0.05, p_cols: Sequence[str] = ("p_mwu", "p_ttest")) -> DataFrame:
+    """K5: keep comparisons where any p-value is below alpha."""
+    cond = None
+    for c in p_cols:
+        e = F.coalesce(F.col(c) < F.lit(alpha), F.lit(False))
+        cond = e if cond is None else cond | e
+    return tests.filter(cond)
+
+
+# ------------------------------------------------------------------ K6 / K7
+def kolmogorov_p(d: Column, en: Column, terms: int = 100) -> Column:
+    """Asymptotic two-sample KS p: 2 * sum_k (-1)^(k-1) exp(-2 k^2 lambda^2), capped to [0, 1]."""
+    lam = (F.sqrt(en) + F.lit(0.12) + F.lit(0.11) / F.sqrt(en)) * d
+    s = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.lit(0.0),
+                    lambda acc, k: acc + F.when(k % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))
+                    * F.exp(F.lit(-2.0) * k * k * lam * lam))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.lit(2.0) * s))
+
+
+def ks_two_sample(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b,
+                  by: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
+    """K6: D = max |F_a - F_b| over the pooled distinct values, and its asymptotic p.
+
+    Counts (or weights) are first aggregated per distinct value, so the running
+    sums walk distinct values only.
+    """
+    by = list(by)
+    w = F.col(weight_col) if weight_col else F.lit(1)
+    d = df.filter(F.col(value_col).isNotNull() & F.col(arm_col).isin(arm_a, arm_b))
+    vc = d.groupBy(*by, value_col).agg(
+        F.sum(F.when(F.col(arm_col) == arm_a, w).otherwise(0)).cast("double").alias("ca"),
+        F.sum(F.when(F.col(arm_col) == arm_b, w).otherwise(0)).cast("double").alias("cb"))
+    win = (Window.partitionBy(*by).orderBy(value_col) if by else Window.orderBy(value_col)) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    tot = Window.partitionBy(*by) if by else Window.partitionBy()
+    vc = vc.withColumn("na", F.sum("ca").over(tot)).withColumn("nb", F.sum("cb").over(tot))
+    vc = vc.withColumn("gap", F.abs(F.sum("ca").over(win) / F.col("na") - F.sum("cb").over(win) / F.col("nb")))
+    g = vc.groupBy(*by).agg(F.max("gap").alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
+    en = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
+    return g.withColumn("p", kolmogorov_p(F.col("d"), en))
+
+
+def ks_bootstrap(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b, id_cols: Sequence[str],
+                 n: int = 100, seed: int = 0) -> DataFrame:
+    """K7: mean KS distance and p over n Poisson-weight resamples (one pass, rep as a key)."""
+    reps = poisson_replicates(df.select(arm_col, value_col, *id_cols), list(id_cols), n, seed)
+    reps = reps.filter(F.col("w") > 0)
+    per = ks_two_sample(reps, arm_col, value_col, arm_a, arm_b, by=["rep"], weight_col="w")
+    return per.agg(F.avg("d").alias("mean_d"), F.avg("p").alias("mean_p"), F.count(F.lit(1)).alias("reps"))
+
+
+# ------------------------------------------------------------------ K9 / K10
+def histogram(df: DataFrame, col: str, bins: int = 30) -> DataFrame:
+    """K9: equal-width bins over [min, max]; the maximum falls in the last bin."""
+    r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    lo, hi = r["lo"], r["hi"]
+    spark = df.sparkSession
+    if lo is None:
+        return spark.createDataFrame([], "bin int, lo double, hi double, count bigint")
+    width = (hi - lo) / bins if hi > lo else 1.0
+    b = F.least(F.floor((F.col(col) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
+    counts = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    return counts.select("bin", (F.lit(lo) + F.col("bin") * F.lit(width)).alias("lo"),
+                         (F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("hi"), "count")
+
+
+def kde_curve(df: DataFrame, col: str, grid: int = 200, bw_adjust: float = 1.5) -> DataFrame:
+    """Gaussian KDE on ``grid`` points spanning [min, max] (cut = 0), Scott bandwidth
+    sd * n^(-1/5) * bw_adjust. Exact: every distinct value (with its count) adds to every
+    grid point inside its own task; grid sums are partial aggregates."""
+    d = df.filter(F.col(col).isNotNull())
+    r = d.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.stddev_samp(col).alias("sd"),
+              F.count(col).alias("n")).first()
+    spark = df.sparkSession
+    if not r["n"] or r["sd"] in (None, 0.0):
+        return spark.createDataFrame([], "point int, x double, density double")
+    lo, hi, sd, n = r["lo"], r["hi"], r["sd"], r["n"]
+    h = sd * n ** (-0.2) * bw_adjust
+    step = (hi - lo) / (grid - 1)
+    vc = d.groupBy(col).agg(F.count(F.lit(1)).alias("c"))
+    gx = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.lit(lo) + i * F.lit(step))
+    contrib = vc.select(F.posexplode(F.transform(gx, lambda x: F.col("c") * F.exp(
+        F.lit(-0.5) * ((x - F.col(col)) / F.lit(h)) * ((x - F.col(col)) / F.lit(h))))).alias("point", "k"))
+    norm = 1.0 / (n * h * math.sqrt(2.0 * math.pi))
+    return contrib.groupBy("point").agg((F.sum("k") * F.lit(norm)).alias("density")) \
+        .select("point", (F.lit(lo) + F.col("point") * F.lit(step)).alias("x"), "density")
+
+
+# ------------------------------------------------------------------ K11 / K12
+def box_stats(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
+    """Quartiles, 1.5*IQR whiskers (extreme values inside the fences) and mean per group."""
+    by = list(by)
+    d = df.filter(F.col(metric).isNotNull())
+    q = d.groupBy(*by).agg(F.percentile(metric, [0.25, 0.5, 0.75]).alias("__q"), F.avg(metric).alias("mean"),
+                           F.count(metric).alias("n"))
+    q = q.select(*by, "mean", "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
+                 F.col("__q")[2].alias("q3"))
+    iqr = F.col("q3") - F.col("q1")
+    j = d.join(q, by)
+    inside = (F.col(metric) >= F.col("q1") - F.lit(1.5) * iqr) & (F.col(metric) <= F.col("q3") + F.lit(1.5) * iqr)
+    wh = j.filter(inside).groupBy(*by).agg(F.min(metric).cast("double").alias("whisker_lo"),
+                                           F.max(metric).cast("double").alias("whisker_hi"))
+    return q.join(wh, by)
+
+
+def mean_sd_by_level(df: DataFrame, params: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean and sample sd per metric and level (of one or two parameters)."""
+    params = list(params)
+    long = df.select(*params, *metrics).unpivot(params, list(metrics), "metric", "value")
+    return long.filter(F.col("value").isNotNull()).groupBy("metric", *params).agg(
+        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
