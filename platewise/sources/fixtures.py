@@ -206,7 +206,11 @@ SQL_RUNS = _sql_runs()
 
 # ---------------------------------------------------------------- F-hist
 def hist(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
+    return hist_from(table(spark, d, "events"))
+
+
+def hist_from(e: DataFrame) -> DataFrame:
+    """The run-log view of an events DataFrame (batch or streaming)."""
     et = F.col("event_type")
     return e.select(
         F.col("user_id").alias("run_id"), "ts", "event_id",
