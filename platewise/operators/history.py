@@ -47,7 +47,11 @@ def rescale_range(df: DataFrame, col: str, lo: float = 0.0, hi: float = 1.0,
     """Min-max of a column onto [lo, hi], globally or per group (constant range -> lo)."""
     out_col = out_col or col
     stats = df.groupBy(*by).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"))
-    j = df.join(F.broadcast(stats), list(by)) if by else df.join(F.broadcast(stats), how="cross")
+    if by:  # one row per group: small, joined by key
+        j = df.join(F.broadcast(stats), list(by))
+    else:  # one global scalar pair: attached as literals
+        r = stats.first()
+        j = df.withColumn("__mn", F.lit(r["__mn"])).withColumn("__mx", F.lit(r["__mx"]))
     rng = F.col("__mx") - F.col("__mn")
     scaled = F.when(rng == 0, F.lit(lo)).otherwise(
         F.lit(lo) + (F.col(col) - F.col("__mn")) / rng * F.lit(hi - lo))
@@ -90,8 +94,8 @@ def mirrored_metric(df: DataFrame, by: Sequence[str], acq_col: str, metric: str,
         .groupBy(*keys).agg(F.avg(metric).alias("mean"))
     g = g.withColumn("value", F.when(F.col(acq_col) == mirrored_value, -F.col("mean"))
                      .otherwise(F.col("mean")))
-    bound = g.agg(F.max(F.abs("value")).alias("bound"))
-    return g.join(F.broadcast(bound), how="cross")
+    bound = g.agg(F.max(F.abs("value"))).first()[0]
+    return g.withColumn("bound", F.lit(bound).cast("double"))
 
 
 # ------------------------------------------------------------------ J17

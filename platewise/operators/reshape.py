@@ -204,13 +204,11 @@ def standardise_names(df: DataFrame, renames: Mapping[str, str] = CONFIG_RENAMES
 def scale_by_reference(df: DataFrame, cols: Sequence[str], ref_col: str, order_col: str) -> DataFrame:
     """Cast text metrics to double and divide by the reference value of the first row.
 
-    The first row's reference is one scalar (``min_by`` aggregate, partial); it is
-    attached with a broadcast of that single row.
+    The first row's reference is one scalar (``min_by`` aggregate, partial), attached
+    as a literal.
     """
-    ref = df.agg(F.min_by(q(ref_col), q(order_col)).alias("__ref"))
-    out = df.join(F.broadcast(ref), how="cross")
-    out = out.withColumns({c: q(c).cast("double") / F.col("__ref") for c in cols})
-    return out.drop("__ref")
+    ref = df.agg(F.min_by(q(ref_col), q(order_col))).first()[0]
+    return df.withColumns({c: q(c).cast("double") / F.lit(ref).cast("double") for c in cols})
 
 
 # ------------------------------------------------------------------ A13 / A14

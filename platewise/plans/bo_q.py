@@ -71,13 +71,14 @@ def q_tanimoto_pairs(spark, d):
 
 # ---------------------------------------------------------------- E2
 @register("similar_above", rounded(FX.with_sql(FX.SQL_TEXT) + _fp_lists("txt", "text", "dfp") + """,
-reps AS (SELECT min(candidate_id) AS id, bits FROM dfp GROUP BY bits),
-pairs AS (SELECT a.id AS id_a, b.id AS id_b,
-                 (len(list_intersect(a.bits, b.bits))::DOUBLE + 1e-6::DOUBLE)
-                 / (1e-6::DOUBLE + len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits))::DOUBLE) AS similarity
+dfpb AS (SELECT candidate_id, bitstring_agg(b, 0, 2047) AS bs, count(*) AS n
+         FROM (SELECT candidate_id, unnest(bits) AS b FROM dfp) GROUP BY candidate_id),
+reps AS (SELECT min(candidate_id) AS id, bs, any_value(n) AS n FROM dfpb GROUP BY bs),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, bit_count(a.bs & b.bs)::DOUBLE AS inter, a.n AS na, b.n AS nb
           FROM reps a JOIN reps b ON a.id < b.id
-          WHERE least(len(a.bits), len(b.bits)) >= 0.8::DOUBLE * greatest(len(a.bits), len(b.bits)))
-SELECT id_a, id_b, similarity FROM pairs WHERE similarity >= 0.8::DOUBLE""", ["similarity"]))
+          WHERE least(a.n, b.n) >= 0.8::DOUBLE * greatest(a.n, b.n)),
+sims AS (SELECT id_a, id_b, (inter + 1e-6::DOUBLE) / (1e-6::DOUBLE + na + nb - inter) AS similarity FROM pairs)
+SELECT id_a, id_b, similarity FROM sims WHERE similarity >= 0.8::DOUBLE""", ["similarity"]))
 def q_similar_above(spark, d):
     docs = C.hashed_fingerprint(FX.text(spark, d), "text", 3, 2048)
     pairs, _ = S.similar_above(docs, "candidate_id", "bits", 0.8)

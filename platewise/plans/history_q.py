@@ -91,8 +91,8 @@ SELECT data_path, e.epoch::BIGINT AS epoch, arg_min(target_stat_max, run_id) AS
 FROM runs, range(0, (SELECT max(epoch)::BIGINT + 1 FROM coll)) e(epoch)
 GROUP BY data_path, e.epoch""", ["optimum"]))
 def q_global_optimum(spark, d):
-    n = collapsed(spark, d).agg((F.max("epoch").cast("bigint") + 1).alias("n_epochs"))
-    runs = FX.runs(spark, d).join(F.broadcast(n), how="cross")
+    n = collapsed(spark, d).agg((F.max("epoch").cast("bigint") + 1)).first()[0]
+    runs = FX.runs(spark, d).withColumn("n_epochs", F.lit(n))
     return H.global_optimum(runs, "data_path", "target_stat_max", "run_id", "n_epochs")
 
 
