@@ -65,23 +65,13 @@ def normalise_ws(col: Column | str) -> Column:
 
 
 def char_grams(col: Column, n_min: int, n_max: int) -> Column:
-    """Array of all overlapping character n-grams, n_min <= n <= n_max (spans whitespace).
-
-    The text is split into characters once; the n-grams are built by zipping n
-    shifted slices of that array, so a text costs O(len * n_max) and no lambda
-    re-evaluates the split. Texts shorter than n give no n-gram.
+    """Array of all overlapping character n-grams, n_min <= n <= n_max (spans whitespace
+    and newlines). Each length is one native regex scan, ``(?s)(?=(.{n}))``: a zero-width
+    look-ahead captures the gram starting at every position, so a text costs O(len * n)
+    inside the JVM with no per-gram lambda. Texts shorter than n give no n-gram.
     """
-    chars = F.split(col, "")
-    empty = F.array().cast("array<string>")
-    arrays = []
-    for n in range(n_min, n_max + 1):
-        m = F.size(chars) - F.lit(n - 1)
-        g = F.slice(chars, 1, m)
-        for k in range(1, n):
-            g = F.zip_with(g, F.slice(chars, k + 1, m), lambda a, b: F.concat(a, b))
-        arrays.append(F.when(m > 0, g).otherwise(empty))
-    out = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    return F.filter(out, lambda x: F.length(x) > 0)  # the empty text splits into [""]
+    arrays = [F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(n_min, n_max + 1)]
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 
 # ------------------------------------------------------------------ C2
@@ -94,36 +84,58 @@ def char_ngrams(df: DataFrame, id_col: str, col: str, max_ngram: int = 5) -> Dat
 
 
 def gram_vocabulary(counts: DataFrame) -> DataFrame:
-    """Sorted vocabulary with a dense index. Distinct grams are range-sorted across
-    the cluster and numbered with ``zipWithIndex`` (per-partition offsets), so no
-    single task sees the whole vocabulary."""
-    distinct = counts.select("gram").distinct().orderBy("gram")
-    indexed = distinct.rdd.zipWithIndex().map(lambda p: (p[0][0], p[1]))
-    return counts.sparkSession.createDataFrame(indexed, "gram string, gram_index bigint")
+    """Sorted vocabulary with a dense index: the distinct grams are range-partitioned and
+    numbered by partition offsets (``global_rank``), JVM-side, so no single task (and not
+    the driver) sees the whole vocabulary."""
+    from platewise.operators.ordered import global_rank
+
+    distinct = counts.select("gram").distinct()
+    return global_rank(distinct, ["gram"], out_col="gram_index")
 
 
 # ------------------------------------------------------------------ C3 / C4
-def _fold(grams: Column, n_bits: int) -> Column:
-    return F.array_sort(F.array_distinct(F.transform(
-        grams, lambda g: F.pmod(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint"),
-                                F.lit(n_bits)).cast("int"))))
+def gram_bit(gram: Column, n_bits: int) -> Column:
+    """Fold a gram onto a print position: first 8 hex digits of md5 as an integer, mod n_bits."""
+    return F.pmod(F.conv(F.substring(F.md5(gram), 1, 8), 16, 10).cast("bigint"), F.lit(n_bits)).cast("int")
+
+
+def _bits_per_id(long: DataFrame, id_col: str, n_bits: int, out_col: str) -> DataFrame:
+    """(id, bit) rows -> one sorted set-bit array per id. The (id, bit) aggregate is partial,
+    so repeated grams collapse map-side; a print holds at most n_bits entries."""
+    dedup = long.select(id_col, "bit").distinct()
+    return dedup.groupBy(id_col).agg(F.array_sort(F.collect_list("bit")).alias(out_col))
 
 
 def hashed_fingerprint(df: DataFrame, col: str, radius: int = 3, n_bits: int = 2048,
-                       out_col: str = "bits") -> DataFrame:
+                       out_col: str = "bits", id_col: str = "candidate_id") -> DataFrame:
     """Fixed-length 0/1 print as sorted set bits: shingles of length 1..radius,
-    hash = first 8 hex digits of md5, bit = hash mod n_bits."""
-    grams = F.array_distinct(char_grams(F.col(col), 1, radius))
-    return df.withColumn(out_col, _fold(grams, n_bits))
+    hash = first 8 hex digits of md5, bit = hash mod n_bits.
+
+    Grams are exploded to rows and hashed there (no per-row arrays of a long text's
+    grams are de-duplicated in place); rows without grams get an empty print.
+    """
+    long = df.select(id_col, F.explode(char_grams(F.col(col), 1, radius)).alias("g")) \
+        .select(id_col, gram_bit(F.col("g"), n_bits).alias("bit"))
+    prints = _bits_per_id(long, id_col, n_bits, out_col)
+    return df.join(prints, id_col, "left").withColumn(
+        out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
 
 
 def difference_fingerprint(df: DataFrame, left: str, right: str, radius: int = 3,
-                           n_bits: int = 2048, out_col: str = "bits") -> DataFrame:
-    """C4: print of the shingles found on exactly one side of the transformation."""
-    lg = F.array_distinct(char_grams(F.col(left), 1, radius))
-    rg = F.array_distinct(char_grams(F.col(right), 1, radius))
-    sym = F.array_union(F.array_except(lg, rg), F.array_except(rg, lg))
-    return df.withColumn(out_col, _fold(sym, n_bits))
+                           n_bits: int = 2048, out_col: str = "bits", id_col: str = "candidate_id") -> DataFrame:
+    """C4: print of the shingles found on exactly one side of the transformation.
+
+    Both sides are exploded to (id, gram, side) rows; a gram belongs to the symmetric
+    difference when only one side has it (one partial aggregate on (id, gram))."""
+    sides = (df.select(id_col, F.explode(char_grams(F.col(left), 1, radius)).alias("g"), F.lit(1).alias("l"),
+                       F.lit(0).alias("r"))
+             .unionByName(df.select(id_col, F.explode(char_grams(F.col(right), 1, radius)).alias("g"),
+                                    F.lit(0).alias("l"), F.lit(1).alias("r"))))
+    per = sides.groupBy(id_col, "g").agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    sym = per.filter(F.col("l") + F.col("r") == 1).select(id_col, gram_bit(F.col("g"), n_bits).alias("bit"))
+    prints = _bits_per_id(sym, id_col, n_bits, out_col)
+    return df.join(prints, id_col, "left").withColumn(
+        out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
 
 
 def bits_to_dense(bits: Column | str, n_bits: int) -> Column:
@@ -227,8 +239,8 @@ def sum_pool_tokens(df: DataFrame, id_col: str, text_col: str, vectors: DataFram
 
 
 # ------------------------------------------------------------------ C13
-def _fp(df, col, bond_radius=3, n_bits=2048, **_):
-    return hashed_fingerprint(df, col, bond_radius, n_bits, out_col="features_bits")
+def _fp(df, col, bond_radius=3, n_bits=2048, id_col="candidate_id", **_):
+    return hashed_fingerprint(df, col, bond_radius, n_bits, out_col="features_bits", id_col=id_col)
 
 
 def _bag(df, col, max_ngram=5, **_):
@@ -248,15 +260,16 @@ REACTION_REPRESENTATIONS = {"drfp"}
 
 
 def featurize(df: DataFrame, representation: str, mol_col: str = "text", rxn_cols: tuple[str, str] | None = None,
-              bond_radius: int = 3, n_bits: int = 2048, max_ngram: int = 5) -> DataFrame:
+              bond_radius: int = 3, n_bits: int = 2048, max_ngram: int = 5, id_col: str = "candidate_id") -> DataFrame:
     """Pick a representation by name; unknown names raise, listing the valid ones.
     Reaction representations read the two reaction sides, the others the molecule column."""
     if representation in REACTION_REPRESENTATIONS:
         if not rxn_cols:
             raise ValueError(f"'{representation}' needs the two reaction columns")
-        return difference_fingerprint(df, rxn_cols[0], rxn_cols[1], bond_radius, n_bits, out_col="features_bits")
+        return difference_fingerprint(df, rxn_cols[0], rxn_cols[1], bond_radius, n_bits, out_col="features_bits",
+                                      id_col=id_col)
     if representation not in REPRESENTATIONS:
         valid = sorted(set(REPRESENTATIONS) | REACTION_REPRESENTATIONS)
         raise ValueError(f"unknown representation '{representation}'; choose one of {valid}")
     return REPRESENTATIONS[representation](df, mol_col, bond_radius=bond_radius, n_bits=n_bits,
-                                           max_ngram=max_ngram)
+                                           max_ngram=max_ngram, id_col=id_col)
