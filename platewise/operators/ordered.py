@@ -120,3 +120,62 @@ def global_rank(df: DataFrame, order_cols: list[Column | str], n_parts: int | No
     return (laid.join(F.broadcast(offs), "__pid")
             .withColumn(out_col, F.coalesce(F.col("__off"), F.lit(0)) + F.col("__local"))
             .drop("__mid", "__pid", "__local", "__off"))
+
+
+def _laid_out(df: DataFrame, cols: list[Column], n: int) -> DataFrame:
+    from platewise.session import cut_lineage
+
+    laid = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+            .withColumn("__mid", F.monotonically_increasing_id()))
+    return cut_lineage(laid.withColumn("__pid", F.shiftright("__mid", 33))
+                       .withColumn("__local", F.col("__mid").bitwiseAND(F.lit((1 << 33) - 1))))
+
+
+def global_cumsum(df: DataFrame, order_cols: list[Column | str], weights: list[str],
+                  group_cols: list[str] = (), n_parts: int | None = None, suffix: str = "_before") -> DataFrame:
+    """Exclusive running sums of ``weights`` along ``order_cols`` (restarting at every
+    ``group_cols`` value, which must lead ``order_cols``), without a window over a group.
+
+    Same layout as ``global_rank``: range partitions, per-partition totals turned into
+    offsets on a tiny table, and a running sum inside each (bounded) range partition.
+    A group restart subtracts the group's first running value (one small aggregate).
+    """
+    spark = df.sparkSession
+    n = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [F.col(c) if isinstance(c, str) else c for c in order_cols]
+    laid = _laid_out(df, cols, n)
+    tot = laid.groupBy("__pid").agg(*[F.sum(w).alias(f"__t_{w}") for w in weights])
+    ow = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = tot.select("__pid", *[F.coalesce(F.sum(f"__t_{w}").over(ow), F.lit(0)).alias(f"__o_{w}") for w in weights])
+    inner = Window.partitionBy("__pid").orderBy("__local").rowsBetween(Window.unboundedPreceding, -1)
+    out = laid.join(F.broadcast(offs), "__pid")
+    for w in weights:
+        out = out.withColumn(f"{w}{suffix}", F.col(f"__o_{w}") + F.coalesce(F.sum(w).over(inner), F.lit(0)))
+    out = out.drop("__mid", "__pid", "__local", *[f"__o_{w}" for w in weights])
+    if group_cols:
+        starts = out.groupBy(*group_cols).agg(*[F.min(f"{w}{suffix}").alias(f"__s_{w}") for w in weights])
+        out = out.join(starts, list(group_cols))
+        for w in weights:
+            out = out.withColumn(f"{w}{suffix}", F.col(f"{w}{suffix}") - F.col(f"__s_{w}")).drop(f"__s_{w}")
+    return out
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float],
+                      tie_cols: list[str] = ()) -> DataFrame:
+    """Exact per-group quantiles with linear interpolation (Spark's ``percentile`` rule),
+    long form (by..., q, value). Only the two order statistics around q*(n-1) of each
+    group are fetched, located by one distributed rank; no group is held by one task."""
+    d = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    ranked = global_rank(d.select(*by, value, *tie_cols), [*by, value, *tie_cols])
+    starts = ranked.groupBy(*by).agg(F.min("rank").alias("__r0"), F.count(F.lit(1)).alias("__n"))
+    local = ranked.join(starts, by).withColumn("__r", F.col("rank") - F.col("__r0"))
+    need = starts.select(*by, F.explode(F.array(*[F.struct(
+        F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("pos")) for q in qs])).alias("s"))
+    need = need.select(*by, "s.q", "s.pos", F.floor("s.pos").cast("bigint").alias("lo"),
+                       F.ceil("s.pos").cast("bigint").alias("hi"))
+    lo_v = local.select(*by, F.col("__r").alias("lo"), F.col(value).cast("double").alias("x_lo"))
+    hi_v = local.select(*by, F.col("__r").alias("hi"), F.col(value).cast("double").alias("x_hi"))
+    j = need.join(lo_v, [*by, "lo"]).join(hi_v, [*by, "hi"])
+    val = F.when(F.col("lo") == F.col("hi"), F.col("x_lo")).otherwise(
+        (F.col("hi") - F.col("pos")) * F.col("x_lo") + (F.col("pos") - F.col("lo")) * F.col("x_hi"))
+    return j.select(*by, "q", val.alias("value"))

@@ -137,24 +137,31 @@ def describe_by(df: DataFrame, by: Sequence[str], metrics: Sequence[str],
                 exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """Count, mean, sample sd, min, 25/50/75 % (linear interpolation), max per group.
 
-    ``exact=True`` uses ``percentile`` (exact, memory grows with distinct values per
-    group); ``exact=False`` uses the bounded-memory ``percentile_approx`` sketch for
-    groups too large to hold.
+    ``exact=True`` locates the exact order statistics with one distributed rank per
+    metric; ``exact=False`` uses the bounded-memory ``percentile_approx`` sketch.
     """
+    from platewise.operators.ordered import grouped_quantiles
+
+    by = list(by)
+    d = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by]))
     aggs = []
     for m in metrics:
         c = F.col(m)
-        if exact:
-            qs = F.percentile(c, [0.25, 0.5, 0.75])
-        else:
-            qs = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>")
         aggs += [F.count(c).alias(f"{m}_count"), F.avg(c).alias(f"{m}_mean"),
                  F.stddev_samp(c).alias(f"{m}_std"), F.min(c).cast("double").alias(f"{m}_min"),
-                 qs.alias(f"__{m}_q"), F.max(c).cast("double").alias(f"{m}_max")]
-    out = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])).groupBy(*by).agg(*aggs)
+                 F.max(c).cast("double").alias(f"{m}_max")]
+        if not exact:
+            aggs.append(F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"__{m}_q"))
+    out = d.groupBy(*by).agg(*aggs)
     for m in metrics:
-        out = out.withColumns({f"{m}_25": F.col(f"__{m}_q")[0], f"{m}_50": F.col(f"__{m}_q")[1],
-                               f"{m}_75": F.col(f"__{m}_q")[2]}).drop(f"__{m}_q")
+        if exact:  # distributed exact order statistics (no group held by one task)
+            q = grouped_quantiles(d, by, m, [0.25, 0.5, 0.75])
+            wide = q.groupBy(*by).agg(*[F.max(F.when(F.col("q") == v, F.col("value"))).alias(f"{m}_{s}")
+                                        for v, s in ((0.25, "25"), (0.5, "50"), (0.75, "75"))])
+            out = out.join(wide, by, "left")
+        else:
+            out = out.withColumns({f"{m}_25": F.col(f"__{m}_q")[0], f"{m}_50": F.col(f"__{m}_q")[1],
+                                   f"{m}_75": F.col(f"__{m}_q")[2]}).drop(f"__{m}_q")
     return out
 
 

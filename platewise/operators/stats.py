@@ -173,9 +173,12 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
         .select(*keys, "level_a", F.col(param).alias("level_b"), metric, F.lit(0).cast("bigint").alias("ca"), F.col("c").alias("cb"))
     pv = side_a.unionByName(side_b).groupBy(*keys, "level_a", "level_b", metric) \
         .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    w = Window.partitionBy(*keys, "level_a", "level_b").orderBy(metric).rowsBetween(Window.unboundedPreceding, -1)
+    from platewise.operators.ordered import global_cumsum
+
     tcount = F.col("ca") + F.col("cb")
-    pv = pv.withColumn("below", F.coalesce(F.sum(tcount).over(w), F.lit(0)))
+    pv = pv.withColumn("__t", tcount)
+    pv = global_cumsum(pv, [*keys, "level_a", "level_b", metric], ["__t"],
+                       group_cols=[*keys, "level_a", "level_b"]).withColumnRenamed("__t_before", "below")
     rank = F.col("below") + (tcount + F.lit(1)) / F.lit(2.0)
     rs = pv.groupBy(*keys, "level_a", "level_b").agg(
         F.sum(F.col("ca") * rank).alias("r_a"),
@@ -229,11 +232,20 @@ def ks_two_sample(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b,
     vc = d.groupBy(*by, value_col).agg(
         F.sum(F.when(F.col(arm_col) == arm_a, w).otherwise(0)).cast("double").alias("ca"),
         F.sum(F.when(F.col(arm_col) == arm_b, w).otherwise(0)).cast("double").alias("cb"))
-    win = (Window.partitionBy(*by).orderBy(value_col) if by else Window.orderBy(value_col)) \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tot = Window.partitionBy(*by) if by else Window.partitionBy()
-    vc = vc.withColumn("na", F.sum("ca").over(tot)).withColumn("nb", F.sum("cb").over(tot))
-    vc = vc.withColumn("gap", F.abs(F.sum("ca").over(win) / F.col("na") - F.sum("cb").over(win) / F.col("nb")))
+    from platewise.operators.ordered import global_cumsum
+
+    # running sums over the distinct values with the distributed cumulative sum (no window
+    # holding all values of a group); group totals are one small aggregate
+    vc = global_cumsum(vc, [*by, value_col], ["ca", "cb"], group_cols=by)
+    if by:
+        tot = vc.groupBy(*by).agg(F.sum("ca").alias("na"), F.sum("cb").alias("nb"))
+        vc = vc.join(tot, by)
+    else:
+        t = vc.agg(F.sum("ca"), F.sum("cb")).first()
+        vc = vc.withColumn("na", F.lit(t[0])).withColumn("nb", F.lit(t[1]))
+    fa = (F.col("ca_before") + F.col("ca")) / F.col("na")
+    fb = (F.col("cb_before") + F.col("cb")) / F.col("nb")
+    vc = vc.withColumn("gap", F.abs(fa - fb))
     g = vc.groupBy(*by).agg(F.max("gap").alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
     en = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
     return g.withColumn("p", kolmogorov_p(F.col("d"), en))
@@ -288,12 +300,14 @@ def kde_curve(df: DataFrame, col: str, grid: int = 200, bw_adjust: float = 1.5)
 # ------------------------------------------------------------------ K11 / K12
 def box_stats(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers (extreme values inside the fences) and mean per group."""
+    from platewise.operators.ordered import grouped_quantiles
+
     by = list(by)
     d = df.filter(F.col(metric).isNotNull())
-    q = d.groupBy(*by).agg(F.percentile(metric, [0.25, 0.5, 0.75]).alias("__q"), F.avg(metric).alias("mean"),
-                           F.count(metric).alias("n"))
-    q = q.select(*by, "mean", "n", F.col("__q")[0].alias("q1"), F.col("__q")[1].alias("median"),
-                 F.col("__q")[2].alias("q3"))
+    qs = grouped_quantiles(d, by, metric, [0.25, 0.5, 0.75]).groupBy(*by).agg(
+        *[F.max(F.when(F.col("q") == v, F.col("value"))).alias(a)
+          for v, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    q = d.groupBy(*by).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n")).join(qs, by)
     iqr = F.col("q3") - F.col("q1")
     j = d.join(q, by)
     inside = (F.col(metric) >= F.col("q1") - F.lit(1.5) * iqr) & (F.col(metric) <= F.col("q3") + F.lit(1.5) * iqr)
