@@ -47,11 +47,12 @@ REFS_SQL = f"refs AS (SELECT candidate_id AS ref_id, features AS rv FROM vec ORD
 
 
 # ---------------------------------------------------------------- E1
-def _fp_lists(src: str, text: str, name: str) -> str:
+def _fp_lists(src: str, text: str, name: str, n_bits: int = 2048) -> str:
     from platewise.plans.features_q import sql_grams
 
+    bit = f"({sql_md5_u32('gram')} % {n_bits})::INTEGER"
     return f""", {sql_grams(name + "_g", src, text, 1, 3, distinct=True)},
-{name} AS (SELECT candidate_id, list(DISTINCT ({sql_md5_u32('gram')} % 2048)::INTEGER ORDER BY ({sql_md5_u32('gram')} % 2048)::INTEGER) AS bits
+{name} AS (SELECT candidate_id, list(DISTINCT {bit} ORDER BY {bit}) AS bits
            FROM {name}_g GROUP BY candidate_id)"""
 
 
@@ -70,18 +71,22 @@ def q_tanimoto_pairs(spark, d):
 
 
 # ---------------------------------------------------------------- E2
-@register("similar_above", rounded(FX.with_sql(FX.SQL_TEXT) + _fp_lists("txt", "text", "dfp") + """,
-dfpb AS (SELECT candidate_id, bitstring_agg(b, 0, 2047) AS bs, count(*) AS n
-         FROM (SELECT candidate_id, unnest(bits) AS b FROM dfp) GROUP BY candidate_id),
-reps AS (SELECT min(candidate_id) AS id, bs, any_value(n) AS n FROM dfpb GROUP BY bs),
-pairs AS (SELECT a.id AS id_a, b.id AS id_b, bit_count(a.bs & b.bs)::DOUBLE AS inter, a.n AS na, b.n AS nb
+# The similarity join runs on near-collision-free prints (2^20 positions): exact prefix
+# filtering needs sparse prints -- on dense 2048-bit prints of long texts every prefix
+# bit is common and the candidate set is all pairs.
+E2_BITS = 1 << 20
+
+
+@register("similar_above", rounded(FX.with_sql(FX.SQL_TEXT) + _fp_lists("txt", "text", "dfp", E2_BITS) + """,
+reps AS (SELECT min(candidate_id) AS id, bits, len(bits) AS n FROM dfp GROUP BY bits),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.bits, b.bits))::DOUBLE AS inter, a.n AS na, b.n AS nb
           FROM reps a JOIN reps b ON a.id < b.id
           WHERE least(a.n, b.n) >= 0.8::DOUBLE * greatest(a.n, b.n)),
 sims AS (SELECT id_a, id_b, (inter + 1e-6::DOUBLE) / (1e-6::DOUBLE + na + nb - inter) AS similarity FROM pairs)
 SELECT id_a, id_b, similarity FROM sims WHERE similarity >= 0.8::DOUBLE""", ["similarity"]))
 def q_similar_above(spark, d):
-    docs = C.hashed_fingerprint(FX.text(spark, d), "text", 3, 2048)
-    pairs, _ = S.similar_above(docs, "candidate_id", "bits", 0.8)
+    docs = C.hashed_fingerprint(FX.text(spark, d), "text", 3, E2_BITS)
+    pairs, _ = S.similar_above(docs, "candidate_id", "bits", 0.8, n_bits=E2_BITS)
     return pairs
 
 
