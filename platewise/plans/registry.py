@@ -68,3 +68,10 @@ def sql_percentile(col: str, q: float) -> str:
     return (f"(CASE WHEN {n} = 0 THEN NULL WHEN floor({p}) = {p} THEN {lst}[{p}::BIGINT + 1] "
             f"ELSE (ceil({p}) - {p}) * {lst}[floor({p})::BIGINT + 1] "
             f"+ ({p} - floor({p})) * {lst}[ceil({p})::BIGINT + 1] END)")
+
+
+def sql_fmt2(expr: str) -> str:
+    """DuckDB twin of ``results.fmt2``: Java's ``%.2f`` rounds the shortest decimal text
+    half-up, so round through that text (as DECIMAL) before printing; null -> 'nan'."""
+    return (f"(CASE WHEN ({expr}) IS NULL OR isnan({expr}) THEN 'nan' "
+            f"ELSE printf('%.2f', round(({expr})::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE) END)")

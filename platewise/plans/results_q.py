@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise.operators import results as R
-from platewise.plans.registry import register, rounded, sql_percentile
+from platewise.plans.registry import register, rounded, sql_fmt2, sql_percentile
 from platewise.sources import fixtures as FX
 
 RUNS = FX.with_sql(FX.SQL_RUNS)
@@ -157,7 +157,8 @@ def _label_sql(by: list[str]) -> tuple[str, list[str]]:
     keys = ", ".join(by)
     nn = " AND ".join(f"{k} IS NOT NULL" for k in by)
     inner = f"SELECT {keys}, {', '.join(parts)} FROM runs WHERE {nn} GROUP BY {keys}"
-    labels = ", ".join(f"printf('%.2f ± %.2f', {m}_mean, {m}_std) AS {m}_label" for m in LABEL_METRICS)
+    labels = ", ".join(f"{sql_fmt2(m + '_mean')} || ' ± ' || {sql_fmt2(m + '_std')} AS {m}_label"
+                       for m in LABEL_METRICS)
     return f"SELECT *, {labels} FROM ({inner})", dbl
 
 
@@ -180,8 +181,8 @@ def _factor_sql() -> str:
     blocks = []
     for i, (label, col) in enumerate(R.FACTOR_TYPES):
         blocks.append(f"""SELECT {i} AS type_order, '{label}' AS t, {col}::VARCHAR AS Parameter,
-  avg(valid_r2) AS m0, printf('%.2f ± %.2f', avg(valid_r2), stddev_samp(valid_r2)) AS valid_r2,
-  printf('%.2f ± %.2f', avg(target_stat_max), stddev_samp(target_stat_max)) AS target_stat_max
+  avg(valid_r2) AS m0, {sql_fmt2('avg(valid_r2)')} || ' ± ' || {sql_fmt2('stddev_samp(valid_r2)')} AS valid_r2,
+  {sql_fmt2('avg(target_stat_max)')} || ' ± ' || {sql_fmt2('stddev_samp(target_stat_max)')} AS target_stat_max
 FROM runs WHERE {col} IS NOT NULL GROUP BY {col}""")
     u = "\nUNION ALL\n".join(blocks)
     return RUNS + f"""SELECT type_order, pos, CASE WHEN pos = 1 THEN t ELSE '' END AS "Type", Parameter,
