@@ -223,3 +223,17 @@ def test_results_invariant_under_repartition(spark, parts):
         r["run_id"] for r in R.best_config_runs(FX.runs(spark, "/root/testdata/sf0.001"),
                                                 {"acquisition": ["ucb", "ei"]}, "top_5_count", "representation",
                                                 {"AUTOMOBILE": ["n_bits"], "BUILDING": []}).collect())
+
+
+def test_no_pairwise_joins_in_any_plan(spark):
+    """No query plans a cartesian product or a nested-loop join (scan-side pair blow-ups)."""
+    import __spark_entry__ as E
+
+    bad = []
+    for key, fn in E.queries().items():
+        if key in ("stream_best_so_far",):  # executed by a streaming query, read back as a table
+            continue
+        plan = fn(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(key)
+    assert not bad, bad
