@@ -52,9 +52,14 @@ def one_hot_long(df: DataFrame, id_col: str, cols: Sequence[str]) -> DataFrame:
     long = df.select(id_col, F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in cols])).alias("s"))
     long = long.select(id_col, "s.column", "s.level").where(F.col("level").isNotNull())
-    levels = long.select("column", "level").distinct()
-    from pyspark.sql import Window
-    levels = levels.withColumn("dim", F.row_number().over(Window.partitionBy("column").orderBy("level")) - 1)
+    from platewise.operators.ordered import global_rank
+
+    # level index = rank inside its column over the distinct (column, level) table, taken
+    # from one distributed rank (a very wide column is not held by one task)
+    levels = global_rank(long.select("column", "level").distinct(), ["column", "level"])
+    starts = levels.groupBy("column").agg(F.min("rank").alias("__r0"))
+    levels = levels.join(F.broadcast(starts), "column").select(
+        "column", "level", (F.col("rank") - F.col("__r0")).alias("dim"))
     return long.join(levels, ["column", "level"])
 
 

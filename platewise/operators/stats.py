@@ -160,7 +160,19 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
                    F.col("m").alias("ma"), F.col("v").alias("va"))
     b = mom.select(*keys, F.col(param).alias("level_b"), F.col("__lvl").alias("ib"), F.col("n").alias("nb"),
                    F.col("m").alias("mb"), F.col("v").alias("vb"))
-    pairs = a.join(b, keys).filter(F.col("ia") < F.col("ib"))
+    if user_keys:
+        pairs = a.join(b, keys).filter(F.col("ia") < F.col("ib"))
+    else:
+        # one group: the levels of one parameter are few (bounded, checked), so their pairs
+        # are listed on the driver instead of a key-less self-join
+        lv_rows = mom.select(param, "__lvl", "n", "m", "v").limit(10_001).collect()
+        if len(lv_rows) > 10_000:
+            raise ValueError(f"'{param}' has more than 10000 levels")
+        pr = [(0, x[0], x[1], x[2], x[3], x[4], y[0], y[1], y[2], y[3], y[4])
+              for x in lv_rows for y in lv_rows if x[1] < y[1]]
+        pairs = d.sparkSession.createDataFrame(
+            pr, "__all int, level_a string, ia int, na bigint, ma double, va double, "
+                "level_b string, ib int, nb bigint, mb double, vb double")
     sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
     pairs = pairs.withColumn("t", (F.col("ma") - F.col("mb")) / F.sqrt(sa + sb)) \
         .withColumn("dof", (sa + sb) * (sa + sb) / (sa * sa / (F.col("na") - 1) + sb * sb / (F.col("nb") - 1)))

@@ -237,3 +237,16 @@ def test_no_pairwise_joins_in_any_plan(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(key)
     assert not bad, bad
+
+
+def test_one_hot_long_matches_dense(spark):
+    from platewise.operators import features as C
+
+    df = spark.createDataFrame([(1, "b", "x"), (2, "a", None), (3, "c", "y"), (4, "a", "x")],
+                               "candidate_id long, p string, q string")
+    dense = {r["candidate_id"]: r["features"] for r in C.one_hot_array(df, ["p", "q"]).collect()}
+    long = C.one_hot_long(df, "candidate_id", ["p", "q"]).collect()
+    offset = {"p": 0, "q": 3}
+    for r in long:
+        assert dense[r["candidate_id"]][offset[r["column"]] + r["dim"]] == 1.0
+    assert sum(sum(v) for v in dense.values()) == len(long)
