@@ -135,7 +135,7 @@ def q_write_table(spark, d):
 PRIORITY_TO_KERNEL_PATH = {
     "1-URGENT": "gpytorch.kernels.linear_kernel.LinearKernel",
     "2-HIGH": "gpytorch.kernels.matern_kernel.MaternKernel",
-    "3-MEDIUM": "chaos.gprotorch.kernels.fingerprint_kernels.tanimoto_kernel.TanimotoKernel",
+    "3-MEDIUM": "kernels.fingerprint_kernels.tanimoto_kernel.TanimotoKernel",
     "4-NOT SPECIFIED": "gpytorch.kernels.rq_kernel.RQKernel",
 }
 STATUS_TO_INIT = {"F": "true_random", "O": "kmeans", "P": "maxmin"}
@@ -159,7 +159,8 @@ def raw_runs(spark, d):
 
 
 def _a11_sql() -> str:
-    kc = " ".join(f"WHEN kernel = '{k}' THEN '{A.KERNEL_SHORT[v]}'" for k, v in PRIORITY_TO_KERNEL_PATH.items())
+    kc = " ".join(f"WHEN kernel = '{k}' THEN '{v.rsplit('.', 1)[1][:-len('Kernel')]}'"
+                  for k, v in PRIORITY_TO_KERNEL_PATH.items())
     ic = " ".join(f"WHEN init = '{k}' THEN '{A.INIT_RECODE.get(v, v)}'" for k, v in STATUS_TO_INIT.items())
     return rounded(RUNS + f"""
 SELECT run_id, representation, CASE {kc} ELSE 'gpytorch.kernels.periodic_kernel.PeriodicKernel' END AS kernel,
