@@ -38,10 +38,14 @@ def _xs(x: Column, k: int) -> Column:
 
 
 def mix_u32(h: Column, r: Column) -> Column:
-    """32-bit mix of a base draw ``h`` and a replicate number ``r``."""
-    x = (h.bitwiseXOR(F.pmod(r.cast("bigint") * F.lit(MIX_R), F.lit(TWO32))))
-    x = F.pmod(_xs(x, 16) * F.lit(MIX_A), F.lit(TWO32))
-    x = F.pmod(_xs(x, 15) * F.lit(MIX_B), F.lit(TWO32))
+    """32-bit mix of a base draw ``h`` and a replicate number ``r``.
+
+    Every intermediate is non-negative and below 2^63, so ``mod 2^32`` is a mask.
+    """
+    mask = F.lit(TWO32 - 1)
+    x = h.bitwiseXOR((r.cast("bigint") * F.lit(MIX_R)).bitwiseAND(mask))
+    x = (_xs(x, 16) * F.lit(MIX_A)).bitwiseAND(mask)
+    x = (_xs(x, 15) * F.lit(MIX_B)).bitwiseAND(mask)
     return _xs(x, 16)
 
 
