@@ -227,7 +227,7 @@ SELECT cluster, row_number() OVER (PARTITION BY cluster ORDER BY dist, candidate
 def q_cluster_members(spark, d):
     reps, assigned = kmeans_run(spark, d)
     return E.cluster_members(assigned, "candidate_id", "features", reps).withColumn(
-        "cluster", F.col("cluster").cast("bigint"))
+        "cluster", F.col("cluster").cast("int"))
 
 
 # ---------------------------------------------------------------- E9 (rows check: restricted medoid search)

@@ -12,6 +12,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for t in TABLES:
@@ -44,6 +48,13 @@ def compare(spark, key: str, sf_dir: str, queries: dict, oracles: dict, con=None
         return True, f"{key}: {len(sp)} rows (no oracle)"
     con = con or duck(sf_dir)
     dk = con.execute(oracles[key]).df()
+    duck_types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {oracles[key]}").fetchall()}
+    spark_types = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+                   for f in sdf.schema.fields}
+    if spark_types != duck_types:
+        diff = {c: (spark_types.get(c), duck_types.get(c)) for c in set(spark_types) | set(duck_types)
+                if spark_types.get(c) != duck_types.get(c)}
+        return False, f"{key}: column types differ {diff}"
     if sorted(sp.columns) != sorted(dk.columns):
         return False, f"{key}: columns differ spark={sorted(sp.columns)} duck={sorted(dk.columns)}"
     if len(sp) != len(dk):
