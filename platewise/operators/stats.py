@@ -41,14 +41,15 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], metric: str, id_cols: Sequenc
     """
     by = list(by)
     base = df.groupBy(*by).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
-    reps = poisson_replicates(df.select(*by, *[c for c in id_cols if c not in by], metric),
-                              id_cols, n, seed)
+    src = df.select(*by, *[c for c in id_cols if c not in by], metric)
+    if scale is not None:  # integer units once per input row, not once per replicate row
+        src = src.withColumn("__units", F.round(F.col(metric) * F.lit(10 ** scale)).cast("bigint"))
+    reps = poisson_replicates(src, id_cols, n, seed)
     if scale is None:
         wsum = F.sum(F.col("w") * F.col(metric))
         mean = wsum / F.sum("w")
     else:
-        units = F.round(F.col(metric) * F.lit(10 ** scale)).cast("bigint")
-        mean = F.sum(F.col("w") * units) / (F.sum("w") * F.lit(float(10 ** scale)))
+        mean = F.sum(F.col("w") * F.col("__units")) / (F.sum("w") * F.lit(float(10 ** scale)))
     per_rep = (reps.groupBy(*by, "rep")
                .agg(mean.alias("m"), F.sum("w").alias("sw"))
                .filter(F.col("sw") > 0))
