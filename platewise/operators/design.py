@@ -182,17 +182,15 @@ def init_kmedoids(df: DataFrame, id_col: str, features: str, k: int, metric: str
         by_c: dict[int, list] = {}
         for r in cands:
             by_c.setdefault(r["cluster"], []).append((r[id_col], r[features]))
-        # summed distance of each candidate to every member of its cluster: one pass
-        sums = []
-        for c, lst in by_c.items():
-            lit = literal_set(lst)
-            sums.append(a.filter(F.col("cluster") == c).select(
-                F.lit(c).alias("cluster"),
-                F.explode(F.transform(lit, lambda q: F.struct(q["id"].alias("cand"),
-                                                               dist(F.col(features), q["v"]).alias("d")))).alias("s"))
+        # summed distance of each candidate to every member of its cluster, all clusters in
+        # one pass: every row looks up its own cluster's candidates in one literal array
+        per_c = F.array(*[literal_set(by_c.get(c, [])) if by_c.get(c) else
+                          F.array().cast("array<struct<id:bigint,v:array<double>>>") for c in range(k)])
+        own = F.element_at(per_c, F.col("cluster") + 1)
+        sums = (a.select("cluster", F.explode(F.transform(own, lambda q: F.struct(
+            q["id"].alias("cand"), dist(F.col(features), q["v"]).alias("d")))).alias("s"))
                 .groupBy("cluster", "s.cand").agg(F.sum("s.d").alias("tot")))
-        best = (reduce(lambda x, y: x.unionByName(y), sums)
-                .groupBy("cluster").agg(F.min(F.struct("tot", "cand")).alias("b")).collect())
+        best = sums.groupBy("cluster").agg(F.min(F.struct("tot", "cand")).alias("b")).collect()
         new = list(med_ids)
         for r in best:
             new[r["cluster"]] = r["b"]["cand"]
