@@ -250,3 +250,57 @@ def test_one_hot_long_matches_dense(spark):
     for r in long:
         assert dense[r["candidate_id"]][offset[r["column"]] + r["dim"]] == 1.0
     assert sum(sum(v) for v in dense.values()) == len(long)
+
+
+# ---------------------------------------------------------------- reference semantics at the edges
+def test_filter_by_dict_does_not_mutate_and_skips_nulls(spark):
+    base = {"k": ["a", "b"]}
+    df = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "k string, v int")
+    out = R.filter_by_dict(df, base, {"v": 2})
+    assert [r["v"] for r in out.collect()] == [2]
+    assert base == {"k": ["a", "b"]}
+
+
+def test_update_results_creates_missing_target(spark):
+    from platewise.operators import reshape as A
+
+    df = spark.createDataFrame([(1, None), (2, 5.0)], "candidate_id long, objective double")
+    res = spark.createDataFrame([(1, 7.0)], "candidate_id long, value double")
+    out = {r["candidate_id"]: (r["objective"], r["measured"])
+           for r in A.update_results(A.update_results(df, res, "candidate_id", "objective"),
+                                     res, "candidate_id", "measured").collect()}
+    assert out == {1: (7.0, 7.0), 2: (5.0, 0.0)}
+
+
+def test_collapse_history_drops_rows_before_first_epoch(spark):
+    import datetime as dt
+
+    from platewise.operators import history as HI
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(1, t0 + dt.timedelta(minutes=i), i, e, s) for i, (e, s) in enumerate(
+        [(None, 9.0), (0.0, None), (None, 1.0), (None, 2.0), (1.0, None), (None, 3.0)])]
+    rows.append((2, t0, 99, None, 5.0))  # a run without any epoch vanishes
+    df = spark.createDataFrame(rows, "run_id long, ts timestamp, event_id long, epoch double, suggestion double")
+    out = sorted((r["run_id"], r["epoch"], r["suggestion"]) for r in
+                 HI.collapse_history(df, "run_id", ["ts", "event_id"], "epoch", ["suggestion"]).collect())
+    assert out == [(1, 0.0, 1.0), (1, 1.0, 3.0)]
+
+
+def test_registry_errors_name_valid_choices(spark):
+    from platewise.operators import design as E
+    from platewise.operators import features as C
+
+    df = spark.createDataFrame([(1, "x", [0.0])], "candidate_id long, text string, features array<double>")
+    with pytest.raises(ValueError, match="fingerprints"):
+        C.featurize(df, "no_such_representation")
+    with pytest.raises(ValueError, match="kmeans"):
+        E.initialize(df, "no_such_method")
+    with pytest.raises(ValueError):
+        H.qce(df, quantile=100.0)
+
+
+def test_j2_share_divisors():
+    assert [R.share_divisor(m) for m in ["top_1_count", "top_10_count", "quantile_99_count",
+                                         "quantile_95_count", "quantile_90_count", "quantile_75_count",
+                                         "valid_r2"]] == [1, 10, 7, 36, 72, 180, None]
