@@ -77,7 +77,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     one = F.array(F.struct(F.lit(-1).alias("no"), text.alias("unit")))
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("no"), x.alias("unit")))
     units = (docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"),
-                         F.size(lines).alias("n_lines"), F.explode(F.concat(one, numbered)).alias("u"))
+                         F.size(lines).alias("n_lines"), F.concat(one, numbered).alias("units"))
+             .select("rid", "id", "n_lines", F.explode("units").alias("u"))
              .select("rid", "id", "n_lines", "u.no", "u.unit"))
 
     def words(c: Column) -> Column:

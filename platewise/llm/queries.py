@@ -13,12 +13,37 @@ from platewise.llm import licences as LIC
 from platewise.llm import mixing as MIX
 from platewise.llm.block_names import exact_groups
 from platewise.llm.common import read
+from platewise.llm.ego_join import link_vectors
 from platewise.llm.line_dedup import dedup_lines
+from platewise.llm.setsketch import near_groups
 
 BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL: dict[str, str] = {}
 
 
+#: Component labels by repeated minimum over links; a fixed point of the whole table.
+COMPONENTS_SQL = """
+reach(x, y) AS (SELECT id, id FROM nodes UNION SELECT r.x, l.b FROM reach r JOIN links l ON l.a = r.y),
+comp AS (SELECT x AS id, min(y) AS component_id FROM reach GROUP BY x)"""
+
+
+def op1_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = link_vectors(read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
+
+
+SQL["op1_ego_join"] = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id AS id, embedding::DOUBLE[] AS e, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+  FROM embeddings),
+nodes AS (SELECT id FROM v),
+links AS (SELECT x.id AS a, y.id AS b FROM v x JOIN v y ON x.id <> y.id
+          WHERE x.n > 0 AND y.n > 0 AND list_inner_product(x.e, y.e) / (x.n * y.n) >= 0.95),
+{COMPONENTS_SQL}
+SELECT c.id AS vec_id, (SELECT count(*) FROM links l WHERE l.a = c.id) AS n_links, c.component_id,
+       c.id = c.component_id AS kept FROM comp c"""
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped",
@@ -83,6 +108,27 @@ SELECT doc_id, size, source_size, round(target::VARCHAR::DECIMAL(38, 12), 6)::DO
        (least(2, greatest(0, floor(rate * k + u) - floor(rate * (k - 1) + u)))::BIGINT * size) AS taken FROM k"""
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = near_groups(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
+SQL["op6_setsketch"] = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+         WHEN len(w) > 0 THEN [len(w)::VARCHAR || ' words ' || array_to_string(w, ' ')] ELSE [] END)) AS sh FROM w),
+n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+p AS (SELECT x.id AS a, y.id AS b, count(*) AS shared FROM s x JOIN s y ON x.sh = y.sh AND x.id <> y.id GROUP BY x.id, y.id),
+links AS (SELECT a, b FROM p JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE 100 * shared >= 75 * (na.n + nb.n - shared)),
+nodes AS (SELECT id FROM w),
+{COMPONENTS_SQL}
+SELECT c.id AS doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.id = c.component_id AS kept
+FROM comp c LEFT JOIN n ON n.id = c.id"""
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = LIC.scan_licences(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_candidates", "licence",
@@ -120,8 +166,10 @@ FROM p GROUP BY rid, doc_id"""
 SQL["op9_licences"] = _licence_sql()
 
 QUERIES = {
+    "op1_ego_join": op1_ego_join,
     "op2_line_dedup": op2_line_dedup,
     "op3_block_naming": op3_block_naming,
     "op5_mixing": op5_mixing,
+    "op6_setsketch": op6_setsketch,
     "op9_licences": op9_licences,
 }
