@@ -10,12 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise.llm import licences as LIC
+from platewise.llm import hyper_lang as HL
 from platewise.llm import mixing as MIX
 from platewise.llm.block_names import exact_groups
-from platewise.llm.common import read
+from platewise.llm.common import crc_mod, read
 from platewise.llm.ego_join import link_vectors
+from platewise.llm.html_main import extract_pages
 from platewise.llm.line_dedup import dedup_lines
+from platewise.llm.packing import pack
 from platewise.llm.setsketch import near_groups
+from platewise.llm.suffix_lm import score_documents
 
 BLANKS_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SQL: dict[str, str] = {}
@@ -77,6 +81,13 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
 FROM d WINDOW w AS (PARTITION BY t ORDER BY n DESC, doc_id)"""
 
 
+def op4_hyper_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = crc_mod(F.col("doc_id"), 4) == 2
+    out = HL.identify(docs.select("doc_id", "text"), HL.learn_prototypes(docs.filter(~held_out)))
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.round("score", 6).alias("score"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = MIX.mix_sources(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", F.round("target", 6).alias("target"), "taken")
@@ -129,6 +140,24 @@ SELECT c.id AS doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, c.id = c.
 FROM comp c LEFT JOIN n ON n.id = c.id"""
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    import public_tokenizers
+
+    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                      "sequence_id", "offset", "source", "window")
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(read(spark, sf_dir, "documents"))
+
+
+def op8_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score_documents(read(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) != 1)
+    return out.select(F.col("id").alias("doc_id"), (~F.col("trained")).alias("held_out"), "n_tokens", "n_known",
+                      "train_tokens", F.round("base_score", 6).alias("base_score"), F.round("score", 4).alias("score"))
+
+
 def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = LIC.scan_licences(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_lines", "n_candidates", "licence",
@@ -165,11 +194,11 @@ FROM p GROUP BY rid, doc_id"""
 
 SQL["op9_licences"] = _licence_sql()
 
-QUERIES = {
-    "op1_ego_join": op1_ego_join,
-    "op2_line_dedup": op2_line_dedup,
-    "op3_block_naming": op3_block_naming,
-    "op5_mixing": op5_mixing,
-    "op6_setsketch": op6_setsketch,
-    "op9_licences": op9_licences,
-}
+def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = extract_pages(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_ego_join, op2_line_dedup, op3_block_naming, op4_hyper_lang, op5_mixing, op6_setsketch, op7_packing,
+    op8_suffix_lm, op9_licences, op10_html_tree)}
