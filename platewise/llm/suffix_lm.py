@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from platewise.llm.common import stage
 
 DEPTH = 6  # longest context in bytes
-GAIN = 2e-5  # bits per training symbol that a context must save
+GAIN = 2e-6  # bits per training symbol that a context must save
+CELLS = 1 << 24  # largest tree: states times symbols (8 bytes each)
 HOT = 2.0**-20  # share of training tokens from which on a word travels with the code
 HOT_BYTES = 64  # longest such word
 CHUNK = 4 << 20  # bytes in work at once
@@ -147,14 +148,16 @@ class SuffixTree:
         return np.add.reduceat(out, at)
 
 
-def grow_tree(grams: DataFrame, gain: float = GAIN) -> SuffixTree:
+def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS) -> SuffixTree:
     """The tree from (gram, n) counts of the deepest contexts with their next symbol.
 
     Shorter contexts' counts are sums of deeper ones. A context c is kept if
     sum over symbols of n(c, s) log2(P(s | c) / P(s | suffix of c)) >= gain * all symbols;
     suffixes of kept contexts are kept. Those sums telescope along the depths to at most the
     order-0 entropy, under 8 bits a symbol, so at most 8 / gain contexts pass on any corpus
-    (plus their suffixes): the tree has a proven bound, and only it reaches the driver.
+    (plus their suffixes): what reaches the driver has a proven bound. The tree travels with
+    the code, so its own size is bounded too: while it has more than ``cells`` cells, the
+    gain asked for doubles.
     """
     grams = stage(grams.groupBy("gram").agg(F.sum("n").alias("n")))
     total = grams.agg(F.sum("n")).first()[0]
@@ -177,12 +180,18 @@ def grow_tree(grams: DataFrame, gain: float = GAIN) -> SuffixTree:
                 .join(up, "suf"))
         bits = F.col("n") * (F.log2(F.col("n") / F.col("all")) - F.log2(F.col("up_n") / F.col("up_all")))
         found.append(test.groupBy("ctx").agg(F.sum(bits).alias("bits")).filter(F.col("bits") >= gain * total)
-                     .select("ctx").toPandas())
-    kept: list[np.ndarray] = [np.zeros(1, np.int64)]
-    need = np.zeros(0, np.int64)
-    for d in range(DEPTH, 0, -1):
-        need = np.unique(np.append(need & ((1 << 8 * d) - 1), found[d - 1]["ctx"].to_numpy(np.int64)))
-        kept.insert(1, need)
+                     .toPandas())
+    width = 1 + tables[0].count()
+    while True:
+        kept: list[np.ndarray] = [np.zeros(1, np.int64)]
+        need = np.zeros(0, np.int64)
+        for d in range(DEPTH, 0, -1):
+            own = found[d - 1]["ctx"][found[d - 1]["bits"] >= gain * total]
+            need = np.unique(np.append(need & ((1 << 8 * d) - 1), own.to_numpy(np.int64)))
+            kept.insert(1, need)
+        if width * sum(len(k) for k in kept) <= cells:
+            break
+        gain *= 2.0
     spark = grams.sparkSession
     counts = []
     for d in range(DEPTH + 1):
@@ -192,7 +201,6 @@ def grow_tree(grams: DataFrame, gain: float = GAIN) -> SuffixTree:
     symbols = np.unique(counts[0]["sym"])
     classes = np.zeros(256, np.int64)  # class 0: bytes that training never met
     classes[symbols] = np.arange(1, len(symbols) + 1)
-    width = len(symbols) + 1
     states = sum(len(k) for k in kept)
     child = np.zeros(states * width, np.int32)
     prob = np.zeros((states, width))
