@@ -37,6 +37,8 @@ _CLOSES_P = _BLOCK - {"body", "html", "tbody", "td", "th", "tr", "thead", "tfoot
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
             "option": ({"option"}, {"select"})}
+# elements that can be the container; lists, rows and paragraphs pass their points on
+_HOLDS = set("div section article main body html td center details dd".split())
 _SCOPE = {"table", "td", "th", "caption", "button", "object", "body", "html"}  # an open p beyond these stays open
 
 
@@ -199,14 +201,14 @@ def main_text(html: str | None) -> str:
         points = (1.0 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100.0, 3.0)) * min(1.0, len(text) / 25.0)
         if b.owner.tag in ("li", "th", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
             points *= 0.25
-        # the element around a paragraph is the first container; a bare run of text counts for its own
-        n = b.owner.parent if b.owner.tag not in ("div", "section", "article", "main", "body", "td") and b.owner.parent else b.owner
-        step = 0
+        # full points for the nearest container, half for the next, a quarter, a sixth; a cell of
+        # a data table is none
+        n, step = b.owner.parent if b.owner.tag in ("td", "dd") else b.owner, 0
         while n is not None:
-            if step < 5:
-                n.score += points / (1 if step == 0 else 2 * step)
+            if n.tag in _HOLDS:
+                n.score += points / max(1, 2 * step)
                 scored[id(n)] = n
-            step += 1
+                step += 1
             n = n.parent
         n = b.owner
         while n is not None:

@@ -23,6 +23,7 @@ from platewise.llm.common import stage
 
 DEPTH = 6  # longest context in bytes
 GAIN = 2e-6  # bits per training symbol that a context must save
+PULL = 6.0  # weight of the suffix's distribution for each different symbol met
 CELLS = 1 << 24  # largest tree: states times symbols (8 bytes each)
 HOT = 2.0**-20  # share of training tokens from which on a word travels with the code
 HOT_BYTES = 64  # longest such word
@@ -217,7 +218,7 @@ def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS) -> Suffi
             first = classes[kept[d] >> (8 * (d - 1))]
             child[parent * width + first] = base[d] + np.arange(len(kept[d]))
             up = prob[parent]
-        kinds = (n > 0).sum(1, keepdims=True)  # Witten-Bell: as much weight for the suffix as symbols were met
+        kinds = PULL * (n > 0).sum(1, keepdims=True)  # the more symbols were met, the likelier is another
         prob[base[d]:base[d + 1]] = (n + kinds * up) / (n.sum(1, keepdims=True) + kinds)
     return SuffixTree(classes, child, np.log10(prob).astype(np.float32).ravel(), width)
 
