@@ -148,52 +148,77 @@ def init_kmeans(df: DataFrame, id_col: str, features: str, k: int, use_pca: int
 
 
 # ------------------------------------------------------------------ E9
+def _best_members(a: DataFrame, id_col: str, features: str, dist: Callable, pivots: dict[int, list[float]],
+                  batch: int, bounded: bool) -> dict[int, object]:
+    """The member of each cluster with the smallest summed distance to all members (ties: lowest id).
+
+    Members are visited by rising distance to the cluster's pivot p. By the triangle
+    inequality a member m has sum(m) >= n * d(m, p) - sum(p) and, the distances being
+    non-negative, sum(m) >= 0; once the bound of the next member exceeds the best sum found, no
+    later one can win and the cluster is through (``bounded``: only for a metric that obeys the
+    triangle inequality; otherwise all members are summed). ``batch`` members per cluster are summed in
+    one pass over all rows; it does not affect the result.
+    """
+    pv = F.array(*[F.lit(pivots.get(c, [])).cast("array<double>") for c in range(max(pivots) + 1)])
+    a = cut_lineage(a.withColumn("__dp", dist(F.col(features), F.element_at(pv, F.col("cluster") + 1))))
+    base = {r["cluster"]: (r["n"], r["s"]) for r in a.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("__dp").alias("s")).collect()}
+    best: dict[int, tuple] = {}
+    seen: dict[int, tuple] = {c: (-1.0, None) for c in base}
+    while seen:
+        parts = []
+        for c, (d0, i0) in seen.items():
+            later = F.col("__dp") > d0 if i0 is None else (F.col("__dp") > d0) | ((F.col("__dp") == d0) & (F.col(id_col) > i0))
+            parts.append(a.filter((F.col("cluster") == c) & later).orderBy("__dp", id_col).limit(batch))
+        got: dict[int, list] = {}
+        for r in reduce(lambda x, y: x.unionByName(y), parts).collect():
+            got.setdefault(r["cluster"], []).append((r["__dp"], r[id_col], r[features]))
+        go_on = {}
+        for c in list(seen):
+            rows = sorted(got.get(c, []), key=lambda x: (x[0], x[1]))
+            n, s = base[c]
+            if bounded and c in best:  # rounding: a bound has to be clearly above
+                rows = [x for x in rows if n * x[0] - s <= best[c][0] * (1 + 1e-9) + 1e-9]
+            if rows:
+                go_on[c] = rows
+        seen = {}
+        if not go_on:
+            break
+        per_c = F.array(*[literal_set([(i, v) for _, i, v in go_on[c]]) if c in go_on else
+                          F.array().cast("array<struct<id:bigint,v:array<double>>>") for c in range(max(base) + 1)])
+        own = F.element_at(per_c, F.col("cluster") + 1)
+        sums = (a.select("cluster", F.explode(F.transform(own, lambda q: F.struct(
+            q["id"].alias("cand"), dist(F.col(features), q["v"]).alias("d")))).alias("s"))
+                .groupBy("cluster", "s.cand").agg(F.sum("s.d").alias("tot"))
+                .groupBy("cluster").agg(F.min(F.struct("tot", "cand")).alias("b")).collect())
+        for r in sums:
+            c, new = r["cluster"], (r["b"]["tot"], r["b"]["cand"])
+            best[c] = min(best.get(c, new), new)
+            if len(go_on[c]) == batch:
+                seen[c] = go_on[c][-1][:2]
+    return {c: v[1] for c, v in best.items()}
+
+
 def init_kmedoids(df: DataFrame, id_col: str, features: str, k: int, metric: str = "euclidean",
-                  max_iter: int = 10, seed: int = 0, candidates: int = 64) -> tuple[list, DataFrame]:
-    """Alternating k-medoids. Assign every row to its nearest medoid (literal set),
-    then per cluster evaluate medoid candidates against *all* members of the cluster
-    and keep the one with the smallest summed distance.
-
-    The candidates of a cluster are its ``candidates`` members nearest the cluster
-    mean (all members when the cluster is smaller). Summed distances are exact for
-    every candidate evaluated; each round costs O(k * candidates * N) and no pairs of
-    members are ever materialised.
+                  max_iter: int = 300, seed: int = 0, batch: int = 256) -> tuple[list, DataFrame]:
+    """Alternating k-medoids, exact: assign every row to its nearest medoid (literal set),
+    then replace each medoid by the member of its cluster with the smallest summed distance,
+    until none changes.
+
+    Every member is a candidate unless a distance bound rules it out, and sums run over all
+    members; no pairs of members are materialised. In high dimensions the bound rules out
+    little, so a round may cost a pass per ``batch`` members of the largest cluster.
     """
     dist = _metric(metric)
     d = cut_lineage(df.select(id_col, features))
     med_ids = init_random(d, id_col, k, seed)
-    for it in range(max_iter):
-        meds = {r[id_col]: r[features] for r in d.filter(F.col(id_col).isin(med_ids)).collect()}
-        mv = [meds[i] for i in med_ids]
-        a = cut_lineage(d.withColumn("cluster", _assign(features, mv, dist)["c"]))
-        # cluster means (k x d) pick the candidate members
-        means = {}
-        for r in (a.select("cluster", F.posexplode(features).alias("dim", "v"))
-                  .groupBy("cluster", "dim").agg(F.avg("v").alias("m")).collect()):
-            means.setdefault(r["cluster"], {})[r["dim"]] = r["m"]
-        cand_parts = []
-        for c, m in means.items():
-            mvec = [m[j] for j in sorted(m)]
-            cand_parts.append(a.filter(F.col("cluster") == c)
-                              .select("cluster", id_col, features,
-                                      sqdist(F.col(features), F.lit(mvec).cast("array<double>")).alias("__dm"))
-                              .orderBy("__dm", id_col).limit(candidates))
-        cands = reduce(lambda x, y: x.unionByName(y), cand_parts).drop("__dm").collect()
-        by_c: dict[int, list] = {}
-        for r in cands:
-            by_c.setdefault(r["cluster"], []).append((r[id_col], r[features]))
-        # summed distance of each candidate to every member of its cluster, all clusters in
-        # one pass: every row looks up its own cluster's candidates in one literal array
-        per_c = F.array(*[literal_set(by_c.get(c, [])) if by_c.get(c) else
-                          F.array().cast("array<struct<id:bigint,v:array<double>>>") for c in range(k)])
-        own = F.element_at(per_c, F.col("cluster") + 1)
-        sums = (a.select("cluster", F.explode(F.transform(own, lambda q: F.struct(
-            q["id"].alias("cand"), dist(F.col(features), q["v"]).alias("d")))).alias("s"))
-                .groupBy("cluster", "s.cand").agg(F.sum("s.d").alias("tot")))
-        best = sums.groupBy("cluster").agg(F.min(F.struct("tot", "cand")).alias("b")).collect()
+    for _ in range(max_iter):
+        meds = {r[id_col]: list(r[features]) for r in d.filter(F.col(id_col).isin(med_ids)).collect()}
+        pivots = {c: meds[i] for c, i in enumerate(med_ids)}
+        a = d.withColumn("cluster", _assign(features, [meds[i] for i in med_ids], dist)["c"])
         new = list(med_ids)
-        for r in best:
-            new[r["cluster"]] = r["b"]["cand"]
+        for c, i in _best_members(a, id_col, features, dist, pivots, batch, metric == "euclidean").items():
+            new[c] = i
         if new == med_ids:
             break
         med_ids = new

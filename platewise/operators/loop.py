@@ -27,10 +27,14 @@ from platewise.operators.surrogate import GPConfig
 from platewise.session import cut_lineage
 
 
+ACQUISITIONS = {"ucb", "ei", "random"}
+
+
 @dataclass
 class RunState:
     """Driver-side state of one run: rows of L are implicit in (w(t), L_tt)."""
     acquisition: str = "ucb"
+    seed: int = 0
     ids: list = field(default_factory=list)
     ys: list = field(default_factory=list)
     u: list = field(default_factory=list)    # L^-1 y
@@ -100,13 +104,14 @@ def add_points(state: DataFrame, picks: dict, runs: dict[str, RunState], cfg: GP
     return j.drop("__pid", "__pv", "__pw", "__ltt", "__ut", "__vt", "__wt")
 
 
-def score(state: DataFrame, runs: dict[str, RunState], cfg: GPConfig, beta: float = 0.1) -> DataFrame:
-    """Posterior (mu, var) and acquisition for every held-out row of every run."""
+def score(state: DataFrame, runs: dict[str, RunState], cfg: GPConfig, id_col: str, beta: float = 0.1) -> DataFrame:
+    """Posterior (mu, var) and acquisition for every held-out row of every run; null for random runs."""
     rows = []
     for run, st in runs.items():
         m, s = _mean_sd(st.ys)
-        rows.append((run, m, s, max(st.ys), st.acquisition))
-    tab = state.sparkSession.createDataFrame(rows, "run_id string, __m double, __s double, __best double, __acq string")
+        rows.append((run, m, s, max(st.ys), st.acquisition, st.seed, len(st.ys)))
+    tab = state.sparkSession.createDataFrame(
+        rows, "run_id string, __m double, __s double, __best double, __acq string, __seed bigint, __it bigint")
     j = state.filter(~F.col("observed")).join(F.broadcast(tab), "run_id")
     mu = F.col("__m") + F.col("A") - F.col("__m") * F.col("B")
     var = F.greatest(F.col("__s") * F.col("__s") * (F.lit(cfg.outputscale) - F.col("Q")), F.lit(0.0))
@@ -115,15 +120,19 @@ def score(state: DataFrame, runs: dict[str, RunState], cfg: GPConfig, beta: floa
     z = (F.col("mu") - F.col("__best")) / sd
     acq = (F.when(F.col("__acq") == "ucb", F.col("mu") + F.sqrt(F.lit(beta) * F.col("var")))
            .when(F.col("__acq") == "ei", sd * (z * norm_cdf(z) + norm_pdf(z))))
-    return j.withColumn("acq", acq).drop("__m", "__s", "__best", "__acq")
+    # a random run takes the lowest draw of its seed, step and id, in the same aggregate
+    draw = F.when(F.col("__acq") == "random", F.md5(F.concat_ws(":", "__seed", "__it", F.col(id_col).cast("string"))))
+    return (j.withColumn("acq", acq).withColumn("draw", draw)
+            .drop("__m", "__s", "__best", "__acq", "__seed", "__it"))
 
 
 def pick_per_run(scored: DataFrame, id_col: str, features: str, y: str) -> list:
-    """Top acquisition per run (ties -> lowest id) and the acquisition sum: one partial aggregate."""
+    """Top acquisition (random runs: lowest draw) per run, ties to the lowest id, and the
+    acquisition sum: one partial aggregate for all runs."""
     cols = F.struct(F.col(id_col).alias("id"), F.col(features).alias("x"), F.col(y).alias("y"),
                     F.col("w").alias("w"), F.col("Q").alias("q"))
     return scored.groupBy("run_id").agg(
-        F.max_by(cols, F.struct(F.col("acq"), -F.col(id_col))).alias("pick"),
+        F.min_by(cols, F.struct(F.coalesce(-F.col("acq"), F.lit(0.0)), F.coalesce("draw", F.lit("")), F.col(id_col))).alias("pick"),
         F.sum("acq").alias("acq_sum")).collect()
 
 
@@ -140,7 +149,10 @@ def run_sweep(cands: DataFrame, id_col: str, features: str, y: str, runs: dict[s
 
     if cfg.kernel == "linear":
         raise ValueError("the incremental loop needs a stationary kernel (k(x, x) constant)")
-    st = {r: RunState(acquisition=c.get("acquisition", "ucb")) for r, c in runs.items()}
+    st = {r: RunState(acquisition=c.get("acquisition", "ucb"), seed=c.get("seed", 0)) for r, c in runs.items()}
+    unknown = {s.acquisition for s in st.values()} - ACQUISITIONS
+    if unknown:
+        raise ValueError(f"unknown acquisition {sorted(unknown)}; choose from {sorted(ACQUISITIONS)}")
     state = cut_lineage(init_state(cands, list(runs), id_col, features, y))
     # initial designs, conditioned one point at a time with the same update
     designs = {r: init_random(cands, id_col, n_init, c.get("seed", 0)) for r, c in runs.items()}
@@ -157,8 +169,7 @@ def run_sweep(cands: DataFrame, id_col: str, features: str, y: str, runs: dict[s
             state = cut_lineage(state)
     trace = []
     for it in range(n_iters):
-        scored = score(state, st, cfg, beta)
-        rnd = [r for r, c in runs.items() if c.get("acquisition") == "random"]
+        scored = score(state, st, cfg, id_col, beta)
         picks_rows = pick_per_run(scored, id_col, features, y)
         picks = {}
         for row in picks_rows:
@@ -166,12 +177,6 @@ def run_sweep(cands: DataFrame, id_col: str, features: str, y: str, runs: dict[s
             picks[row["run_id"]] = (p["id"], p["x"], p["y"], p["w"], p["q"])
             trace.append((row["run_id"], it, max(st[row["run_id"]].ys), p["id"], float(p["y"]),
                           float(row["acq_sum"]) if row["acq_sum"] is not None else None))
-        for r in rnd:  # random runs skip the model: md5(seed:iteration:id) order
-            seed = runs[r].get("seed", 0)
-            rr = (state.filter((F.col("run_id") == r) & ~F.col("observed"))
-                  .withColumn("__k", F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(it)), F.col(id_col).cast("string"))))
-                  .orderBy("__k", id_col).select(id_col, features, y, "w", "Q").first())
-            picks[r] = (rr[id_col], rr[features], rr[y], rr["w"], rr["Q"])
         state = add_points(state, picks, st, cfg, id_col, features)
         if (it + 1) % checkpoint_every == 0:
             state = cut_lineage(state)

@@ -35,9 +35,12 @@ CONFIG_RENAMES = {
     "data.featurizer.init_args.nBits": "n_bits",
     "model.acquisition_class": "acquisition",
 }
-# Kernel class paths are recoded to the class name without its "Kernel" suffix, for these
-# classes only (any other path is kept as it is).
-KERNEL_SHORT = ("Linear", "Matern", "Tanimoto", "RQ")
+# Public kernel class paths and their short names (any other path is kept as it is).
+KERNEL_SHORT = {
+    "gpytorch.kernels.linear_kernel.LinearKernel": "Linear",
+    "gpytorch.kernels.matern_kernel.MaternKernel": "Matern",
+    "gpytorch.kernels.rq_kernel.RQKernel": "RQ",
+}
 INIT_RECODE = {"true_random": "random"}
 
 
@@ -176,16 +179,13 @@ def write_and_read_back(df: DataFrame, name: str, fmt: str = "parquet",
 
 
 # ------------------------------------------------------------------ A11
-def short_kernel(col: Column, allowed: Sequence[str] = KERNEL_SHORT) -> Column:
-    """``pkg.module.MaternKernel`` -> ``Matern`` for the allowed class names; others unchanged."""
-    name = F.regexp_extract(col, r"([A-Za-z0-9_]+)Kernel$", 1)
-    return F.when(name.isin(list(allowed)), name).otherwise(col)
-
-
 def standardise_names(df: DataFrame, renames: Mapping[str, str] = CONFIG_RENAMES,
-                      kernels: Sequence[str] = KERNEL_SHORT,
+                      kernels: Mapping[str, str] = KERNEL_SHORT,
                       inits: Mapping[str, str] = INIT_RECODE) -> DataFrame:
-    """Rename config columns, recode kernel class paths and init names (unmatched kept)."""
+    """Rename config columns, recode whole kernel class paths and init names (unmatched kept).
+
+    ``kernels`` adds or replaces paths, such as a project's own kernel classes.
+    """
     present = {k: v for k, v in renames.items() if k in df.columns}
     d = df.withColumnsRenamed(present)
 
@@ -197,7 +197,7 @@ def standardise_names(df: DataFrame, renames: Mapping[str, str] = CONFIG_RENAMES
 
     upd = {}
     if "kernel" in d.columns:
-        upd["kernel"] = short_kernel(q("kernel"), kernels)
+        upd["kernel"] = recode("kernel", kernels)
     if "init" in d.columns:
         upd["init"] = recode("init", inits)
     return d.withColumns(upd) if upd else d

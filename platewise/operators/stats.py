@@ -174,8 +174,10 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
             pr, "__all int, level_a string, ia int, na bigint, ma double, va double, "
                 "level_b string, ib int, nb bigint, mb double, vb double")
     sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
-    pairs = pairs.withColumn("t", (F.col("ma") - F.col("mb")) / F.sqrt(sa + sb)) \
-        .withColumn("dof", (sa + sb) * (sa + sb) / (sa * sa / (F.col("na") - 1) + sb * sb / (F.col("nb") - 1)))
+    # two constant levels have no t statistic: null
+    pairs = pairs.withColumn("t", F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(sa + sb))) \
+        .withColumn("dof", F.try_divide((sa + sb) * (sa + sb), F.try_divide(sa * sa, F.col("na") - 1)
+                                        + F.try_divide(sb * sb, F.col("nb") - 1)))
     # Mann-Whitney from pooled value counts of each pair
     vc = d.groupBy(*keys, param, metric).agg(F.count(F.lit(1)).alias("c"))
     pk = pairs.select(*keys, "level_a", "level_b")
@@ -192,9 +194,10 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
     pv = global_cumsum(pv, [*keys, "level_a", "level_b", metric], ["__t"],
                        group_cols=[*keys, "level_a", "level_b"]).withColumnRenamed("__t_before", "below")
     rank = F.col("below") + (tcount + F.lit(1)) / F.lit(2.0)
+    ties = tcount.cast("double")  # the cube of a large tie has no room in 64 bits
     rs = pv.groupBy(*keys, "level_a", "level_b").agg(
         F.sum(F.col("ca") * rank).alias("r_a"),
-        F.sum(tcount * tcount * tcount - tcount).cast("double").alias("tie"))
+        F.sum(ties * ties * ties - ties).alias("tie"))
     out = pairs.join(rs, keys + ["level_a", "level_b"])
     na, nb = F.col("na").cast("double"), F.col("nb").cast("double")
     n = na + nb

@@ -66,8 +66,7 @@ def q_tanimoto_pairs(spark, d):
     docs = C.hashed_fingerprint(FX.text(spark, d), "text", 3, 2048)
     bench = C.hashed_fingerprint(table(spark, d, "benchmark").select(F.col("item_id").alias("candidate_id"), "text"),
                                  "text", 3, 2048)
-    queries = S.small_set(bench, "candidate_id", "bits", 10_000)
-    return S.tanimoto_against(docs, "candidate_id", "bits", queries)
+    return S.tanimoto_to_queries(docs, bench, "candidate_id", "bits")
 
 
 # ---------------------------------------------------------------- E2
@@ -83,11 +82,14 @@ pairs AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.bits, b.bits))
           FROM reps a JOIN reps b ON a.id < b.id
           WHERE least(a.n, b.n) >= 0.8::DOUBLE * greatest(a.n, b.n)),
 sims AS (SELECT id_a, id_b, (inter + 1e-6::DOUBLE) / (1e-6::DOUBLE + na + nb - inter) AS similarity FROM pairs)
-SELECT id_a, id_b, similarity FROM sims WHERE similarity >= 0.8::DOUBLE""", ["similarity"]))
+SELECT id_a, id_b, similarity FROM sims WHERE similarity >= 0.8::DOUBLE
+UNION ALL
+SELECT r.id, f.candidate_id, 1.0::DOUBLE FROM dfp f JOIN reps r ON f.bits = r.bits WHERE f.candidate_id <> r.id""", ["similarity"]))
 def q_similar_above(spark, d):
     docs = C.hashed_fingerprint(FX.text(spark, d), "text", 3, E2_BITS)
-    pairs, _ = S.similar_above(docs, "candidate_id", "bits", 0.8, n_bits=E2_BITS)
-    return pairs
+    pairs, copies = S.similar_above(docs, "candidate_id", "bits", 0.8)
+    return pairs.unionByName(copies.filter("id <> representative_id").select(
+        F.col("representative_id").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity")))
 
 
 # ---------------------------------------------------------------- E3
@@ -204,12 +206,12 @@ r{i} AS MATERIALIZED (SELECT {i} AS centre, v.candidate_id FROM vec v, cent{roun
     return "".join(parts), reps
 
 
-KM_K, KM_ROUNDS = 5, 3
+KM_K, KM_ROUNDS = 5, 40  # the SQL side unrolls more rounds than the supplied tables need to come to rest
 _km_ctes, _km_reps = _kmeans_sql(KM_K, KM_ROUNDS)
 
 
 def kmeans_run(spark, d):
-    return E.init_kmeans(FX.vec(spark, d), "candidate_id", "features", KM_K, rounds=KM_ROUNDS, seed=0, tol=-1.0)
+    return E.init_kmeans(FX.vec(spark, d), "candidate_id", "features", KM_K, seed=0, tol=0.0)
 
 
 @register("init_kmeans", VEC + _km_ctes + "\n" + _km_reps)
@@ -230,10 +232,25 @@ def q_cluster_members(spark, d):
         "cluster", F.col("cluster").cast("int"))
 
 
-# ---------------------------------------------------------------- E9 (rows check: restricted medoid search)
-@register("init_kmedoids")
+# ---------------------------------------------------------------- E9
+def _kmedoids_sql(k: int, rounds: int, seed: int = 0) -> str:
+    """Rounds of exact k-medoids over all member pairs; more rounds than needed change nothing."""
+    parts = [f""", dd AS MATERIALIZED (SELECT x.candidate_id AS a, y.candidate_id AS b, sqrt({sql_sqdist('x.features', 'y.features')}) AS d
+  FROM vec x, vec y),
+med0 AS (SELECT row_number() OVER (ORDER BY {md5_order(seed)}, candidate_id) - 1 AS cluster, candidate_id AS m
+  FROM vec ORDER BY {md5_order(seed)}, candidate_id LIMIT {k})"""]
+    for r in range(1, rounds + 1):
+        parts.append(f""",
+as{r} AS MATERIALIZED (SELECT a AS id, arg_min(cluster, (d, cluster)) AS cluster FROM dd JOIN med{r - 1} ON b = m GROUP BY a),
+med{r} AS MATERIALIZED (SELECT cluster, arg_min(a, (s, a)) AS m FROM (
+  SELECT x.cluster, dd.a, sum(d) AS s FROM dd JOIN as{r} x ON x.id = dd.a JOIN as{r} y ON y.id = dd.b AND y.cluster = x.cluster
+  GROUP BY x.cluster, dd.a) GROUP BY cluster)""")
+    return "".join(parts) + f"\nSELECT cluster::INTEGER AS cluster, m AS candidate_id FROM med{rounds}"
+
+
+@register("init_kmedoids", VEC + _kmedoids_sql(5, 16))
 def q_init_kmedoids(spark, d):
-    meds, _ = E.init_kmedoids(FX.vec(spark, d), "candidate_id", "features", 5, metric="euclidean", max_iter=5)
+    meds, _ = E.init_kmedoids(FX.vec(spark, d), "candidate_id", "features", 5, metric="euclidean")
     return spark.createDataFrame([(i, int(c)) for i, c in enumerate(meds)], "cluster int, candidate_id bigint")
 
 

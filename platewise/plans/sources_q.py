@@ -169,7 +169,8 @@ SELECT run_id, representation, CASE {kc} ELSE 'gpytorch.kernels.periodic_kernel.
 
 @register("standardise_names", _a11_sql())
 def q_standardise_names(spark, d):
-    return A.standardise_names(raw_runs(spark, d))
+    kernels = A.KERNEL_SHORT | {PRIORITY_TO_KERNEL_PATH["3-MEDIUM"]: "Tanimoto"}
+    return A.standardise_names(raw_runs(spark, d), kernels=kernels)
 
 
 # ---------------------------------------------------------------- A12

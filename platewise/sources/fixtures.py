@@ -113,29 +113,29 @@ SQL_DESC = """descr AS (
 
 
 # ---------------------------------------------------------------- F-graph
-SUPPLIER_OFFSET = 1_000_000
+# parts are the even node ids, suppliers the odd ones: the two never meet at any size
 
 
 def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
-    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node_id"),
+    parts = table(spark, d, "part").select((F.col("p_partkey") * 2).alias("node_id"),
                                            F.col("p_size").cast("double").alias("x"))
     sups = table(spark, d, "supplier").select(
-        (F.col("s_suppkey") + SUPPLIER_OFFSET).alias("node_id"), (F.col("s_acctbal") / 1000).alias("x"))
+        (F.col("s_suppkey") * 2 + 1).alias("node_id"), (F.col("s_acctbal") / 1000).alias("x"))
     return parts.unionByName(sups)
 
 
 def graph_bonds(spark: SparkSession, d: str) -> DataFrame:
     return (table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
-            .select(F.col("l_partkey").alias("src"),
-                    (F.col("l_suppkey") + SUPPLIER_OFFSET).alias("dst"),
+            .select((F.col("l_partkey") * 2).alias("src"),
+                    (F.col("l_suppkey") * 2 + 1).alias("dst"),
                     (F.col("l_partkey") % 4).cast("int").alias("label")))
 
 
 SQL_GRAPH = f"""gnodes AS (
-  SELECT p_partkey AS node_id, p_size::DOUBLE AS x FROM part
-  UNION ALL SELECT s_suppkey + {SUPPLIER_OFFSET} AS node_id, s_acctbal / 1000 AS x FROM supplier),
+  SELECT p_partkey * 2 AS node_id, p_size::DOUBLE AS x FROM part
+  UNION ALL SELECT s_suppkey * 2 + 1 AS node_id, s_acctbal / 1000 AS x FROM supplier),
 gbonds AS (
-  SELECT DISTINCT l_partkey AS src, l_suppkey + {SUPPLIER_OFFSET} AS dst, (l_partkey % 4)::INTEGER AS label
+  SELECT DISTINCT l_partkey * 2 AS src, l_suppkey * 2 + 1 AS dst, (l_partkey % 4)::INTEGER AS label
   FROM lineitem)"""
 
 

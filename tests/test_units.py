@@ -300,7 +300,6 @@ def test_registry_errors_name_valid_choices(spark):
         H.qce(df, quantile=100.0)
 
 
-def test_j2_share_divisors():
-    assert [R.share_divisor(m) for m in ["top_1_count", "top_10_count", "quantile_99_count",
-                                         "quantile_95_count", "quantile_90_count", "quantile_75_count",
-                                         "valid_r2"]] == [1, 10, 7, 36, 72, 180, None]
+def test_j2_possible_hits():
+    assert [R.Hits(best=1).possible(720), R.Hits(best=10).possible(5)] == [1, 10]
+    assert [R.Hits(percentile=p).possible(720) for p in (99, 95, 90, 75)] == [7, 36, 72, 180]
