@@ -8,17 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.operators.ordered import ffill_blocked, first_non_null, running_max_blocked
-
-
-def hour_block(ts_col: str = "ts", hours: int = 1) -> Column:
-    """Monotone block key for time-ordered logs: the hour bucket of the timestamp."""
-    return F.floor(F.unix_micros(F.col(ts_col).cast("timestamp")) / F.lit(3_600_000_000 * hours))
+from platewise.operators.ordered import ffill_blocked, first_non_null, position_blocks, running_max_blocked, small_side
 
 
 # ------------------------------------------------------------------ J1
 def collapse_history(hist: DataFrame, run_col: str, order_cols: Sequence[str], epoch_col: str,
-                     metrics: Sequence[str], block: Column | None = None) -> DataFrame:
+                     metrics: Sequence[str], block_rows: int = 65_536) -> DataFrame:
     """Forward-fill the epoch along the log, then one row per (run, epoch) holding the
     first non-null value of every metric. Rows before a run's first epoch fall out, so
     runs without any epoch vanish.
@@ -26,8 +21,8 @@ def collapse_history(hist: DataFrame, run_col: str, order_cols: Sequence[str], e
     The fill is block-wise (see ``ordered``) and the per-epoch firsts are partial
     ``min(struct)`` aggregates: one shuffle by (run, block), one by (run, epoch).
     """
-    blk = block if block is not None else hour_block()
-    filled = ffill_blocked(hist, [run_col], list(order_cols), blk, epoch_col, "__epoch")
+    placed = position_blocks(hist, [run_col], list(order_cols), block_rows)
+    filled = ffill_blocked(placed, [run_col], list(order_cols), F.col("__pos_block"), epoch_col, "__epoch")
     filled = filled.filter(F.col("__epoch").isNotNull())
     return (filled.groupBy(run_col, F.col("__epoch").alias(epoch_col))
             .agg(*[first_non_null(m, list(order_cols)).alias(m) for m in metrics]))
@@ -35,10 +30,11 @@ def collapse_history(hist: DataFrame, run_col: str, order_cols: Sequence[str], e
 
 # ------------------------------------------------------------------ J14
 def best_so_far(hist: DataFrame, run_col: str, order_cols: Sequence[str], value_col: str,
-                out_col: str = "best_so_far", block: Column | None = None) -> DataFrame:
+                out_col: str = "best_so_far", block_rows: int = 65_536) -> DataFrame:
     """Running maximum of the observed target per run along the log."""
-    blk = block if block is not None else hour_block()
-    return running_max_blocked(hist, [run_col], list(order_cols), blk, value_col, out_col)
+    placed = position_blocks(hist, [run_col], list(order_cols), block_rows)
+    return running_max_blocked(placed, [run_col], list(order_cols), F.col("__pos_block"), value_col,
+                               out_col).drop("__pos_block")
 
 
 # ------------------------------------------------------------------ D5 (used by J13)
@@ -47,8 +43,8 @@ def rescale_range(df: DataFrame, col: str, lo: float = 0.0, hi: float = 1.0,
     """Min-max of a column onto [lo, hi], globally or per group (constant range -> lo)."""
     out_col = out_col or col
     stats = df.groupBy(*by).agg(F.min(col).alias("__mn"), F.max(col).alias("__mx"))
-    if by:  # one row per group: small, joined by key
-        j = df.join(F.broadcast(stats), list(by))
+    if by:  # one row per group, joined by key
+        j = df.join(small_side(stats), list(by))
     else:  # one global scalar pair: attached as literals
         r = stats.first()
         j = df.withColumn("__mn", F.lit(r["__mn"])).withColumn("__mx", F.lit(r["__mx"]))

@@ -148,29 +148,52 @@ def global_cumsum(df: DataFrame, order_cols: list[Column | str], weights: list[s
         out = out.withColumn(f"{w}{suffix}", F.col(f"__o_{w}") + F.coalesce(F.sum(w).over(inner), F.lit(0)))
     out = out.drop("__mid", "__pid", "__local", *[f"__o_{w}" for w in weights])
     if group_cols:
-        starts = out.groupBy(*group_cols).agg(*[F.min(f"{w}{suffix}").alias(f"__s_{w}") for w in weights])
+        starts = small_side(out.groupBy(*group_cols).agg(*[F.min(f"{w}{suffix}").alias(f"__s_{w}") for w in weights]))
         out = out.join(starts, list(group_cols))
         for w in weights:
             out = out.withColumn(f"{w}{suffix}", F.col(f"{w}{suffix}") - F.col(f"__s_{w}")).drop(f"__s_{w}")
     return out
 
 
-def grouped_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float],
-                      tie_cols: list[str] = ()) -> DataFrame:
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A per-group table as the build side of a join: counted first, broadcast up to ``rows``
+    rows, left to a shuffled (and skew-split) join beyond."""
+    from platewise.session import cut_lineage
+
+    kept = cut_lineage(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
+def grouped_quantiles(df: DataFrame, by: list[str], value: str, qs: list[float]) -> DataFrame:
     """Exact per-group quantiles with linear interpolation (Spark's ``percentile`` rule),
-    long form (by..., q, value). Only the two order statistics around q*(n-1) of each
-    group are fetched, located by one distributed rank; no group is held by one task."""
+    long form (by..., q, value).
+
+    Equal values of a group are counted first (combined map-side), so a hot value is one row;
+    running counts over the distinct values locate the two order statistics around
+    q*(n-1), and one aggregate per group picks them. No group is held by one task."""
     d = df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-    ranked = global_rank(d.select(*by, value, *tie_cols), [*by, value, *tie_cols])
-    starts = ranked.groupBy(*by).agg(F.min("rank").alias("__r0"), F.count(F.lit(1)).alias("__n"))
-    local = ranked.join(starts, by).withColumn("__r", F.col("rank") - F.col("__r0"))
-    need = starts.select(*by, F.explode(F.array(*[F.struct(
-        F.lit(float(q)).alias("q"), (F.lit(float(q)) * (F.col("__n") - 1)).alias("pos")) for q in qs])).alias("s"))
-    need = need.select(*by, "s.q", "s.pos", F.floor("s.pos").cast("bigint").alias("lo"),
-                       F.ceil("s.pos").cast("bigint").alias("hi"))
-    lo_v = local.select(*by, F.col("__r").alias("lo"), F.col(value).cast("double").alias("x_lo"))
-    hi_v = local.select(*by, F.col("__r").alias("hi"), F.col(value).cast("double").alias("x_hi"))
-    j = need.join(lo_v, [*by, "lo"]).join(hi_v, [*by, "hi"])
-    val = F.when(F.col("lo") == F.col("hi"), F.col("x_lo")).otherwise(
-        (F.col("hi") - F.col("pos")) * F.col("x_lo") + (F.col("pos") - F.col("lo")) * F.col("x_hi"))
-    return j.select(*by, "q", val.alias("value"))
+    counted = d.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__c"))
+    run = global_cumsum(counted, [*by, value], ["__c"], group_cols=by)
+    total = small_side(counted.groupBy(*by).agg(F.sum("__c").alias("__n")))
+    run = run.join(total, by)
+    picks = []
+    for i, x in enumerate(qs):
+        pos = F.lit(float(x)) * (F.col("__n") - 1)
+        for name, at in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
+            here = (F.col("__c_before") <= at) & (at < F.col("__c_before") + F.col("__c"))
+            picks.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"__{name}{i}"))
+    g = run.groupBy(*by, "__n").agg(*picks)
+    long = g.select(*by, "__n", F.explode(F.array(*[F.struct(
+        F.lit(float(x)).alias("q"), F.col(f"__lo{i}").alias("x_lo"), F.col(f"__hi{i}").alias("x_hi"))
+        for i, x in enumerate(qs)])).alias("s")).select(*by, "__n", "s.*")
+    pos = F.col("q") * (F.col("__n") - 1)
+    lo, hi = F.floor(pos), F.ceil(pos)
+    val = F.when(lo == hi, F.col("x_lo")).otherwise((hi - pos) * F.col("x_lo") + (pos - lo) * F.col("x_hi"))
+    return long.select(*by, "q", val.alias("value"))
+
+
+def position_blocks(df: DataFrame, group_cols: list[str], order_cols: list[str], rows: int = 65_536) -> DataFrame:
+    """Adds ``__pos_block``: blocks of ``rows`` consecutive rows along (group, order), whatever
+    the spacing of the order values, so block summaries are ``rows`` times fewer than rows."""
+    ranked = global_rank(df, [*group_cols, *order_cols], out_col="__pos")
+    return ranked.withColumn("__pos_block", F.floor(F.col("__pos") / F.lit(rows))).drop("__pos")

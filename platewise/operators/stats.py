@@ -315,14 +315,14 @@ def kde_curve(df: DataFrame, col: str, grid: int = 200, bw_adjust: float = 1.5)
 # ------------------------------------------------------------------ K11 / K12
 def box_stats(df: DataFrame, by: Sequence[str], metric: str) -> DataFrame:
     """Quartiles, 1.5*IQR whiskers (extreme values inside the fences) and mean per group."""
-    from platewise.operators.ordered import grouped_quantiles
+    from platewise.operators.ordered import grouped_quantiles, small_side
 
     by = list(by)
     d = df.filter(F.col(metric).isNotNull())
     qs = grouped_quantiles(d, by, metric, [0.25, 0.5, 0.75]).groupBy(*by).agg(
         *[F.max(F.when(F.col("q") == v, F.col("value"))).alias(a)
           for v, a in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
-    q = d.groupBy(*by).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n")).join(qs, by)
+    q = small_side(d.groupBy(*by).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n")).join(qs, by))
     iqr = F.col("q3") - F.col("q1")
     j = d.join(q, by)
     inside = (F.col(metric) >= F.col("q1") - F.lit(1.5) * iqr) & (F.col(metric) <= F.col("q3") + F.lit(1.5) * iqr)
