@@ -205,13 +205,36 @@ def _screen(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
         run, "a long, b long")
 
 
-def _leftover_pairs(members: DataFrame, percent: int, floor: float) -> DataFrame:
-    """Pairs inside a bucket that are still in different components, screened by likelihood.
+def _sharable(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """(rid, s): how many shingles of each open class occur in another open class as well.
 
-    ``members``: (band, key, rid, comp, n, regs) of buckets with several components. Every such
+    No two sets share more than the smaller s, so classes and pairs that s rules out need no
+    comparison: exact, and linear in the shingles.
+    """
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sizes = pdf["set"].map(len).to_numpy() // 8
+            for i in range(0, len(pdf), 256):
+                part = slice(i, i + 256)
+                yield pd.DataFrame({"rid": np.repeat(pdf["rid"].to_numpy()[part], sizes[part]),
+                                    "h": np.frombuffer(b"".join(pdf["set"].iloc[part]), np.int64)})
+
+    rows = sets.join(open_.select("rid").distinct(), "rid").select("rid", "set").mapInPandas(shingles, "rid long, h long")
+    single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid")).filter("c = 1")
+    lone = single.groupBy("rid").agg(F.count(F.lit(1)).alias("lone"))
+    sizes = sets.join(open_.select("rid").distinct(), "rid").select("rid", (F.octet_length("set") / 8).cast("long").alias("n"))
+    return stage(sizes.join(lone, "rid", "left").select("rid", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s")))
+
+
+def _leftover_pairs(members: DataFrame, percent: int, floor: float, most: int) -> DataFrame:
+    """Pairs inside a bucket that are still in different components, (a, b, more), likeliest first.
+
+    ``members``: (band, key, rid, comp, n, s, regs) of buckets with several components. Every such
     pair has an end outside the bucket's most frequent component. Those ends ("odd") are
     compared with all members, block against block of at most about BLOCK rows, so a bucket of
-    any size splits into bounded groups; members of the main component only meet odd ones.
+    any size splits into bounded groups; members of the main component only meet odd ones. Per
+    odd member, component and block the ``most`` likeliest pairs are given; ``more`` says that
+    there are others, to be asked for if these do not link.
     """
     key = ["band", "key"]
     per_comp = members.groupBy(*key, "comp").count()
@@ -224,32 +247,40 @@ def _leftover_pairs(members: DataFrame, percent: int, floor: float) -> DataFrame
            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("odd", F.lit(True)))
     rest = (d.withColumn("j", F.pmod(h, F.col("nb")).cast("int"))
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).withColumn("odd", F.lit(False)))
-    cols = [*key, "i", "j", "odd", "rid", "comp", "main", "n", "regs"]
+    cols = [*key, "i", "j", "odd", "rid", "comp", "main", "n", "s", "regs"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["odd"]], pdf[~pdf["odd"]]
-        if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        ry = np.stack([np.frombuffer(r, ">u2") for r in y["regs"]]).astype(np.uint16)
-        yr, yc, yn, ymain = (y[c].to_numpy() for c in ("rid", "comp", "n", "main"))
-        a, b = [], []
-        for rid, comp, n, reg in zip(x["rid"], x["comp"], x["n"], x["regs"]):
-            # a pair of two odd members is met from both sides: take it from the larger id
-            can = (yc != comp) & ((yc == ymain) | (yr < rid))
-            can &= 100 * np.minimum(yn, n) >= percent * np.maximum(yn, n)
-            at = np.flatnonzero(can)
-            if len(at):
-                r, s = np.frombuffer(reg, ">u2").astype(np.uint16), ry[at]
-                j = jaccard_estimate(np.full(len(at), float(n)), yn[at].astype(float), (r > s).sum(1), (r < s).sum(1),
-                                     len(r))
-                hit = yr[at[j >= floor]]
-                a += [rid] * len(hit)
-                b += hit.tolist()
-        return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+        a, b, more = [], [], []
+        if len(x) and len(y):
+            ry = np.stack([np.frombuffer(r, ">u2") for r in y["regs"]]).astype(np.uint16)
+            yr, yc, yn, ys, ymain = (y[c].to_numpy() for c in ("rid", "comp", "n", "s", "main"))
+            for rid, comp, n, s, reg in zip(x["rid"], x["comp"], x["n"], x["s"], x["regs"]):
+                # a pair of two odd members is met from both sides: take it from the larger id
+                shared = np.minimum(ys, s)
+                at = np.flatnonzero((yc != comp) & ((yc == ymain) | (yr < rid))
+                                    & (100 * shared >= percent * (yn + n - shared)))
+                if not len(at):
+                    continue
+                r = np.frombuffer(reg, ">u2").astype(np.uint16)
+                above, below = (r > ry[at]).sum(1), (r < ry[at]).sum(1)
+                j = jaccard_estimate(np.full(len(at), float(n)), yn[at].astype(float), above, below, len(r))
+                at, j = at[j >= floor], j[j >= floor]
+                at = at[np.argsort(-j, kind="stable")]
+                seen: dict[int, int] = {}
+                for k in at.tolist():
+                    seen[yc[k]] = seen.get(yc[k], 0) + 1
+                    if seen[yc[k]] <= most:
+                        a.append(rid)
+                        b.append(yr[k])
+                        more.append(False)
+                if at.size and max(seen.values()) > most:
+                    more[-1] = True
+        return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64"), "more": np.array(more, bool)})
 
     return (odd.select(*cols).unionAll(rest.select(*cols)).groupBy(*key, "i", "j")
-            .applyInPandas(run, "a long, b long")
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+            .applyInPandas(run, "a long, b long, more boolean")
+            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -267,9 +298,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal sets collapse to one class first, so copies cost one row per task. In each bucket
     every class meets the smallest one only (a combined minimum, then a join that adaptive
     execution can split): linear in the bucket. Buckets that still hold several components
-    afterwards are compared in bounded blocks, only across components. Nothing is capped;
-    candidates are screened at a similarity of five standard errors below the threshold and
-    then confirmed on the full sets, which are rebuilt for the candidates alone.
+    afterwards are compared in bounded blocks, only across components, likeliest pairs first
+    and the others as long as they stay apart. Nothing is capped; candidates are screened by
+    what their sets can share at all and at a similarity of five standard errors below the
+    threshold, and then confirmed on the full sets, which are rebuilt for the candidates alone.
     """
     floor = percent / 100 - 5.0 * math.sqrt(percent / 100 * (1 - percent / 100) / m)
     rows = sketch(docs, id_col, text_col, words, m)
@@ -283,31 +315,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     stars = members.filter("rid <> head").select(F.col("head").alias("a"), F.col("rid").alias("b")).distinct()
     first = stage(_screen(stars, reps, floor))
 
-    def full_sets(pairs: DataFrame) -> DataFrame:
-        """(rid, set) of the classes in ``pairs``, from their texts."""
-        wanted = (pairs.select(F.col("a").alias("rid")).unionAll(pairs.select("b")).distinct()
-                  .join(reps.select("rid", F.col("id").alias("w_id"), F.col("th").alias("w_th")), "rid"))
-        src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-        found = src.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield pd.DataFrame({"rid": pdf["rid"], "set": [s.tobytes() for s in shingle_hashes(
-                    pdf["text"].tolist(), words)]})
-
-        return found.select("rid", "text").mapInPandas(run, "rid long, set binary").dropDuplicates(["rid"])
-
-    links = _verify(first, stage(full_sets(first)), percent)
-    comp = components(links)
-    comp_of = reps.select("rid").join(comp, F.col("rid") == F.col("node"), "left").select(
-        "rid", F.coalesce("root", "rid").alias("comp"))
-    open_ = members.join(comp_of, "rid")
-    mixed = open_.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-    open_ = stage(open_.join(stage(mixed.select("band", "key")), ["band", "key"]).select("band", "key", "rid", "comp"))
-    more = stage(_leftover_pairs(open_.join(reps.select("rid", "n", "regs"), "rid"), percent, floor)
-                 .join(first, ["a", "b"], "left_anti"))
-    links = links.unionAll(_verify(more, stage(full_sets(more)), percent))
-    comp = components(links)
+    # full sets of the classes that share a bucket, from their texts
+    wanted = members.select("rid").distinct().join(
+        reps.select("rid", F.col("id").alias("w_id"), F.col("th").alias("w_th")), "rid")
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    texts = src.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("th") == F.col("w_th")))
+
+    def full(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"rid": pdf["rid"], "set": [s.tobytes() for s in shingle_hashes(pdf["text"].tolist(), words)]})
+
+    sets = stage(texts.select("rid", "text").mapInPandas(full, "rid long, set binary").dropDuplicates(["rid"]))
+    links = _verify(first, sets, percent)
+    comp, tested, sharable, most = components(links), first, None, 1
+    while True:
+        comp_of = reps.select("rid").join(comp, F.col("rid") == F.col("node"), "left").select(
+            "rid", F.coalesce("root", "rid").alias("comp"))
+        held = members.select("band", "key", "rid").join(comp_of, "rid")
+        mixed = held.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+        held = stage(held.join(stage(mixed.select("band", "key")), ["band", "key"]).select("band", "key", "rid", "comp"))
+        if sharable is None:  # later rounds hold a part of these classes
+            sharable = _sharable(held, sets)
+        able = held.join(sharable.filter(F.col("s") * 100 >= F.col("n") * percent), "rid")
+        pairs = stage(_leftover_pairs(able.join(reps.select("rid", "regs"), "rid"), percent, floor, most))
+        new = stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
+        links = links.unionAll(_verify(new, sets, percent))
+        comp, tested = components(links), tested.unionAll(new)
+        if pairs.filter("more").isEmpty():
+            break
+        most *= 8
 
     root = F.coalesce("root", "rep", "rid")
     found = (rows.select("rid", "id", "th", "digest", "n")
