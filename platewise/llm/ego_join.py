@@ -139,7 +139,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     picked = src.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).select("vec")
     sample = np.array([r[0] for r in picked.collect()], np.float64).reshape(-1, dim)
     sample /= np.linalg.norm(sample, axis=1)[:, None]
-    axes = np.linalg.svd(sample - sample.mean(0), full_matrices=True)[2].T if len(sample) > 1 else np.eye(dim)
+    axes = np.linalg.eigh(np.cov(sample.T).reshape(dim, dim))[1][:, ::-1] if len(sample) > 1 else np.eye(dim)
     lead = min(cell_dims, dim)
 
     def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
