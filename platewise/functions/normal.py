@@ -36,6 +36,51 @@ def norm_pdf(z: Column) -> Column:
     return F.lit(INV_SQRT_2PI) * F.exp(F.lit(-0.5) * z * z)
 
 
+TAIL = -4.0  # below it the difference z Phi(z) + phi(z) keeps no digits of the polynomial erf
+TAIL_DEPTH = 24  # terms of the continued fraction; 1e-9 relative at the border
+
+
+def _mills(x: Column) -> Column:
+    """(1 - Phi(x)) / phi(x) for x >= 4 by its continued fraction."""
+    r = x
+    for k in range(TAIL_DEPTH, 0, -1):
+        r = x + F.lit(float(k)) / r
+    return F.lit(1.0) / r
+
+
+def _far(z: Column) -> Column:
+    return F.greatest(-z, F.lit(-TAIL))
+
+
+def ei_core(z: Column) -> Column:
+    """z Phi(z) + phi(z), with its relative precision kept far below zero."""
+    return F.when(z < TAIL, norm_pdf(z) * (F.lit(1.0) - _far(z) * _mills(_far(z)))).otherwise(z * norm_cdf(z) + norm_pdf(z))
+
+
+def log_ei_core(z: Column) -> Column:
+    """ln(z Phi(z) + phi(z)), finite where the value itself underflows."""
+    tail = F.lit(math.log(INV_SQRT_2PI)) - F.lit(0.5) * z * z + F.log(F.lit(1.0) - _far(z) * _mills(_far(z)))
+    return F.when(z < TAIL, tail).otherwise(F.log(z * norm_cdf(z) + norm_pdf(z)))
+
+
+def _sql_far_gap(z: str) -> str:
+    x = f"greatest(-({z}), {-TAIL!r}::DOUBLE)"
+    r = "x"
+    for k in range(TAIL_DEPTH, 0, -1):
+        r = f"(x + {float(k)!r}::DOUBLE / {r})"
+    return f"list_transform([{x}], lambda x: 1.0::DOUBLE - x * (1.0::DOUBLE / {r}))[1]"
+
+
+def sql_ei_core(z: str) -> str:
+    return (f"(CASE WHEN {z} < {TAIL!r} THEN {sql_pdf(z)} * {_sql_far_gap(z)} "
+            f"ELSE {z} * {sql_cdf(z)} + {sql_pdf(z)} END)")
+
+
+def sql_log_ei_core(z: str) -> str:
+    return (f"(CASE WHEN {z} < {TAIL!r} THEN {math.log(INV_SQRT_2PI)!r}::DOUBLE - 0.5::DOUBLE * ({z}) * ({z}) "
+            f"+ ln({_sql_far_gap(z)}) ELSE ln({z} * {sql_cdf(z)} + {sql_pdf(z)}) END)")
+
+
 def _lit(v: float) -> str:
     return f"{v!r}::DOUBLE"
 

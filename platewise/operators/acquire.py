@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.normal import norm_cdf, norm_pdf
+from platewise.functions.normal import ei_core, log_ei_core
 from platewise.functions.rand import md5_u32
 
 MIN_VAR = 1e-12
@@ -36,7 +36,14 @@ def ei(mu: Column | str, var: Column | str, best_f: Column | float) -> Column:
     s = F.sqrt(F.greatest(_c(var), F.lit(MIN_VAR)))
     b = best_f if isinstance(best_f, Column) else F.lit(float(best_f))
     z = (_c(mu) - b) / s
-    return s * (z * norm_cdf(z) + norm_pdf(z))
+    return s * ei_core(z)
+
+
+def log_ei(mu: Column | str, var: Column | str, best_f: Column | float) -> Column:
+    """ln of G5, which still ranks candidates whose improvement underflows."""
+    s = F.sqrt(F.greatest(_c(var), F.lit(MIN_VAR)))
+    b = best_f if isinstance(best_f, Column) else F.lit(float(best_f))
+    return F.log(s) + log_ei_core((_c(mu) - b) / s)
 
 
 # ------------------------------------------------------------------ G7
@@ -79,7 +86,7 @@ def nei(mu: Column | str, var: Column | str, best_draws: Sequence[float]) -> Col
     arr = F.array(*[F.lit(float(b)) for b in best_draws])
     s = F.sqrt(F.greatest(_c(var), F.lit(MIN_VAR)))
     total = F.aggregate(arr, F.lit(0.0), lambda acc, b: acc + s * (
-        ((_c(mu) - b) / s) * norm_cdf((_c(mu) - b) / s) + norm_pdf((_c(mu) - b) / s)))
+        ei_core((_c(mu) - b) / s)))
     return total / F.lit(float(len(best_draws)))
 
 

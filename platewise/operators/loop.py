@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.kernels import dot, kernel_value
-from platewise.functions.normal import norm_cdf, norm_pdf
+from platewise.functions.normal import ei_core
 from platewise.operators.acquire import MIN_VAR
 from platewise.operators.surrogate import GPConfig
 from platewise.session import cut_lineage
@@ -119,7 +119,7 @@ def score(state: DataFrame, runs: dict[str, RunState], cfg: GPConfig, id_col: st
     sd = F.sqrt(F.greatest(F.col("var"), F.lit(MIN_VAR)))
     z = (F.col("mu") - F.col("__best")) / sd
     acq = (F.when(F.col("__acq") == "ucb", F.col("mu") + F.sqrt(F.lit(beta) * F.col("var")))
-           .when(F.col("__acq") == "ei", sd * (z * norm_cdf(z) + norm_pdf(z))))
+           .when(F.col("__acq") == "ei", sd * ei_core(z)))
     # a random run takes the lowest draw of its seed, step and id, in the same aggregate
     draw = F.when(F.col("__acq") == "random", F.md5(F.concat_ws(":", "__seed", "__it", F.col(id_col).cast("string"))))
     return (j.withColumn("acq", acq).withColumn("draw", draw)

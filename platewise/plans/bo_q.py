@@ -13,7 +13,7 @@ import math
 from pyspark.sql import functions as F
 
 from platewise.functions.kernels import SQRT5, euclidean, jaccard_distance, sql_kernel, sql_sqdist
-from platewise.functions.normal import sql_cdf, sql_pdf
+from platewise.functions.normal import sql_ei_core
 from platewise.functions.rand import sql_md5_u32
 from platewise.operators import design as E
 from platewise.operators import features as C
@@ -437,7 +437,7 @@ def _loop_sql(run: str, seed: int, acq: str, n_init: int, n_iters: int, beta: fl
         else:
             sdv = f"sqrt(greatest(var, {_d(MIN_VAR)}))"
             z = f"((mu - best) / {sdv})"
-            a = f"({sdv} * ({z} * {sql_cdf(z)} + {sql_pdf(z)}))"
+            a = f"({sdv} * {sql_ei_core(z)})"
         out.append(f""",
 {p}sc{it} AS MATERIALIZED (SELECT candidate_id, y, {a} AS acq, best FROM (SELECT s.candidate_id, s.y, {mu} AS mu, {var} AS var,
               {best} AS best FROM {p}s{j} s, {g} WHERE NOT s.obs)),

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from platewise.functions.normal import norm_ppf, sql_cdf, sql_pdf
+from platewise.functions.normal import norm_ppf, sql_ei_core, sql_log_ei_core
 from platewise.functions.rand import sql_md5_u32
 from platewise.operators import acquire as G
 from platewise.operators import metrics as H
@@ -144,16 +144,22 @@ def q_acq_ucb(spark, d):
 def _sql_ei(mu: str, var: str, best: str) -> str:
     s = f"sqrt(greatest({var}, {G.MIN_VAR!r}::DOUBLE))"
     z = f"(({mu} - {best}) / {s})"
-    return f"({s} * ({z} * {sql_cdf(z)} + {sql_pdf(z)}))"
+    return f"({s} * {sql_ei_core(z)})"
+
+
+def _sql_log_ei(mu: str, var: str, best: str) -> str:
+    s = f"sqrt(greatest({var}, {G.MIN_VAR!r}::DOUBLE))"
+    return f"(ln({s}) + {sql_log_ei_core(f'(({mu} - {best}) / {s})')})"
 
 
 @register("acq_ei", rounded(PRED + f"""
-SELECT {KEYS_SQL}, {_sql_ei('mu', 'var', 'b.best')} AS acq FROM pred, (SELECT avg(y) AS best FROM pred) b""",
-                            ["acq"]))
+SELECT {KEYS_SQL}, {_sql_ei('mu', 'var', 'b.best')} AS acq, {_sql_log_ei('mu', 'var', 'b.top')} AS log_acq_of_max
+FROM pred, (SELECT avg(y) AS best, max(y) AS top FROM pred) b""",
+                            ["acq", "log_acq_of_max"]))
 def q_acq_ei(spark, d):
     p = FX.pred(spark, d)
-    best = p.agg(F.avg("y")).first()[0]
-    return p.select(*KEYS, G.ei("mu", "var", best).alias("acq"))
+    best, top = p.agg(F.avg("y"), F.max("y")).first()
+    return p.select(*KEYS, G.ei("mu", "var", best).alias("acq"), G.log_ei("mu", "var", top).alias("log_acq_of_max"))
 
 
 def _sql_halton(i: str, base: int, digits: int) -> str:

@@ -55,9 +55,18 @@ SELECT {kc}level_a || ' vs ' || level_b AS comparison, level_a, level_b, na AS n
        CASE WHEN sigma > 0 THEN zz END AS z,
        CASE WHEN sigma > 0 THEN {sql_two_sided_normal_p('zz')} END AS p_mwu,
        (ma - mb) / sqrt(sa + sb) AS t,
-       (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) AS df
+       (sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)) AS df,
+       {_sql_student_p('(ma - mb) / sqrt(sa + sb)', '((sa + sb) * (sa + sb) / (sa * sa / (na - 1) + sb * sb / (nb - 1)))')} AS p_ttest
 FROM u1"""
-    return body, ["u", "z", "p_mwu", "t", "df"]
+    return body, ["u", "z", "p_mwu", "t", "df", "p_ttest"]
+
+
+def _sql_student_p(t: str, df: str, steps: int = 400) -> str:
+    """Two-sided Student p: with x = sqrt(df) tan(a) the density is c cos(a)^(df - 1), summed by Simpson's rule."""
+    h = f"(atan(abs({t}) / sqrt({df})) / {steps})"
+    w = f"CASE WHEN k = 0 OR k = {steps} THEN 1.0 WHEN k % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    area = f"{h} / 3 * list_sum(list_transform(range(0, {steps + 1}), lambda k: ({w})::DOUBLE * pow(cos(k * {h}), {df} - 1)))"
+    return f"greatest(0.0::DOUBLE, 1 - 2 * {area} * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt(pi()))"
 
 
 def _select_from(body: str, cols: list[str], prefix: str = RUNS) -> str:
@@ -73,7 +82,7 @@ _acq_body, _ = _pairwise_sql([], "acquisition", "valid_r2", where=ACQ_WHERE)
 
 def _acq_pair(spark, d):
     runs = FX.runs(spark, d).filter(F.col("acquisition").isin("ucb", "ei"))
-    return K.pairwise_levels(runs, "acquisition", "valid_r2", "run_id", with_p=False)
+    return K.pairwise_levels(runs, "acquisition", "valid_r2", "run_id")
 
 
 @register("mann_whitney", rounded(_select_from(_acq_body, ["comparison", "n_a", "n_b", "u", "z", "p_mwu"]),
@@ -82,19 +91,20 @@ def q_mann_whitney(spark, d):
     return _acq_pair(spark, d).select("comparison", "n_a", "n_b", "u", "z", "p_mwu")
 
 
-@register("welch_t", rounded(_select_from(_acq_body, ["comparison", "n_a", "n_b", "t", "df"]), ["t", "df"]))
+@register("welch_t", rounded(_select_from(_acq_body, ["comparison", "n_a", "n_b", "t", "df", "p_ttest"]),
+                             ["t", "df", "p_ttest"]))
 def q_welch_t(spark, d):
-    return _acq_pair(spark, d).select("comparison", "n_a", "n_b", "t", "df")
+    return _acq_pair(spark, d).select("comparison", "n_a", "n_b", "t", "df", "p_ttest")
 
 
 # ---------------------------------------------------------------- K3 / K4 / K5
 _k3_body, _k3_dbl = _pairwise_sql([], "kernel", "valid_r2")
-PW_COLS = ["comparison", "level_a", "level_b", "n_a", "n_b", "u", "z", "p_mwu", "t", "df"]
+PW_COLS = ["comparison", "level_a", "level_b", "n_a", "n_b", "u", "z", "p_mwu", "t", "df", "p_ttest"]
 
 
 @register("pairwise_levels", rounded(_select_from(_k3_body, PW_COLS), _k3_dbl))
 def q_pairwise_levels(spark, d):
-    return K.pairwise_levels(FX.runs(spark, d), "kernel", "valid_r2", "run_id", with_p=False)
+    return K.pairwise_levels(FX.runs(spark, d), "kernel", "valid_r2", "run_id")
 
 
 _k4_body, _k4_dbl = _pairwise_sql(["representation", "acquisition"], "kernel", "valid_r2")
@@ -104,12 +114,12 @@ _k4_body, _k4_dbl = _pairwise_sql(["representation", "acquisition"], "kernel", "
                                          _k4_dbl))
 def q_parameter_influence(spark, d):
     return K.pairwise_levels(FX.runs(spark, d), "kernel", "valid_r2", "run_id",
-                             keys=["representation", "acquisition"], with_p=False)
+                             keys=["representation", "acquisition"])
 
 
-# K5 keeps rows where either p-value is below alpha; the Welch p needs the regularised
-# incomplete beta, which has no SQL twin, so this entry has the rows-only check.
-@register("significant_only")
+# K5 keeps rows where either p-value is below alpha
+@register("significant_only", rounded(_select_from(_k4_body, ["representation", "acquisition"] + PW_COLS)
+                                      + " WHERE p_mwu < 0.05 OR p_ttest < 0.05", _k4_dbl))
 def q_significant_only(spark, d):
     tests = K.pairwise_levels(FX.runs(spark, d), "kernel", "valid_r2", "run_id",
                               keys=["representation", "acquisition"], with_p=True)
