@@ -182,7 +182,7 @@ def test_incremental_loop_equals_refit(spark):
         r = state.filter(F.col("candidate_id") == pid).select("candidate_id", "features", "y", "w", "Q").first()
         state = L.add_points(state, {"r": (pid, r["features"], r["y"], r["w"], r["Q"])}, st, cfg,
                              "candidate_id", "features")
-    scored = {r["candidate_id"]: (r["mu"], r["var"]) for r in L.score(state, st, cfg).collect()}
+    scored = {r["candidate_id"]: (r["mu"], r["var"]) for r in L.score(state, st, cfg, "candidate_id").collect()}
     model = GP.fit_gp(xs[[3, 17, 25, 8]], ys[[3, 17, 25, 8]], cfg)
     ids = sorted(scored)
     mu, var = GP.predict_np(model, xs[ids])
@@ -303,3 +303,107 @@ def test_registry_errors_name_valid_choices(spark):
 def test_j2_possible_hits():
     assert [R.Hits(best=1).possible(720), R.Hits(best=10).possible(5)] == [1, 10]
     assert [R.Hits(percentile=p).possible(720) for p in (99, 95, 90, 75)] == [7, 36, 72, 180]
+
+
+# ---------------------------------------------------------------- second round: exactness and guards
+def _plate(spark, n=40):
+    r = random.Random(6)
+    return spark.createDataFrame([(i, [r.random(), r.random(), r.random()], r.random()) for i in range(n)],
+                                 "id bigint, x array<double>, y double")
+
+
+def test_random_runs_log_the_point_they_observe(spark):
+    from platewise.operators.loop import run_sweep
+
+    df = _plate(spark)
+    truth = {r["id"]: r["y"] for r in df.collect()}
+    trace = run_sweep(df, "id", "x", "y", {"a": {"seed": 1, "acquisition": "random"}, "b": {"seed": 1}}, 3, 5)
+    mine = [t for t in trace if t[0] == "a"]
+    assert len({t[3] for t in mine}) == 5 and all(t[4] == truth[t[3]] and t[5] is None for t in mine)
+    best = [t[2] for t in mine]
+    assert all(best[i + 1] == max(best[i], mine[i][4]) for i in range(4))
+    assert all(t[5] is not None for t in trace if t[0] == "b")
+
+
+def test_unknown_acquisition_is_an_error(spark):
+    from platewise.operators.loop import run_sweep
+
+    with pytest.raises(ValueError, match="unknown acquisition"):
+        run_sweep(_plate(spark), "id", "x", "y", {"a": {"acquisition": "nei"}}, 2, 1)
+
+
+def test_rank_test_holds_with_millions_of_ties_and_constant_levels(spark):
+    df = spark.range(5_200_000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"),
+                                       F.lit(1.0).alias("v"))
+    r = K.pairwise_levels(df, "g", "v", "id").first()
+    assert r["u"] == 2.6e6 * 2.6e6 / 2 and r["z"] is None and r["t"] is None and r["df"] is None
+
+
+def test_medoids_equal_a_search_over_all_members(spark):
+    from platewise.operators.design import init_kmedoids, init_random
+
+    df = _plate(spark, 150)
+    pts = {r["id"]: np.array(r["x"]) for r in df.collect()}
+    meds = init_random(df, "id", 4, 0)
+    while True:
+        own = {i: min(range(4), key=lambda c: (np.linalg.norm(p - pts[meds[c]]), c)) for i, p in pts.items()}
+        new = [min((i for i in pts if own[i] == c), key=lambda i: (sum(np.linalg.norm(pts[i] - pts[j]) for j in pts if own[j] == c), i))
+               for c in range(4)]
+        if new == meds:
+            break
+        meds = new
+    for batch in (1000, 16):
+        got, assigned = init_kmedoids(df, "id", "x", 4, batch=batch)
+        assert got == meds and {r["id"]: r["cluster"] for r in assigned.collect()} == own
+
+
+def test_similarity_join_gives_copies_and_empties(spark):
+    rows = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4, 5, 6]), (4, []), (5, []), (6, [9])]
+    pairs, copies = S.similar_above(spark.createDataFrame(rows, "id bigint, bits array<int>"), "id", "bits", 0.8)
+    assert [(r["id_a"], r["id_b"]) for r in pairs.collect()] == [(1, 3)]
+    assert sorted((r["id"], r["representative_id"]) for r in copies.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)]
+
+
+def test_a_hot_value_is_one_row_of_the_quantile_search(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 < 8, 5.0).otherwise(
+        F.col("id").cast("double")).alias("v"))
+    got = {(r["g"], r["q"]): r["value"] for r in O.grouped_quantiles(df, ["g"], "v", [0.25, 0.9, 0.999]).collect()}
+    for g in (0, 1):
+        x = np.array([r["v"] for r in df.filter(F.col("g") == g).collect()])
+        for q in (0.25, 0.9, 0.999):
+            assert abs(got[(g, q)] - np.quantile(x, q)) < 1e-9
+
+
+def test_run_blocks_follow_rows_not_time(spark):
+    df = spark.range(5_000).select((F.col("id") % 3).alias("run"), (F.col("id") * 3600).alias("t"))
+    blocks = O.position_blocks(df, ["run"], ["t"], rows=500).select("run", "__pos_block").distinct().count()
+    assert blocks <= 5_000 / 500 + 3
+
+
+def test_expected_improvement_keeps_its_tail(spark):
+    z = [-30.0, -8.0, -5.0, -4.0000001, -3.9999999, 0.0, 2.0]
+    row = spark.createDataFrame([(v,) for v in z], "z double").select(N.ei_core(F.col("z")), N.log_ei_core(F.col("z"))).collect()
+    for v, (a, la) in zip(z, row):
+        # reference value: the integral of the upper tail probability
+        t = np.linspace(-v, -v + 12, 400_001)
+        tail = np.array([0.5 * math.erfc(u / math.sqrt(2)) for u in t[::100]])
+        want = np.trapezoid(tail, t[::100])
+        assert abs(a - want) <= 2e-2 * want and abs(la - math.log(want)) < 2e-2
+
+
+def test_kernel_paths_match_as_a_whole(spark):
+    from platewise.operators.reshape import standardise_names
+
+    df = spark.createDataFrame([("gpytorch.kernels.matern_kernel.MaternKernel",), ("other.MaternKernel",)], "kernel string")
+    assert [r["kernel"] for r in standardise_names(df).collect()] == ["Matern", "other.MaternKernel"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from platewise.session import ensure_checkpoint_dir
+
+    sc = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                         getConf=lambda: SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
