@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TANIMOTO_EPS = 1e-6
 SQRT3 = math.sqrt(3.0)
 SQRT5 = math.sqrt(5.0)
 
@@ -56,7 +57,7 @@ def rq(r: Column, alpha: float) -> Column:
 
 def kernel_value(name: str, a: Column, b: Column, lengthscale: float = 0.5, outputscale: float = 2.0,
                  alpha: float = 1.0, variance: float = 1.0) -> Column:
-    """Scaled kernel k(a, b) by name: linear, matern05, matern15, matern25, rq, or 'k1+k2'."""
+    """Scaled kernel k(a, b) by name: linear, tanimoto, matern05, matern15, matern25, rq, or 'k1+k2'."""
     if "+" in name:
         parts = [kernel_value(p.strip(), a, b, lengthscale, outputscale, alpha, variance) for p in name.split("+")]
         out = parts[0]
@@ -65,11 +66,15 @@ def kernel_value(name: str, a: Column, b: Column, lengthscale: float = 0.5, outp
         return out
     if name == "linear":
         return F.lit(variance) * dot(a, b)
+    if name == "tanimoto":
+        ab = dot(a, b)
+        sim = (ab + F.lit(TANIMOTO_EPS)) / (F.lit(TANIMOTO_EPS) + dot(a, a) + dot(b, b) - ab)
+        return F.lit(outputscale) * F.greatest(sim, F.lit(0.0))
     r = F.sqrt(sqdist(a, b)) / F.lit(lengthscale)
     base = {"matern05": lambda: matern(r, 0.5), "matern15": lambda: matern(r, 1.5),
             "matern25": lambda: matern(r, 2.5), "rq": lambda: rq(r, alpha)}
     if name not in base:
-        raise ValueError(f"unknown kernel '{name}'; choose linear, matern05, matern15, matern25, rq")
+        raise ValueError(f"unknown kernel '{name}'; choose linear, tanimoto, matern05, matern15, matern25, rq")
     return F.lit(outputscale) * base[name]()
 
 
@@ -96,6 +101,9 @@ def sql_kernel(name: str, a: str, b: str, lengthscale: float = 0.5, outputscale:
         return out
     if name == "linear":
         return f"({_d(variance)} * {sql_dot(a, b)})"
+    if name == "tanimoto":
+        ab, e = sql_dot(a, b), _d(TANIMOTO_EPS)
+        return f"({_d(outputscale)} * greatest(({ab} + {e}) / ({e} + {sql_dot(a, a)} + {sql_dot(b, b)} - {ab}), {_d(0.0)}))"
     r = f"(sqrt({sql_sqdist(a, b)}) / {_d(lengthscale)})"
     if name == "matern05":
         k = f"exp(-{r})"
@@ -119,6 +127,10 @@ def np_kernel(name: str, xa, xb, lengthscale: float = 0.5, outputscale: float =
         return sum(np_kernel(p.strip(), xa, xb, lengthscale, outputscale, alpha, variance) for p in name.split("+"))
     if name == "linear":
         return variance * xa @ xb.T
+    if name == "tanimoto":
+        ab = xa @ xb.T
+        norms = (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :]
+        return outputscale * np.maximum((ab + TANIMOTO_EPS) / (TANIMOTO_EPS + norms - ab), 0.0)
     sq = (xa * xa).sum(1)[:, None] + (xb * xb).sum(1)[None, :] - 2.0 * xa @ xb.T
     r = np.sqrt(np.maximum(sq, 0.0)) / lengthscale
     if name == "matern05":

@@ -261,6 +261,26 @@ def initialize(df: DataFrame, method: str, id_col: str = "candidate_id", feature
     raise ValueError(f"Unknown init_method: {method}; choose random, maxmin, kmeans or kmedoids")
 
 
+def prepare(df: DataFrame, target: str = "y", id_col: str = "candidate_id", features: str = "features",
+            representation: str | None = None, design: str = "random", k: int = 10, seed: int = 0,
+            design_options: dict | None = None, **featurize_options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From a table of candidates to (train, heldout, stats).
+
+    Optional featurisation by name, rows without features and duplicate vectors dropped, an
+    initial design by name, and the target's statistics over all kept rows. The prepared table
+    is checkpointed once; train and heldout are filters on it.
+    """
+    from platewise.operators.clean import preprocess
+    from platewise.operators.features import featurize
+    from platewise.operators.metrics import target_stats
+
+    d = featurize(df, representation, id_col=id_col, **featurize_options) if representation else df
+    kept = cut_lineage(preprocess(d, id_col, features))
+    ids = initialize(kept, design, id_col, features, k, seed=seed, **(design_options or {}))
+    split = split_initial(kept, ids, id_col)
+    return (split.filter("status = 'train'"), split.filter("status = 'heldout'"), target_stats(kept, target, features))
+
+
 def split_initial(df: DataFrame, ids: Sequence, id_col: str = "candidate_id") -> DataFrame:
     """Chosen rows -> train, the rest -> heldout (a status column, no data moves)."""
     return df.withColumn("status", F.when(F.col(id_col).isin(list(ids)), "train").otherwise("heldout"))

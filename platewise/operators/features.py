@@ -244,10 +244,29 @@ def sum_pool_tokens(df: DataFrame, id_col: str, text_col: str, vectors: DataFram
 
 
 # ------------------------------------------------------------------ C13
+def _dense_bits(bits: str, n_bits: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)),
+                       lambda i: F.when(F.array_contains(bits, i), F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
 def _fp(df, col, bond_radius=3, n_bits=2048, id_col="candidate_id", **_):
     return hashed_fingerprint(df, col, bond_radius, n_bits, out_col="features_bits", id_col=id_col)
 
 
+def _fp_dense(df, col, n_bits=2048, **kw):
+    return _fp(df, col, n_bits=n_bits, **kw).withColumn("features", _dense_bits("features_bits", n_bits)).drop("features_bits")
+
+
+def _drfp(df, col, bond_radius=3, n_bits=2048, id_col="candidate_id", rxn_cols=None, **_):
+    if not rxn_cols:
+        raise ValueError("'drfp' needs the two reaction columns")
+    return difference_fingerprint(df, rxn_cols[0], rxn_cols[1], bond_radius, n_bits, out_col="features_bits", id_col=id_col)
+
+
+def _drfp_dense(df, col, n_bits=2048, **kw):
+    return _drfp(df, col, n_bits=n_bits, **kw).withColumn("features", _dense_bits("features_bits", n_bits)).drop("features_bits")
+
+
 def _bag(df, col, max_ngram=5, **_):
     return df.withColumn("features_grams", char_grams(normalise_ws(col), 1, max_ngram))
 
@@ -256,25 +275,77 @@ def _patterns(df, col, **_):
     return pattern_counts(df, col, out_col="features_counts")
 
 
+def _patterns_dense(df, col, **_):
+    return pattern_counts(df, col, out_col="features").withColumn("features", F.col("features").cast("array<double>"))
+
+
+def _one_hot(df, col, columns=None, **_):
+    return one_hot_array(df, list(columns or [col]))
+
+
+def _random(df, col, dims=64, seed=0, id_col="candidate_id", kind="continuous", **_):
+    return random_features(df, id_col, dims, kind, seed)
+
+
+def _random_bits(df, col, **kw):
+    return _random(df, col, kind="bits", **kw)
+
+
+def _descriptors(df, col, lookup=None, key_col="key", value_cols=None, **_):
+    if lookup is None:
+        raise ValueError("'descriptors' needs a lookup table")
+    value_cols = list(value_cols or [c for c in lookup.columns if c != key_col])
+    found = descriptor_lookup(df, lookup.select(key_col, *value_cols), col, key_col)
+    return found.withColumn("features", F.array(*[F.col(c).cast("double") for c in value_cols])).drop(*value_cols)
+
+
+def _sum_pool(df, col, vectors=None, id_col="candidate_id", **_):
+    if vectors is None:
+        raise ValueError("'sum_pool' needs a token vector table")
+    pooled, _ = sum_pool_tokens(df, id_col, col, vectors)
+    rows = pooled.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("__p"))
+    return df.join(rows, id_col, "left").withColumn("features", F.transform("__p", lambda x: x["value"])).drop("__p")
+
+
+#: Representations that read the molecule column, and the one that reads both reaction sides.
 REPRESENTATIONS: dict[str, Callable[..., DataFrame]] = {
     "fingerprints": _fp,
     "bag_of_characters": _bag,
     "fragments": _patterns,
+    "one_hot": _one_hot,
+    "random": _random,
+    "random_bits": _random_bits,
+    "descriptors": _descriptors,
+    "sum_pool": _sum_pool,
+}
+REACTION_REPRESENTATIONS = {"drfp": _drfp}
+#: Forms with one number per coordinate, which can be glued together as "a+b".
+DENSE: dict[str, Callable[..., DataFrame]] = {
+    "fingerprints": _fp_dense, "fragments": _patterns_dense, "one_hot": _one_hot, "random": _random,
+    "random_bits": _random_bits, "descriptors": _descriptors, "sum_pool": _sum_pool, "drfp": _drfp_dense,
 }
-REACTION_REPRESENTATIONS = {"drfp"}
 
 
 def featurize(df: DataFrame, representation: str, mol_col: str = "text", rxn_cols: tuple[str, str] | None = None,
-              bond_radius: int = 3, n_bits: int = 2048, max_ngram: int = 5, id_col: str = "candidate_id") -> DataFrame:
+              bond_radius: int = 3, n_bits: int = 2048, max_ngram: int = 5, id_col: str = "candidate_id",
+              **options) -> DataFrame:
     """Pick a representation by name; unknown names raise, listing the valid ones.
-    Reaction representations read the two reaction sides, the others the molecule column."""
-    if representation in REACTION_REPRESENTATIONS:
-        if not rxn_cols:
-            raise ValueError(f"'{representation}' needs the two reaction columns")
-        return difference_fingerprint(df, rxn_cols[0], rxn_cols[1], bond_radius, n_bits, out_col="features_bits",
-                                      id_col=id_col)
-    if representation not in REPRESENTATIONS:
-        valid = sorted(set(REPRESENTATIONS) | REACTION_REPRESENTATIONS)
-        raise ValueError(f"unknown representation '{representation}'; choose one of {valid}")
-    return REPRESENTATIONS[representation](df, mol_col, bond_radius=bond_radius, n_bits=n_bits,
-                                           max_ngram=max_ngram, id_col=id_col)
+    Reaction representations read the two reaction sides, the others the molecule column.
+
+    ``"a+b"`` glues the dense forms of several into one ``features`` vector, in the order named.
+    ``options`` reach the representation: columns (one_hot), dims and seed (random), lookup,
+    key_col and value_cols (descriptors), vectors (sum_pool).
+    """
+    names = [n.strip() for n in representation.split("+")]
+    table = DENSE if len(names) > 1 else REPRESENTATIONS | REACTION_REPRESENTATIONS
+    for n in names:
+        if n not in table:
+            raise ValueError(f"unknown representation '{n}'; choose one of {sorted(table)}")
+    opts = dict(options, bond_radius=bond_radius, n_bits=n_bits, max_ngram=max_ngram, id_col=id_col, rxn_cols=rxn_cols)
+    if len(names) == 1:
+        return table[names[0]](df, mol_col, **opts)
+    out, parts = df, []
+    for i, n in enumerate(names):
+        out = table[n](out, mol_col, **opts).withColumnRenamed("features", f"__part{i}")
+        parts.append(f"__part{i}")
+    return concat_features(out, *parts).drop(*parts)

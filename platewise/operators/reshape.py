@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,6 +78,21 @@ def ingest_run_logs(logs: DataFrame, json_col: str, json_schema: T.StructType |
     return logs.withColumn(out_col, F.from_json(F.col(json_col), json_schema)).drop(json_col)
 
 
+def ingest_run_folder(spark: SparkSession, path: str, run_schema: T.StructType | str,
+                      history_schema: T.StructType | str, runs: str = "*/summary.json",
+                      history: str = "*/history.jsonl") -> tuple[DataFrame, DataFrame]:
+    """A3: a folder of run logs -> (runs, history), every row with the ``run_dir`` it came from.
+
+    One JSON-lines scan per kind of file with a declared schema: no inference pass, files
+    split over tasks, unreadable lines dropped.
+    """
+    def scan(pattern: str, schema: T.StructType | str) -> DataFrame:
+        df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{path.rstrip('/')}/{pattern}")
+        return df.withColumn("run_dir", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+
+    return scan(runs, run_schema), scan(history, history_schema)
+
+
 # ------------------------------------------------------------------ A4 / A5
 def flatten_config(df: DataFrame, sep: str = ".") -> DataFrame:
     """A4: nested struct columns -> flat columns named by the joined path (``a.b.c``)."""

@@ -112,7 +112,7 @@ def q_pairwise_distance(spark, d):
 
 
 # ---------------------------------------------------------------- E4
-KERNELS = ["linear", "matern05", "matern15", "matern25", "rq", "matern25+linear"]
+KERNELS = ["linear", "tanimoto", "matern05", "matern15", "matern25", "rq", "matern25+linear"]
 
 
 def _e4_sql() -> str:
@@ -274,14 +274,15 @@ def q_split_initial(spark, d):
 @register("prepare", rounded(VEC + f""", ok AS (SELECT * FROM vec WHERE NOT list_bool_or(list_transform(features, lambda x: x IS NULL OR isnan(x)))),
 kept AS (SELECT * FROM ok WHERE candidate_id IN (SELECT min(candidate_id) FROM ok GROUP BY features)),
 ids AS (SELECT candidate_id FROM kept ORDER BY {md5_order(0)}, candidate_id LIMIT 10)
-SELECT candidate_id, y, CASE WHEN candidate_id IN (SELECT candidate_id FROM ids) THEN 'train' ELSE 'heldout' END AS status
-FROM kept""", ["y"]))
+SELECT candidate_id, y, CASE WHEN candidate_id IN (SELECT candidate_id FROM ids) THEN 'train' ELSE 'heldout' END AS status,
+       (SELECT max(y) FROM kept) AS target_stat_max, (SELECT count(y) FROM kept) AS input_stat_n_points
+FROM kept""", ["y", "target_stat_max"]))
 def q_prepare(spark, d):
-    from platewise.operators.clean import preprocess
-
-    kept = preprocess(FX.vec(spark, d))
-    ids = E.initialize(kept, "random", k=10, seed=0)
-    return E.split_initial(kept, ids).select("candidate_id", "y", "status")
+    train, heldout, stats = E.prepare(FX.vec(spark, d))
+    s = stats.first()
+    return train.unionByName(heldout).select(
+        "candidate_id", "y", "status", F.lit(s["target_stat_max"]).alias("target_stat_max"),
+        F.lit(s["input_stat_n_points"]).cast("bigint").alias("input_stat_n_points"))
 
 
 # ---------------------------------------------------------------- G1: sequential-conditioning SQL

@@ -407,3 +407,43 @@ def test_a_cluster_without_a_shared_folder_is_refused():
                          getConf=lambda: SimpleNamespace(get=lambda *a: None))
     with pytest.raises(ValueError, match="checkpoint"):
         ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_representations_by_name_and_glued(spark):
+    from platewise.operators import features as C
+
+    df = spark.createDataFrame([(1, "Abc 12", "k1"), (2, "zz", "k2")], "candidate_id bigint, text string, key string")
+    f = C.featurize(df, "fingerprints+random+fragments", n_bits=64, dims=3, bond_radius=2).collect()
+    assert all(len(r["features"]) == 64 + 3 + len(C.PATTERN_CATALOGUE) for r in f)
+    assert [len(r["features"]) for r in C.featurize(df, "one_hot", mol_col="key").collect()] == [2, 2]
+    look = spark.createDataFrame([("k1", 1.0, 2.0)], "key string, d1 double, d2 double")
+    got = {r["candidate_id"]: r["features"] for r in C.featurize(
+        df, "descriptors", mol_col="key", lookup=look.withColumnRenamed("key", "name"), key_col="name").collect()}
+    assert got[1] == [1.0, 2.0]
+    vec = spark.createDataFrame([("abc", [1.0, 2.0]), ("zz", [5.0, 0.0])], "token string, vector array<double>")
+    got = {r["candidate_id"]: r["features"] for r in C.featurize(df, "sum_pool", vectors=vec).collect()}
+    assert got == {1: [1.0, 2.0], 2: [5.0, 0.0]}
+    with pytest.raises(ValueError, match="fragments"):
+        C.featurize(df, "fingerprints+unheard")
+
+
+def test_gp_on_the_tanimoto_kernel(spark):
+    rng = np.random.default_rng(3)
+    x = (rng.random((12, 30)) < 0.3).astype(float)
+    y = x[:, 0] + x[:, 1]
+    model = GP.fit_gp(x, y, GP.GPConfig(kernel="tanimoto", noise=1e-6))
+    mu, var = GP.predict_np(model, x)
+    assert np.abs(mu - y).max() < 1e-2 and var.max() < 1e-3
+
+
+def test_run_folder_becomes_two_tables(spark, tmp_path):
+    from platewise.operators.reshape import ingest_run_folder
+
+    for r in ("r1", "r2"):
+        (tmp_path / r).mkdir()
+        (tmp_path / r / "summary.json").write_text('{"run_id": "%s", "best": 2.5}\n' % r)
+        (tmp_path / r / "history.jsonl").write_text('{"epoch": 1, "y": 0.5}\nnot json\n{"epoch": 2}\n')
+    runs, hist = ingest_run_folder(spark, str(tmp_path), "run_id string, best double", "epoch bigint, y double")
+    assert sorted((r["run_id"], r["run_dir"]) for r in runs.collect()) == [("r1", "r1"), ("r2", "r2")]
+    assert sorted((r["run_dir"], r["epoch"], r["y"]) for r in hist.collect() if r["epoch"]) == [
+        ("r1", 1, 0.5), ("r1", 2, None), ("r2", 1, 0.5), ("r2", 2, None)]
