@@ -244,17 +244,12 @@ def sum_pool_tokens(df: DataFrame, id_col: str, text_col: str, vectors: DataFram
 
 
 # ------------------------------------------------------------------ C13
-def _dense_bits(bits: str, n_bits: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n_bits - 1)),
-                       lambda i: F.when(F.array_contains(bits, i), F.lit(1.0)).otherwise(F.lit(0.0)))
-
-
 def _fp(df, col, bond_radius=3, n_bits=2048, id_col="candidate_id", **_):
     return hashed_fingerprint(df, col, bond_radius, n_bits, out_col="features_bits", id_col=id_col)
 
 
 def _fp_dense(df, col, n_bits=2048, **kw):
-    return _fp(df, col, n_bits=n_bits, **kw).withColumn("features", _dense_bits("features_bits", n_bits)).drop("features_bits")
+    return _fp(df, col, n_bits=n_bits, **kw).withColumn("features", bits_to_dense("features_bits", n_bits)).drop("features_bits")
 
 
 def _drfp(df, col, bond_radius=3, n_bits=2048, id_col="candidate_id", rxn_cols=None, **_):
@@ -264,7 +259,7 @@ def _drfp(df, col, bond_radius=3, n_bits=2048, id_col="candidate_id", rxn_cols=N
 
 
 def _drfp_dense(df, col, n_bits=2048, **kw):
-    return _drfp(df, col, n_bits=n_bits, **kw).withColumn("features", _dense_bits("features_bits", n_bits)).drop("features_bits")
+    return _drfp(df, col, n_bits=n_bits, **kw).withColumn("features", bits_to_dense("features_bits", n_bits)).drop("features_bits")
 
 
 def _bag(df, col, max_ngram=5, **_):
