@@ -136,23 +136,17 @@ def registers(sets: list[np.ndarray], m: int = M) -> np.ndarray:
 def jaccard_estimate(na: np.ndarray, nb: np.ndarray, above: np.ndarray, below: np.ndarray, m: int = M) -> np.ndarray:
     """Most likely Jaccard similarity given both sizes and in how many registers a set is above or below.
 
-    With shares u and v of the joint size, a register of A is above B's with probability
-    p(u - v J) and below with p(v - u J), p(x) = -log_b(1 - x (b - 1) / b); otherwise equal.
+    With shares u and v of the joint size and a base close to one, a register of A is above
+    B's with probability u - v J, below with v - u J, and equal with J. The maximum of
+    above ln(u - v J) + below ln(v - u J) + equal ln J is the smaller root of a quadratic.
     """
     u = na / (na + nb)
     v = 1.0 - u
-    grid = np.linspace(0.0, 1.0, 101)[:, None]
-    top = np.minimum(u / v, v / u)
-
-    def p(x: np.ndarray) -> np.ndarray:
-        return -np.log1p(-np.clip(x, 0.0, 1.0) * (BASE - 1.0) / BASE) / math.log(BASE)
-
-    j = np.minimum(grid, top)
-    hi, lo = p(u - v * j), p(v - u * j)
-    same = np.maximum(1.0 - hi - lo, 1e-12)
-    like = above * np.log(np.maximum(hi, 1e-12)) + below * np.log(np.maximum(lo, 1e-12)) + (m - above - below) * np.log(same)
-    best = like.argmax(axis=0)
-    return j[best, np.arange(j.shape[1])]
+    equal = m - above - below
+    a = u * v * m
+    b = equal * (u * u + v * v) + above * v * v + below * u * u
+    root = np.sqrt(np.maximum(b * b - 4.0 * a * equal * u * v, 0.0))
+    return np.minimum((b - root) / (2.0 * a), np.minimum(u / v, v / u))
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, m: int = M) -> DataFrame:
@@ -278,7 +272,9 @@ def _leftover_pairs(members: DataFrame, percent: int, floor: float, most: int) -
                     more[-1] = True
         return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64"), "more": np.array(more, bool)})
 
-    return (odd.select(*cols).unionAll(rest.select(*cols)).groupBy(*key, "i", "j")
+    # small rows, much work: keep the blocks on all partitions
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (odd.select(*cols).unionAll(rest.select(*cols)).repartition(n, *key, "i", "j").groupBy(*key, "i", "j")
             .applyInPandas(run, "a long, b long, more boolean")
             .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more")))
 
