@@ -38,6 +38,19 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def _slices(texts: list[str | None]) -> Iterator[tuple[int, list[list[bytes]]]]:
+    """(first row, token lists) for stretches of about CHUNK characters, so that the tokens in
+    memory do not grow with an Arrow batch."""
+    a = 0
+    while a < len(texts):
+        b, held = a, 0
+        while b < len(texts) and (b == a or held < CHUNK):
+            held += len(texts[b] or "")
+            b += 1
+        yield a, [tokens(t) for t in texts[a:b]]
+        a = b
+
+
 def _streams(texts: list[list[bytes]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For stretches of token lists: (first, last + 1, bytes with DEPTH ends before each text, first symbol of each)."""
     a = 0
@@ -92,23 +105,23 @@ def count_corpus(docs: DataFrame, text_col: str) -> DataFrame:
             return pd.DataFrame({"word": [None] * len(k), "gram": pd.array(k, "Int64"), "n": n})
 
         for pdf in batches:
-            toks = [tokens(t) for t in pdf["text"]]
-            for t in toks:
-                words.update(t)
-            for _, _, buf, at in _streams(toks):
-                for k, n in _grams(buf, at):
-                    keys.append(k)
-                    counts.append(n)
-                    held += len(k)
-                if held > 4 * FLUSH:
-                    k, n = _merge(keys, counts)
-                    keys, counts, held = [k], [n], len(k)
-                if held > 4 * FLUSH:
-                    yield gram_rows()
-                    keys, counts, held = [], [], 0
-            if len(words) > FLUSH:
-                yield word_rows()
-                words.clear()
+            for _, toks in _slices(pdf["text"].tolist()):
+                for t in toks:
+                    words.update(t)
+                for _, _, buf, at in _streams(toks):
+                    for k, n in _grams(buf, at):
+                        keys.append(k)
+                        counts.append(n)
+                        held += len(k)
+                    if held > 4 * FLUSH:
+                        k, n = _merge(keys, counts)
+                        keys, counts, held = [k], [n], len(k)
+                    if held > 4 * FLUSH:
+                        yield gram_rows()
+                        keys, counts, held = [], [], 0
+                if len(words) > FLUSH:
+                    yield word_rows()
+                    words.clear()
         if words:
             yield word_rows()
         if keys:
@@ -255,21 +268,23 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = hot.get
         for pdf in batches:
-            toks = [tokens(t) for t in pdf["text"]]
-            score = np.zeros(len(toks))
-            for a, b, buf, at in _streams(toks):
-                score[a:b] = tree.score(buf, at)
-            sums, known, rare = [], [], []
-            for t in toks:
-                got = list(map(get, t))
-                cold = [w for w, x in zip(t, got) if x is None] if None in got else []
-                if cold:
-                    got = [x for x in got if x is not None]
-                sums.append(math.fsum(got) + end_score)
-                known.append(len(got) + (n_docs > 0))
-                rare.append(cold)
-            yield pd.DataFrame({"id": pdf["id"], "trained": pdf["trained"], "n_tokens": [len(t) + 1 for t in toks],
-                                "known": known, "base": sums, "score": score, "rare": rare})
+            for first, toks in _slices(pdf["text"].tolist()):
+                score = np.zeros(len(toks))
+                for a, b, buf, at in _streams(toks):
+                    score[a:b] = tree.score(buf, at)
+                sums, known, rare = [], [], []
+                for t in toks:
+                    got = list(map(get, t))
+                    cold = [w for w, x in zip(t, got) if x is None] if None in got else []
+                    if cold:
+                        got = [x for x in got if x is not None]
+                    sums.append(math.fsum(got) + end_score)
+                    known.append(len(got) + (n_docs > 0))
+                    rare.append(cold)
+                rows = pdf.iloc[first:first + len(toks)]
+                yield pd.DataFrame({"id": rows["id"].to_numpy(), "trained": rows["trained"].to_numpy(),
+                                    "n_tokens": [len(t) + 1 for t in toks], "known": known, "base": sums,
+                                    "score": score, "rare": rare})
 
     scored = stage(src.mapInPandas(run, f"id {id_type}, trained boolean, n_tokens long, known long, base double, "
                                         "score double, rare array<binary>")
