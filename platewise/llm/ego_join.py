@@ -119,7 +119,6 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     """
     dtype = "<f4" if vectors.schema[vec_col].dataType == T.ArrayType(T.FloatType()) else "<f8"
     eps = math.sqrt(max(0.0, 2.0 - 2.0 * cosine))
-    id_type = vectors.schema[id_col].dataType.simpleString()
     v = F.col("vec")
     good = F.coalesce(v.isNotNull() & (F.size(v) > 0) & ~F.exists(
         v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
@@ -153,7 +152,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 yield pd.DataFrame(out | {f"c{k}": at[:, k] for k in range(lead)})
 
     cs = [f"c{k}" for k in range(lead)]
-    celled = src.mapInPandas(cells, f"id {id_type}, raw binary, " + ", ".join(f"{c} int" for c in cs))
+    celled = src.withColumn("id", F.col("id").cast("string")).mapInPandas(
+        cells, "id string, raw binary, " + ", ".join(f"{c} int" for c in cs))
+    celled = celled.withColumn("id", F.col("id").cast(vectors.schema[id_col].dataType))
     ranked = stage(global_rank(celled, [*cs, "id", "raw"], out_col="rank").select(
         "id", "raw", "rank", F.floor(F.col("rank") / block_rows).alias("o")))
 

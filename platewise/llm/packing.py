@@ -127,7 +127,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, id_col: str = "doc_id", te
 
     The text becomes ids once, staged; plans move only (row, count) rows.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _bpe(tokenizer, ranks)
@@ -137,8 +136,9 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, id_col: str = "doc_id", te
             yield pd.DataFrame({"id": pdf["id"], "source": pdf["source"], "raw": raw,
                                 "n": [len(r) // int(bpe.dtype[2]) for r in raw]})
 
-    src = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    coded = stage(src.mapInPandas(encode, f"id {id_type}, source string, raw binary, n long")
+    # ids travel as text: pandas would turn integers beside a null into floats
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
+    coded = stage(src.mapInPandas(encode, "id string, source string, raw binary, n long")
                   .withColumn("rid", F.monotonically_increasing_id()))
     queue = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("-"))
     d = coded.select("rid", "n", queue.alias("queue"), F.xxhash64("id").alias("h"))
@@ -187,6 +187,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, id_col: str = "doc_id", te
                 yield pd.DataFrame(out, columns=cols)
 
     cols = ["id", "source", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "window"]
-    return coded.join(placed.select("rid", "pos", "window"), "rid").select("id", "source", "raw", "n", "pos", "window").mapInPandas(
-        cut, f"id {id_type}, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, "
+    pieces = coded.join(placed.select("rid", "pos", "window"), "rid").select(
+        "id", "source", "raw", "n", "pos", "window").mapInPandas(
+        cut, "id string, source string, start long, length long, ids binary, doc_tokens long, sequence_id long, "
              "offset long, window long")
+    return pieces.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))

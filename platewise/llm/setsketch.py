@@ -160,10 +160,12 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, words: int, m: int = M)
                 "digest": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets],
                 "regs": [r.astype(">u2").tobytes() for r in regs]})
 
-    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
-    kind = dict(src.dtypes)["id"]
-    out = src.mapInPandas(run, f"id {kind}, th long, n long, digest binary, regs binary")
-    return stage(out.withColumn("rid", F.monotonically_increasing_id()))
+    # ids travel as text: pandas would turn integers beside a null into floats
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.xxhash64(text_col).alias("th"),
+                      F.col(text_col).alias("text"))
+    out = src.mapInPandas(run, "id string, th long, n long, digest binary, regs binary")
+    return stage(out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+                 .withColumn("rid", F.monotonically_increasing_id()))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -250,8 +250,8 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     Words above the share HOT of the training tokens, at most 1 / HOT of them, travel with the
     code; all other words meet their counts by a join, so the vocabulary may grow freely.
     """
-    id_type = docs.schema[id_col].dataType.simpleString()
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+    # ids travel as text: pandas would turn integers beside a null into floats
+    src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
                       F.coalesce(training, F.lit(False)).alias("trained"))
     learn = src.filter("trained")
     parts = count_corpus(learn, "text")
@@ -286,8 +286,9 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                                     "n_tokens": [len(t) + 1 for t in toks], "known": known, "base": sums,
                                     "score": score, "rare": rare})
 
-    scored = stage(src.mapInPandas(run, f"id {id_type}, trained boolean, n_tokens long, known long, base double, "
+    scored = stage(src.mapInPandas(run, "id string, trained boolean, n_tokens long, known long, base double, "
                                         "score double, rare array<binary>")
+                   .withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
                    .withColumn("rid", F.monotonically_increasing_id()))
     cold = (scored.select("rid", F.explode("rare").alias("word")).join(vocab, "word", "left").groupBy("rid")
             .agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(floor))).alias("more"),

@@ -133,7 +133,7 @@ def test_ids_equal_the_tokenizers_file(text):
 
 def test_packing_is_a_round_trip(docs, text):
     data = [(i, text(i, 30 + 17 * (i % 50)), "en", f"s{i % 3}") for i in range(120)]
-    data += [(500, None, "en", None), (501, "", "en", "s0"), (None, "no id", "en", "s1"), (502, text(9, 20_000), "en", "s2"),
+    data += [(500, None, "en", None), (501, "", "en", "s0"), (None, "no id", "en", "s1"), (2**60 + 1, "a large id", "en", "s1"), (502, text(9, 20_000), "en", "s2"),
              (7, text(7, 40), "en", "s1"), (7, text(7, 40), "en", "s1")]
     got = pack(docs(data), JSON, RANKS, window=8192).collect()
     bpe = Bpe(JSON, RANKS)
