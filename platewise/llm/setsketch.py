@@ -202,10 +202,10 @@ def _screen(pairs: DataFrame, reps: DataFrame, floor: float) -> DataFrame:
 
 
 def _sharable(open_: DataFrame, sets: DataFrame) -> DataFrame:
-    """(rid, s): how many shingles of each open class occur in another open class as well.
+    """(rid, n, s): the set size, and how many of its shingles occur in another component too.
 
-    No two sets share more than the smaller s, so classes and pairs that s rules out need no
-    comparison: exact, and linear in the shingles.
+    No two sets of different components share more than the smaller s, so classes and pairs
+    that s rules out need no comparison: exact, and linear in the shingles.
     """
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -213,72 +213,81 @@ def _sharable(open_: DataFrame, sets: DataFrame) -> DataFrame:
             for i in range(0, len(pdf), 256):
                 part = slice(i, i + 256)
                 yield pd.DataFrame({"rid": np.repeat(pdf["rid"].to_numpy()[part], sizes[part]),
+                                    "comp": np.repeat(pdf["comp"].to_numpy()[part], sizes[part]),
                                     "h": np.frombuffer(b"".join(pdf["set"].iloc[part]), np.int64)})
 
-    rows = sets.join(open_.select("rid").distinct(), "rid").select("rid", "set").mapInPandas(shingles, "rid long, h long")
-    single = rows.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid")).filter("c = 1")
-    lone = single.groupBy("rid").agg(F.count(F.lit(1)).alias("lone"))
-    sizes = sets.join(open_.select("rid").distinct(), "rid").select("rid", (F.octet_length("set") / 8).cast("long").alias("n"))
-    return stage(sizes.join(lone, "rid", "left").select("rid", "n", (F.col("n") - F.coalesce("lone", F.lit(0))).alias("s")))
+    mine = stage(open_.select("rid", "comp").distinct())
+    rows = sets.join(mine, "rid").select("rid", "comp", "set").mapInPandas(shingles, "rid long, comp long, h long")
+    crossing = stage(rows.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+                     .filter("c0 <> c1").select("h"))
+    shared = rows.join(crossing, "h").groupBy("rid").agg(F.count(F.lit(1)).alias("s"))
+    sizes = sets.join(mine, "rid").select("rid", (F.octet_length("set") / 8).cast("long").alias("n"))
+    return stage(sizes.join(shared, "rid").select("rid", "n", "s"))
 
 
-def _leftover_pairs(members: DataFrame, percent: int, floor: float, most: int) -> DataFrame:
-    """Pairs inside a bucket that are still in different components, (a, b, more), likeliest first.
+def _shared(x: np.ndarray, y: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    at = np.searchsorted(x, y)
+    at[at == len(x)] = 0
+    return int((x[at] == y).sum())
 
-    ``members``: (band, key, rid, comp, n, s, regs) of buckets with several components. Every such
-    pair has an end outside the bucket's most frequent component. Those ends ("odd") are
-    compared with all members, block against block of at most about BLOCK rows, so a bucket of
-    any size splits into bounded groups; members of the main component only meet odd ones. Per
-    odd member, component and block the ``most`` likeliest pairs are given; ``more`` says that
-    there are others, to be asked for if these do not link.
+
+def _leftover_links(members: DataFrame, percent: int, floor: float) -> DataFrame:
+    """Links (a, b) inside a bucket between different components, exact, one per member and component.
+
+    ``members``: (band, key, rid, comp, n, s, regs, set) of buckets with several components. Every
+    link sought has an end outside the bucket's most frequent component. Those ends ("odd")
+    are compared with all members, block against block of at most about BLOCK rows, so a
+    bucket of any size splits into bounded groups; members of the main component only meet odd
+    ones. Pairs pass what their sets can share, then the likelihood, then the full sets, the
+    likeliest first; the first link to a component ends the search there, so what leaves a
+    block is linear in its members however many near misses it holds.
     """
     key = ["band", "key"]
     per_comp = members.groupBy(*key, "comp").count()
     main = per_comp.groupBy(*key).agg(F.sum("count").alias("size"), F.max(F.struct("count", "comp")).alias("m"))
     main = stage(main.select(*key, F.col("m.comp").alias("main"), F.ceil(F.col("size") / BLOCK).cast("int").alias("nb"),
-                             F.ceil((F.col("size") - F.col("m.count")) / BLOCK).cast("int").alias("no")))
+                             F.ceil((F.col("size") - F.col("m.count")) / BLOCK).cast("int").alias("no")).filter("no > 0"))
     d = members.join(main, key)
     h = F.xxhash64("rid")
     odd = (d.filter("comp <> main").withColumn("i", F.pmod(h, F.col("no")).cast("int"))
            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("odd", F.lit(True)))
     rest = (d.withColumn("j", F.pmod(h, F.col("nb")).cast("int"))
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).withColumn("odd", F.lit(False)))
-    cols = [*key, "i", "j", "odd", "rid", "comp", "main", "n", "s", "regs"]
+    cols = [*key, "i", "j", "odd", "rid", "comp", "main", "n", "s", "regs", "set"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["odd"]], pdf[~pdf["odd"]]
-        a, b, more = [], [], []
+        a, b = [], []
         if len(x) and len(y):
             ry = np.stack([np.frombuffer(r, ">u2") for r in y["regs"]]).astype(np.uint16)
             yr, yc, yn, ys, ymain = (y[c].to_numpy() for c in ("rid", "comp", "n", "s", "main"))
-            for rid, comp, n, s, reg in zip(x["rid"], x["comp"], x["n"], x["s"], x["regs"]):
+            sets = [np.frombuffer(v, np.uint64) for v in y["set"]]
+            for rid, comp, n, s, reg, own in zip(x["rid"], x["comp"], x["n"], x["s"], x["regs"], x["set"]):
                 # a pair of two odd members is met from both sides: take it from the larger id
-                shared = np.minimum(ys, s)
-                at = np.flatnonzero((yc != comp) & ((yc == ymain) | (yr < rid))
-                                    & (100 * shared >= percent * (yn + n - shared)))
+                most = np.minimum(ys, s)
+                at = np.flatnonzero((yc != comp) & ((yc == ymain) | (yr < rid)) & (100 * most >= percent * (yn + n - most)))
                 if not len(at):
                     continue
                 r = np.frombuffer(reg, ">u2").astype(np.uint16)
-                above, below = (r > ry[at]).sum(1), (r < ry[at]).sum(1)
-                j = jaccard_estimate(np.full(len(at), float(n)), yn[at].astype(float), above, below, len(r))
-                at, j = at[j >= floor], j[j >= floor]
-                at = at[np.argsort(-j, kind="stable")]
-                seen: dict[int, int] = {}
-                for k in at.tolist():
-                    seen[yc[k]] = seen.get(yc[k], 0) + 1
-                    if seen[yc[k]] <= most:
-                        a.append(rid)
-                        b.append(yr[k])
-                        more.append(False)
-                if at.size and max(seen.values()) > most:
-                    more[-1] = True
-        return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64"), "more": np.array(more, bool)})
-
-    # small rows, much work: keep the blocks on all partitions
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (odd.select(*cols).unionAll(rest.select(*cols)).repartition(n, *key, "i", "j").groupBy(*key, "i", "j")
-            .applyInPandas(run, "a long, b long, more boolean")
-            .groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more")))
+                j = jaccard_estimate(np.full(len(at), float(n)), yn[at].astype(float), (r > ry[at]).sum(1),
+                                     (r < ry[at]).sum(1), len(r))
+                order = np.argsort(-j, kind="stable")
+                order = order[j[order] >= floor]
+                own, linked = np.frombuffer(own, np.uint64), set()
+                for k in at[order].tolist():
+                    if yc[k] not in linked:
+                        both = _shared(own, sets[k])
+                        if 100 * both >= percent * (n + len(sets[k]) - both):
+                            linked.add(yc[k])
+                            a.append(rid)
+                            b.append(yr[k])
+        return pd.DataFrame({"a": np.array(a, "int64"), "b": np.array(b, "int64")})
+
+    # much work per row: keep the blocks on all partitions
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (odd.select(*cols).unionAll(rest.select(*cols)).repartition(parts, *key, "i", "j").groupBy(*key, "i", "j")
+            .applyInPandas(run, "a long, b long").distinct())
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5,
@@ -296,10 +305,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Equal sets collapse to one class first, so copies cost one row per task. In each bucket
     every class meets the smallest one only (a combined minimum, then a join that adaptive
     execution can split): linear in the bucket. Buckets that still hold several components
-    afterwards are compared in bounded blocks, only across components, likeliest pairs first
-    and the others as long as they stay apart. Nothing is capped; candidates are screened by
-    what their sets can share at all and at a similarity of five standard errors below the
-    threshold, and then confirmed on the full sets, which are rebuilt for the candidates alone.
+    afterwards are compared in bounded blocks, only across components. Nothing is capped;
+    candidates are screened by what their sets can share at all and at a similarity of five
+    standard errors below the threshold, and then confirmed on the full sets, which are
+    rebuilt for the classes that share a bucket.
     """
     floor = percent / 100 - 5.0 * math.sqrt(percent / 100 * (1 - percent / 100) / m)
     rows = sketch(docs, id_col, text_col, words, m)
@@ -325,23 +334,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sets = stage(texts.select("rid", "text").mapInPandas(full, "rid long, set binary").dropDuplicates(["rid"]))
     links = _verify(first, sets, percent)
-    comp, tested, sharable, most = components(links), first, None, 1
-    while True:
-        comp_of = reps.select("rid").join(comp, F.col("rid") == F.col("node"), "left").select(
-            "rid", F.coalesce("root", "rid").alias("comp"))
-        held = members.select("band", "key", "rid").join(comp_of, "rid")
-        mixed = held.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
-        held = stage(held.join(stage(mixed.select("band", "key")), ["band", "key"]).select("band", "key", "rid", "comp"))
-        if sharable is None:  # later rounds hold a part of these classes
-            sharable = _sharable(held, sets)
-        able = held.join(sharable.filter(F.col("s") * 100 >= F.col("n") * percent), "rid")
-        pairs = stage(_leftover_pairs(able.join(reps.select("rid", "regs"), "rid"), percent, floor, most))
-        new = stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"))
-        links = links.unionAll(_verify(new, sets, percent))
-        comp, tested = components(links), tested.unionAll(new)
-        if pairs.filter("more").isEmpty():
-            break
-        most *= 8
+    comp = components(links)
+    comp_of = reps.select("rid").join(comp, F.col("rid") == F.col("node"), "left").select(
+        "rid", F.coalesce("root", "rid").alias("comp"))
+    held = members.select("band", "key", "rid").join(comp_of, "rid")
+    mixed = held.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1")
+    held = stage(held.join(stage(mixed.select("band", "key")), ["band", "key"]).select("band", "key", "rid", "comp"))
+    able = _sharable(held, sets).filter(F.col("s") * 100 >= F.col("n") * percent)
+    able = stage(able.join(reps.select("rid", "regs"), "rid").join(sets, "rid"))
+    links = links.unionAll(stage(_leftover_links(held.join(able, "rid"), percent, floor)))
+    comp = components(links)
 
     root = F.coalesce("root", "rep", "rid")
     found = (rows.select("rid", "id", "th", "digest", "n")
