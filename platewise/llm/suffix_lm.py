@@ -27,8 +27,8 @@ PULL = 6.0  # weight of the suffix's distribution for each different symbol met
 CELLS = 1 << 24  # largest tree: states times symbols (8 bytes each)
 HOT = 2.0**-20  # share of training tokens from which on a word travels with the code
 HOT_BYTES = 64  # longest such word
-CHUNK = 4 << 20  # bytes in work at once
-FLUSH = 1 << 19  # entries of a task's count tables before they are handed on
+CHUNK = 1 << 20  # bytes in work at once
+FLUSH = 1 << 18  # entries of a task's count tables before they are handed on
 END = b"\n"  # cannot occur in a text whose white space is folded
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
