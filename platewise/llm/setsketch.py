@@ -232,11 +232,11 @@ def _shared(x: np.ndarray, y: np.ndarray) -> int:
     return int((x[at] == y).sum())
 
 
-def _leftover_links(members: DataFrame, percent: int, floor: float) -> DataFrame:
+def _leftover_links(members: DataFrame, able: DataFrame, percent: int, floor: float) -> DataFrame:
     """Links (a, b) inside a bucket between different components, exact, one per member and component.
 
-    ``members``: (band, key, rid, comp, n, s, regs, set) of buckets with several components. Every
-    link sought has an end outside the bucket's most frequent component. Those ends ("odd")
+    ``members``: (band, key, rid, comp) of buckets with several components; ``able``: (rid, n, s,
+    regs, set), joined once the blocks are dealt, so sets move once. Every link sought has an end outside the bucket's most frequent component. Those ends ("odd")
     are compared with all members, block against block of at most about BLOCK rows, so a
     bucket of any size splits into bounded groups; members of the main component only meet odd
     ones. Pairs pass what their sets can share, then the likelihood, then the full sets, the
@@ -254,7 +254,7 @@ def _leftover_links(members: DataFrame, percent: int, floor: float) -> DataFrame
            .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("odd", F.lit(True)))
     rest = (d.withColumn("j", F.pmod(h, F.col("nb")).cast("int"))
             .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("no") - 1))).withColumn("odd", F.lit(False)))
-    cols = [*key, "i", "j", "odd", "rid", "comp", "main", "n", "s", "regs", "set"]
+    cols = [*key, "i", "j", "odd", "rid", "comp", "main"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["odd"]], pdf[~pdf["odd"]]
@@ -286,7 +286,8 @@ def _leftover_links(members: DataFrame, percent: int, floor: float) -> DataFrame
 
     # much work per row: keep the blocks on all partitions
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (odd.select(*cols).unionAll(rest.select(*cols)).repartition(parts, *key, "i", "j").groupBy(*key, "i", "j")
+    dealt = stage(odd.select(*cols).unionAll(rest.select(*cols)))
+    return (dealt.join(able, "rid").repartition(parts, *key, "i", "j").groupBy(*key, "i", "j")
             .applyInPandas(run, "a long, b long").distinct())
 
 
@@ -342,7 +343,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     held = stage(held.join(stage(mixed.select("band", "key")), ["band", "key"]).select("band", "key", "rid", "comp"))
     able = _sharable(held, sets).filter(F.col("s") * 100 >= F.col("n") * percent)
     able = stage(able.join(reps.select("rid", "regs"), "rid").join(sets, "rid"))
-    links = links.unionAll(stage(_leftover_links(held.join(able, "rid"), percent, floor)))
+    held = stage(held.join(able.select("rid"), "rid"))
+    links = links.unionAll(stage(_leftover_links(held, able, percent, floor)))
     comp = components(links)
 
     root = F.coalesce("root", "rep", "rid")
