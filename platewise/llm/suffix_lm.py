@@ -12,7 +12,8 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from platewise.llm.common import stage
 
 DEPTH = 6  # longest context in bytes
-GAIN = 2e-6  # bits per training symbol that a context must save
+GAIN = 64.0  # bits that a context must save
 PULL = 6.0  # weight of the suffix's distribution for each different symbol met
-CELLS = 1 << 24  # largest tree: states times symbols (8 bytes each)
+CELLS = 1 << 23  # states times symbols that travel with the code (8 bytes each)
 HOT = 2.0**-20  # share of training tokens from which on a word travels with the code
 HOT_BYTES = 64  # longest such word
 CHUNK = 1 << 20  # bytes in work at once
@@ -132,21 +133,29 @@ def count_corpus(docs: DataFrame, text_col: str) -> DataFrame:
 
 @dataclass
 class SuffixTree:
-    """child[state * width + class of the byte before] is the longer state, 0 if there is none;
-    logp[state * width + class of the symbol] is its log10 probability."""
+    """child[state * width + class of the byte before] is the longer state, 0 if there is none and
+    -1 if it is among ``rest``; logp[state * width + class of the symbol] is its log10 probability.
+
+    rest holds the other kept contexts: (d, ctx, back, seen), where seen maps the symbols met to
+    their log10 probability and back is what any other adds to that after the longest suffix. It
+    is None if there are none.
+    """
 
     classes: np.ndarray
     child: np.ndarray
     logp: np.ndarray
     width: int
+    rest: DataFrame | None = None
 
-    def score(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of every text of a stream."""
+    def walk(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of every text of a stream but for the symbols whose context goes on
+        among ``rest``; the number of the text and the (context, symbol) key of each of those."""
         cls = self.classes[buf]
         real = np.ones(len(buf), bool)
         for k in range(1, DEPTH + 1):
             real[at - k] = False
         out = np.zeros(len(buf))
+        left = []
         for lo in range(DEPTH, len(buf), CHUNK):
             hi = min(len(buf), lo + CHUNK)
             pos = np.arange(lo, hi)
@@ -154,24 +163,47 @@ class SuffixTree:
             on = np.arange(hi - lo)
             for k in range(1, DEPTH + 1):
                 to = self.child[state[on] * self.width + cls[pos[on] - k]]
+                left.append(lo + on[to < 0])
                 go = to > 0
                 on = on[go]
                 state[on] = to[go]
             out[lo:hi] = self.logp[state * self.width + cls[lo:hi]]
         out[~real] = 0.0
-        return np.add.reduceat(out, at)
+        pos = np.sort(np.concatenate(left)) if left else np.zeros(0, np.int64)
+        pos = pos[real[pos]]
+        out[pos] = 0.0
+        key = np.zeros(len(pos), np.int64)
+        for k in range(DEPTH, -1, -1):
+            key <<= 8
+            key |= buf[pos - k]
+        return np.add.reduceat(out, at), np.searchsorted(at, pos, "right") - 1, key
+
+    def score(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of every text of a stream, if the tree has no ``rest``."""
+        return self.walk(buf, at)[0]
+
+    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Depth of the longest context held here and its log10 probability of the symbol, for (context, symbol) keys."""
+        state, depth = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)
+        on = np.arange(len(key))
+        for k in range(1, DEPTH + 1):
+            to = self.child[state[on] * self.width + self.classes[(key[on] >> 8 * k) & 255]]
+            go = to > 0
+            on = on[go]
+            state[on] = to[go]
+            depth[on] = k
+        return depth, self.logp[state * self.width + self.classes[key & 255]].astype(float)
 
 
 def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS) -> SuffixTree:
     """The tree from (gram, n) counts of the deepest contexts with their next symbol.
 
     Shorter contexts' counts are sums of deeper ones. A context c is kept if
-    sum over symbols of n(c, s) log2(P(s | c) / P(s | suffix of c)) >= gain * all symbols;
-    suffixes of kept contexts are kept. Those sums telescope along the depths to at most the
-    order-0 entropy, under 8 bits a symbol, so at most 8 / gain contexts pass on any corpus
-    (plus their suffixes): what reaches the driver has a proven bound. The tree travels with
-    the code, so its own size is bounded too: while it has more than ``cells`` cells, the
-    gain asked for doubles.
+    sum over symbols of n(c, s) log2(P(s | c) / P(s | suffix of c)) >= gain;
+    suffixes of kept contexts are kept. ``gain`` is a number of bits whatever the size of the
+    corpus, so more text keeps more contexts. The kept contexts are tables. Only the most
+    frequent of them, up to ``cells`` cells of state times symbol, travel with the code: that
+    saves joins and changes no score. All others are in ``rest``.
     """
     grams = stage(grams.groupBy("gram").agg(F.sum("n").alias("n")))
     total = grams.agg(F.sum("n")).first()[0]
@@ -182,62 +214,112 @@ def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS) -> Suffi
         return (grams.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"),
                               F.col("gram").bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n")))
 
+    def suffix(d: int) -> Column:
+        return F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
+
     tables = [stage(at_depth(d)) for d in range(DEPTH + 1)]
-    found: list[pd.DataFrame] = []
-    for d in range(1, DEPTH + 1):
+    sizes = [stage(t.groupBy("ctx").agg(F.sum("n").alias("all"), (PULL * F.count(F.lit(1))).alias("pull"))) for t in tables]
+    kept: dict[int, DataFrame] = {}
+    for d in range(DEPTH, 0, -1):
+        up = sizes[d - 1].select(F.col("ctx").alias("suf"), F.col("all").alias("up_all"))
         # a context of N symbols saves at most 8 N bits: rarer ones need no test
-        sums = tables[d].groupBy("ctx").agg(F.sum("n").alias("all")).filter(F.col("all") * 8 >= gain * total)
-        suffix = F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
-        up = tables[d - 1].groupBy("ctx").agg(F.sum("n").alias("up_all")).withColumnRenamed("ctx", "suf")
-        test = (tables[d].join(sums, "ctx").withColumn("suf", suffix)
-                .join(tables[d - 1].select(F.col("ctx").alias("suf"), "sym", F.col("n").alias("up_n")), ["suf", "sym"])
-                .join(up, "suf"))
+        sums = (sizes[d].filter(F.col("all") * 8 >= gain).select("ctx", "all", suffix(d).alias("suf")).join(up, "suf"))
+        test = (tables[d].join(sums, "ctx")
+                .join(tables[d - 1].select(F.col("ctx").alias("suf"), "sym", F.col("n").alias("up_n")), ["suf", "sym"]))
         bits = F.col("n") * (F.log2(F.col("n") / F.col("all")) - F.log2(F.col("up_n") / F.col("up_all")))
-        found.append(test.groupBy("ctx").agg(F.sum(bits).alias("bits")).filter(F.col("bits") >= gain * total)
-                     .toPandas())
-    width = 1 + tables[0].count()
-    while True:
-        kept: list[np.ndarray] = [np.zeros(1, np.int64)]
-        need = np.zeros(0, np.int64)
-        for d in range(DEPTH, 0, -1):
-            own = found[d - 1]["ctx"][found[d - 1]["bits"] >= gain * total]
-            need = np.unique(np.append(need & ((1 << 8 * d) - 1), own.to_numpy(np.int64)))
-            kept.insert(1, need)
-        if width * sum(len(k) for k in kept) <= cells:
+        own = test.groupBy("ctx").agg(F.sum(bits).alias("bits")).filter(F.col("bits") >= gain).select("ctx")
+        if d < DEPTH:
+            own = own.unionAll(kept[d + 1].select(suffix(d + 1).alias("ctx"))).distinct()
+        # the more symbols were met, the likelier is another
+        kept[d] = stage(own.join(sizes[d], "ctx").select("ctx", "all", "pull", F.floor(8 * F.log2("all")).alias("level")))
+
+    # probabilities of the symbols met after each kept context; every other has pull / (all + pull) of the suffix's
+    first = tables[0].crossJoin(F.broadcast(sizes[0].select("all", "pull"))).withColumn("up", F.lit(1 / 256))
+    prob = (F.col("n") + F.col("pull") * F.col("up")) / (F.col("all") + F.col("pull"))
+    seen = [stage(first.select("ctx", "sym", prob.alias("p")))]
+    for d in range(1, DEPTH + 1):
+        up = seen[d - 1].select(F.col("ctx").alias("suf"), "sym", F.col("p").alias("up"))
+        seen.append(stage(tables[d].join(kept[d].drop("level"), "ctx").withColumn("suf", suffix(d))
+                          .join(up, ["suf", "sym"]).select("ctx", "sym", prob.alias("p"))))
+
+    # the code takes the upper levels of frequency; a suffix is at least as frequent as its context
+    root = seen[0].toArrow().to_pandas()
+    width = 1 + len(root)
+    levels = reduce(DataFrame.unionAll, [kept[d].select("level") for d in kept]).groupBy("level").count().collect()
+    room, low = cells // width - 1, math.inf
+    for level, n in sorted(map(tuple, levels), reverse=True):
+        room -= n
+        if room < 0:
             break
-        gain *= 2.0
-    spark = grams.sparkSession
-    counts = []
-    for d in range(DEPTH + 1):
-        ids = spark.createDataFrame(pd.DataFrame({"ctx": kept[d]}), "ctx long")
-        counts.append(tables[d].join(F.broadcast(ids), "ctx", "left_semi").toPandas())
+        low = level
+    hot = {d: kept[d].filter(F.col("level") >= F.lit(low)) for d in kept}
+    cold = {d: kept[d].filter(F.col("level") < F.lit(low)) for d in kept}
 
-    symbols = np.unique(counts[0]["sym"])
+    symbols = np.unique(root["sym"])
     classes = np.zeros(256, np.int64)  # class 0: bytes that training never met
     classes[symbols] = np.arange(1, len(symbols) + 1)
-    states = sum(len(k) for k in kept)
-    child = np.zeros(states * width, np.int32)
-    prob = np.zeros((states, width))
-    base = np.zeros(len(kept) + 1, np.int64)
-    base[1:] = np.cumsum([len(k) for k in kept])
+    held = {d: hot[d].toArrow().to_pandas().sort_values("ctx") for d in hot}
+    names = [np.zeros(1, np.int64)] + [held[d]["ctx"].to_numpy() for d in range(1, DEPTH + 1)]
+    base = np.zeros(len(names) + 1, np.int64)
+    base[1:] = np.cumsum([len(k) for k in names])
+    child = np.zeros(base[-1] * width, np.int32)
+    p = np.zeros((base[-1], width))
     for d in range(DEPTH + 1):
-        row = base[d] + np.searchsorted(kept[d], counts[d]["ctx"])
-        n = np.zeros((len(kept[d]), width))
-        n[row - base[d], classes[counts[d]["sym"]]] = counts[d]["n"]
         if d == 0:
-            up = np.full((1, width), 1 / 256)  # the unseen bytes share class 0, each at 1 / 256
+            n0 = sizes[0].first()
+            p[0] = n0["pull"] / (n0["all"] + n0["pull"]) / 256  # the unseen bytes share class 0
+            mine = root
         else:
-            parent = base[d - 1] + np.searchsorted(kept[d - 1], kept[d] & ((1 << 8 * (d - 1)) - 1))
-            first = classes[kept[d] >> (8 * (d - 1))]
-            child[parent * width + first] = base[d] + np.arange(len(kept[d]))
-            up = prob[parent]
-        kinds = PULL * (n > 0).sum(1, keepdims=True)  # the more symbols were met, the likelier is another
-        prob[base[d]:base[d + 1]] = (n + kinds * up) / (n.sum(1, keepdims=True) + kinds)
-    return SuffixTree(classes, child, np.log10(prob).astype(np.float32).ravel(), width)
+            parent = base[d - 1] + np.searchsorted(names[d - 1], names[d] & ((1 << 8 * (d - 1)) - 1))
+            child[parent * width + classes[names[d] >> (8 * (d - 1))]] = base[d] + np.arange(len(names[d]))
+            back = (held[d]["pull"] / (held[d]["all"] + held[d]["pull"])).to_numpy()
+            p[base[d]:base[d + 1]] = back[:, None] * p[parent]
+            mine = seen[d].join(hot[d].select("ctx"), "ctx", "left_semi").toArrow().to_pandas()
+            # where a context goes on outside the code
+            more = cold[d].select(suffix(d).alias("suf"), F.shiftright("ctx", 8 * (d - 1)).alias("byte"))
+            if d > 1:
+                more = more.join(hot[d - 1].select(F.col("ctx").alias("suf")), "suf", "left_semi")
+            more = more.toArrow().to_pandas()
+            parent = base[d - 1] + np.searchsorted(names[d - 1], more["suf"].to_numpy(np.int64))
+            child[parent * width + classes[more["byte"].to_numpy(np.int64)]] = -1
+        row = base[d] + np.searchsorted(names[d], mine["ctx"].to_numpy(np.int64))
+        p[row, classes[mine["sym"].to_numpy(np.int64)]] = mine["p"]
+
+    rest = None
+    if sum(n for _, n in map(tuple, levels)) > base[-1] - 1:
+        entry = F.struct("sym", F.log10("p").alias("lp"))
+        rest = stage(reduce(DataFrame.unionAll, [
+            seen[d].join(cold[d], "ctx").groupBy("ctx")
+            .agg(F.first(F.log10(F.col("pull") / (F.col("all") + F.col("pull")))).alias("back"),
+                 F.map_from_entries(F.collect_list(entry)).alias("seen"))
+            .select(F.lit(d).alias("d"), "ctx", "back", "seen") for d in cold]))
+    return SuffixTree(classes, child, np.log10(p).astype(np.float32).ravel(), width, rest)
+
+
+def _beyond(tree: SuffixTree, met: DataFrame) -> DataFrame:
+    """(gram, lp): log10 probabilities of the (context, symbol) keys in ``met`` that go on among the tree's rest.
+
+    Each different key meets its contexts beyond the code by one join, then takes them from
+    short to long: the symbol's own entry, or the step back added to what came before.
+    """
+    inner = replace(tree, rest=None)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            depth, lp = inner.place(pdf["gram"].to_numpy(np.int64))
+            yield pd.DataFrame({"gram": pdf["gram"], "depth": depth, "lp": lp})
+
+    placed = met.select("gram").distinct().mapInPandas(run, "gram long, depth int, lp double")
+    steps = (placed.select("gram", "lp", F.explode(F.sequence(F.col("depth") + 1, F.lit(DEPTH))).alias("d"))
+             .withColumn("ctx", F.expr("shiftright(gram, 8) & (shiftleft(1L, 8 * d) - 1L)")))
+    step = F.struct("d", "back", F.try_element_at("seen", F.col("gram").bitwiseAND(F.lit(255))).alias("own"))
+    return (steps.join(tree.rest, ["d", "ctx"]).groupBy("gram")
+            .agg(F.first("lp").alias("lp"), F.array_sort(F.collect_list(step)).alias("steps"))
+            .select("gram", F.aggregate("steps", F.col("lp"), lambda lp, x: F.coalesce(x["own"], lp + x["back"])).alias("lp")))
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
-                    gain: float = GAIN) -> DataFrame:
+                    gain: float = GAIN, cells: int = CELLS) -> DataFrame:
     """One row per input row: id, trained, n_tokens, n_known, train_tokens, base_score, score.
 
     Learns from the rows where ``training`` holds, all of them and whole, and scores every
@@ -249,6 +331,8 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
 
     Words above the share HOT of the training tokens, at most 1 / HOT of them, travel with the
     code; all other words meet their counts by a join, so the vocabulary may grow freely.
+    The same holds for the tree: symbols whose context goes on beyond the states in the code
+    meet their longest kept context by joins.
     """
     # ids travel as text: pandas would turn integers beside a null into floats
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
@@ -260,7 +344,8 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     v = vocab.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, kinds = (v["n"] or 0) + n_docs, v["v"] + (n_docs > 0)
     floor = n_all + 0.5 * (kinds + 1)
-    tree = grow_tree(parts.filter("gram is not null").select("gram", "n"), gain)
+    tree = grow_tree(parts.filter("gram is not null").select("gram", "n"), gain, cells)
+    inner = replace(tree, rest=None)
     often = vocab.filter((F.col("c") >= max(1.0, HOT * n_all)) & (F.octet_length("word") <= HOT_BYTES)).toPandas()
     hot = dict(zip(map(bytes, often["word"]), np.log10((often["c"] + 0.5) / floor).tolist()))
     end_score = math.log10((n_docs + 0.5) / floor)
@@ -270,8 +355,10 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         for pdf in batches:
             for first, toks in _slices(pdf["text"].tolist()):
                 score = np.zeros(len(toks))
+                beyond: list[np.ndarray] = []
                 for a, b, buf, at in _streams(toks):
-                    score[a:b] = tree.score(buf, at)
+                    score[a:b], of, key = inner.walk(buf, at)
+                    beyond += np.split(key, np.searchsorted(of, np.arange(1, b - a)))
                 sums, known, rare = [], [], []
                 for t in toks:
                     got = list(map(get, t))
@@ -284,16 +371,22 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                 rows = pdf.iloc[first:first + len(toks)]
                 yield pd.DataFrame({"id": rows["id"].to_numpy(), "trained": rows["trained"].to_numpy(),
                                     "n_tokens": [len(t) + 1 for t in toks], "known": known, "base": sums,
-                                    "score": score, "rare": rare})
+                                    "score": score, "rare": rare, "beyond": beyond})
 
     scored = stage(src.mapInPandas(run, "id string, trained boolean, n_tokens long, known long, base double, "
-                                        "score double, rare array<binary>")
+                                        "score double, rare array<binary>, beyond array<long>")
                    .withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
                    .withColumn("rid", F.monotonically_increasing_id()))
     cold = (scored.select("rid", F.explode("rare").alias("word")).join(vocab, "word", "left").groupBy("rid")
             .agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(floor))).alias("more"),
                  F.count("c").alias("more_known")))
-    return scored.drop("rare").join(cold, "rid", "left").select(
+    score = F.col("score")
+    if tree.rest is not None:
+        met = scored.select("rid", F.explode("beyond").alias("gram"))
+        more = met.join(_beyond(tree, met), "gram").groupBy("rid").agg(F.sum("lp").alias("more_score"))
+        scored = scored.join(more, "rid", "left")
+        score = score + F.coalesce("more_score", F.lit(0.0))
+    return scored.drop("rare", "beyond").join(cold, "rid", "left").select(
         "id", "trained", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))

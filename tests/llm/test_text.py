@@ -242,6 +242,28 @@ def test_the_tree_beats_the_words_on_held_out_text(spark):
     assert r["s"] > r["b"]
 
 
+def test_the_tree_grows_with_the_corpus(spark):
+    r = random.Random(5)
+    body = [S.tokens(" ".join(r.choice(["abra", "kadabra", "zon", "bar"]) for _ in range(300)))]
+    counts = Counter()
+    for _, _, buf, at in S._streams(body):
+        for k, n in S._grams(buf, at):
+            counts.update(dict(zip(k.tolist(), n.tolist())))
+    trees = [S.grow_tree(spark.createDataFrame([(k, n * m) for k, n in counts.items()], "gram bigint, n bigint"))
+             for m in (1, 100)]
+    few, many = (len(t.logp) // t.width for t in trees)
+    assert many > few > 1  # the same text a hundred times over is a hundred times the evidence
+
+
+def test_states_outside_the_code_score_alike(docs, text):
+    data = [(i, text(i, 25 + i % 40)) for i in range(60)] + [(200, None), (201, "Never SEEN wordé"), (None, "w1 w2"), (3, text(3, 28))]
+    pick = lambda df: sorted((repr(r["id"]), r["n_tokens"], round(r["score"], 3)) for r in df.collect())
+    learn = F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), 5) != 1)
+    whole = pick(score_documents(docs(data), learn, gain=8.0))
+    for cells in (40, 1500):
+        assert pick(score_documents(docs(data), learn, gain=8.0, cells=cells)) == whole
+
+
 # ---- licences ----------------------------------------------------------------------
 
 def test_licences_match_brute_force(docs, text):
