@@ -222,8 +222,9 @@ def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS) -> Suffi
     kept: dict[int, DataFrame] = {}
     for d in range(DEPTH, 0, -1):
         up = sizes[d - 1].select(F.col("ctx").alias("suf"), F.col("all").alias("up_all"))
-        # a context of N symbols saves at most 8 N bits: rarer ones need no test
-        sums = (sizes[d].filter(F.col("all") * 8 >= gain).select("ctx", "all", suffix(d).alias("suf")).join(up, "suf"))
+        # no symbol saves more than log2(up_all / all) bits: contexts that cannot reach gain need no test
+        sums = (sizes[d].select("ctx", "all", suffix(d).alias("suf")).join(up, "suf")
+                .filter(F.col("all") * F.log2(F.col("up_all") / F.col("all")) >= gain * (1 - 1e-9)))
         test = (tables[d].join(sums, "ctx")
                 .join(tables[d - 1].select(F.col("ctx").alias("suf"), "sym", F.col("n").alias("up_n")), ["suf", "sym"]))
         bits = F.col("n") * (F.log2(F.col("n") / F.col("all")) - F.log2(F.col("up_n") / F.col("up_all")))

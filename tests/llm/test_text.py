@@ -255,6 +255,12 @@ def test_the_tree_grows_with_the_corpus(spark):
     assert many > few > 1  # the same text a hundred times over is a hundred times the evidence
 
 
+def test_a_few_symbols_can_save_more_than_8_bits_each(spark):
+    counts = [(ord("x") << 8 | ord("y"), 7), (ord("a") << 8 | ord("x"), 7), (ord("a") << 8 | ord("a"), 7 * 2046)]  # x saves 7 * 11 bits
+    tree = S.grow_tree(spark.createDataFrame(counts, "gram bigint, n bigint"), gain=64.0)
+    assert tree.child[tree.classes[ord("x")]] > 0
+
+
 def test_states_outside_the_code_score_alike(docs, text):
     data = [(i, text(i, 25 + i % 40)) for i in range(60)] + [(200, None), (201, "Never SEEN wordé"), (None, "w1 w2"), (3, text(3, 28))]
     pick = lambda df: sorted((repr(r["id"]), r["n_tokens"], round(r["score"], 3)) for r in df.collect())
