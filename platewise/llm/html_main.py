@@ -19,10 +19,11 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]*))?")
 _GAP = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z]+")
+_PARTS = re.compile(r"[^a-z0-9]+")
 _RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes", "iframe", "noscript", "template"}
 _VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
-_NEVER = _RAW | set("head nav footer aside form button select option svg math canvas object audio video map dialog menu "
-                    "datalist label fieldset input".split())
+_NEVER = _RAW | set("head nav footer aside button select option svg math canvas object audio video map dialog menu "
+                    "datalist label input".split())
 _BLOCK = set("address article blockquote body center dd details dir div dl dt fieldset figcaption figure footer form h1 "
              "h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th "
              "thead tr ul aside".split())
@@ -32,6 +33,10 @@ _AWAY = set("ad ads adbox adsense advert adverts advertisement advertising banne
             "navigation newsletter notice notification outbrain pager pagination popup promo promoted promotion recommended "
             "related remark replies reply respond search share sharing sidebar signup skip social sponsor sponsored "
             "subscribe subscription taboola toolbar widget complementary contentinfo alert alertdialog".split())
+# parts that may stand beside them in one name; any other part ("no-sidebar", "related-work") makes another name
+_PLAIN = set("area bar block bottom box container inner item items left list outer right section top widgets wrap "
+             "wrapper".split())
+_BOXES = {"form", "fieldset"}  # go like named boxes
 _GOOD = set("article body content entry main post story text page prose".split())
 _CLOSES_P = _BLOCK - {"body", "html", "tbody", "td", "th", "tr", "thead", "tfoot"}
 _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -43,12 +48,13 @@ _SCOPE = {"table", "td", "th", "caption", "button", "object", "body", "html"}  #
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "score", "names")
+    __slots__ = ("tag", "attrs", "parent", "items", "score", "names", "aside")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None) -> None:
         self.tag, self.attrs, self.parent = tag, attrs, parent
         self.items: list[Node | str] = []
         self.score = 0.0
+        self.aside = 0  # boxes around it, or itself, whose names tell them from the article
         self.names = set(_NAME.findall(f"{attrs.get('class', '')} {attrs.get('id', '')} {attrs.get('role', '')}".lower()))
 
 
@@ -129,14 +135,43 @@ def _away(n: Node) -> bool:
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
         return up is None
-    return n.tag not in ("html", "body", "article", "main") and bool(n.names & _AWAY)
+    return False
 
 
-def _prune(root: Node) -> None:
+def _named_away(n: Node) -> bool:
+    """Whether a whole class, id or role says that a box is not the article."""
+    if n.tag in ("html", "body", "article", "main"):
+        return False
+    if n.tag in _BOXES:
+        return True
+    if not n.names & _AWAY:
+        return False
+    for token in f"{n.attrs.get('class', '')} {n.attrs.get('id', '')} {n.attrs.get('role', '')}".lower().split():
+        parts = {x for x in _PARTS.split(token) if x and not x.isdigit()}
+        if parts & _AWAY and parts <= _AWAY | _PLAIN:
+            return True
+    return False
+
+
+def _prune(root: Node) -> list[Node]:
+    """Takes out what is never text; the boxes that their names tell from the article, in page order."""
+    named = []
     todo = [root]
     while todo:
         n = todo.pop()
+        if n is not root and _named_away(n):
+            named.append(n)
         n.items = [x for x in n.items if isinstance(x, str) or not _away(x)]
+        todo += [x for x in reversed(n.items) if not isinstance(x, str)]
+    return named
+
+
+def _mark(root: Node, named: set[int]) -> None:
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        n.score = 0.0
+        n.aside = (n.parent.aside if n is not root else 0) + (id(n) in named)
         todo += [x for x in n.items if not isinstance(x, str)]
 
 
@@ -187,12 +222,8 @@ def _within(n: Node | None, top: set[int]) -> bool:
     return False
 
 
-def main_text(html: str | None) -> str:
-    """The main text of a page: blocks joined by an empty line; empty if there is none."""
-    if not html:
-        return ""
-    root = parse(html)
-    _prune(root)
+def _weigh(root: Node) -> tuple[list[tuple[_Block, str]], dict[int, int], dict[int, int], dict[int, Node]]:
+    """The text blocks, characters and linked characters below each element, and the containers with their points."""
     found = [(b, _text(b)) for b in blocks(root)]
     chars: dict[int, int] = {}
     linked: dict[int, int] = {}
@@ -201,6 +232,7 @@ def main_text(html: str | None) -> str:
         points = (1.0 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100.0, 3.0)) * min(1.0, len(text) / 25.0)
         if b.owner.tag in ("li", "th", "dt", "h1", "h2", "h3", "h4", "h5", "h6"):
             points *= 0.25
+        points *= 0.25 ** min(b.owner.aside, 50)  # a name is a penalty
         # full points for the nearest container, half for the next, a quarter, a sixth; a cell of
         # a data table is none
         n, step = b.owner.parent if b.owner.tag in ("td", "dd") else b.owner, 0
@@ -215,6 +247,17 @@ def main_text(html: str | None) -> str:
             chars[id(n)] = chars.get(id(n), 0) + len(text)
             linked[id(n)] = linked.get(id(n), 0) + b.linked
             n = n.parent
+    return found, chars, linked, scored
+
+
+def main_text(html: str | None) -> str:
+    """The main text of a page: blocks joined by an empty line; empty if there is none."""
+    if not html:
+        return ""
+    root = parse(html)
+    named = _prune(root)
+    _mark(root, {id(n) for n in named})
+    found, chars, linked, scored = _weigh(root)
 
     def density(n: Node) -> float:
         return linked.get(id(n), 0) / max(1, chars.get(id(n), 0))
@@ -228,6 +271,19 @@ def main_text(html: str | None) -> str:
     if not scored:
         return ""
     best = max(scored.values(), key=value)  # ties: the first met, which lies deepest
+    if named:
+        # a named box goes unless it holds the best container or the larger part of the unlinked text
+        path, n = set(), best
+        while n is not None:
+            path.add(id(n))
+            n = n.parent
+        plain = {id(n): chars.get(id(n), 0) - linked.get(id(n), 0) for n in [root, *named]}
+        gone = {id(n) for n in named if id(n) not in path and 2 * plain[id(n)] <= plain[id(root)]}
+        for up in {id(n.parent): n.parent for n in named}.values():
+            up.items = [x for x in up.items if isinstance(x, str) or id(x) not in gone]
+        _mark(root, {id(n) for n in named} - path)
+        found, chars, linked, scored = _weigh(root)
+        best = max(scored.values(), key=value)
     floor = max(10.0, 0.2 * value(best))
     keep = {id(best)}
     if best.parent is not None:

@@ -331,6 +331,25 @@ def test_odd_pages(html, want):
     assert main_text(html) == want
 
 
+PARAS = [f"Paragraph {i} of the article, which is long enough, with commas, to count as running text." for i in range(4)]
+BODY = "".join(f"<p>{p}</p>" for p in PARAS)
+
+
+@pytest.mark.parametrize("html", [
+    f"<div class='content no-sidebar'>{BODY}</div>", f"<div class='layout has-comments'>{BODY}</div>",
+    f"<div id='page' class='with-banner'>{BODY}</div>", f"<div class='banner'><div>{BODY}</div></div>",
+    f"<form action=x><input name=q><div>{BODY}</div></form>"])
+def test_names_and_forms_around_the_article_lose_nothing(html):
+    assert main_text(f"<body>{html}</body>") == "\n\n".join(PARAS)
+
+
+def test_generated_ids_lose_no_section():
+    html = (f"<article>{BODY}<section id='related-work'><p>Work of others.</p></section><div id='search-algorithms'>"
+            "<p>How to search.</p></div><h2 id='menu-planning'>Menus</h2><p class='social-science'>Society.</p>"
+            "<div class='ad'>Buy this now.</div><div class='social-share'>Tell all.</div></article>")
+    assert main_text(html).split("\n\n") == [*PARAS, "Work of others.", "How to search.", "Menus", "Society."]
+
+
 def test_pages_in_spark_and_long_ones(spark):
     deep = "<div>" * 20_000 + "deep text" + "</div>" * 20_000
     many = "<article>" + "".join(f"<p>Paragraph {i}, of many, in a long page.</p>" for i in range(20_000)) + "</article>"
