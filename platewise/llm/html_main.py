@@ -44,6 +44,9 @@ _SIBLING = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
             "option": ({"option"}, {"select"})}
 # elements that can be the container; lists, rows and paragraphs pass their points on
 _HOLDS = set("div section article main body html td center details dd".split())
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup"}
+_MENUS = {"ul", "ol", "div", "table", "section", "dl"}  # left out if most of their text is links
+_PROSE = {"p", "ul", "ol", "dl", "pre", "blockquote", "table", "figure", "address"}
 _SCOPE = {"table", "td", "th", "caption", "button", "object", "body", "html"}  # an open p beyond these stays open
 
 
@@ -284,26 +287,40 @@ def main_text(html: str | None) -> str:
         _mark(root, {id(n) for n in named} - path)
         found, chars, linked, scored = _weigh(root)
         best = max(scored.values(), key=value)
-    floor = max(10.0, 0.2 * value(best))
+    floor = 0.2 * value(best)
     keep = {id(best)}
     if best.parent is not None:
-        for s in best.parent.items:
-            if isinstance(s, str) or s is best:
+        near = [s for s in best.parent.items if not isinstance(s, str) and (s is best or chars.get(id(s), 0))]
+        for s in near:
+            if s is best or s.aside > best.aside:
                 continue
             size = chars.get(id(s), 0)
             like = value(s) + (0.2 * value(best) if s.names and s.names == best.names else 0.0) >= floor and s.score > 0
-            prose = s.tag == "p" and (size > 80 and density(s) < 0.25 or 0 < size <= 80 and linked.get(id(s), 0) == 0
-                                      and best.tag not in ("article", "main"))
+            # what is no container has no points: its own text and links decide; a heading goes with what follows
+            prose = s.tag in _PROSE and (size > 80 and density(s) < 0.25 or 0 < size <= 80 and linked.get(id(s), 0) == 0
+                                         and best.tag not in ("article", "main"))
             if (like and best.tag != "article") or (like and s.tag == best.tag) or prose:
                 keep.add(id(s))
-
+        at = [i for i, s in enumerate(near) if id(s) in keep]
+        first, last = at[0], at[-1]
+        while first > 0 and near[first - 1].tag in _HEADINGS and near[first - 1].aside <= best.aside:
+            first -= 1
+        # nothing between two parts of the article is left out but lists and boxes of links
+        keep |= {id(s) for s in near[first:last] if s.aside <= best.aside and (s.tag not in _MENUS or density(s) <= 0.6)}
+
+    # bare text of the parent between two kept parts stays as well
+    held = [i for i, (b, _) in enumerate(found) if _within(b.owner, keep)]
+    loose = {i for i in range(held[0], held[-1]) if found[i][0].owner is best.parent
+             and found[i][0].linked <= 0.6 * len(found[i][1])} if held else set()
     out = []
-    for b, text in found:
-        if not _within(b.owner, keep):
+    for i in sorted({*held, *loose}):
+        b, text = found[i]
+        if i in loose:
+            out.append(text)
             continue
         n, menu = b.owner, False
         while n is not None and id(n) not in keep:  # lists and boxes of links inside the container
-            if n.tag in ("ul", "ol", "div", "table", "section", "dl") and density(n) > 0.6 and chars.get(id(n), 0) > 0:
+            if n.tag in _MENUS and density(n) > 0.6 and chars.get(id(n), 0) > 0:
                 menu = True
             n = n.parent
         if not menu:

@@ -350,6 +350,16 @@ def test_generated_ids_lose_no_section():
     assert main_text(html).split("\n\n") == [*PARAS, "Work of others.", "How to search.", "Menus", "Society."]
 
 
+def test_siblings_of_the_container_stay():
+    long = "".join(f"<p>{p}</p>" for p in PARAS * 3)
+    html = (f"<body><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul><h1>Title</h1><div>{long}</div><h2>Points</h2>"
+            "<ul><li>one</li><li>two</li></ul><blockquote>Quoted.</blockquote>Bare words.<section><p>Short.</p></section>"
+            f"<ul><li><a href=/c>Share</a></ul><pre>code</pre><div>{long}</div><h3>Table</h3><table><tr><td>c1<td>c2</table>"
+            "<h2>More news</h2><ul><li><a href=/d>Other</a></ul></body>")
+    assert main_text(html).split("\n\n") == ["Title", *PARAS * 3, "Points", "one", "two", "Quoted.", "Bare words.", "Short.", "code",
+                                             *PARAS * 3, "Table", "c1", "c2"]
+
+
 def test_pages_in_spark_and_long_ones(spark):
     deep = "<div>" * 20_000 + "deep text" + "</div>" * 20_000
     many = "<article>" + "".join(f"<p>Paragraph {i}, of many, in a long page.</p>" for i in range(20_000)) + "</article>"
