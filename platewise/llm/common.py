@@ -32,6 +32,18 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Delete the folder of a staged table that a later one has replaced."""
+    spark = df.sparkSession
+    top = ensure_checkpoint_dir(spark).rstrip("/")
+    folders = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("llm-") and path.getParent().toUri().getPath() == spark._jvm.org.apache.hadoop.fs.Path(
+                top).toUri().getPath():
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def hash128(col: Column, seed: int = 1) -> list[Column]:
     """Two 64-bit hashes under different seeds, as columns ``h1`` and ``h2``."""
     return [F.xxhash64(col).alias("h1"), F.xxhash64(F.lit(seed), col).alias("h2")]

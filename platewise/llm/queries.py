@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the pipeline, and their DuckDB SQL.
+"""The registered queries of the operators, and their DuckDB SQL.
 
 Each query applies its operator to a whole table with production parameters and derives
 the contract's columns from the operator's output.
@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 from platewise.llm import licences as LIC
 from platewise.llm import hyper_lang as HL
 from platewise.llm import mixing as MIX
+from platewise.llm.ball_codes import compress
 from platewise.llm.block_names import exact_groups
 from platewise.llm.common import crc_mod, read
 from platewise.llm.ego_join import link_vectors
 from platewise.llm.html_main import extract_pages
+from platewise.llm.kd_shards import assign_shards
 from platewise.llm.line_dedup import dedup_lines
 from platewise.llm.packing import pack
+from platewise.llm.qr_whiten import whiten
 from platewise.llm.setsketch import near_groups
 from platewise.llm.suffix_lm import score_documents
 
@@ -199,6 +202,99 @@ def op10_html_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
 
 
+def op11_cholesky_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whiten(read(spark, sf_dir, "embeddings"))
+    return (out.select(F.col("id").alias("vec_id"), "n", "deviation", "explained", "identity_error", F.posexplode("whitened"))
+            .select("vec_id", (F.col("pos") + 1).alias("component"), "n", "deviation", F.col("col").alias("whitened"),
+                    F.element_at("explained", F.col("pos") + 1).alias("explained"), "identity_error"))
+
+
+def op12_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = compress(read(spark, sf_dir, "embeddings"))
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", "codebooks_sha256")
+
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Every part against every entry in every round; squares of integers are exact in doubles."""
+    assign = """
+a{r} AS (SELECT id, part, min(d * 1024 + entry) AS best FROM (
+  SELECT p.id, p.part, b.entry, (list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, b.x) + list_inner_product(b.x, b.x))::BIGINT AS d
+  FROM p JOIN b{r} b USING (part)) GROUP BY id, part),"""
+    move = """
+m{r} AS (SELECT part, entry, list(c ORDER BY pos)::DOUBLE[] AS x FROM (
+  SELECT part, best % 1024 AS entry, pos, floor(sum(c) / count(*)) AS c
+  FROM (SELECT part, best, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM p JOIN a{r} USING (id, part))
+  GROUP BY part, best % 1024, pos) GROUP BY part, entry),
+b{n} AS (SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN m{r} m USING (part, entry)),"""
+    body = "".join(assign.format(r=r) + move.format(r=r, n=r + 1) for r in range(rounds)) + assign.format(r=rounds)
+    return f"""
+WITH v AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)) AS x FROM embeddings
+  WHERE len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+p AS (SELECT id, k AS part, x[k * (len(x) // {parts}) + 1:(k + 1) * (len(x) // {parts})] AS x FROM v, range({parts}) t(k)),
+b0 AS (
+  SELECT part, row_number() OVER (PARTITION BY part ORDER BY id) - 1 AS entry, x FROM p
+  WHERE id IN (SELECT id FROM v ORDER BY id LIMIT {entries})),{body}
+s AS (
+  SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256
+  FROM (SELECT part, entry, unnest(x) AS c, generate_subscripts(x, 1) AS pos FROM b{rounds})),
+e AS (
+  SELECT id, string_agg(printf('%02x', (best % 1024)::INT), '' ORDER BY part) AS code, sum(best // 1024)::BIGINT AS error
+  FROM a{rounds} GROUP BY id)
+SELECT id AS vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256
+FROM e JOIN v USING (id), s"""
+
+
+SQL["op12_ball_codes"] = _codes_sql()
+
+
+def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = assign_shards(read(spark, sf_dir, "documents"), shards=8)
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"), "shard_bytes")
+
+
+def _shards_sql(shards: int = 8) -> str:
+    """CRC-32 byte by byte over the reversed polynomial's table, then one window per level of the tree."""
+    level = """
+w{r} AS (SELECT node, sum(size) AS bytes, max(p0) - min(p0) AS w0, max(p1) - min(p1) AS w1, max(p2) - min(p2) AS w2 FROM l{r} GROUP BY node),
+c{r} AS (
+  SELECT l.*, w.bytes, CASE WHEN w0 >= w1 AND w0 >= w2 THEN p0 WHEN w1 >= w2 THEN p1 ELSE p2 END AS value
+  FROM l{r} l JOIN w{r} w USING (node)),
+l{n} AS (
+  SELECT id, size, crc, p0, p1, p2, spot AS place, CASE WHEN (2 * before + size) * 2 < 2 * bytes THEN node ELSE node + {half} END AS node FROM (
+  SELECT *, coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+         row_number() OVER o AS spot FROM c{r} WINDOW o AS (PARTITION BY node ORDER BY value, crc, id))),"""
+    levels, half = "", shards
+    for r in range(shards.bit_length() - 1):
+        half //= 2
+        levels += level.format(r=r, n=r + 1, half=half)
+    last = shards.bit_length() - 1
+    return f"""
+WITH RECURSIVE bits(i, j, c) AS (
+  SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL
+  SELECT i, j + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE j < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE j = 8),
+d AS (SELECT doc_id AS id, source, lang, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+crc AS (
+  SELECT id, xor(list_reduce(list_concat([4294967295], list_transform(regexp_extract_all(h, '..'), lambda b: ('0x' || b)::BIGINT)),
+         lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) AS crc FROM d, tab),
+z AS (SELECT *, length(bin(size)) * 8 + ('0b' || substr(rpad(bin(size), 4, '0'), 2, 3))::INT AS oct FROM d),
+s0 AS (SELECT source, sum(sum(size)) OVER (ORDER BY source NULLS LAST) - sum(size) AS p0 FROM z GROUP BY source),
+s1 AS (SELECT lang, sum(sum(size)) OVER (ORDER BY lang NULLS LAST) - sum(size) AS p1 FROM z GROUP BY lang),
+s2 AS (SELECT oct, sum(sum(size)) OVER (ORDER BY oct) - sum(size) AS p2 FROM z GROUP BY oct),
+l0 AS (
+  SELECT id, size, crc, p0, p1, p2, 0 AS place, 0 AS node FROM z JOIN crc USING (id) JOIN s0 ON z.source IS NOT DISTINCT FROM s0.source
+  JOIN s1 ON z.lang IS NOT DISTINCT FROM s1.lang JOIN s2 USING (oct)),{levels}
+f AS (SELECT * FROM l{last})
+SELECT id AS doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'bytes' AS law, node::INT AS shard,
+       (place - min(place) OVER (PARTITION BY node))::BIGINT AS slot, NULL::INT AS grown_shard,
+       (sum(size) OVER (PARTITION BY node))::BIGINT AS shard_bytes FROM f"""
+
+
+SQL["op13_kd_shards"] = _shards_sql()
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ego_join, op2_line_dedup, op3_block_naming, op4_hyper_lang, op5_mixing, op6_setsketch, op7_packing,
-    op8_suffix_lm, op9_licences, op10_html_tree)}
+    op8_suffix_lm, op9_licences, op10_html_tree, op11_cholesky_whitening, op12_ball_codes, op13_kd_shards)}
