@@ -9,8 +9,6 @@ per-row Python are needed.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,17 +47,6 @@ def mix_u32(h: Column, r: Column) -> Column:
     return _xs(x, 16)
 
 
-def poisson1(u: Column, kmax: int = 12) -> Column:
-    """Poisson(1) draw from a uniform by inverse CDF."""
-    cdf, term, expr = 0.0, math.exp(-1.0), None
-    for k in range(kmax):
-        cdf += term
-        term /= (k + 1)
-        cond = u < F.lit(cdf)
-        expr = F.when(cond, F.lit(k)) if expr is None else expr.when(cond, F.lit(k))
-    return expr.otherwise(F.lit(kmax))
-
-
 # ---- SQL twins (DuckDB) -------------------------------------------------
 def sql_md5_u32(expr_sql: str) -> str:
     return f"(('0x' || substr(md5({expr_sql}), 1, 8))::BIGINT)"
@@ -70,12 +57,3 @@ def sql_mix_u32(h: str, r: str) -> str:
     x = f"((xor({x}, ({x}) >> 16) * {MIX_A}) % {TWO32})"
     x = f"((xor({x}, ({x}) >> 15) * {MIX_B}) % {TWO32})"
     return f"xor({x}, ({x}) >> 16)"
-
-
-def sql_poisson1(u: str, kmax: int = 12) -> str:
-    cdf, term, parts = 0.0, math.exp(-1.0), []
-    for k in range(kmax):
-        cdf += term
-        term /= (k + 1)
-        parts.append(f"WHEN {u} < {cdf!r} THEN {k}")
-    return f"(CASE {' '.join(parts)} ELSE {kmax} END)"

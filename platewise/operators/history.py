@@ -59,7 +59,7 @@ def bo_paths(collapsed: DataFrame, selection: DataFrame, run_col: str, epoch_col
              metric: str, label_col: str, n_boot: int = 1000, seed: int = 0,
              scale: int | None = None) -> DataFrame:
     """Mean of a metric per (label, epoch) over the selected runs, with a 95 % bootstrap
-    interval (Poisson-weight bootstrap, see ``stats.bootstrap_ci``)."""
+    interval (resamples as large as their group, see ``stats.bootstrap_ci``)."""
     from platewise.operators.stats import bootstrap_ci
 
     sel = collapsed.join(selection.select(run_col, label_col), run_col, "inner")

@@ -1,190 +1,283 @@
 """The optimisation loop for one campaign or many at once.
 
-Incremental conditioning: adding a train point appends one row to the Cholesky
-factor and leaves the others unchanged. Every held-out candidate keeps its
-whitened vector w (one entry per train point of its run) and three running sums
-A = w.(L^-1 y), B = w.(L^-1 1), Q = w.w. Re-standardising y each iteration (as the
-reference does) only changes how A and B combine:
-    mu = m + A - m * B,   var = s^2 * (k(x, x) - Q).
-So an iteration is one narrow pass (update w, A, B, Q; score; pick) plus one
-partial aggregate per run -- no refit, no shuffle of the candidates. All runs of
-a sweep share the pass: ``run_id`` is part of every key.
+A run's train set is small (initial design and picks), its candidates are not. So the model
+goes to the candidates: every step ships one fitted model per run in the task closure, scores
+all candidates in one narrow pass over a table that holds each candidate's features once, and
+brings back the best rows of each run. Nothing about a run is kept beside a candidate, so a
+step neither rewrites nor shuffles candidates, memory doesn't grow with runs or steps, and a
+lost task repeats only its own share of one pass.
+
+Before a step, the hyperparameters of every run can be refitted: the marginal likelihood of
+each (run, grid point) is one row of a DataFrame, so a sweep's refits spread over tasks too.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from platewise.functions.kernels import dot, kernel_value
-from platewise.functions.normal import ei_core
-from platewise.operators.acquire import MIN_VAR
-from platewise.operators.surrogate import GPConfig
+from platewise.functions.normal import np_ei
+from platewise.functions.rand import md5_u32
+from platewise.operators.surrogate import GPConfig, GPModel, Nei, fit_gp, log_marginal_likelihood, nei_model, predict_np
 from platewise.session import cut_lineage
 
+ACQUISITIONS = {"ucb", "ei", "nei", "random"}
+BATCHES = {"top", "greedy"}
+
 
-ACQUISITIONS = {"ucb", "ei", "random"}
+class Step(NamedTuple):
+    """One iteration of one run."""
+    run_id: str
+    iteration: int
+    best_so_far: float
+    suggestion_id: object
+    suggestion_y: float
+    acq_sum: float | None
+    picked: list
+    lengthscale: float
+    outputscale: float
+    noise: float
 
 
 @dataclass
-class RunState:
-    """Driver-side state of one run: rows of L are implicit in (w(t), L_tt)."""
-    acquisition: str = "ucb"
-    seed: int = 0
+class Run:
+    """What a run knows: its observed rows, in order, and its present hyperparameters."""
+    acquisition: str
+    seed: int
+    cfg: GPConfig
     ids: list = field(default_factory=list)
+    xs: list = field(default_factory=list)
     ys: list = field(default_factory=list)
-    u: list = field(default_factory=list)    # L^-1 y
-    v1: list = field(default_factory=list)   # L^-1 1
-
-
-def _pydot(a: Sequence[float], b: Sequence[float]) -> float:
-    s = 0.0
-    for x, y in zip(a, b):
-        s += x * y
-    return s
-
-
-def _mean_sd(ys: Sequence[float]) -> tuple[float, float]:
-    n = len(ys)
-    m = 0.0
-    for v in ys:
-        m += v
-    m /= n
-    if n < 2:
-        return m, 1.0
-    ss = 0.0
-    for v in ys:
-        ss += (v - m) * (v - m)
-    s = math.sqrt(ss / (n - 1))
-    return m, (s if s > 0 else 1.0)
-
-
-def init_state(cands: DataFrame, run_ids: Sequence, id_col: str, features: str, y: str) -> DataFrame:
-    """One state row per (run, candidate): empty w, zero sums."""
-    base = cands.select(id_col, features, y)
-    # every run scores every candidate: the state is runs x candidates by definition,
-    # generated by exploding the (parameter-sized) run list inside each task
-    return (base.withColumn("run_id", F.explode(F.array(*[F.lit(str(r)) for r in run_ids])))
-            .withColumn("w", F.array().cast("array<double>"))
-            .withColumn("A", F.lit(0.0)).withColumn("B", F.lit(0.0)).withColumn("Q", F.lit(0.0))
-            .withColumn("observed", F.lit(False)))
-
-
-def add_points(state: DataFrame, picks: dict, runs: dict[str, RunState], cfg: GPConfig,
-               id_col: str, features: str) -> DataFrame:
-    """Condition every run on its new point. ``picks``: run -> (id, features, y, w, Q)."""
-    upd = []
-    for run, (pid, pvec, py, pw, pq) in picks.items():
-        st = runs[run]
-        ltt = math.sqrt(cfg.outputscale + cfg.noise - pq)
-        ut = (py - _pydot(pw, st.u)) / ltt
-        vt = (1.0 - _pydot(pw, st.v1)) / ltt
-        st.u.append(ut)
-        st.v1.append(vt)
-        st.ids.append(pid)
-        st.ys.append(py)
-        upd.append((run, pid, [float(x) for x in pvec], [float(x) for x in pw], ltt, ut, vt))
-    tab = state.sparkSession.createDataFrame(
-        upd, f"run_id string, __pid {state.schema[id_col].dataType.simpleString()}, __pv array<double>, "
-             "__pw array<double>, __ltt double, __ut double, __vt double")
-    j = state.join(F.broadcast(tab), "run_id", "left")
-    kx = kernel_value(cfg.kernel, F.col(features), F.col("__pv"), cfg.lengthscale, cfg.outputscale, cfg.alpha)
-    wt = (kx - dot(F.col("w"), F.col("__pw"))) / F.col("__ltt")
-    has = F.col("__pid").isNotNull()
-    j = j.withColumn("__wt", F.when(has, wt))
-    j = (j.withColumn("A", F.when(has, F.col("A") + F.col("__wt") * F.col("__ut")).otherwise(F.col("A")))
-         .withColumn("B", F.when(has, F.col("B") + F.col("__wt") * F.col("__vt")).otherwise(F.col("B")))
-         .withColumn("Q", F.when(has, F.col("Q") + F.col("__wt") * F.col("__wt")).otherwise(F.col("Q")))
-         .withColumn("w", F.when(has, F.concat(F.col("w"), F.array(F.col("__wt")))).otherwise(F.col("w")))
-         .withColumn("observed", F.col("observed") | (has & (F.col(id_col) == F.col("__pid")))))
-    return j.drop("__pid", "__pv", "__pw", "__ltt", "__ut", "__vt", "__wt")
-
-
-def score(state: DataFrame, runs: dict[str, RunState], cfg: GPConfig, id_col: str, beta: float = 0.1) -> DataFrame:
-    """Posterior (mu, var) and acquisition for every held-out row of every run; null for random runs."""
-    rows = []
-    for run, st in runs.items():
-        m, s = _mean_sd(st.ys)
-        rows.append((run, m, s, max(st.ys), st.acquisition, st.seed, len(st.ys)))
-    tab = state.sparkSession.createDataFrame(
-        rows, "run_id string, __m double, __s double, __best double, __acq string, __seed bigint, __it bigint")
-    j = state.filter(~F.col("observed")).join(F.broadcast(tab), "run_id")
-    mu = F.col("__m") + F.col("A") - F.col("__m") * F.col("B")
-    var = F.greatest(F.col("__s") * F.col("__s") * (F.lit(cfg.outputscale) - F.col("Q")), F.lit(0.0))
-    j = j.withColumn("mu", mu).withColumn("var", var)
-    sd = F.sqrt(F.greatest(F.col("var"), F.lit(MIN_VAR)))
-    z = (F.col("mu") - F.col("__best")) / sd
-    acq = (F.when(F.col("__acq") == "ucb", F.col("mu") + F.sqrt(F.lit(beta) * F.col("var")))
-           .when(F.col("__acq") == "ei", sd * ei_core(z)))
-    # a random run takes the lowest draw of its seed, step and id, in the same aggregate
-    draw = F.when(F.col("__acq") == "random", F.md5(F.concat_ws(":", "__seed", "__it", F.col(id_col).cast("string"))))
-    return (j.withColumn("acq", acq).withColumn("draw", draw)
-            .drop("__m", "__s", "__best", "__acq", "__seed", "__it"))
-
-
-def pick_per_run(scored: DataFrame, id_col: str, features: str, y: str) -> list:
-    """Top acquisition (random runs: lowest draw) per run, ties to the lowest id, and the
-    acquisition sum: one partial aggregate for all runs."""
-    cols = F.struct(F.col(id_col).alias("id"), F.col(features).alias("x"), F.col(y).alias("y"),
-                    F.col("w").alias("w"), F.col("Q").alias("q"))
-    return scored.groupBy("run_id").agg(
-        F.min_by(cols, F.struct(F.coalesce(-F.col("acq"), F.lit(0.0)), F.coalesce("draw", F.lit("")), F.col(id_col))).alias("pick"),
-        F.sum("acq").alias("acq_sum")).collect()
-
-
-def run_sweep(cands: DataFrame, id_col: str, features: str, y: str, runs: dict[str, dict],
-              n_init: int, n_iters: int, cfg: GPConfig = GPConfig(), beta: float = 0.1,
-              checkpoint_every: int = 3) -> list[tuple]:
-    """G13 (G11 is one run): every run starts from its own md5(seed) design of ``n_init``
-    points and then picks ``n_iters`` points by its acquisition.
-
-    ``runs``: run_id -> {"seed": int, "acquisition": "ucb" | "ei" | "random"}.
-    Returns trace rows (run_id, iteration, best_so_far, suggestion_id, suggestion_y, acq_sum).
-    """
-    from platewise.operators.design import init_random
 
-    if cfg.kernel == "linear":
-        raise ValueError("the incremental loop needs a stationary kernel (k(x, x) constant)")
-    st = {r: RunState(acquisition=c.get("acquisition", "ucb"), seed=c.get("seed", 0)) for r, c in runs.items()}
-    unknown = {s.acquisition for s in st.values()} - ACQUISITIONS
+    def add(self, rows: Sequence[Row]) -> None:
+        for r in rows:
+            self.ids.append(r["id"])
+            self.xs.append(np.frombuffer(r["x"]))
+            self.ys.append(float(r["y"]))
+
+
+@dataclass
+class Scorer:
+    """One run as the tasks see it."""
+    run_id: str
+    acquisition: str
+    model: GPModel
+    seen: np.ndarray
+    best: float
+    beta: float
+    nei: Nei | None = None
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        if self.nei is not None:
+            return self.nei(x)
+        mu, var = predict_np(self.model, x)
+        if self.acquisition == "ucb":
+            return mu + np.sqrt(self.beta * var)
+        return np_ei(mu, var, self.best)
+
+
+def pack_candidates(cands: DataFrame, id_col: str, features: str, y: str) -> DataFrame:
+    """(id, x binary, y): every candidate once, written where a lost executor finds it again.
+
+    Rows with a null id, target or features, or a null or NaN feature, can't be scored or
+    observed and are left out."""
+    whole = F.coalesce(~F.exists(features, lambda v: v.isNull() | F.isnan(v.cast("double"))), F.lit(False))
+    d = cands.filter(whole & F.col(id_col).isNotNull() & F.col(y).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(x=[np.asarray(v, float).tobytes() for v in pdf["x"]])
+
+    return cut_lineage(d.mapInPandas(pack, f"id {d.schema['id'].dataType.simpleString()}, x binary, y double"))
+
+
+def _lowest_draws(rows: DataFrame, k: int) -> DataFrame:
+    """The k rows of each run with the lowest ``draw``, ties to the lowest id (limited before the shuffle)."""
+    w = Window.partitionBy("run_id").orderBy("draw", "id")
+    return rows.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= k)
+
+
+def initial_designs(cands: DataFrame, runs: Mapping[str, Run], n_init: int) -> None:
+    """Every run observes its n_init lowest md5(seed:id) draws: one pass for all seeds."""
+    seeds = sorted({r.seed for r in runs.values()})
+    drawn = cands.withColumn("run_id", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    drawn = drawn.withColumn("draw", md5_u32(F.col("run_id"), F.col("id")))
+    rows = _lowest_draws(drawn, n_init).orderBy("run_id", "pick").collect()  # seeds x n_init rows
+    for r in runs.values():
+        r.add([x for x in rows if x["run_id"] == r.seed])
+
+
+def given_designs(cands: DataFrame, runs: Mapping[str, Run], designs: Mapping[str, Sequence]) -> None:
+    """Every run observes the ids given for it, in that order."""
+    wanted = sorted({i for ids in designs.values() for i in ids})
+    found = {r["id"]: r for r in cands.filter(F.col("id").isin(wanted)).collect()}
+    for name, r in runs.items():
+        r.add([found[i] for i in designs[name]])
+
+
+def refit(spark, runs: Mapping[str, Run], grid: Sequence[tuple[float, float, float]]) -> None:
+    """Give every run the grid point (lengthscale, outputscale, noise) of the largest marginal
+    likelihood of its observations; ties go to the first point, points whose matrix is not
+    positive definite fall out, and a run without any keeps what it has."""
+    names = list(runs)
+    known = [(np.array(r.xs), np.array(r.ys), r.cfg) for r in runs.values()]
+    points = [tuple(map(float, g)) for g in grid]
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k in pdf["id"]:
+                run, point = divmod(int(k), len(points))
+                x, y, cfg = known[run]
+                ls, os, noise = points[point]
+                try:
+                    lml = log_marginal_likelihood(x, y, replace(cfg, lengthscale=ls, outputscale=os, noise=noise))
+                except np.linalg.LinAlgError:
+                    continue
+                out.append((run, point, lml))
+            yield pd.DataFrame(out, columns=["run", "point", "lml"])
+
+    rows = spark.range(0, len(names) * len(points), 1, min(len(names) * len(points), spark.sparkContext.defaultParallelism))
+    best = (rows.mapInPandas(score, "run int, point int, lml double").groupBy("run")
+            .agg(F.max_by("point", F.struct("lml", -F.col("point"))).alias("point")).collect())
+    for b in best:
+        r = runs[names[b["run"]]]
+        ls, os, noise = points[b["point"]]
+        r.cfg = replace(r.cfg, lengthscale=ls, outputscale=os, noise=noise)
+
+
+def best_rows(cands: DataFrame, scorers: Sequence[Scorer], b: int) -> list[Row]:
+    """The b best unseen candidates of every run (ties to the lowest id) with the sum of all
+    acquisition values. A task keeps b rows per run while it reads its share; their number,
+    runs x b per task, is what is shuffled."""
+    kind = cands.schema["id"].dataType.simpleString()
+
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame | None] = [None] * len(scorers)
+        total = [0.0] * len(scorers)
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.frombuffer(b"".join(pdf["x"])).reshape(len(pdf), -1)
+            ids = pdf["id"].to_numpy()
+            for k, s in enumerate(scorers):
+                free = np.flatnonzero(~np.isin(ids, s.seen))
+                if not len(free):
+                    continue
+                acq = s(x[free])
+                total[k] += float(acq.sum())
+                if len(free) > b:
+                    top = np.flatnonzero(acq >= np.partition(acq, -b)[-b])
+                    free, acq = free[top], acq[top]
+                here = pdf.iloc[free].assign(acq=acq)
+                both = here if kept[k] is None else pd.concat([kept[k], here])
+                kept[k] = both.sort_values(["acq", "id"], ascending=[False, True]).head(b)
+        out = [rows.assign(run_id=s.run_id, total=[t] + [0.0] * (len(rows) - 1))
+               for rows, s, t in zip(kept, scorers, total) if rows is not None]
+        if out:
+            yield pd.concat(out)[["run_id", "id", "x", "y", "acq", "total"]]
+
+    rows = cands.mapInPandas(part, f"run_id string, id {kind}, x binary, y double, acq double, total double")
+    w = Window.partitionBy("run_id")
+    return (rows.withColumn("pick", F.row_number().over(w.orderBy(F.col("acq").desc(), "id")))
+            .withColumn("total", F.sum("total").over(w)).filter(F.col("pick") <= b)
+            .orderBy("run_id", "pick").collect())  # runs x b rows
+
+
+def random_rows(cands: DataFrame, runs: Mapping[str, Run], b: int) -> list[Row]:
+    """The b unseen candidates of every run with the lowest md5(seed:step:id)."""
+    specs = F.explode(F.array(*[F.struct(
+        F.lit(n).alias("run_id"), F.lit(r.seed).alias("seed"), F.lit(len(r.ys)).alias("step"),
+        F.array(*[F.lit(i) for i in r.ids]).alias("seen")) for n, r in runs.items()]))
+    d = cands.withColumn("s", specs).select("s.*", "id", "x", "y").filter(~F.array_contains("seen", F.col("id")))
+    d = d.withColumn("draw", F.md5(F.concat_ws(":", "seed", "step", F.col("id").cast("string")))).drop("seen", "seed", "step")
+    return (_lowest_draws(d, b).withColumn("total", F.lit(None).cast("double")).withColumn("acq", F.col("total"))
+            .orderBy("run_id", "pick").collect())  # runs x b rows
+
+
+def _scorer(name: str, r: Run, beta: float, believed: Sequence[Row] = ()) -> Scorer:
+    """``believed``: picks of the same batch, taken as observed at their posterior mean; that
+    leaves every mean as it is and takes the variance that they would explain."""
+    x, y = np.array(r.xs), np.array(r.ys)
+    model = fit_gp(x, y, r.cfg)
+    seen = list(r.ids)
+    if believed:
+        more = np.array([np.frombuffer(p["x"]) for p in believed])
+        mu, _ = predict_np(model, more)
+        model = fit_gp(np.vstack([x, more]), np.append(y, mu), r.cfg, moments=(model.mean, model.scale))
+        seen += [p["id"] for p in believed]
+    nei = nei_model(model) if r.acquisition == "nei" else None
+    return Scorer(name, r.acquisition, model, np.array(seen), float(y.max()), beta, nei)
+
+
+def choose(cands: DataFrame, runs: Mapping[str, Run], b: int, batch: str, beta: float) -> tuple[dict[str, list[Row]], dict]:
+    """(picks, acquisition sum) of every run. ``top`` takes the b best of one scoring; ``greedy``
+    scores anew after each pick, given the picks before it."""
+    scored = {n: r for n, r in runs.items() if r.acquisition != "random"}
+    drawn = {n: r for n, r in runs.items() if r.acquisition == "random"}
+    picks: dict[str, list[Row]] = {n: [] for n in runs}
+    sums: dict[str, float | None] = {n: None for n in runs}
+    rounds, each = (b, 1) if batch == "greedy" else (1, b)
+    if scored:
+        for k in range(rounds):
+            for row in best_rows(cands, [_scorer(n, r, beta, picks[n]) for n, r in scored.items()], each):
+                picks[row["run_id"]].append(row)
+                if k == 0:
+                    sums[row["run_id"]] = row["total"]
+    if drawn:
+        for row in random_rows(cands, drawn, b):
+            picks[row["run_id"]].append(row)
+    return picks, sums
+
+
+def run_sweep(cands: DataFrame, id_col: str, features: str, y: str, runs: Mapping[str, Mapping],
+              n_init: int, n_iters: int, cfg: GPConfig = GPConfig(), beta: float = 0.1, b: int = 1,
+              batch: str = "top", grid: Sequence[tuple[float, float, float]] | None = None,
+              designs: Mapping[str, Sequence] | None = None) -> list[Step]:
+    """G13 (G11 is one run): every run observes its initial design and then, ``n_iters`` times,
+    refits, scores all candidates it has not observed, and observes the ``b`` it picks.
+
+    ``runs``: run_id -> {"seed": int, "acquisition": "ucb" | "ei" | "nei" | "random"}. The
+    design of a run is its ``n_init`` lowest md5(seed:id) draws, or the ids ``designs`` gives.
+    ``grid``: (lengthscale, outputscale, noise) points; the best one by marginal likelihood is
+    taken before every step (runs that pick at random skip that). Without a grid ``cfg`` stays.
+    ``batch``: the b best of one scoring ("top"), or one after the other, each given those
+    before ("greedy"). A run that has observed every candidate stops.
+    """
+    state = {n: Run(c.get("acquisition", "ucb"), c.get("seed", 0), cfg) for n, c in runs.items()}
+    unknown = {r.acquisition for r in state.values()} - ACQUISITIONS
     if unknown:
         raise ValueError(f"unknown acquisition {sorted(unknown)}; choose from {sorted(ACQUISITIONS)}")
-    state = cut_lineage(init_state(cands, list(runs), id_col, features, y))
-    # initial designs, conditioned one point at a time with the same update
-    designs = {r: init_random(cands, id_col, n_init, c.get("seed", 0)) for r, c in runs.items()}
-    for j in range(n_init):
-        want = {r: designs[r][j] for r in runs}
-        cond = None
-        for r, pid in want.items():
-            e = (F.col("run_id") == r) & (F.col(id_col) == F.lit(pid))
-            cond = e if cond is None else cond | e
-        rows = state.filter(cond).select("run_id", id_col, features, y, "w", "Q").collect()
-        picks = {r["run_id"]: (r[id_col], r[features], r[y], r["w"], r["Q"]) for r in rows}
-        state = add_points(state, picks, st, cfg, id_col, features)
-        if (j + 1) % checkpoint_every == 0:
-            state = cut_lineage(state)
+    if batch not in BATCHES:
+        raise ValueError(f"unknown batch '{batch}'; choose from {sorted(BATCHES)}")
+    packed = pack_candidates(cands, id_col, features, y)
+    if designs is None:
+        initial_designs(packed, state, n_init)
+    else:
+        given_designs(packed, state, designs)
     trace = []
     for it in range(n_iters):
-        scored = score(state, st, cfg, id_col, beta)
-        picks_rows = pick_per_run(scored, id_col, features, y)
-        picks = {}
-        for row in picks_rows:
-            p = row["pick"]
-            picks[row["run_id"]] = (p["id"], p["x"], p["y"], p["w"], p["q"])
-            trace.append((row["run_id"], it, max(st[row["run_id"]].ys), p["id"], float(p["y"]),
-                          float(row["acq_sum"]) if row["acq_sum"] is not None else None))
-        state = add_points(state, picks, st, cfg, id_col, features)
-        if (it + 1) % checkpoint_every == 0:
-            state = cut_lineage(state)
+        fitted = {n: r for n, r in state.items() if r.acquisition != "random"}
+        if grid and fitted:
+            refit(cands.sparkSession, fitted, grid)
+        picks, sums = choose(packed, state, b, batch, beta)
+        for n, r in state.items():
+            if picks[n]:
+                trace.append(Step(n, it, max(r.ys), picks[n][0]["id"], max(p["y"] for p in picks[n]), sums[n],
+                                  [p["id"] for p in picks[n]], r.cfg.lengthscale, r.cfg.outputscale, r.cfg.noise))
+                r.add(picks[n])
     return trace
 
 
 def optimise(cands: DataFrame, id_col: str, features: str, y: str, n_init: int, n_iters: int,
-             acquisition: str = "ucb", seed: int = 0, cfg: GPConfig = GPConfig(), beta: float = 0.1) -> list[tuple]:
+             acquisition: str = "ucb", seed: int = 0, cfg: GPConfig = GPConfig(), beta: float = 0.1, **options) -> list[Step]:
     """One campaign; the trace logs best-so-far, suggestion and acquisition sum per iteration."""
     return run_sweep(cands, id_col, features, y, {"run": {"seed": seed, "acquisition": acquisition}},
-                     n_init, n_iters, cfg, beta)
+                     n_init, n_iters, cfg, beta, **options)

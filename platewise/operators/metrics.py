@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.functions.moments import stddev_samp, var_pop, var_samp
 from platewise.functions.normal import norm_ppf
 from platewise.operators.ordered import global_rank
 
@@ -20,7 +21,7 @@ LN_2PI = math.log(2.0 * math.pi)
 
 
 def _sst(y: str) -> Column:
-    return F.var_pop(y) * F.count(y)
+    return var_pop(y) * F.count(y)
 
 
 # ------------------------------------------------------------------ H1
@@ -93,7 +94,7 @@ def tail_scores(df: DataFrame, id_cols: Sequence[str], y: str = "y", mu: str = "
 def target_stats(df: DataFrame, y: str = "y", features: str | None = "features") -> DataFrame:
     """H6: max, mean, sample sd, sample variance, feature dimension and count of the target."""
     aggs = [F.max(y).alias("target_stat_max"), F.avg(y).alias("target_stat_mean"),
-            F.stddev_samp(y).alias("target_stat_std"), F.var_samp(y).alias("target_stat_var"),
+            stddev_samp(y).alias("target_stat_std"), var_samp(y).alias("target_stat_var"),
             F.count(y).alias("input_stat_n_points")]
     if features:
         aggs.append(F.max(F.size(features)).cast("bigint").alias("input_stat_feature_dimension"))

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.functions.moments import stddev_samp
 from platewise.operators.ordered import global_rank
 
 
@@ -151,7 +152,7 @@ def describe_by(df: DataFrame, by: Sequence[str], metrics: Sequence[str],
     for m in metrics:
         c = F.col(m)
         aggs += [F.count(c).alias(f"{m}_count"), F.avg(c).alias(f"{m}_mean"),
-                 F.stddev_samp(c).alias(f"{m}_std"), F.min(c).cast("double").alias(f"{m}_min"),
+                 stddev_samp(c).alias(f"{m}_std"), F.min(c).cast("double").alias(f"{m}_min"),
                  F.max(c).cast("double").alias(f"{m}_max")]
         if not exact:
             aggs.append(F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).cast("array<double>").alias(f"__{m}_q"))
@@ -189,7 +190,7 @@ def mean_sd_label(df: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> D
     """``mean ± sd`` text with two decimals per group and metric."""
     aggs = []
     for m in metrics:
-        aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std")]
+        aggs += [F.avg(m).alias(f"{m}_mean"), stddev_samp(m).alias(f"{m}_std")]
     g = df.filter(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])).groupBy(*by).agg(*aggs)
     return g.withColumns({f"{m}_label": F.concat(fmt2(F.col(f"{m}_mean")), F.lit(" ± "), fmt2(F.col(f"{m}_std")))
                           for m in metrics})

@@ -12,6 +12,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.functions.moments import stddev_pop, stddev_samp
 from platewise.functions.rand import md5_u32
 from platewise.operators.ordered import global_rank
 
@@ -19,8 +20,8 @@ from platewise.operators.ordered import global_rank
 def dim_stats(df: DataFrame, features: str = "features") -> list[dict]:
     """Per-dimension count, mean, population and sample sd, min and max (d rows)."""
     long = df.select(F.posexplode(features).alias("dim", "v"))
-    rows = (long.groupBy("dim").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd_pop"),
-                                    F.stddev_samp("v").alias("sd_samp"), F.min("v").alias("min"),
+    rows = (long.groupBy("dim").agg(F.avg("v").alias("mean"), stddev_pop("v").alias("sd_pop"),
+                                    stddev_samp("v").alias("sd_samp"), F.min("v").alias("min"),
                                     F.max("v").alias("max"))
             .orderBy("dim").collect())
     return [r.asDict() for r in rows]
@@ -31,7 +32,7 @@ def fit_scale(train: DataFrame, features: str = "features") -> dict:
     """D1 fit: mean and population sd per dimension (sd 0 -> 1)."""
     st = dim_stats(train, features)
     return {"mean": [s["mean"] for s in st],
-            "scale": [(s["sd_pop"] if s["sd_pop"] not in (None, 0.0) else 1.0) for s in st]}
+            "scale": [(s["sd_pop"] or 1.0) for s in st]}
 
 
 def apply_scale(df: DataFrame, stats: dict, features: str = "features", out_col: str | None = None) -> DataFrame:
@@ -93,8 +94,8 @@ def pca_project(df: DataFrame, c: int, features: str = "features", scale: bool =
 # ------------------------------------------------------------------ D4
 def standardize_outcome(df: DataFrame, y: str = "y", out_col: str = "y_std") -> tuple[DataFrame, float, float]:
     """Target to mean 0 and sample sd 1 (returns the two constants to map back)."""
-    r = df.agg(F.avg(y).alias("m"), F.stddev_samp(y).alias("s")).first()
-    m, s = float(r["m"]), float(r["s"]) if r["s"] not in (None, 0.0) else 1.0
+    r = df.agg(F.avg(y).alias("m"), stddev_samp(y).alias("s")).first()
+    m, s = float(r["m"]), float(r["s"] or 1.0)
     return df.withColumn(out_col, (F.col(y) - F.lit(m)) / F.lit(s)), m, s
 
 

@@ -9,66 +9,94 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from platewise.functions.rand import TWO32, md5_u32, mix_u32, poisson1
+from platewise.functions.moments import stddev_samp, var_samp
+from platewise.functions.normal import two_sided_normal_p
+from platewise.functions.rand import TWO32, md5_u32, mix_u32
+from platewise.operators.ordered import global_cumsum, global_rank, small_side
+from platewise.session import cut_lineage
 
 
 # ------------------------------------------------------------------ K8
-def poisson_replicates(df: DataFrame, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:
-    """Attach (rep, w): Poisson(1) bootstrap weights for n replicates.
+DRAW_BLOCK = 1024  # rows of a group whose values travel together
 
-    Each row is expanded n times inside its task and immediately summed per
-    (group, replicate) by the caller, so the shuffle carries groups x n rows,
-    never rows x n; no resample indices or row numbers are needed, and a hot group
-    is spread over all map tasks.
+
+def resamples(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(by..., rep, value): n resamples with replacement of every group, each exactly as large as the group.
+
+    A draw is made in two steps. Every row of a group draws a place in its group for each
+    replicate, of which only the block of ``DRAW_BLOCK`` places is kept: the counts per
+    (group, replicate, block) are multinomial and add up to the size of the group, and are
+    combined before they are shuffled. Each block then draws as many of its own rows as it was
+    given. So the shuffle carries every value once, and counts; neither places nor draws travel,
+    and a hot group is as many blocks as it needs. Draws are hashes of the ids: reruns agree.
     """
-    h = md5_u32(F.lit(str(seed)), *[F.col(c) for c in id_cols])
-    d = df.withColumn("__h", h).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    u = mix_u32(F.col("__h"), F.col("rep")) / F.lit(float(TWO32))
-    return d.withColumn("w", poisson1(u)).drop("__h")
+    by = list(by)
+    d = df.select(*by, F.col(value).alias("__v"), md5_u32(F.lit(str(seed)), *[F.col(c) for c in id_cols]).alias("__h"),
+                  *[F.col(c).alias(f"__i{k}") for k, c in enumerate(id_cols)])
+    rank = global_rank(d, [*by, *[f"__i{k}" for k in range(len(id_cols))]], out_col="__r")
+    groups = rank.groupBy(*by).agg(F.min("__r").alias("__g"), F.count(F.lit(1)).alias("__n"))
+    same = [F.col(f"__b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)]
+    if by:
+        rank = rank.join(small_side(groups.select(*[F.col(c).alias(f"__b{k}") for k, c in enumerate(by)], "__g", "__n")),
+                         reduce(lambda x, y: x & y, same)).drop(*[f"__b{k}" for k in range(len(by))])
+    else:
+        g = groups.first()
+        rank = rank.withColumn("__g", F.lit(g["__g"]).cast("bigint")).withColumn("__n", F.lit(g["__n"]).cast("bigint"))
+    place = F.col("__r") - F.col("__g")
+    block = lambda c: F.floor(c / F.lit(DRAW_BLOCK)).cast("bigint").alias("__block")
+    unit = lambda h, r: mix_u32(h, r) / F.lit(float(TWO32))
+    blocks = rank.groupBy(*by, "__g", block(place)).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "__v"))), lambda x: x["__v"]).alias("__values"))
+    votes = rank.select("__g", "__n", "__h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
+    votes = votes.groupBy("__g", "rep", block(F.floor(unit(F.col("__h"), F.col("rep")) * F.col("__n")))).agg(
+        F.count(F.lit(1)).alias("c"))
+    votes = votes.groupBy("__g", "__block").agg(F.collect_list(F.struct("rep", "c")).alias("__counts"))
+    dealt = blocks.join(votes, ["__g", "__block"]).select(*by, "__g", "__block", "__values", F.explode("__counts").alias("s"))
+    own = md5_u32(F.lit(str(seed)), F.col("__g"), F.col("__block"), F.col("s.rep"))
+    drawn = dealt.select(*by, F.col("s.rep").alias("rep"), "__values", own.alias("__h"),
+                         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("s.c"))).alias("j"))
+    at = F.floor(unit(F.col("__h"), F.col("j")) * F.size("__values")).cast("int") + 1
+    return drawn.select(*by, "rep", F.element_at("__values", at).alias(value))
 
 
 def bootstrap_ci(df: DataFrame, by: Sequence[str], metric: str, id_cols: Sequence[str],
                  n: int = 1000, seed: int = 0, level: float = 0.95, scale: int | None = None) -> DataFrame:
-    """K8: group mean with a percentile bootstrap interval (linear interpolation).
+    """K8: group mean with a percentile bootstrap interval (linear interpolation); a replicate
+    is as large as its group. Null values are left out.
 
     ``scale``: when the metric is fixed-point with that many decimals (prices, cents),
-    weighted sums are accumulated exactly as integers, so the replicate means do
-    not depend on summation order.
+    sums are accumulated exactly as integers, so the replicate means do not depend on
+    summation order.
     """
     by = list(by)
+    df = df.filter(F.col(metric).isNotNull())
     base = df.groupBy(*by).agg(F.avg(metric).alias("mean"), F.count(metric).alias("n"))
     src = df.select(*by, *[c for c in id_cols if c not in by], metric)
-    if scale is not None:  # integer units once per input row, not once per replicate row
-        src = src.withColumn("__units", F.round(F.col(metric) * F.lit(10 ** scale)).cast("bigint"))
-    reps = poisson_replicates(src, id_cols, n, seed)
-    if scale is None:
-        wsum = F.sum(F.col("w") * F.col(metric))
-        mean = wsum / F.sum("w")
-    else:
-        mean = F.sum(F.col("w") * F.col("__units")) / (F.sum("w") * F.lit(float(10 ** scale)))
-    per_rep = (reps.groupBy(*by, "rep")
-               .agg(mean.alias("m"), F.sum("w").alias("sw"))
-               .filter(F.col("sw") > 0))
+    if scale is not None:  # integer units once per input row, not once per draw
+        src = src.withColumn(metric, F.round(F.col(metric) * F.lit(10 ** scale)).cast("bigint"))
+    mean = F.avg(metric) if scale is None else F.sum(metric) / (F.count(F.lit(1)) * F.lit(float(10 ** scale)))
+    per_rep = resamples(src, by, metric, id_cols, n, seed).groupBy(*by, "rep").agg(mean.alias("m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     ci = per_rep.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("__ci"))
-    return base.join(ci, by, "left").select(*by, "mean", "n", F.col("__ci")[0].alias("ci_lo"),
+    if not by:
+        c = ci.first()["__ci"] or [None, None]
+        return base.select("mean", "n", F.lit(c[0]).cast("double").alias("ci_lo"), F.lit(c[1]).cast("double").alias("ci_hi"))
+    ci = ci.select(*[F.col(c).alias(f"__b{k}") for k, c in enumerate(by)], "__ci")
+    on = reduce(lambda x, y: x & y, [F.col(f"__b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)])
+    return base.join(ci, on, "left").select(*by, "mean", "n", F.col("__ci")[0].alias("ci_lo"),
                                             F.col("__ci")[1].alias("ci_hi"))
 
 
-import pandas as pd  # noqa: E402
-
-from platewise.functions.normal import two_sided_normal_p  # noqa: E402
-
-
 # ------------------------------------------------------------------ Student t (Welch p)
 def _betainc_cf(a, b, x, iters: int = 300):
     """Regularised incomplete beta I_x(a, b) (numpy, vectorised; Lentz continued fraction)."""
-    import numpy as np
-
     a, b, x = (np.asarray(v, dtype=float) for v in (a, b, x))
     out = np.full(x.shape, np.nan)
     ok = np.isfinite(a) & np.isfinite(b) & np.isfinite(x) & (a > 0) & (b > 0)
@@ -114,8 +142,6 @@ def _betainc_cf(a, b, x, iters: int = 300):
 
 def student_t_two_sided_p(t, df):
     """Two-sided Student-t p-value, I_{df/(df+t^2)}(df/2, 1/2), vectorised."""
-    import numpy as np
-
     t = np.asarray(t, dtype=float)
     df = np.asarray(df, dtype=float)
     return _betainc_cf(df / 2.0, np.full_like(df, 0.5), df / (df + t * t))
@@ -130,11 +156,83 @@ def welch_p(t: Column, dof: Column) -> Column:
     return F.pandas_udf(_welch_p_batch, "double")(t, dof)
 
 
+# ------------------------------------------------------------------ exact p of the rank tests (K1, K6)
+EXACT_U = 8  # rows of the smaller level up to which the U distribution is counted out
+EXACT_AREA = 1e7  # product of both sizes up to which that is done; beyond, the steps of U are below 1e-6 of its range
+EXACT_KS = 10_000  # rows of the larger sample up to which the paths of D are counted out
+
+
+def u_distribution(m: int, n: int) -> np.ndarray:
+    """P(U = 0), P(U = 1), ... up to the middle, for samples of m and n rows without ties.
+
+    The number of arrangements with U = u is that of partitions of u into at most m parts of at
+    most n, the coefficients of prod (1 - q^(n + i)) / (1 - q^i); each factor is taken as a
+    share of all arrangements, so nothing overflows.
+    """
+    m, n = min(m, n), max(m, n)
+    half = m * n // 2 + 1
+    c = np.zeros(half)
+    c[0] = 1.0
+    for i in range(1, m + 1):
+        c[n + i:] -= c[:max(0, half - n - i)].copy()
+        for r in range(i):
+            c[r::i] = np.cumsum(c[r::i])
+        c *= i / (n + i)
+    return np.maximum(c, 0.0)
+
+
+def _rank_sum_p_batch(m: pd.Series, n: pd.Series, u: pd.Series) -> pd.Series:
+    known: dict[tuple[int, int], np.ndarray] = {}
+    out = np.full(len(u), np.nan)
+    for k, (a, b, top) in enumerate(zip(m, n, u)):
+        if not (0 < min(a, b) <= EXACT_U and a * b <= EXACT_AREA):
+            continue
+        key = (int(min(a, b)), int(max(a, b)))
+        if key not in known:
+            known[key] = np.cumsum(u_distribution(*key))
+        low = int(round(a * b - top))  # the two tails mirror each other
+        out[k] = min(1.0, 2.0 * known[key][min(low, len(known[key]) - 1)])
+    return pd.Series(out)
+
+
+def rank_sum_p(m: Column, n: Column, u: Column) -> Column:
+    """Exact two-sided p of the larger U (Arrow-batched, on aggregated rows only)."""
+    return F.pandas_udf(_rank_sum_p_batch, "double")(m, n, u)
+
+
+def ks_outside(m: int, n: int, d: float) -> float:
+    """P(D >= d) for samples of m and n rows: the share of lattice paths from (0, 0) to (m, n)
+    that touch |i / m - j / n| >= d. All orders of the pooled rows are equally likely, so the
+    path comes to (i, j) from (i - 1, j) with probability i / (i + j); diagonal by diagonal."""
+    if m > n:
+        m, n = n, m
+    edge = round(d * m * n) if abs(d * m * n - round(d * m * n)) < 1e-6 * max(1.0, d * m * n) else d * m * n
+    i = np.arange(m + 1, dtype=np.float64)
+    p = np.zeros(m + 1)
+    p[0] = float(edge <= 0)
+    for k in range(1, m + n + 1):
+        lo, hi = max(0, k - n), min(m, k)
+        up = np.empty(hi - lo + 1)
+        left = np.concatenate(([0.0], p))[lo:hi + 1]  # from (i - 1, j)
+        ii = i[lo:hi + 1]
+        up = (ii * left + (k - ii) * p[lo:hi + 1]) / k
+        out = np.abs(ii * n - (k - ii) * m) >= edge
+        p[lo:hi + 1] = np.where(out, 1.0, up)
+    return float(min(1.0, p[m]))
+
+
+def _ks_p_batch(m: pd.Series, n: pd.Series, d: pd.Series) -> pd.Series:
+    return pd.Series([ks_outside(int(a), int(b), float(x)) if 0 < max(a, b) <= EXACT_KS and min(a, b) > 0 else np.nan
+                      for a, b, x in zip(m, n, d)], dtype="float64")
+
+
+def ks_exact_p(m: Column, n: Column, d: Column) -> Column:
+    """Exact two-sided p of D (Arrow-batched, on aggregated rows only)."""
+    return F.pandas_udf(_ks_p_batch, "double")(m, n, d)
+
+
 # ------------------------------------------------------------------ K2 / K3 / K4
-def _level_order(df: DataFrame, keys: Sequence[str], param: str, order_col: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy("__first", param) if keys else Window.orderBy("__first", param)
-    firsts = df.groupBy(*keys, param).agg(F.min(order_col).alias("__first"))
-    return firsts.withColumn("__lvl", F.row_number().over(w)).drop("__first")
+PAIR_BUCKETS = 32  # each level meets a bucket of partners per task, so one group's pairs spread
 
 
 def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
@@ -143,8 +241,10 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
     levels (i < j in order of first appearance) of ``param``, inside each ``keys`` group.
 
     Per-level moments and per-(level, value) counts are partial aggregates; the
-    pairs come from a self-join of the small level table; rank sums come from the
-    pooled value counts of each pair.
+    pairs come from a self-join of the level table, dealt over buckets of partners (any
+    number of levels); rank sums come from the pooled value counts of each pair.
+    p_mwu is exact where the smaller level has at most 8 rows and no value is tied, the
+    normal form otherwise.
     """
     user_keys = list(keys)
     keys = user_keys or ["__all"]  # one constant group key instead of a key-less (cross) join
@@ -152,27 +252,16 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
     d = d.withColumn(param, F.col(param).cast("string"))
     if not user_keys:
         d = d.withColumn("__all", F.lit(0))
-    lv = _level_order(d, keys, param, order_col)
     mom = d.groupBy(*keys, param).agg(F.count(metric).alias("n"), F.avg(metric).alias("m"),
-                                      F.var_samp(metric).alias("v"))
-    mom = mom.join(lv, keys + [param])
-    a = mom.select(*keys, F.col(param).alias("level_a"), F.col("__lvl").alias("ia"), F.col("n").alias("na"),
-                   F.col("m").alias("ma"), F.col("v").alias("va"))
-    b = mom.select(*keys, F.col(param).alias("level_b"), F.col("__lvl").alias("ib"), F.col("n").alias("nb"),
-                   F.col("m").alias("mb"), F.col("v").alias("vb"))
-    if user_keys:
-        pairs = a.join(b, keys).filter(F.col("ia") < F.col("ib"))
-    else:
-        # one group: the levels of one parameter are few (bounded, checked), so their pairs
-        # are listed on the driver instead of a key-less self-join
-        lv_rows = mom.select(param, "__lvl", "n", "m", "v").limit(10_001).collect()
-        if len(lv_rows) > 10_000:
-            raise ValueError(f"'{param}' has more than 10000 levels")
-        pr = [(0, x[0], x[1], x[2], x[3], x[4], y[0], y[1], y[2], y[3], y[4])
-              for x in lv_rows for y in lv_rows if x[1] < y[1]]
-        pairs = d.sparkSession.createDataFrame(
-            pr, "__all int, level_a string, ia int, na bigint, ma double, va double, "
-                "level_b string, ib int, nb bigint, mb double, vb double")
+                                      var_samp(metric).alias("v"), F.struct(F.min(order_col), F.col(param)).alias("first"))
+    mom = cut_lineage(mom)
+    a = mom.select(*keys, F.col(param).alias("level_a"), F.col("first").alias("ia"), F.col("n").alias("na"),
+                   F.col("m").alias("ma"), F.col("v").alias("va"),
+                   F.explode(F.sequence(F.lit(0), F.lit(PAIR_BUCKETS - 1))).alias("__bucket"))
+    b = mom.select(*keys, F.col(param).alias("level_b"), F.col("first").alias("ib"), F.col("n").alias("nb"),
+                   F.col("m").alias("mb"), F.col("v").alias("vb"),
+                   F.pmod(F.xxhash64(param), F.lit(PAIR_BUCKETS)).cast("int").alias("__bucket"))
+    pairs = a.join(b, [*keys, "__bucket"]).filter(F.col("ia") < F.col("ib")).drop("__bucket")
     sa, sb = F.col("va") / F.col("na"), F.col("vb") / F.col("nb")
     # two constant levels have no t statistic: null
     pairs = pairs.withColumn("t", F.try_divide(F.col("ma") - F.col("mb"), F.sqrt(sa + sb))) \
@@ -187,8 +276,6 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
         .select(*keys, "level_a", F.col(param).alias("level_b"), metric, F.lit(0).cast("bigint").alias("ca"), F.col("c").alias("cb"))
     pv = side_a.unionByName(side_b).groupBy(*keys, "level_a", "level_b", metric) \
         .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
-    from platewise.operators.ordered import global_cumsum
-
     tcount = F.col("ca") + F.col("cb")
     pv = pv.withColumn("__t", tcount)
     pv = global_cumsum(pv, [*keys, "level_a", "level_b", metric], ["__t"],
@@ -205,8 +292,9 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
     u = F.greatest(u1, na * nb - u1)
     sigma = F.sqrt(na * nb / F.lit(12.0) * ((n + F.lit(1.0)) - F.col("tie") / (n * (n - F.lit(1.0)))))
     z = (u - na * nb / F.lit(2.0) - F.lit(0.5)) / sigma
+    exact = (F.least(na, nb) <= EXACT_U) & (F.col("tie") == 0) & (na * nb <= EXACT_AREA)
     out = out.withColumn("u", u1).withColumn("z", F.when(sigma > 0, z)) \
-        .withColumn("p_mwu", F.when(sigma > 0, two_sided_normal_p(F.col("z"))))
+        .withColumn("p_mwu", F.when(exact, rank_sum_p(na, nb, u)).when(sigma > 0, two_sided_normal_p(F.col("z"))))
     out = out.withColumn("comparison", F.concat_ws(" vs ", "level_a", "level_b"))
     cols = [*user_keys, "comparison", "level_a", "level_b", F.col("na").alias("n_a"), F.col("nb").alias("n_b"),
             "u", "z", "p_mwu", "t", F.col("dof").alias("df")]
@@ -235,8 +323,11 @@ def kolmogorov_p(d: Column, en: Column, terms: int = 100) -> Column:
 
 
 def ks_two_sample(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b,
-                  by: Sequence[str] = (), weight_col: str | None = None) -> DataFrame:
-    """K6: D = max |F_a - F_b| over the pooled distinct values, and its asymptotic p.
+                  by: Sequence[str] = (), weight_col: str | None = None, exact: bool | None = None) -> DataFrame:
+    """K6: D = max |F_a - F_b| over the pooled distinct values, and its p.
+
+    p counts lattice paths where the larger sample has at most 10,000 rows and is the
+    asymptotic series beyond; ``exact`` False always takes the series, True leaves p null beyond.
 
     Counts (or weights) are first aggregated per distinct value, so the running
     sums walk distinct values only.
@@ -247,8 +338,6 @@ def ks_two_sample(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b,
     vc = d.groupBy(*by, value_col).agg(
         F.sum(F.when(F.col(arm_col) == arm_a, w).otherwise(0)).cast("double").alias("ca"),
         F.sum(F.when(F.col(arm_col) == arm_b, w).otherwise(0)).cast("double").alias("cb"))
-    from platewise.operators.ordered import global_cumsum
-
     # running sums over the distinct values with the distributed cumulative sum (no window
     # holding all values of a group); group totals are one small aggregate
     vc = global_cumsum(vc, [*by, value_col], ["ca", "cb"], group_cols=by)
@@ -263,15 +352,24 @@ def ks_two_sample(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b,
     vc = vc.withColumn("gap", F.abs(fa - fb))
     g = vc.groupBy(*by).agg(F.max("gap").alias("d"), F.max("na").alias("n_a"), F.max("nb").alias("n_b"))
     en = F.col("n_a") * F.col("n_b") / (F.col("n_a") + F.col("n_b"))
-    return g.withColumn("p", kolmogorov_p(F.col("d"), en))
+    series = kolmogorov_p(F.col("d"), en)
+    if exact is False:
+        return g.withColumn("p", series)
+    # rows go to the counting only where it applies; the others keep the series
+    counted = F.greatest("n_a", "n_b") <= EXACT_KS
+    size = lambda c: F.when(counted, F.col(c)).otherwise(F.lit(0.0))
+    return (cut_lineage(g).withColumn("__e", ks_exact_p(size("n_a"), size("n_b"), F.coalesce("d", F.lit(0.0))))
+            .withColumn("p", F.when(counted, F.col("__e")).otherwise(F.lit(None) if exact else series)).drop("__e"))
 
 
 def ks_bootstrap(df: DataFrame, arm_col: str, value_col: str, arm_a, arm_b, id_cols: Sequence[str],
-                 n: int = 100, seed: int = 0) -> DataFrame:
-    """K7: mean KS distance and p over n Poisson-weight resamples (one pass, rep as a key)."""
-    reps = poisson_replicates(df.select(arm_col, value_col, *id_cols), list(id_cols), n, seed)
-    reps = reps.filter(F.col("w") > 0)
-    per = ks_two_sample(reps, arm_col, value_col, arm_a, arm_b, by=["rep"], weight_col="w")
+                 n: int = 100, seed: int = 0, exact: bool | None = None) -> DataFrame:
+    """K7: mean KS distance and p over n resamples, each arm as large as it is (rep as a key).
+    p as in ``ks_two_sample``."""
+    d = df.filter(F.col(value_col).isNotNull() & F.col(arm_col).isin(arm_a, arm_b)).select(
+        arm_col, value_col, *[c for c in id_cols if c not in (arm_col, value_col)])
+    reps = resamples(d, [arm_col], value_col, list(id_cols), n, seed)
+    per = ks_two_sample(reps, arm_col, value_col, arm_a, arm_b, by=["rep"], exact=exact)
     return per.agg(F.avg("d").alias("mean_d"), F.avg("p").alias("mean_p"), F.count(F.lit(1)).alias("reps"))
 
 
@@ -295,10 +393,10 @@ def kde_curve(df: DataFrame, col: str, grid: int = 200, bw_adjust: float = 1.5)
     sd * n^(-1/5) * bw_adjust. Exact: every distinct value (with its count) adds to every
     grid point inside its own task; grid sums are partial aggregates."""
     d = df.filter(F.col(col).isNotNull())
-    r = d.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), F.stddev_samp(col).alias("sd"),
+    r = d.agg(F.min(col).alias("lo"), F.max(col).alias("hi"), stddev_samp(col).alias("sd"),
               F.count(col).alias("n")).first()
     spark = df.sparkSession
-    if not r["n"] or r["sd"] in (None, 0.0):
+    if not r["n"] or not r["sd"]:  # a constant has no curve
         return spark.createDataFrame([], "point int, x double, density double")
     lo, hi, sd, n = r["lo"], r["hi"], r["sd"], r["n"]
     h = sd * n ** (-0.2) * bw_adjust
@@ -336,4 +434,4 @@ def mean_sd_by_level(df: DataFrame, params: Sequence[str], metrics: Sequence[str
     params = list(params)
     long = df.select(*params, *metrics).unpivot(params, list(metrics), "metric", "value")
     return long.filter(F.col("value").isNotNull()).groupBy("metric", *params).agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.count("value").alias("n"))
+        F.avg("value").alias("mean"), stddev_samp("value").alias("sd"), F.count("value").alias("n"))

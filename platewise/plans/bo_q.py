@@ -20,7 +20,7 @@ from platewise.operators import features as C
 from platewise.operators import loop as LOOP
 from platewise.operators import similarity as S
 from platewise.operators import surrogate as G
-from platewise.operators.acquire import MIN_VAR, nei
+from platewise.operators.acquire import MIN_VAR
 from platewise.plans.registry import register, rounded
 from platewise.sources import fixtures as FX
 from platewise.sources.tables import table
@@ -404,94 +404,162 @@ def q_hyper_report(spark, d):
     return G.hyper_report(G.best_hyper(scored_grid(spark, d)))
 
 
-# ---------------------------------------------------------------- G6 (rows check: joint posterior draws)
-@register("acq_nei")
+# ---------------------------------------------------------------- G6
+NEI_DRAWS = 100
+
+
+def _chol_sql(name: str, src: str, n: int) -> str:
+    """One row of columns a_i_j (i >= j) becomes one row of its Cholesky factor's l_i_j, column by column."""
+    out, prev = [], src
+    for j in range(n):
+        less = "".join(f" - l_{j}_{k} * l_{j}_{k}" for k in range(j))
+        out.append(f"{name}d{j} AS (SELECT *, sqrt(a_{j}_{j}{less}) AS l_{j}_{j} FROM {prev})")
+        cols = [f"(a_{i}_{j}{''.join(f' - l_{i}_{k} * l_{j}_{k}' for k in range(j))}) / l_{j}_{j} AS l_{i}_{j}" for i in range(j + 1, n)]
+        out.append(f"{name}{j} AS MATERIALIZED (SELECT {', '.join(['*', *cols])} FROM {name}d{j})")
+        prev = f"{name}{j}"
+    return ",\n" + ",\n".join(out)
+
+
+def _nei_sql(n: int = N_TRAIN, draws: int = NEI_DRAWS, cfg: G.GPConfig = CFG) -> str:
+    """Draws of the posterior at the train rows, and for each a noise-free model by sequential
+    conditioning on the train rows in order, as in ``_seq_sql``; the Halton table is stated."""
+    z = G.halton_normals(draws, n)
+    table = ", ".join(f"({s}, [{', '.join(repr(float(v)) for v in row)}]::DOUBLE[])" for s, row in enumerate(z))
+    pairs = [(i, j) for i in range(n) for j in range(i + 1)]
+    kern = sql_kernel(cfg.kernel, "p.features", "q.features", cfg.lengthscale, cfg.outputscale, cfg.alpha)
+    pick = ", ".join(f"max(CASE WHEN i = {i} AND j = {j} THEN k END) AS k_{i}_{j}" for i, j in pairs)
+    ctes = f""", tr AS (SELECT candidate_id, features, y FROM vec ORDER BY {md5_order(0)}, candidate_id LIMIT {n}),
+tro AS (SELECT *, row_number() OVER (ORDER BY candidate_id) - 1 AS i FROM tr),
+st AS (SELECT avg(y) AS m, stddev_samp(y) AS sd FROM tr),
+kk AS (SELECT p.i, q.i AS j, {kern} AS k FROM tro p, tro q WHERE q.i <= p.i),
+km AS MATERIALIZED (SELECT {pick} FROM kk),
+ys AS MATERIALIZED (SELECT {', '.join(f"max(CASE WHEN i = {i} THEN (y - m) / sd END) AS y_{i}" for i in range(n))} FROM tro, st),
+noisy AS (SELECT *, {', '.join(f"k_{i}_{j}{f' + {_d(cfg.noise)}' if i == j else ''} AS a_{i}_{j}" for i, j in pairs)} FROM km, ys)"""
+    ctes += _chol_sql("cn", "noisy", n)
+    sym = lambda i, j: f"k_{max(i, j)}_{min(i, j)}"
+    prev = f"cn{n - 1}"
+    for i in range(n):  # u = L^-1 y and v_c = L^-1 k_c, row by row
+        minus = lambda a: "".join(f" - l_{i}_{k} * {a}{k}" for k in range(i))
+        cols = [f"(y_{i}{minus('u_')}) / l_{i}_{i} AS u_{i}"]
+        cols += [f"({sym(i, c)}{minus(f'v_{c}_')}) / l_{i}_{i} AS v_{c}_{i}" for c in range(n)]
+        ctes += f",\nfs{i} AS MATERIALIZED (SELECT *, {', '.join(cols)} FROM {prev})"
+        prev = f"fs{i}"
+    post = [f"{' + '.join(f'v_{c}_{k} * u_{k}' for k in range(n))} AS mu_{c}" for c in range(n)]
+    cov = [f"k_{i}_{j} - ({' + '.join(f'v_{i}_{k} * v_{j}_{k}' for k in range(n))}){f' + {_d(G.NEI_JITTER)}' if i == j else ''} AS a_{i}_{j}"
+           for i, j in pairs]
+    ctes += f",\npost AS MATERIALIZED (SELECT {', '.join(post + cov)} FROM {prev})" + _chol_sql("cc", "post", n)
+    fs = ", ".join(f"mu_{i} + {' + '.join(f'l_{i}_{k} * z[{k + 1}]' for k in range(i + 1))}" for i in range(n))
+    ctes += f""",
+z AS (SELECT * FROM (VALUES {table}) t(draw, z)),
+f AS MATERIALIZED (SELECT draw, [{fs}] AS f FROM cc{n - 1}, z),
+free AS (SELECT {', '.join(f"k_{i}_{j}{f' + {_d(G.NEI_NOISE)}' if i == j else ''} AS a_{i}_{j}" for i, j in pairs)} FROM km)"""
+    ctes += _chol_sql("cf", "free", n)
+    prev = "f"
+    rows = ", ".join(f"l_{i}_{j}" for i, j in pairs)
+    ctes += f",\nw0 AS (SELECT draw, list_max(f) AS best, f, {rows} FROM f, cf{n - 1})"
+    for i in range(n):  # per draw: w = L^-1 f
+        ctes += (f",\nw{i + 1} AS MATERIALIZED (SELECT *, (f[{i + 1}]{''.join(f' - l_{i}_{k} * w_{k}' for k in range(i))}) / l_{i}_{i} AS w_{i} "
+                 f"FROM w{i})")
+    held = f"(SELECT candidate_id, features FROM vec WHERE candidate_id NOT IN (SELECT candidate_id FROM tr))"
+    kx = sql_kernel(cfg.kernel, "h.features", "t.features", cfg.lengthscale, cfg.outputscale, cfg.alpha)
+    ctes += f""",
+hk AS (SELECT h.candidate_id, {', '.join(f"max(CASE WHEN t.i = {i} THEN {kx} END) AS x_{i}" for i in range(n))}
+       FROM {held} h, tro t GROUP BY h.candidate_id),
+h0 AS (SELECT * FROM hk, (SELECT {rows} FROM cf{n - 1}))"""
+    for i in range(n):  # per candidate: g = L^-1 k(x)
+        ctes += (f",\nh{i + 1} AS MATERIALIZED (SELECT *, (x_{i}{''.join(f' - l_{i}_{k} * g_{k}' for k in range(i))}) / l_{i}_{i} AS g_{i} "
+                 f"FROM h{i})")
+    dot = " + ".join(f"h.g_{k} * w.w_{k}" for k in range(n))
+    own = " + ".join(f"h.g_{k} * h.g_{k}" for k in range(n))
+    zz = "((mu - best) / s)"
+    return VEC + ctes + f""",
+e AS (SELECT h.candidate_id, st.m + st.sd * ({dot}) AS mu, st.m + st.sd * w.best AS best,
+             sqrt(greatest(st.sd * st.sd * greatest({_d(cfg.outputscale)} - ({own}), 0.0::DOUBLE), {_d(MIN_VAR)})) AS s
+      FROM h{n} h, w{n} w, st)
+SELECT candidate_id, avg(s * {sql_ei_core(zz)}) AS acq FROM e GROUP BY candidate_id"""
+
+
+@register("acq_nei", rounded(_nei_sql(), ["acq"], digits=4), digits=4)
 def q_acq_nei(spark, d):
     v = FX.vec(spark, d)
     ids = E.init_random(v, "candidate_id", N_TRAIN, 0)
     _, x, y = G.collect_train(v.filter(F.col("candidate_id").isin(ids)), "candidate_id", "features", "y")
-    model = G.fit_gp(x, y, CFG)
-    best = G.nei_best_draws(model, 100, seed=0)
-    post = G.gp_posterior(v.filter(~F.col("candidate_id").isin(ids)), model, "candidate_id", "features")
-    return post.select("candidate_id", nei("mu", "var", best).alias("acq"))
+    return G.noisy_ei(v.filter(~F.col("candidate_id").isin(ids)), G.fit_gp(x, y, CFG), "candidate_id", "features", NEI_DRAWS)
 
 
 # ---------------------------------------------------------------- G11 / G13: unrolled loop
-N_ITERS = 5
-
-
-def _loop_sql(run: str, seed: int, acq: str, n_init: int, n_iters: int, beta: float = 0.1) -> str:
-    p = f"{run}_"
-    picks = _init_picks(n_init, seed)
-    ctes, last = _seq_sql(picks, CFG, p)
-    out = [ctes]
-    trace = []
-    j = n_init
-    for it in range(n_iters):
-        g = f"{p}g{j}"
-        m, sd = f"list_avg({g}.ys)", f"list_stddev_samp({g}.ys)"
-        best = f"list_max({g}.ys)"
-        mu = f"({m} + s.A - {m} * s.B)"
-        var = f"greatest({sd} * {sd} * ({_d(CFG.outputscale)} - s.Q), 0.0::DOUBLE)"
-        if acq == "ucb":
-            a = f"(mu + sqrt({_d(beta)} * var))"
-        else:
-            sdv = f"sqrt(greatest(var, {_d(MIN_VAR)}))"
-            z = f"((mu - best) / {sdv})"
-            a = f"({sdv} * {sql_ei_core(z)})"
-        out.append(f""",
-{p}sc{it} AS MATERIALIZED (SELECT candidate_id, y, {a} AS acq, best FROM (SELECT s.candidate_id, s.y, {mu} AS mu, {var} AS var,
-              {best} AS best FROM {p}s{j} s, {g} WHERE NOT s.obs)),
-{p}pk{it} AS MATERIALIZED (SELECT candidate_id, y, acq, best FROM {p}sc{it} ORDER BY acq DESC, candidate_id LIMIT 1),
-{p}tr{it} AS (SELECT '{run}' AS run_id, {it} AS iteration, k.best AS best_so_far, k.candidate_id AS suggestion_id,
-                 k.y AS suggestion_y, (SELECT sum(acq) FROM {p}sc{it}) AS acq_sum FROM {p}pk{it} k)""")
-        add, _ = _seq_sql([f"SELECT candidate_id FROM {p}pk{it}"], CFG, f"{p}x{it}_")
-        # chain the single add step onto the current state
-        add = (add.replace(f"{p}x{it}_s0 AS (SELECT candidate_id, features, y, []::DOUBLE[] AS w, 0.0::DOUBLE AS A, 0.0::DOUBLE AS B,\n"
-                           f"                0.0::DOUBLE AS Q, false AS obs FROM vec)",
-                           f"{p}x{it}_s0 AS (SELECT * FROM {p}s{j})")
-               .replace(f"{p}x{it}_g0 AS (SELECT []::DOUBLE[] AS u, []::DOUBLE[] AS v1, []::DOUBLE[] AS ys)",
-                        f"{p}x{it}_g0 AS (SELECT u, v1, ys FROM {g})"))
-        out.append(add)
-        out.append(f""",
-{p}s{j + 1} AS (SELECT * FROM {p}x{it}_s1),
-{p}g{j + 1} AS (SELECT u, v1, ys FROM {p}x{it}_g1)""")
-        trace.append(f"SELECT * FROM {p}tr{it}")
-        j += 1
-    return "".join(out), " UNION ALL ".join(trace)
+N_ITERS = 100  # as long as a campaign of the survey
+
+
+def _loop_sql(runs: dict[str, dict], n_init: int, n_iters: int, beta: float = 0.1, cfg: G.GPConfig = CFG) -> str:
+    """The loop by sequential conditioning, one recursion step per observed row: a row per (run,
+    candidate) with its whitened vector w and running sums, the run's own vectors beside it."""
+    dot = "coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda q: q[1] * q[2])), 0.0::DOUBLE)"
+    vals = ", ".join(f"('{r}', {c['seed']}, '{c['acquisition']}')" for r, c in runs.items())
+    kern = sql_kernel(cfg.kernel, "features", "p.features", cfg.lengthscale, cfg.outputscale, cfg.alpha)
+    sd = f"sqrt(greatest(var, {_d(MIN_VAR)}))"
+    ei = f"({sd} * {sql_ei_core(f'((mu - best) / {sd})')})"
+    order = "PARTITION BY run_id ORDER BY obs, key, candidate_id"
+    return f""", runs AS (SELECT * FROM (VALUES {vals}) t(run_id, seed, acquisition)),
+loop AS (
+  SELECT 0 AS step, run_id, acquisition, candidate_id, features, y,
+         row_number() OVER (PARTITION BY run_id ORDER BY {sql_md5_u32("seed::VARCHAR || ':' || candidate_id::VARCHAR")}, candidate_id) AS r,
+         []::DOUBLE[] AS w, 0.0::DOUBLE AS A, 0.0::DOUBLE AS B, 0.0::DOUBLE AS Q, false AS obs, []::DOUBLE[] AS u,
+         []::DOUBLE[] AS v1, []::DOUBLE[] AS ys, NULL::BIGINT AS pick_id, NULL::DOUBLE AS pick_y, NULL::DOUBLE AS best_so_far,
+         NULL::DOUBLE AS acq_sum
+  FROM runs, vec
+  UNION ALL
+  SELECT step + 1, run_id, acquisition, candidate_id, features, y, r, list_append(w, wt), A + wt * ut, B + wt * vt, Q + wt * wt,
+         obs OR candidate_id = p.id, list_append(u, ut), list_append(v1, vt), list_append(ys, p.y), p.id, p.y, best, acq_total
+  FROM (SELECT *, ({kern} - {dot.format(a='w', b='p.w')}) / ltt AS wt FROM (
+  SELECT *, (p.y - {dot.format(a='p.w', b='u')}) / ltt AS ut, (1.0::DOUBLE - {dot.format(a='p.w', b='v1')}) / ltt AS vt FROM (
+  SELECT *, sqrt({_d(cfg.outputscale)} + {_d(cfg.noise)} - p.q) AS ltt FROM (
+  SELECT *, first_value({{'id': candidate_id, 'features': features, 'y': y, 'w': w, 'q': Q}}) OVER ({order}) AS p,
+         sum(acq) OVER (PARTITION BY run_id) AS acq_total FROM (
+  SELECT *, CASE WHEN step < {n_init} THEN CASE WHEN r = step + 1 THEN 0 ELSE 1 END ELSE -acq END AS key FROM (
+  SELECT *, CASE WHEN NOT obs AND step >= {n_init} THEN CASE acquisition WHEN 'ucb' THEN mu + sqrt({_d(beta)} * var) ELSE {ei} END END AS acq FROM (
+  SELECT *, m + A - m * B AS mu, greatest(s * s * ({_d(cfg.outputscale)} - Q), 0.0::DOUBLE) AS var FROM (
+  SELECT *, list_avg(ys) AS m, list_stddev_samp(ys) AS s, list_max(ys) AS best FROM loop WHERE step < {n_init + n_iters})))))))))
+SELECT run_id, step - {n_init + 1} AS iteration, best_so_far, pick_id AS suggestion_id, pick_y AS suggestion_y, acq_sum
+FROM loop WHERE step > {n_init} AND candidate_id = pick_id"""
+
+
+VEC_LOOP = VEC.replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _trace_frame(spark, trace):
     return spark.createDataFrame(
-        [(r, int(i), float(b), int(s), float(y), a) for r, i, b, s, y, a in trace],
+        [(t.run_id, t.iteration, t.best_so_far, int(t.suggestion_id), t.suggestion_y, t.acq_sum) for t in trace],
         "run_id string, iteration int, best_so_far double, suggestion_id bigint, suggestion_y double, acq_sum double")
 
 
-_g11_ctes, _g11_sel = _loop_sql("run", 0, "ucb", N_TRAIN, N_ITERS)
-
-
-@register("bo_trace", rounded(VEC + _g11_ctes + "\n" + _g11_sel, ["best_so_far", "suggestion_y", "acq_sum"], digits=4),
-          digits=4)
+@register("bo_trace", rounded(VEC_LOOP + _loop_sql({"run": {"seed": 0, "acquisition": "ucb"}}, N_TRAIN, N_ITERS),
+                              ["best_so_far", "suggestion_y", "acq_sum"], digits=4), digits=4)
 def q_bo_trace(spark, d):
     tr = LOOP.optimise(FX.vec(spark, d), "candidate_id", "features", "y", N_TRAIN, N_ITERS, "ucb", seed=0, cfg=CFG)
     return _trace_frame(spark, tr)
 
 
-SWEEP = {"ucb_s0": {"seed": 0, "acquisition": "ucb"}, "ei_s1": {"seed": 1, "acquisition": "ei"}}
-SWEEP_ITERS = 3
+GRID_POINTS = [(l, o, n) for l in GRID["lengthscales"] for o in GRID["outputscales"] for n in GRID["noises"]]
+
+
+@register("bo_trace_refit", digits=4)
+def q_bo_trace_refit(spark, d):
+    """The campaign with hyperparameters refitted before every step and batches of four, each
+    pick given those before it (no SQL: the tests hold it to a full refit per step)."""
+    tr = LOOP.optimise(FX.vec(spark, d), "candidate_id", "features", "y", N_TRAIN, N_ITERS, "ucb", seed=0, cfg=CFG,
+                       b=4, batch="greedy", grid=GRID_POINTS)
+    return spark.createDataFrame(
+        [(t.iteration, t.best_so_far, int(i), k, t.lengthscale, t.outputscale, t.noise) for t in tr for k, i in enumerate(t.picked)],
+        "iteration int, best_so_far double, suggestion_id bigint, pick int, lengthscale double, outputscale double, noise double")
 
 
-def _g13_sql() -> str:
-    ctes, sels = [], []
-    for r, c in SWEEP.items():
-        a, b = _loop_sql(r, c["seed"], c["acquisition"], N_TRAIN, SWEEP_ITERS)
-        ctes.append(a)
-        sels.append(b)
-    return VEC + "".join(ctes) + "\n" + " UNION ALL ".join(sels)
+#: The survey's sweep: 20 seeds, two settings of each.
+SWEEP = {f"{a}_s{s}": {"seed": s, "acquisition": a} for s in range(20) for a in ("ucb", "ei")}
 
 
-@register("run_sweep", rounded(_g13_sql(), ["best_so_far", "suggestion_y", "acq_sum"], digits=4), digits=4)
+@register("run_sweep", rounded(VEC_LOOP + _loop_sql(SWEEP, N_TRAIN, N_ITERS), ["best_so_far", "suggestion_y", "acq_sum"], digits=4),
+          digits=4)
 def q_run_sweep(spark, d):
-    tr = LOOP.run_sweep(FX.vec(spark, d), "candidate_id", "features", "y", SWEEP, N_TRAIN, SWEEP_ITERS, CFG)
+    tr = LOOP.run_sweep(FX.vec(spark, d), "candidate_id", "features", "y", SWEEP, N_TRAIN, N_ITERS, CFG)
     return _trace_frame(spark, tr)
-

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.functions.rand import TWO32, sql_md5_u32, sql_mix_u32, sql_poisson1
 from platewise.operators import history as H
-from platewise.plans.registry import register, rounded, sql_percentile
+from platewise.plans.registry import register, rounded, sql_percentile, sql_resamples
 from platewise.sources import fixtures as FX
 
 HIST = FX.with_sql(FX.SQL_HIST)
@@ -41,14 +40,12 @@ N_BOOT = 1000
 
 
 def _j13_sql() -> str:
-    u = f"({sql_mix_u32('h', 'rep')})::DOUBLE / {float(TWO32)}"
     return rounded(HIST + ", " + SQL_COLLAPSED + f""",
 sel AS (SELECT c.*, CASE WHEN c.run_id % 2 = 0 THEN 'arm0' ELSE 'arm1' END AS label
         FROM coll c WHERE suggestion IS NOT NULL),
-base AS (SELECT label, epoch, suggestion, {sql_md5_u32("'0:' || run_id::VARCHAR")} AS h FROM sel),
-rw AS (SELECT label, epoch, rep, suggestion, {sql_poisson1(u)} AS w FROM base, range(0, {N_BOOT}) t(rep)),
-rm AS (SELECT label, epoch, rep, sum(w * round(suggestion * 100)::BIGINT) / (sum(w) * 100.0::DOUBLE) AS m FROM rw
-       GROUP BY label, epoch, rep HAVING sum(w) > 0),
+base AS (SELECT label, epoch, round(suggestion * 100)::BIGINT AS x, run_id FROM sel),
+{sql_resamples('base', 'label, epoch', 'x', 'run_id', N_BOOT)},
+rm AS (SELECT label, epoch, rep, sum(x) / (count(*) * 100.0::DOUBLE) AS m FROM drawn GROUP BY label, epoch, rep),
 ci AS (SELECT label, epoch, {sql_percentile('m', 0.025)} AS ci_lo, {sql_percentile('m', 0.975)} AS ci_hi
        FROM rm GROUP BY label, epoch),
 g AS (SELECT label, epoch, avg(suggestion) AS mean, count(suggestion) AS n FROM sel GROUP BY label, epoch)

@@ -75,3 +75,20 @@ def sql_fmt2(expr: str) -> str:
     half-up, so round through that text (as DECIMAL) before printing; null -> 'nan'."""
     return (f"(CASE WHEN ({expr}) IS NULL OR isnan({expr}) THEN 'nan' "
             f"ELSE printf('%.2f', round(({expr})::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE) END)")
+
+
+def sql_resamples(src: str, by: str, value: str, key: str, n: int, seed: int = 0, block: int = 1024) -> str:
+    """CTEs ending with ``drawn`` (by, rep, value), the twin of ``stats.resamples``: places drawn
+    by every row give the counts per block, then each block draws its own rows."""
+    from platewise.functions.rand import TWO32, sql_md5_u32, sql_mix_u32
+
+    nulls = ", ".join(f"{c.strip()} NULLS FIRST" for c in by.split(","))
+    seeded = f"'{seed}:' || {key}::VARCHAR"
+    own = f"'{seed}:' || g::VARCHAR || ':' || b::VARCHAR || ':' || rep::VARCHAR"
+    return f"""ranked AS (SELECT *, row_number() OVER (ORDER BY {nulls}, {key}) - 1 AS r, {sql_md5_u32(seeded)} AS h FROM {src}),
+placed AS (SELECT *, min(r) OVER (PARTITION BY {by}) AS g, count(*) OVER (PARTITION BY {by}) AS n FROM ranked),
+blocks AS (SELECT {by}, g, (r - g) // {block} AS b, list({value} ORDER BY r) AS vals FROM placed GROUP BY ALL),
+votes AS (SELECT g, rep, floor({sql_mix_u32('h', 'rep')} / {float(TWO32)!r}::DOUBLE * n)::BIGINT // {block} AS b, count(*) AS c
+          FROM placed, range(0, {n}) t(rep) GROUP BY ALL),
+dealt AS (SELECT {by}, rep, vals, {sql_md5_u32(own)} AS h, unnest(range(1, c + 1)) AS j FROM votes JOIN blocks USING (g, b)),
+drawn AS (SELECT {by}, rep, vals[floor({sql_mix_u32('h', 'j')} / {float(TWO32)!r}::DOUBLE * len(vals))::BIGINT + 1] AS {value} FROM dealt)"""

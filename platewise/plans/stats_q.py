@@ -7,9 +7,8 @@ import math
 from pyspark.sql import functions as F
 
 from platewise.functions.normal import sql_two_sided_normal_p
-from platewise.functions.rand import TWO32, sql_md5_u32, sql_mix_u32, sql_poisson1
 from platewise.operators import stats as K
-from platewise.plans.registry import register, rounded, sql_percentile
+from platewise.plans.registry import register, rounded, sql_percentile, sql_resamples
 from platewise.sources import fixtures as FX
 
 RUNS = FX.with_sql(FX.SQL_RUNS)
@@ -127,19 +126,30 @@ def q_significant_only(spark, d):
 
 
 # ---------------------------------------------------------------- K6 / K7
-KS_SQL = HIST + """, d AS (SELECT arm, suggestion AS x FROM hist WHERE suggestion IS NOT NULL AND arm IN (0, 1)),
-vc AS (SELECT x, sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END)::DOUBLE AS ca,
-              sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END)::DOUBLE AS cb FROM d GROUP BY x),
-cs AS (SELECT x, sum(ca) OVER w / sum(ca) OVER () AS fa, sum(cb) OVER w / sum(cb) OVER () AS fb,
-              sum(ca) OVER () AS na, sum(cb) OVER () AS nb
-       FROM vc WINDOW w AS (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-g AS (SELECT max(abs(fa - fb)) AS d, max(na) AS n_a, max(nb) AS n_b FROM cs),
-l AS (SELECT *, (sqrt(n_a * n_b / (n_a + n_b)) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n_a * n_b / (n_a + n_b))) * d AS lam
-      FROM g)
-SELECT d, n_a, n_b, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2.0::DOUBLE * (
-         SELECT sum(CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * lam * lam))
-         FROM range(1, 101) t(k)))) AS p
-FROM l"""
+def _ks_sql(vc: str) -> str:
+    """From value counts per replicate to D and its exact p: the share of lattice paths that reach
+    D, diagonal by diagonal over all replicates (list element i + 1 holds the path at (i, k - i))."""
+    return f"""vc AS ({vc}),
+cs AS (SELECT rep, sum(ca) OVER w / sum(ca) OVER (PARTITION BY rep) AS fa, sum(cb) OVER w / sum(cb) OVER (PARTITION BY rep) AS fb,
+              sum(ca) OVER (PARTITION BY rep) AS na, sum(cb) OVER (PARTITION BY rep) AS nb
+       FROM vc WINDOW w AS (PARTITION BY rep ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT rep, max(abs(fa - fb)) AS d, max(na) AS n_a, max(nb) AS n_b FROM cs GROUP BY rep),
+walk AS (
+  SELECT rep, 0 AS k, least(n_a, n_b)::BIGINT AS m, greatest(n_a, n_b)::BIGINT AS n, round(d * n_a * n_b)::BIGINT AS edge,
+         list_transform(range(0, least(n_a, n_b)::BIGINT + 1), lambda i: CASE WHEN i = 0 AND d <= 0 THEN 1.0 ELSE 0.0 END::DOUBLE) AS p
+  FROM g
+  UNION ALL
+  SELECT rep, k + 1, m, n, edge, list_transform(range(0, m + 1), lambda i:
+           CASE WHEN i > k + 1 OR k + 1 - i > n THEN p[i + 1] WHEN abs(i * n - (k + 1 - i) * m) >= edge THEN 1.0
+                ELSE (i * coalesce(p[i], 0.0) + (k + 1 - i) * p[i + 1]) / (k + 1) END::DOUBLE)
+  FROM walk WHERE k < m + n),
+ks AS (SELECT rep, d, n_a, n_b, least(1.0::DOUBLE, p[m + 1]) AS p FROM g JOIN walk USING (rep) WHERE k = m + n)"""
+
+
+HIST_LOOP = HIST.replace("WITH", "WITH RECURSIVE", 1)
+ARMS = "arms AS (SELECT arm, suggestion AS x, event_id FROM hist WHERE suggestion IS NOT NULL AND arm IN (0, 1))"
+COUNTS = "sum(CASE WHEN arm = 0 THEN 1 ELSE 0 END)::DOUBLE AS ca, sum(CASE WHEN arm = 1 THEN 1 ELSE 0 END)::DOUBLE AS cb"
+KS_SQL = f"{HIST_LOOP}, {ARMS}, {_ks_sql(f'SELECT 0 AS rep, x, {COUNTS} FROM arms GROUP BY x')} SELECT d, n_a, n_b, p FROM ks"
 
 
 @register("ks_two_sample", rounded(KS_SQL, ["d", "n_a", "n_b", "p"]))
@@ -148,27 +158,12 @@ def q_ks_two_sample(spark, d):
     return K.ks_two_sample(h, "arm", "suggestion", 0, 1)
 
 
-def _ks_boot_sql(n: int = 100) -> str:
-    u = f"({sql_mix_u32('h', 'rep')})::DOUBLE / {float(TWO32)}"
-    return HIST + f""", d AS (SELECT arm, suggestion AS x, {sql_md5_u32("'0:' || event_id::VARCHAR")} AS h
-           FROM hist WHERE suggestion IS NOT NULL AND arm IN (0, 1)),
-rw AS (SELECT * FROM (SELECT arm, x, rep, {sql_poisson1(u)} AS w FROM d, range(0, {n}) t(rep)) WHERE w > 0),
-vc AS (SELECT rep, x, sum(CASE WHEN arm = 0 THEN w ELSE 0 END)::DOUBLE AS ca,
-              sum(CASE WHEN arm = 1 THEN w ELSE 0 END)::DOUBLE AS cb FROM rw GROUP BY rep, x),
-cs AS (SELECT rep, x, sum(ca) OVER w / sum(ca) OVER (PARTITION BY rep) AS fa,
-              sum(cb) OVER w / sum(cb) OVER (PARTITION BY rep) AS fb,
-              sum(ca) OVER (PARTITION BY rep) AS na, sum(cb) OVER (PARTITION BY rep) AS nb
-       FROM vc WINDOW w AS (PARTITION BY rep ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
-g AS (SELECT rep, max(abs(fa - fb)) AS d, max(na) AS n_a, max(nb) AS n_b FROM cs GROUP BY rep),
-l AS (SELECT *, (sqrt(n_a * n_b / (n_a + n_b)) + 0.12::DOUBLE + 0.11::DOUBLE / sqrt(n_a * n_b / (n_a + n_b))) * d AS lam
-      FROM g),
-pp AS (SELECT rep, d, least(1.0::DOUBLE, greatest(0.0::DOUBLE, 2.0::DOUBLE * (
-         SELECT sum(CASE WHEN k % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp(-2.0::DOUBLE * k * k * lam * lam))
-         FROM range(1, 101) t(k)))) AS p FROM l)
-SELECT avg(d) AS mean_d, avg(p) AS mean_p, count(*) AS reps FROM pp"""
+KS_BOOT_SQL = (f"{HIST_LOOP}, {ARMS}, {sql_resamples('arms', 'arm', 'x', 'event_id', 100)}, "
+               f"{_ks_sql(f'SELECT rep, x, {COUNTS} FROM drawn GROUP BY rep, x')} "
+               "SELECT avg(d) AS mean_d, avg(p) AS mean_p, count(*) AS reps FROM ks")
 
 
-@register("ks_bootstrap", rounded(_ks_boot_sql(), ["mean_d", "mean_p"]))
+@register("ks_bootstrap", rounded(KS_BOOT_SQL, ["mean_d", "mean_p"]))
 def q_ks_bootstrap(spark, d):
     h = FX.hist(spark, d)
     return K.ks_bootstrap(h, "arm", "suggestion", 0, 1, ["event_id"], n=100, seed=0)
@@ -176,16 +171,13 @@ def q_ks_bootstrap(spark, d):
 
 # ---------------------------------------------------------------- K8
 def _boot_sql(n: int = 1000) -> str:
-    u = f"({sql_mix_u32('h', 'rep')})::DOUBLE / {float(TWO32)}"
-    return RUNS + f""", base AS (SELECT representation, valid_r2,
-                      {sql_md5_u32("'0:' || run_id::VARCHAR")} AS h FROM runs WHERE valid_r2 IS NOT NULL),
-rw AS (SELECT representation, rep, valid_r2, {sql_poisson1(u)} AS w FROM base, range(0, {n}) t(rep)),
-rm AS (SELECT representation, rep, sum(w * round(valid_r2 * 100000000)::BIGINT) / (sum(w) * 100000000.0::DOUBLE) AS m
-       FROM rw GROUP BY representation, rep HAVING sum(w) > 0),
+    return RUNS + f""", base AS (SELECT representation, round(valid_r2 * 100000000)::BIGINT AS x, run_id FROM runs WHERE valid_r2 IS NOT NULL),
+{sql_resamples('base', 'representation', 'x', 'run_id', n)},
+rm AS (SELECT representation, rep, sum(x) / (count(*) * 100000000.0::DOUBLE) AS m FROM drawn GROUP BY representation, rep),
 ci AS (SELECT representation, {sql_percentile('m', 0.025)} AS ci_lo, {sql_percentile('m', 0.975)} AS ci_hi
        FROM rm GROUP BY representation),
-g AS (SELECT representation, avg(valid_r2) AS mean, count(valid_r2) AS n FROM base GROUP BY representation)
-SELECT g.representation, g.mean, g.n, ci.ci_lo, ci.ci_hi FROM g LEFT JOIN ci USING (representation)"""
+g AS (SELECT representation, avg(valid_r2) AS mean, count(valid_r2) AS n FROM runs WHERE valid_r2 IS NOT NULL GROUP BY representation)
+SELECT g.representation, g.mean, g.n, ci.ci_lo, ci.ci_hi FROM g LEFT JOIN ci ON g.representation IS NOT DISTINCT FROM ci.representation"""
 
 
 @register("bootstrap_ci", rounded(_boot_sql(), ["mean", "ci_lo", "ci_hi"]))

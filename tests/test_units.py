@@ -167,29 +167,6 @@ def test_gp_posterior_interpolates_with_small_noise():
     assert np.allclose(mu, y, atol=1e-5) and np.all(var >= 0) and var.max() < 1e-5
 
 
-def test_incremental_loop_equals_refit(spark):
-    from platewise.operators import loop as L
-
-    rng = np.random.default_rng(4)
-    xs = rng.normal(size=(40, 4)) * 0.3
-    ys = xs[:, 0] - xs[:, 1] ** 2
-    df = spark.createDataFrame([(i, xs[i].tolist(), float(ys[i])) for i in range(40)],
-                               "candidate_id long, features array<double>, y double")
-    cfg = GP.GPConfig()
-    st = {"r": L.RunState()}
-    state = L.init_state(df, ["r"], "candidate_id", "features", "y")
-    for pid in [3, 17, 25, 8]:
-        r = state.filter(F.col("candidate_id") == pid).select("candidate_id", "features", "y", "w", "Q").first()
-        state = L.add_points(state, {"r": (pid, r["features"], r["y"], r["w"], r["Q"])}, st, cfg,
-                             "candidate_id", "features")
-    scored = {r["candidate_id"]: (r["mu"], r["var"]) for r in L.score(state, st, cfg, "candidate_id").collect()}
-    model = GP.fit_gp(xs[[3, 17, 25, 8]], ys[[3, 17, 25, 8]], cfg)
-    ids = sorted(scored)
-    mu, var = GP.predict_np(model, xs[ids])
-    assert np.allclose([scored[i][0] for i in ids], mu, atol=1e-8)
-    assert np.allclose([scored[i][1] for i in ids], var, atol=1e-8)
-
-
 def test_maxmin_distances_non_increasing(spark):
     from platewise.operators import design as E
 
@@ -329,7 +306,7 @@ def test_unknown_acquisition_is_an_error(spark):
     from platewise.operators.loop import run_sweep
 
     with pytest.raises(ValueError, match="unknown acquisition"):
-        run_sweep(_plate(spark), "id", "x", "y", {"a": {"acquisition": "nei"}}, 2, 1)
+        run_sweep(_plate(spark), "id", "x", "y", {"a": {"acquisition": "thompson"}}, 2, 1)
 
 
 def test_rank_test_holds_with_millions_of_ties_and_constant_levels(spark):
