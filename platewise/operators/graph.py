@@ -9,7 +9,7 @@ on the join side. Rounds are separated by reliable checkpoints.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +39,42 @@ def graph_tables(edges: DataFrame, allowed_labels: Sequence, src: str = "src", d
             both.filter(F.col("label_idx").isNull()))
 
 
+def _labelled(df: DataFrame, vocab: Mapping[str, Sequence], cols: Sequence[str]) -> DataFrame:
+    """Every label of a composite (column -> allowed values) as its index, and ``reason``: the
+    label columns whose value is not allowed, null if all are."""
+    found = {f"{c}_idx": _index_of(c, allowed) for c, allowed in vocab.items()}
+    reason = F.concat_ws(",", *[F.when(v.isNull(), F.lit(c)) for (c, v) in zip(vocab, found.values())])
+    return df.withColumn("reason", F.when(reason != "", reason)).select(
+        *cols, *[v.alias(k) for k, v in found.items()], *vocab, "reason")
+
+
+def labelled_graph(nodes: DataFrame, bonds: DataFrame, node_vocab: Mapping[str, Sequence], bond_vocab: Mapping[str, Sequence],
+                   node_id: str = "node_id", src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """C10 with node tables and composite labels, such as (number, chirality) of a node and (type,
+    direction) of a bond: (nodes, edges, node rejects, bond rejects).
+
+    ``node_vocab`` and ``bond_vocab`` map each label column to its allowed values; labels become
+    ``<column>_idx``, the index in that list. Every bond is listed in both directions. A node
+    with a label outside its list is a reject, with the offending columns in ``reason``; so is
+    a bond, also if an end of it is no accepted node ("src", "dst"). Null labels are outside
+    any list. Repeated nodes and bonds stay. The bonds meet the accepted ids in one join per end.
+    """
+    n = _labelled(nodes.withColumnRenamed(node_id, "node_id"), node_vocab, ["node_id"])
+    good, bad = n.filter("reason is null"), n.filter("reason is not null")
+    ids = good.select(F.col("node_id").alias("__id")).distinct()
+    b = _labelled(bonds.withColumnRenamed(src, "src").withColumnRenamed(dst, "dst"), bond_vocab, ["src", "dst"])
+    for end in ("src", "dst"):
+        b = b.join(ids.withColumnRenamed("__id", f"__{end}"), F.col(end) == F.col(f"__{end}"), "left")
+    ends = [F.when(F.col(f"__{end}").isNull(), F.lit(end)) for end in ("src", "dst")]
+    reason = F.concat_ws(",", "reason", *ends)
+    b = cut_lineage(b.withColumn("reason", F.when(reason != "", reason)).drop("__src", "__dst"))
+    idx = [f"{c}_idx" for c in bond_vocab]
+    edges = b.filter("reason is null")
+    both = edges.select("src", "dst", *idx).unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *idx))
+    return (good.select("node_id", *[f"{c}_idx" for c in node_vocab]), both, bad.select("node_id", *node_vocab, "reason"),
+            b.filter("reason is not null").select("src", "dst", *bond_vocab, "reason"))
+
+
 def _with_self_loops(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     loops = nodes.select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"),
                          F.lit(SELF_LOOP_LABEL).alias("label_idx"))

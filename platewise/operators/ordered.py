@@ -10,6 +10,8 @@ window touches ``rows / B`` rows instead of all of them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,3 +199,18 @@ def position_blocks(df: DataFrame, group_cols: list[str], order_cols: list[str],
     the spacing of the order values, so block summaries are ``rows`` times fewer than rows."""
     ranked = global_rank(df, [*group_cols, *order_cols], out_col="__pos")
     return ranked.withColumn("__pos_block", F.floor(F.col("__pos") / F.lit(rows))).drop("__pos")
+
+
+def place_in_groups(df: DataFrame, by: list[str], order_cols: list[str]) -> DataFrame:
+    """Adds ``__g`` (one number per group, null keys included), ``__n`` (rows of the group) and
+    ``__place`` (position within it along ``order_cols``, from 0), without a window over a group."""
+    rank = global_rank(df, [*by, *order_cols], out_col="__rank")
+    groups = rank.groupBy(*by).agg(F.min("__rank").alias("__g"), F.count(F.lit(1)).alias("__n"))
+    if by:
+        keys = [F.col(c).alias(f"__b{k}") for k, c in enumerate(by)]
+        same = reduce(lambda x, y: x & y, [F.col(f"__b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)])
+        rank = rank.join(small_side(groups.select(*keys, "__g", "__n")), same).drop(*[f"__b{k}" for k in range(len(by))])
+    else:
+        g = groups.first() or {"__g": 0, "__n": 0}  # an empty table has no group
+        rank = rank.withColumn("__g", F.lit(g["__g"]).cast("bigint")).withColumn("__n", F.lit(g["__n"]).cast("bigint"))
+    return rank.withColumn("__place", F.col("__rank") - F.col("__g")).drop("__rank")

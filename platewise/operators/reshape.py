@@ -80,17 +80,29 @@ def ingest_run_logs(logs: DataFrame, json_col: str, json_schema: T.StructType |
 
 def ingest_run_folder(spark: SparkSession, path: str, run_schema: T.StructType | str,
                       history_schema: T.StructType | str, runs: str = "*/summary.json",
-                      history: str = "*/history.jsonl") -> tuple[DataFrame, DataFrame]:
-    """A3: a folder of run logs -> (runs, history), every row with the ``run_dir`` it came from.
+                      history: str = "*/history.jsonl", with_rejects: bool = False) -> tuple[DataFrame, ...]:
+    """A3: a folder of run logs -> (runs, history), every row with the ``run_dir`` it came from,
+    and ``with_rejects`` a third table.
 
-    One JSON-lines scan per kind of file with a declared schema: no inference pass, files
-    split over tasks, unreadable lines dropped.
+    One scan of JSON lines per kind of file with a declared schema: no inference pass, files
+    split over tasks. A line that the schema can't read is a row of the rejects (run_dir, kind,
+    line); blank lines are no rows.
     """
     def scan(pattern: str, schema: T.StructType | str) -> DataFrame:
-        df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(f"{path.rstrip('/')}/{pattern}")
-        return df.withColumn("run_dir", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
-
-    return scan(runs, run_schema), scan(history, history_schema)
+        given = schema if isinstance(schema, str) else schema.simpleString()[7:-1]
+        parsed = F.from_json("value", f"{given}, _line string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_line"})
+        lines = spark.read.text(f"{path.rstrip('/')}/{pattern}").filter(F.trim("value") != "")
+        return lines.select(parsed.alias("p"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("run_dir"))
+
+    def good(df: DataFrame) -> DataFrame:
+        rows = df.filter("p._line is null")
+        return rows.select(*[F.col(f"p.`{c}`") for c in rows.schema["p"].dataType.names if c != "_line"], "run_dir")
+
+    both = {"run": scan(runs, run_schema), "history": scan(history, history_schema)}
+    bad = [df.filter("p._line is not null").select("run_dir", F.lit(kind).alias("kind"), F.col("p._line").alias("line"))
+           for kind, df in both.items()]
+    tables = good(both["run"]), good(both["history"])
+    return (*tables, bad[0].unionByName(bad[1])) if with_rejects else tables
 
 
 # ------------------------------------------------------------------ A4 / A5

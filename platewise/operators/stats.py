@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from platewise.functions.moments import stddev_samp, var_samp
 from platewise.functions.normal import two_sided_normal_p
 from platewise.functions.rand import TWO32, md5_u32, mix_u32
-from platewise.operators.ordered import global_cumsum, global_rank, small_side
+from platewise.operators.ordered import global_cumsum, place_in_groups
 from platewise.session import cut_lineage
 
 
@@ -40,16 +40,8 @@ def resamples(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[st
     by = list(by)
     d = df.select(*by, F.col(value).alias("__v"), md5_u32(F.lit(str(seed)), *[F.col(c) for c in id_cols]).alias("__h"),
                   *[F.col(c).alias(f"__i{k}") for k, c in enumerate(id_cols)])
-    rank = global_rank(d, [*by, *[f"__i{k}" for k in range(len(id_cols))]], out_col="__r")
-    groups = rank.groupBy(*by).agg(F.min("__r").alias("__g"), F.count(F.lit(1)).alias("__n"))
-    same = [F.col(f"__b{k}").eqNullSafe(F.col(c)) for k, c in enumerate(by)]
-    if by:
-        rank = rank.join(small_side(groups.select(*[F.col(c).alias(f"__b{k}") for k, c in enumerate(by)], "__g", "__n")),
-                         reduce(lambda x, y: x & y, same)).drop(*[f"__b{k}" for k in range(len(by))])
-    else:
-        g = groups.first()
-        rank = rank.withColumn("__g", F.lit(g["__g"]).cast("bigint")).withColumn("__n", F.lit(g["__n"]).cast("bigint"))
-    place = F.col("__r") - F.col("__g")
+    rank = place_in_groups(d, by, [f"__i{k}" for k in range(len(id_cols))])
+    place = F.col("__place")
     block = lambda c: F.floor(c / F.lit(DRAW_BLOCK)).cast("bigint").alias("__block")
     unit = lambda h, r: mix_u32(h, r) / F.lit(float(TWO32))
     blocks = rank.groupBy(*by, "__g", block(place)).agg(

@@ -17,6 +17,7 @@ from platewise.functions.normal import sql_ei_core
 from platewise.functions.rand import sql_md5_u32
 from platewise.operators import design as E
 from platewise.operators import features as C
+from platewise.operators import joint as JOINT
 from platewise.operators import loop as LOOP
 from platewise.operators import similarity as S
 from platewise.operators import surrogate as G
@@ -26,6 +27,7 @@ from platewise.sources import fixtures as FX
 from platewise.sources.tables import table
 
 VEC = FX.with_sql(FX.SQL_VEC)
+VEC_LOOP = VEC.replace("WITH", "WITH RECURSIVE", 1)
 
 
 def _d(v: float) -> str:
@@ -131,17 +133,14 @@ def q_kernel_values(spark, d):
 
 
 # ---------------------------------------------------------------- E5
-@register("average_similarity", rounded(VEC + f""", tr AS (SELECT candidate_id, features FROM vec
-                                          ORDER BY {md5_order(0)}, candidate_id LIMIT 20),
-k AS (SELECT a.candidate_id AS i, b.candidate_id AS j, {sql_kernel('matern25', 'a.features', 'b.features')} AS k
-      FROM tr a, tr b WHERE a.candidate_id <> b.candidate_id),
+@register("average_similarity", rounded(VEC + f""", k AS (
+  SELECT a.candidate_id AS i, b.candidate_id AS j, {sql_kernel('matern25', 'a.features', 'b.features')} AS k
+  FROM vec a, vec b WHERE a.candidate_id <> b.candidate_id),
 c AS (SELECT j, min(k) AS lo, max(k) AS hi FROM k GROUP BY j)
 SELECT avg(CASE WHEN hi = lo THEN 0.0 ELSE (k - lo) / (hi - lo) END) AS average_similarity FROM k JOIN c USING (j)""",
                                         ["average_similarity"]))
 def q_average_similarity(spark, d):
-    v = FX.vec(spark, d)
-    ids = E.init_random(v, "candidate_id", 20, 0)
-    return S.average_similarity(v.filter(F.col("candidate_id").isin(ids)), "candidate_id", "features", "matern25")
+    return S.average_similarity(FX.vec(spark, d), "candidate_id", "features", "matern25")
 
 
 # ---------------------------------------------------------------- E6
@@ -346,6 +345,43 @@ def q_gp_posterior(spark, d):
     return G.gp_posterior(v, model, "candidate_id", "features")
 
 
+# ---------------------------------------------------------------- H2 (joint)
+def _joint_sql() -> str:
+    """Covariance of every label's test rows from their whitened vectors, then Gaussian elimination,
+    one recursion step per row; column 0 holds the residuals."""
+    w, g, m = _g1_last, f"g{N_TRAIN}", f"list_avg(g{N_TRAIN}.ys)"
+    sd = f"list_stddev_samp({g}.ys)"
+    return VEC_LOOP + _g1_ctes + f""",
+test AS MATERIALIZED (
+  SELECT v.label, s.candidate_id, s.features, s.w, {sd} AS sd, s.y - ({m} + s.A - {m} * s.B) AS r,
+         row_number() OVER (PARTITION BY v.label ORDER BY s.candidate_id) AS i
+  FROM {w} s JOIN vec v USING (candidate_id), {g} WHERE NOT s.obs),
+cov AS MATERIALIZED (
+  SELECT a.label, a.i, b.i AS j, a.sd * a.sd * ({sql_kernel(CFG.kernel, 'a.features', 'b.features', CFG.lengthscale, CFG.outputscale, CFG.alpha)}
+         - list_inner_product(a.w, b.w) + CASE WHEN a.i = b.i THEN {_d(CFG.noise)} ELSE 0.0 END) AS v
+  FROM test a JOIN test b ON a.label = b.label
+  UNION ALL SELECT label, i, 0, r FROM test),
+elim AS (
+  SELECT 1::BIGINT AS k, label, i, j, v FROM cov
+  UNION ALL
+  SELECT k + 1, label, i, j, v - pc * pr / pp FROM (
+    SELECT *, max(CASE WHEN j = k THEN v END) OVER (PARTITION BY label, i) AS pc,
+           max(CASE WHEN i = k THEN v END) OVER (PARTITION BY label, j) AS pr,
+           max(CASE WHEN i = k AND j = k THEN v END) OVER (PARTITION BY label) AS pp FROM elim)
+  WHERE i > k AND (j > k OR j = 0)),
+piv AS (SELECT label, k, max(CASE WHEN j = k THEN v END) AS p, max(CASE WHEN j = 0 THEN v END) AS r FROM elim WHERE i = k GROUP BY label, k)
+SELECT label, count(*) AS n, sum(ln(p)) AS log_det, (sum(r * r / p) + sum(ln(p))) / (2 * count(*)) + {_d(0.5 * math.log(2 * math.pi))} AS nlpd_joint
+FROM piv GROUP BY label"""
+
+
+@register("nlpd_joint", rounded(_joint_sql(), ["log_det", "nlpd_joint"], digits=4), digits=4)
+def q_nlpd_joint(spark, d):
+    v = FX.vec(spark, d)
+    ids = E.init_random(v, "candidate_id", N_TRAIN, 0)
+    _, x, y = G.collect_train(v.filter(F.col("candidate_id").isin(ids)), "candidate_id", "features", "y")
+    return JOINT.nlpd_joint(v.filter(~F.col("candidate_id").isin(ids)), G.fit_gp(x, y, CFG), "candidate_id", "features", "y", ["label"])
+
+
 # ---------------------------------------------------------------- G2 / G3
 GRID = dict(lengthscales=[0.25, 0.5, 1.0, 2.0], outputscales=[0.5, 1.0, 2.0], noises=[1e-4, 1e-2])
 
@@ -524,9 +560,6 @@ SELECT run_id, step - {n_init + 1} AS iteration, best_so_far, pick_id AS suggest
 FROM loop WHERE step > {n_init} AND candidate_id = pick_id"""
 
 
-VEC_LOOP = VEC.replace("WITH", "WITH RECURSIVE", 1)
-
-
 def _trace_frame(spark, trace):
     return spark.createDataFrame(
         [(t.run_id, t.iteration, t.best_so_far, int(t.suggestion_id), t.suggestion_y, t.acq_sum) for t in trace],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,48 @@ def q_graph_tables(spark, d):
     return edges_both(spark, d)
 
 
+NODE_VOCAB = {"number": list(range(1, 45)), "chirality": ["none", "cw", "ccw", "other"]}
+BOND_VOCAB = {"type": LABELS, "direction": ["none", "up", "down"]}
+LABELS_SQL = """, ln AS (
+  SELECT node_id, CASE WHEN number BETWEEN 1 AND 44 THEN number - 1 END AS number_idx,
+         CASE chirality WHEN 'none' THEN 0 WHEN 'cw' THEN 1 WHEN 'ccw' THEN 2 WHEN 'other' THEN 3 END AS chirality_idx
+  FROM (SELECT node_id, floor(x)::INTEGER AS number, ['none', 'cw', 'ccw', 'other', 'odd'][node_id % 5 + 1] AS chirality FROM gnodes)),
+ok AS (SELECT DISTINCT node_id FROM ln WHERE number_idx IS NOT NULL AND chirality_idx IS NOT NULL),
+lb AS (
+  SELECT src, dst, CASE WHEN label BETWEEN 0 AND 3 THEN label END AS type_idx,
+         CASE direction WHEN 'none' THEN 0 WHEN 'up' THEN 1 WHEN 'down' THEN 2 END AS direction_idx
+  FROM (SELECT *, ['none', 'up', 'down', 'both'][(src + dst) % 4 + 1] AS direction FROM gbonds)),
+lr AS (
+  SELECT *, concat_ws(',', CASE WHEN type_idx IS NULL THEN 'type' END, CASE WHEN direction_idx IS NULL THEN 'direction' END,
+                      CASE WHEN src NOT IN (SELECT node_id FROM ok) THEN 'src' END,
+                      CASE WHEN dst NOT IN (SELECT node_id FROM ok) THEN 'dst' END) AS reason FROM lb)
+SELECT 'node' AS kind, node_id AS a, NULL::BIGINT AS b, number_idx::INTEGER AS first_idx, chirality_idx AS second_idx, NULL::VARCHAR AS reason
+FROM ln WHERE number_idx IS NOT NULL AND chirality_idx IS NOT NULL
+UNION ALL SELECT 'edge', src, dst, type_idx::INTEGER, direction_idx, NULL FROM lr WHERE reason = ''
+UNION ALL SELECT 'edge', dst, src, type_idx::INTEGER, direction_idx, NULL FROM lr WHERE reason = ''
+UNION ALL SELECT 'node_reject', node_id, NULL, NULL, NULL, concat_ws(',', CASE WHEN number_idx IS NULL THEN 'number' END,
+                 CASE WHEN chirality_idx IS NULL THEN 'chirality' END) FROM ln WHERE number_idx IS NULL OR chirality_idx IS NULL
+UNION ALL SELECT 'edge_reject', src, dst, NULL, NULL, reason FROM lr WHERE reason <> ''"""
+
+
+@register("graph_label_tables", GRAPH + LABELS_SQL)
+def q_graph_label_tables(spark, d):
+    pick = lambda names, k: F.element_at(F.array(*[F.lit(v) for v in names]), (k + 1).cast("int"))
+    nodes = FX.graph_nodes(spark, d).select(
+        "node_id", F.floor("x").cast("int").alias("number"), pick([*NODE_VOCAB["chirality"], "odd"], F.col("node_id") % 5).alias("chirality"))
+    bonds = FX.graph_bonds(spark, d).withColumnRenamed("label", "type").withColumn(
+        "direction", pick([*BOND_VOCAB["direction"], "both"], (F.col("src") + F.col("dst")) % 4))
+    n, e, nr, er = GR.labelled_graph(nodes, bonds, NODE_VOCAB, BOND_VOCAB)
+    null = F.lit(None)
+    out = [t.select(F.lit(kind).alias("kind"), F.col(a).cast("bigint").alias("a"), b.cast("bigint").alias("b"), i.cast("int").alias("first_idx"),
+                    j.cast("int").alias("second_idx"), r.cast("string").alias("reason"))
+           for t, kind, a, b, i, j, r in ((n, "node", "node_id", null, F.col("number_idx"), F.col("chirality_idx"), null),
+                                          (e, "edge", "src", F.col("dst"), F.col("type_idx"), F.col("direction_idx"), null),
+                                          (nr, "node_reject", "node_id", null, null, null, F.col("reason")),
+                                          (er, "edge_reject", "src", F.col("dst"), null, null, F.col("reason")))]
+    return reduce(lambda x, y: x.unionByName(y), out)
+
+
 def _emb_sql(dtype: str) -> str:
     vals = ", ".join(f"{v!r}::{dtype}" for v in EDGE_EMB)
     return f"[{vals}][label_idx + 1]"

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,6 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def rewrite(df: DataFrame) -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    Cuts lineage as ``cut_lineage`` does, and forgets how the rows were partitioned: a loop that
+    joins a table with parts of itself would otherwise collect a partitioning per join, which
+    the planner multiplies out.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def testdata_dir(sf: str = "0.01") -> str:
     return os.environ.get("PLATEWISE_SF_DIR", f"/root/testdata/sf{sf}")
 

@@ -424,3 +424,37 @@ def test_run_folder_becomes_two_tables(spark, tmp_path):
     assert sorted((r["run_id"], r["run_dir"]) for r in runs.collect()) == [("r1", "r1"), ("r2", "r2")]
     assert sorted((r["run_dir"], r["epoch"], r["y"]) for r in hist.collect() if r["epoch"]) == [
         ("r1", 1, 0.5), ("r1", 2, None), ("r2", 1, 0.5), ("r2", 2, None)]
+
+
+def test_labelled_graph_rejects_bad_labels_and_loose_ends(spark):
+    from platewise.operators.graph import labelled_graph
+
+    nodes = spark.createDataFrame([(1, 6, "none"), (2, 8, "cw"), (3, 200, "odd"), (4, 7, None), (5, 1, "none"), (5, 1, "none")],
+                                  "atom long, number int, chirality string")
+    bonds = spark.createDataFrame([(1, 2, "single", "none"), (2, 5, "double", "up"), (1, 3, "single", "none"), (1, 2, "half", None),
+                                   (9, 3, "single", "none"), (None, 1, "single", "none"), (1, 2, "single", "none")],
+                                  "a long, b long, type string, direction string")
+    n, e, nr, er = labelled_graph(nodes, bonds, {"number": [1, 6, 7, 8], "chirality": ["none", "cw"]},
+                                  {"type": ["single", "double"], "direction": ["none", "up"]}, "atom", "a", "b")
+    rows = lambda d: sorted(map(tuple, d.collect()), key=repr)
+    assert rows(n) == [(1, 1, 0), (2, 3, 1), (5, 0, 0), (5, 0, 0)]
+    assert rows(nr) == [(3, 200, "odd", "number,chirality"), (4, 7, None, "chirality")]
+    assert rows(e) == sorted([(1, 2, 0, 0), (2, 1, 0, 0)] * 2 + [(2, 5, 1, 1), (5, 2, 1, 1)])
+    assert rows(er) == sorted([(1, 3, "single", "none", "dst"), (1, 2, "half", None, "type,direction"),
+                               (9, 3, "single", "none", "src,dst"), (None, 1, "single", "none", "src")], key=repr)
+    none = labelled_graph(nodes.limit(0), bonds, {"number": [1]}, {"type": ["single"]}, "atom", "a", "b")
+    assert [d.count() for d in none] == [0, 0, 0, 7]
+
+
+def test_run_folder_keeps_unreadable_lines_apart(spark, tmp_path):
+    from platewise.operators.reshape import ingest_run_folder
+
+    for name, lines in (("r1", ['{"epoch": 1, "y": 0.5}', "", '{"epoch": 2', '{"epoch": "x", "y": 1}', '{"epoch": 3, "y": 1.5, "more": 1}']),
+                        ("r2", ["not json"])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "summary.json").write_text(f'{{"run_id": "{name}", "best": 1.0}}')
+        (tmp_path / name / "history.jsonl").write_text("\n".join(lines))
+    runs, hist, rejects = ingest_run_folder(spark, str(tmp_path), "run_id string, best double", "epoch bigint, y double", with_rejects=True)
+    assert runs.count() == 2 and sorted((r["run_dir"], r["epoch"], r["y"]) for r in hist.collect()) == [("r1", 1, 0.5), ("r1", 3, 1.5)]
+    assert sorted((r["run_dir"], r["kind"], r["line"]) for r in rejects.collect()) == [
+        ("r1", "history", '{"epoch": "x", "y": 1}'), ("r1", "history", '{"epoch": 2'), ("r2", "history", "not json")]
