@@ -11,6 +11,9 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,22 +79,44 @@ def _assign(features: str, centres: list[list[float]], dist: Callable = sqdist)
 
 def lloyd(df: DataFrame, features: str, centres: list[list[float]], rounds: int, tol: float = 0.0
           ) -> tuple[list[list[float]], DataFrame]:
-    """Lloyd iterations: nearest centre by squared distance (broadcast literal), then
-    per (cluster, dim) means (partial aggregate, k*d rows to the driver); an empty
-    cluster keeps its centre. Stops early when no centre moves more than ``tol``."""
-    cur = [list(map(float, c)) for c in centres]
+    """Lloyd iterations: nearest centre by squared distance (ties to the lower index), then the
+    mean of each cluster; an empty cluster keeps its centre. Stops early when no centre moves
+    more than ``tol``.
+
+    The vectors are written once as bytes; a round is one narrow pass over them, whose tasks
+    each send one vector sum per cluster. Sums are added in task order, so a round that changes
+    no assignment gives the same centres to the last bit."""
+    cur = np.array(centres, float)
+    packed = cut_lineage(df.filter(F.col(features).isNotNull()).select(F.col(features).cast("array<double>").alias("v")).mapInPandas(
+        lambda batches: (pd.DataFrame({"x": [np.asarray(v, float).tobytes() for v in b["v"]]}) for b in batches), "x binary"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("task")
+        total = np.stack([np.frombuffer(s) for s in pdf["s"]]).sum(0)
+        return pd.DataFrame([{"cluster": pdf["cluster"].iloc[0], "n": pdf["n"].sum(), "s": total.tobytes()}])
+
     for _ in range(rounds):
-        a = df.select(features, _assign(features, cur)["c"].alias("cluster"))
-        means = (a.select("cluster", F.posexplode(features).alias("dim", "v"))
-                 .groupBy("cluster", "dim").agg(F.avg("v").alias("m")).collect())
-        new = [list(c) for c in cur]
-        for r in means:
-            new[r["cluster"]][r["dim"]] = float(r["m"])
-        shift = max(sum((x - y) ** 2 for x, y in zip(c0, c1)) ** 0.5 for c0, c1 in zip(cur, new))
+        def partial(batches, at=cur):
+            n, s = np.zeros(len(at), np.int64), np.zeros(at.shape)
+            for pdf in batches:
+                if len(pdf):
+                    x = np.frombuffer(b"".join(pdf["x"])).reshape(len(pdf), -1)
+                    own = np.stack([((x - c) ** 2).sum(1) for c in at]).argmin(0)
+                    n += np.bincount(own, minlength=len(at))
+                    np.add.at(s, own, x)
+            yield pd.DataFrame([(TaskContext.get().partitionId(), c, n[c], s[c].tobytes()) for c in np.flatnonzero(n)],
+                               columns=["task", "cluster", "n", "s"])
+
+        sums = packed.mapInPandas(partial, "task int, cluster int, n long, s binary")
+        new = cur.copy()
+        for r in sums.groupBy("cluster").applyInPandas(merge, "cluster int, n long, s binary").collect():  # a row per centre
+            new[r["cluster"]] = np.frombuffer(r["s"]) / r["n"]
+        shift = np.sqrt(((new - cur) ** 2).sum(1)).max()
         cur = new
         if shift <= tol:
             break
-    return cur, df.withColumn("cluster", _assign(features, cur)["c"])
+    found = cur.tolist()
+    return found, df.withColumn("cluster", _assign(features, found)["c"])
 
 
 def nearest_distinct(df: DataFrame, id_col: str, features: str, centres: list[list[float]]) -> list:

@@ -71,20 +71,39 @@ def normalise_ws(col: Column | str) -> Column:
 
 def char_grams(col: Column, n_min: int, n_max: int) -> Column:
     """Array of all overlapping character n-grams, n_min <= n <= n_max (spans whitespace
-    and newlines). Each length is one native regex scan, ``(?s)(?=(.{n}))``: a zero-width
-    look-ahead captures the gram starting at every position, so a text costs O(len * n)
+    and newlines). Each length is one native regex scan, ``(?s)(?=(.{n})).``: a look-ahead
+    captures the gram at every character (a pair of surrogates is one), so a text costs O(len * n)
     inside the JVM with no per-gram lambda. Texts shorter than n give no n-gram.
     """
-    arrays = [F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in range(n_min, n_max + 1)]
+    arrays = [F.regexp_extract_all(col, F.lit(f"(?s)(?=(.{{{n}}}))."), 1) for n in range(n_min, n_max + 1)]
     return F.concat(*arrays) if len(arrays) > 1 else arrays[0]
 
 
+STRETCH = 4096  # characters of a text whose grams are held at a time
+
+
+def exploded_grams(df: DataFrame, keep: Sequence[str | Column], col: Column, n_min: int, n_max: int, out_col: str = "gram") -> DataFrame:
+    """(keep..., gram): one row per overlapping gram of ``char_grams``, stretch by stretch.
+
+    A text is cut into stretches of ``STRETCH`` characters by one regex scan; each carries the
+    first n_max - 1 characters of the next, so every gram starts in exactly one stretch and no
+    row ever holds more than (n_max - n_min + 1) * STRETCH grams, however long the text is.
+    """
+    cut = df.select(*keep, F.regexp_extract_all(col, F.lit(f"(?s).{{1,{STRETCH}}}"), 0).alias("__s"))
+    names = cut.columns[:-1]
+    after = lambda i: F.substring(F.coalesce(F.get(F.col("__s"), i + 1), F.lit("")), 1, max(n_max - 1, 0))
+    pieces = cut.select(*names, F.explode(F.transform("__s", lambda s, i: F.struct(s.alias("body"), after(i).alias("next")))).alias("__p"))
+    pieces = pieces.select(*names, "__p.body", "__p.next")
+    own = [char_grams(F.concat(F.col("body"), F.substring("next", 1, n - 1)) if n > 1 else F.col("body"), n, n)
+           for n in range(n_min, n_max + 1)]
+    return pieces.select(*names, F.explode(F.concat(*own) if len(own) > 1 else own[0]).alias(out_col))
+
+
 # ------------------------------------------------------------------ C2
 def char_ngrams(df: DataFrame, id_col: str, col: str, max_ngram: int = 5) -> DataFrame:
     """Counts of 1..max_ngram character grams (case kept, whitespace runs collapsed),
     long form (id, gram, count)."""
-    grams = char_grams(normalise_ws(col), 1, max_ngram)
-    return (df.select(id_col, F.explode(grams).alias("gram"))
+    return (exploded_grams(df, [id_col], normalise_ws(col), 1, max_ngram)
             .groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("count")))
 
 
@@ -119,8 +138,7 @@ def hashed_fingerprint(df: DataFrame, col: str, radius: int = 3, n_bits: int = 2
     Grams are exploded to rows and hashed there (no per-row arrays of a long text's
     grams are de-duplicated in place); rows without grams get an empty print.
     """
-    long = df.select(id_col, F.explode(char_grams(F.col(col), 1, radius)).alias("g")) \
-        .select(id_col, gram_bit(F.col("g"), n_bits).alias("bit"))
+    long = exploded_grams(df, [id_col], F.col(col), 1, radius, "g").select(id_col, gram_bit(F.col("g"), n_bits).alias("bit"))
     prints = _bits_per_id(long, id_col, n_bits, out_col)
     return df.join(prints, id_col, "left").withColumn(
         out_col, F.coalesce(F.col(out_col), F.array().cast("array<int>")))
@@ -132,10 +150,9 @@ def difference_fingerprint(df: DataFrame, left: str, right: str, radius: int = 3
 
     Both sides are exploded to (id, gram, side) rows; a gram belongs to the symmetric
     difference when only one side has it (one partial aggregate on (id, gram))."""
-    sides = (df.select(id_col, F.explode(char_grams(F.col(left), 1, radius)).alias("g"), F.lit(1).alias("l"),
-                       F.lit(0).alias("r"))
-             .unionByName(df.select(id_col, F.explode(char_grams(F.col(right), 1, radius)).alias("g"),
-                                    F.lit(0).alias("l"), F.lit(1).alias("r"))))
+    sides = (exploded_grams(df, [id_col], F.col(left), 1, radius, "g").withColumn("l", F.lit(1)).withColumn("r", F.lit(0))
+             .unionByName(exploded_grams(df, [id_col], F.col(right), 1, radius, "g")
+                          .withColumn("l", F.lit(0)).withColumn("r", F.lit(1))))
     per = sides.groupBy(id_col, "g").agg(F.max("l").alias("l"), F.max("r").alias("r"))
     sym = per.filter(F.col("l") + F.col("r") == 1).select(id_col, gram_bit(F.col("g"), n_bits).alias("bit"))
     prints = _bits_per_id(sym, id_col, n_bits, out_col)

@@ -458,3 +458,16 @@ def test_run_folder_keeps_unreadable_lines_apart(spark, tmp_path):
     assert runs.count() == 2 and sorted((r["run_dir"], r["epoch"], r["y"]) for r in hist.collect()) == [("r1", 1, 0.5), ("r1", 3, 1.5)]
     assert sorted((r["run_dir"], r["kind"], r["line"]) for r in rejects.collect()) == [
         ("r1", "history", '{"epoch": "x", "y": 1}'), ("r1", "history", '{"epoch": 2'), ("r2", "history", "not json")]
+
+
+def test_grams_of_long_texts_come_stretch_by_stretch(spark, monkeypatch):
+    from platewise.operators import features as C
+
+    monkeypatch.setattr(C, "STRETCH", 7)
+    texts = ["", "a", "abcdefg", "abcdefgh", "ab\n\U0001F600cdéfghij klmnop", "x" * 30, None, "0123456" * 2]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    got = sorted((r["id"], r["gram"]) for r in C.exploded_grams(df, ["id"], F.col("t"), 1, 5).collect())
+    want = sorted((i, t[k:k + n]) for i, t in enumerate(texts) if t for n in range(1, 6) for k in range(len(t) - n + 1))
+    assert got == want
+    one = C.exploded_grams(df, ["id"], F.col("t"), 1, 1).count()
+    assert one == sum(len(t or "") for t in texts)
