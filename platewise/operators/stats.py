@@ -24,7 +24,7 @@ from platewise.session import cut_lineage
 
 
 # ------------------------------------------------------------------ K8
-DRAW_BLOCK = 1024  # rows of a group whose values travel together
+DRAW_BLOCK = 64  # rows of a group whose values travel together; a draw copies its block once
 
 
 def resamples(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:

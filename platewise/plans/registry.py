@@ -77,7 +77,7 @@ def sql_fmt2(expr: str) -> str:
             f"ELSE printf('%.2f', round(({expr})::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE) END)")
 
 
-def sql_resamples(src: str, by: str, value: str, key: str, n: int, seed: int = 0, block: int = 1024) -> str:
+def sql_resamples(src: str, by: str, value: str, key: str, n: int, seed: int = 0, block: int = 64) -> str:
     """CTEs ending with ``drawn`` (by, rep, value), the twin of ``stats.resamples``: places drawn
     by every row give the counts per block, then each block draws its own rows."""
     from platewise.functions.rand import TWO32, sql_md5_u32, sql_mix_u32
