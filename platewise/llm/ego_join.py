@@ -112,7 +112,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     empty table gives an empty one.
 
     Only the choice of principal directions uses a sample (about ``sample_rows`` rows picked
-    by hash); it steers the sort, never the result. Every step is a join or a bounded group:
+    by hash, four times as many at most); it steers the sort, never the result. Every step is a join or a bounded group:
     interval pairs are rows of a DataFrame, split level by level, and a group holds two
     blocks. A crowd of copies or near copies closer than eps links interval to interval,
     without its pairs being formed.
@@ -135,7 +135,9 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     src = src.filter(usable).select("id", "vec")
 
     share = min(1.0, sample_rows / total)
-    picked = src.filter(F.pmod(F.xxhash64("vec"), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).select("vec")
+    # picked by row, so a hot vector gives its share of the sample only; the limit bounds what comes back
+    picked = (src.filter(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 20)) < int(math.ceil(share * (1 << 20)))).select("vec")
+              .limit(4 * sample_rows))
     sample = np.array([r[0] for r in picked.collect()], np.float64).reshape(-1, dim)
     sample /= np.linalg.norm(sample, axis=1)[:, None]
     axes = np.linalg.eigh(np.cov(sample.T).reshape(dim, dim))[1][:, ::-1] if len(sample) > 1 else np.eye(dim)

@@ -244,3 +244,22 @@ def test_components_of_paths_stars_and_cliques(spark):
         ref.setdefault(root, set()).add(n)
     assert sorted(map(sorted, by.values())) == sorted(map(sorted, ref.values()))
     assert all(root in by[root] for root in by)
+
+
+def test_a_hot_vector_gives_only_its_share_of_the_sample(spark):
+    """Thousands of copies of one vector, under ids of their own or none, beside a few others."""
+    r = np.random.default_rng(3)
+    hot, rest = r.normal(size=6), r.normal(size=(40, 6))
+    rows = [(i, hot.tolist()) for i in range(3000)] + [(5000 + i, v.tolist()) for i, v in enumerate(rest)]
+    out = link_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample_rows=64, block_rows=256)
+    got = {x["id"]: x for x in out.collect()}
+    assert len(got) == 3040
+    unit = np.vstack([hot, rest]) / np.linalg.norm(np.vstack([hot, rest]), axis=1)[:, None]
+    near = unit @ unit.T >= 0.95
+    for i in range(3000):
+        assert got[i]["component_id"] == 0 and got[i]["n_links"] == 2999 + near[0, 1:].sum()
+    for k in range(40):
+        assert got[5000 + k]["n_links"] == 3000 * near[k + 1, 0] + near[k + 1, 1:].sum() - 1
+    nameless = spark.createDataFrame([(None, hot.tolist())] * 500, "vec_id long, embedding array<double>")
+    alike = link_vectors(nameless, sample_rows=8, block_rows=64).collect()
+    assert len(alike) == 500 and {x["n_links"] for x in alike} == {499} and sum(x["kept"] for x in alike) == 1
