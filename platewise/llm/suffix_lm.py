@@ -5,31 +5,39 @@ states are contexts of up to DEPTH preceding bytes. A context is kept if it pays
 next-symbol distribution differs from that of its longest proper suffix by enough bits
 (count times divergence). Distributions are smoothed towards the suffix's, and every symbol is
 predicted by the longest kept suffix of what stands before it.
+
+Counts are shuffled once, by the last three bytes of the context, so that a task holds whole
+subtrees: sorted with the newest byte first, the contexts of every depth are runs of one array.
+Contexts of up to two bytes (at most 65,793 of them) are a table of their own.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
-from functools import reduce
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.llm.common import stage
 
 DEPTH = 6  # longest context in bytes
-GAIN = 64.0  # bits that a context must save
+GAIN = 4.0  # bits that a context must save
 PULL = 6.0  # weight of the suffix's distribution for each different symbol met
 CELLS = 1 << 23  # states times symbols that travel with the code (8 bytes each)
 HOT = 2.0**-20  # share of training tokens from which on a word travels with the code
 HOT_BYTES = 64  # longest such word
 CHUNK = 1 << 20  # bytes in work at once
-FLUSH = 1 << 18  # entries of a task's count tables before they are handed on
+FLUSH = 1 << 18  # words of a task's count table before it is handed on
+HELD = 1 << 21  # grams of a task's count table, or symbols of its blocks, before they are handed on
+PART = 1 << 22  # training bytes for each part of the subtrees
+PARTS = 1 << 14  # most parts
 END = b"\n"  # cannot occur in a text whose white space is folded
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -85,12 +93,102 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     k, n = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k, kind="stable")
     k, n = k[order], n[order]
-    first = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    first = _firsts(k)
     return k[first], np.add.reduceat(n, first)
 
 
-def count_corpus(docs: DataFrame, text_col: str) -> DataFrame:
-    """Staged partial counts over all rows: (word, null, n) and (null, gram, n), combined per task."""
+def _firsts(k: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+
+
+def _turn(key: np.ndarray) -> np.ndarray:
+    """(context, symbol) keys with the newest byte of the context highest instead of the oldest."""
+    ctx = (key >> 8).byteswap().view(np.uint64) >> np.uint64(64 - 8 * DEPTH)
+    return (ctx.astype(np.int64) << 8) | (key & 255)
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """Part of turned keys, by the three newest bytes."""
+    top = (key >> 8 * (DEPTH - 2)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((top >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _press(keys: np.ndarray, *more: np.ndarray) -> bytes:
+    """Ascending keys, as steps, and other integers, compressed byte plane by byte plane."""
+    if not len(keys):
+        return b""
+    cols = [np.diff(keys, prepend=np.int64(0)), *more]
+    planes = b"".join(np.ascontiguousarray(c, "<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in cols)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
+
+
+def _unpress(body: bytes, width: int) -> list[np.ndarray]:
+    if not body:
+        return [np.zeros(0, np.int64)] * width
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8).reshape(width, 8, -1)
+    cols = [np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes]
+    return [np.cumsum(cols[0]), *cols[1:]]
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x, "<f4").view("<i4").astype(np.int64)
+
+
+def _floats(x: np.ndarray) -> np.ndarray:
+    return x.astype("<i4").view("<f4").astype(float)
+
+
+def _split(key: np.ndarray, of: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    """Turned keys and a number for each, pressed part by part in ascending order."""
+    part = _part(key, parts)
+    order = np.lexsort((key, part))
+    key, of, part = key[order], of[order], part[order]
+    first = _firsts(part)
+    for a, b in zip(first, [*first[1:], len(part)]):
+        yield int(part[a]), _press(key[a:b], of[a:b])
+
+
+_COUNTS = "part int, word binary, n long, body binary"
+
+
+def _gram_rows(keys: list[np.ndarray], counts: list[np.ndarray], parts: int) -> pd.DataFrame:
+    rows = list(_split(*_merge(keys, counts), parts))
+    return pd.DataFrame({"part": [p for p, _ in rows], "word": None, "n": None, "body": [b for _, b in rows]})
+
+
+def _combine(counted: DataFrame, parts: int) -> DataFrame:
+    """Staged counts: (word, n) rows and one row (part, body) for the grams of each part."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words: Counter = Counter()
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        part, held = None, 0
+        for pdf in batches:
+            for p, word, n, body in zip(pdf["part"], pdf["word"], pdf["n"], pdf["body"]):
+                part = int(p)
+                if word is not None:
+                    words[bytes(word)] += int(n)
+                    continue
+                k, c = _unpress(bytes(body), 2)
+                keys.append(k)
+                counts.append(c)
+                held += len(k)
+                if held > HELD and held > 2 * len(keys[0]):
+                    k, c = _merge(keys, counts)
+                    keys, counts, held = [k], [c], len(k)
+        if words:
+            yield pd.DataFrame({"part": part, "word": list(words), "n": list(words.values()), "body": None})
+        if keys:
+            yield pd.DataFrame({"part": [part], "word": None, "n": None, "body": [_press(*_merge(keys, counts))]})
+
+    return stage(counted.repartitionById(parts, F.col("part")).mapInPandas(run, _COUNTS))
+
+
+def count_corpus(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
+    """Staged counts over all rows: (word, n) and, for each part of the subtrees, its pressed grams.
+
+    Both are combined in the task that reads the texts, then once more after the only shuffle.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         keys: list[np.ndarray] = []
@@ -98,12 +196,8 @@ def count_corpus(docs: DataFrame, text_col: str) -> DataFrame:
         held = 0
 
         def word_rows() -> pd.DataFrame:
-            return pd.DataFrame({"word": list(words), "gram": pd.array([None] * len(words), "Int64"),
-                                 "n": list(words.values())})
-
-        def gram_rows() -> pd.DataFrame:
-            k, n = _merge(keys, counts)
-            return pd.DataFrame({"word": [None] * len(k), "gram": pd.array(k, "Int64"), "n": n})
+            return pd.DataFrame({"part": [zlib.crc32(w) % parts for w in words], "word": list(words),
+                                 "n": list(words.values()), "body": None})
 
         for pdf in batches:
             for _, toks in _slices(pdf["text"].tolist()):
@@ -111,14 +205,14 @@ def count_corpus(docs: DataFrame, text_col: str) -> DataFrame:
                     words.update(t)
                 for _, _, buf, at in _streams(toks):
                     for k, n in _grams(buf, at):
-                        keys.append(k)
+                        keys.append(_turn(k))
                         counts.append(n)
                         held += len(k)
-                    if held > 4 * FLUSH:
+                    if held > HELD:
                         k, n = _merge(keys, counts)
                         keys, counts, held = [k], [n], len(k)
-                    if held > 4 * FLUSH:
-                        yield gram_rows()
+                    if held > HELD // 2:
+                        yield _gram_rows(keys, counts, parts)
                         keys, counts, held = [], [], 0
                 if len(words) > FLUSH:
                     yield word_rows()
@@ -126,9 +220,9 @@ def count_corpus(docs: DataFrame, text_col: str) -> DataFrame:
         if words:
             yield word_rows()
         if keys:
-            yield gram_rows()
+            yield _gram_rows(keys, counts, parts)
 
-    return stage(docs.select(F.col(text_col).alias("text")).mapInPandas(run, "word binary, gram long, n long"))
+    return _combine(docs.select(F.col(text_col).alias("text")).mapInPandas(run, _COUNTS), parts)
 
 
 @dataclass
@@ -136,9 +230,8 @@ class SuffixTree:
     """child[state * width + class of the byte before] is the longer state, 0 if there is none and
     -1 if it is among ``rest``; logp[state * width + class of the symbol] is its log10 probability.
 
-    rest holds the other kept contexts: (d, ctx, back, seen), where seen maps the symbols met to
-    their log10 probability and back is what any other adds to that after the longest suffix. It
-    is None if there are none.
+    rest holds the kept contexts of three bytes and more, a row for each part of the subtrees;
+    those of a level of frequency below ``low`` are not in the code. It is None if there are none.
     """
 
     classes: np.ndarray
@@ -146,6 +239,8 @@ class SuffixTree:
     logp: np.ndarray
     width: int
     rest: DataFrame | None = None
+    low: float = -math.inf
+    parts: int = 1
 
     def walk(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of every text of a stream but for the symbols whose context goes on
@@ -176,147 +271,263 @@ class SuffixTree:
         for k in range(DEPTH, -1, -1):
             key <<= 8
             key |= buf[pos - k]
-        return np.add.reduceat(out, at), np.searchsorted(at, pos, "right") - 1, key
+        return np.add.reduceat(out, at), np.searchsorted(at, pos, "right") - 1, _turn(key)
 
     def score(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of every text of a stream, if the tree has no ``rest``."""
         return self.walk(buf, at)[0]
 
-    def place(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Depth of the longest context held here and its log10 probability of the symbol, for (context, symbol) keys."""
-        state, depth = np.zeros(len(key), np.int32), np.zeros(len(key), np.int32)
+    def place(self, key: np.ndarray) -> np.ndarray:
+        """log10 probability of the symbol after the longest context held here, for turned keys."""
+        state = np.zeros(len(key), np.int32)
         on = np.arange(len(key))
         for k in range(1, DEPTH + 1):
-            to = self.child[state[on] * self.width + self.classes[(key[on] >> 8 * k) & 255]]
+            to = self.child[state[on] * self.width + self.classes[(key[on] >> 8 * (DEPTH + 1 - k)) & 255]]
             go = to > 0
             on = on[go]
             state[on] = to[go]
-            depth[on] = k
-        return depth, self.logp[state * self.width + self.classes[key & 255]].astype(float)
+        return self.logp[state * self.width + self.classes[key & 255]].astype(float)
+
+
+@dataclass
+class _Top:
+    """Contexts of d = 0, 1, 2 bytes: ascending turned names, counts and probabilities by class of symbol."""
+
+    classes: np.ndarray
+    names: list[np.ndarray]
+    n: list[np.ndarray]
+    all: list[np.ndarray]
+    back: list[np.ndarray]
+    p: list[np.ndarray]
+    pays: list[np.ndarray]
+
+    @classmethod
+    def of(cls, key: np.ndarray, count: np.ndarray, gain: float) -> _Top:
+        """From turned keys of two bytes and a symbol."""
+        symbols = np.unique(key & 255)
+        classes = np.zeros(256, np.int64)  # class 0: bytes that training never met
+        classes[symbols] = np.arange(1, len(symbols) + 1)
+        top = cls(classes, [], [], [], [], [], [])
+        for d in range(3):
+            ctx = key >> 8 * (3 - d)
+            names, row = np.unique(ctx, return_inverse=True)
+            n = np.zeros((len(names), len(symbols) + 1))
+            np.add.at(n, (row, classes[key & 255]), count)
+            total, pull = n.sum(1), PULL * (n > 0).sum(1)
+            if d:
+                up = np.searchsorted(top.names[-1], names >> 8)
+                p = top.p[-1][up]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    bits = n * (np.log2(n / total[:, None]) - np.log2(top.n[-1][up] / top.all[-1][up][:, None]))
+                pays = np.nansum(bits, 1) >= gain
+            else:
+                p, pays = np.full(n.shape, 1 / 256), np.ones(1, bool)
+            # the more symbols were met, the likelier is another
+            for held, x in zip((top.names, top.n, top.all, top.back, top.p, top.pays),
+                               (names, n, total, pull / (total + pull), (n + pull[:, None] * p) / (total + pull)[:, None], pays)):
+                held.append(x)
+        return top
+
+
+def _subtrees(key: np.ndarray, n: np.ndarray, top: _Top, gain: float) -> list[dict[str, np.ndarray]]:
+    """Kept contexts of 3 to DEPTH bytes of a part, from all of its counts."""
+    tables = [(key, n)]
+    for _ in range(DEPTH - 3):
+        k, n = tables[-1]
+        tables.append(_merge([(k >> 16 << 8) | (k & 255)], [n]))
+    found: list[dict[str, np.ndarray]] = []
+    for d, (k, n) in zip(range(3, DEPTH + 1), reversed(tables)):
+        first = _firsts(k >> 8)
+        kinds = np.diff(np.append(first, len(k)))
+        name, total, pull = k[first] >> 8, np.add.reduceat(n, first), PULL * kinds
+        of = np.repeat(np.arange(len(first)), kinds)
+        if d == 3:
+            up = np.searchsorted(top.names[2], name >> 8)
+            cls = top.classes[k & 255]
+            up_n, up_all, up_p = top.n[2][up[of], cls], top.all[2][up], top.p[2][up[of], cls]
+        else:
+            last = found[-1]
+            up = np.searchsorted(last["name"], name >> 8)
+            at = np.searchsorted(last["key"], (k >> 16 << 8) | (k & 255))
+            up_n, up_all, up_p = last["n"][at], last["all"][up], last["p"][at]
+        bits = n * (np.log2(n / total[of]) - np.log2(up_n / up_all[of]))
+        found.append({"name": name, "all": total, "back": pull / (total + pull), "up": up, "key": k, "n": n, "of": of,
+                      "p": (n + pull[of] * up_p) / (total + pull)[of], "keep": np.add.reduceat(bits, first) >= gain})
+    for long, short in zip(found[:0:-1], found[-2::-1]):
+        short["keep"][long["up"][long["keep"]]] = True  # suffixes of kept contexts are kept
+    return found
+
+
+_MODEL = "part int, ctx array<binary>, seen array<binary>, up array<long>, level array<int>, size array<long>"
+
+
+def _grow_parts(grams: DataFrame, top: _Top, gain: float) -> DataFrame:
+    """Staged model: for each part and depth the kept contexts with step back and level of
+    frequency, and the symbols met after them with their log10 probability."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for part, body in zip(pdf["part"], pdf["body"]):
+                ctx, seen, levels = [], [], []
+                found = _subtrees(*_unpress(bytes(body), 2), top, gain)
+                for t in found:
+                    keep, of = t["keep"], t["of"]
+                    levels.append(np.floor(8 * np.log2(t["all"][keep])).astype(np.int64))
+                    ctx.append(_press(t["name"][keep], _bits(np.log10(t["back"][keep])), levels[-1]))
+                    seen.append(_press(t["key"][keep[of]], _bits(np.log10(t["p"][keep[of]]))))
+                level, size = np.unique(np.concatenate(levels), return_counts=True)
+                up = np.unique(found[0]["name"][found[0]["keep"]] >> 8)
+                yield pd.DataFrame({"part": [part], "ctx": [ctx], "seen": [seen], "up": [up], "level": [level.astype(np.int32)],
+                                    "size": [size]})
+
+    return stage(grams.mapInPandas(run, _MODEL))
+
+
+def _hot_parts(model: DataFrame, low: float) -> pd.DataFrame:
+    """(d, ctx, seen, on): contexts from level ``low`` on, and those below it whose suffix is in the code."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for ctxs, seens in zip(pdf["ctx"], pdf["seen"]):
+                short = None
+                for d, (ctx, seen) in enumerate(zip(ctxs, seens), 3):
+                    name, back, level = _unpress(bytes(ctx), 3)
+                    key, lp = _unpress(bytes(seen), 2)
+                    hot = level >= low
+                    mine = np.isin(key >> 8, name[hot])
+                    on = name[~hot] if d == 3 else name[~hot & np.isin(name >> 8, short)]
+                    short = name[hot]
+                    if len(short) or len(on):
+                        yield pd.DataFrame({"d": [d], "ctx": [_press(name[hot], back[hot])],
+                                            "seen": [_press(key[mine], lp[mine])], "on": [_press(on)]})
+
+    return model.select("ctx", "seen").mapInPandas(run, "d int, ctx binary, seen binary, on binary").toPandas()
+
+
+def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS, parts: int = 8) -> SuffixTree:
+    """The tree from (gram, n) counts of the deepest contexts with their next symbol, oldest byte highest."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                yield _gram_rows([_turn(pdf["gram"].to_numpy(np.int64))], [pdf["n"].to_numpy(np.int64)], parts)
 
+    return _grow(_combine(grams.select("gram", "n").mapInPandas(run, _COUNTS), parts).filter("body is not null"), gain, cells, parts)
 
-def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS) -> SuffixTree:
-    """The tree from (gram, n) counts of the deepest contexts with their next symbol.
+
+def _grow(grams: DataFrame, gain: float, cells: int, parts: int) -> SuffixTree:
+    """The tree from the staged grams of all parts.
 
     Shorter contexts' counts are sums of deeper ones. A context c is kept if
     sum over symbols of n(c, s) log2(P(s | c) / P(s | suffix of c)) >= gain;
     suffixes of kept contexts are kept. ``gain`` is a number of bits whatever the size of the
-    corpus, so more text keeps more contexts. The kept contexts are tables. Only the most
-    frequent of them, up to ``cells`` cells of state times symbol, travel with the code: that
-    saves joins and changes no score. All others are in ``rest``.
+    corpus, so more text keeps more contexts. Contexts of up to two bytes and the most frequent of
+    the others, up to ``cells`` cells of state times symbol, travel with the code: that saves
+    shuffles and changes no score. All others are in ``rest``.
     """
-    grams = stage(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    total = grams.agg(F.sum("n")).first()[0]
-    if not total:
+    def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for body in pdf["body"]:
+                k, n = _unpress(bytes(body), 2)
+                k, n = _merge([(k >> 8 * (DEPTH - 1) << 8) | (k & 255)], [n])
+                yield pd.DataFrame({"k": k, "n": n})
+
+    pairs = (grams.select("body").mapInPandas(short, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+             .toArrow().to_pandas())
+    if not len(pairs):
         return SuffixTree(np.zeros(256, np.int64), np.zeros(1, np.int32), np.full(1, math.log10(1 / 256)), 1)
+    top = _Top.of(pairs["k"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), gain)
+    width = top.p[0].shape[1]
+    model = _grow_parts(grams.select("part", "body"), top, gain)
 
-    def at_depth(d: int) -> DataFrame:
-        return (grams.groupBy(F.shiftright("gram", 8).bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("ctx"),
-                              F.col("gram").bitwiseAND(F.lit(255)).alias("sym")).agg(F.sum("n").alias("n")))
-
-    def suffix(d: int) -> Column:
-        return F.col("ctx").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1))
-
-    tables = [stage(at_depth(d)) for d in range(DEPTH + 1)]
-    sizes = [stage(t.groupBy("ctx").agg(F.sum("n").alias("all"), (PULL * F.count(F.lit(1))).alias("pull"))) for t in tables]
-    kept: dict[int, DataFrame] = {}
-    for d in range(DEPTH, 0, -1):
-        up = sizes[d - 1].select(F.col("ctx").alias("suf"), F.col("all").alias("up_all"))
-        # no symbol saves more than log2(up_all / all) bits: contexts that cannot reach gain need no test
-        sums = (sizes[d].select("ctx", "all", suffix(d).alias("suf")).join(up, "suf")
-                .filter(F.col("all") * F.log2(F.col("up_all") / F.col("all")) >= gain * (1 - 1e-9)))
-        test = (tables[d].join(sums, "ctx")
-                .join(tables[d - 1].select(F.col("ctx").alias("suf"), "sym", F.col("n").alias("up_n")), ["suf", "sym"]))
-        bits = F.col("n") * (F.log2(F.col("n") / F.col("all")) - F.log2(F.col("up_n") / F.col("up_all")))
-        own = test.groupBy("ctx").agg(F.sum(bits).alias("bits")).filter(F.col("bits") >= gain).select("ctx")
-        if d < DEPTH:
-            own = own.unionAll(kept[d + 1].select(suffix(d + 1).alias("ctx"))).distinct()
-        # the more symbols were met, the likelier is another
-        kept[d] = stage(own.join(sizes[d], "ctx").select("ctx", "all", "pull", F.floor(8 * F.log2("all")).alias("level")))
-
-    # probabilities of the symbols met after each kept context; every other has pull / (all + pull) of the suffix's
-    first = tables[0].crossJoin(F.broadcast(sizes[0].select("all", "pull"))).withColumn("up", F.lit(1 / 256))
-    prob = (F.col("n") + F.col("pull") * F.col("up")) / (F.col("all") + F.col("pull"))
-    seen = [stage(first.select("ctx", "sym", prob.alias("p")))]
-    for d in range(1, DEPTH + 1):
-        up = seen[d - 1].select(F.col("ctx").alias("suf"), "sym", F.col("p").alias("up"))
-        seen.append(stage(tables[d].join(kept[d].drop("level"), "ctx").withColumn("suf", suffix(d))
-                          .join(up, ["suf", "sym"]).select("ctx", "sym", prob.alias("p"))))
+    keep = top.pays
+    longer = model.select(F.explode("up").alias("up")).distinct().toPandas()["up"].to_numpy(np.int64)
+    keep[2][np.searchsorted(top.names[2], longer)] = True
+    keep[1][np.searchsorted(top.names[1], top.names[2][keep[2]] >> 8)] = True
 
     # the code takes the upper levels of frequency; a suffix is at least as frequent as its context
-    root = seen[0].toArrow().to_pandas()
-    width = 1 + len(root)
-    levels = reduce(DataFrame.unionAll, [kept[d].select("level") for d in kept]).groupBy("level").count().collect()
-    room, low = cells // width - 1, math.inf
+    levels = (model.select(F.explode(F.arrays_zip("level", "size")).alias("x")).groupBy("x.level")
+              .agg(F.sum("x.size").alias("n")).collect())
+    room, low, taken = cells // width - 1 - int(keep[1].sum() + keep[2].sum()), math.inf, 0
     for level, n in sorted(map(tuple, levels), reverse=True):
-        room -= n
-        if room < 0:
+        if taken + n > room:
             break
-        low = level
-    hot = {d: kept[d].filter(F.col("level") >= F.lit(low)) for d in kept}
-    cold = {d: kept[d].filter(F.col("level") < F.lit(low)) for d in kept}
-
-    symbols = np.unique(root["sym"])
-    classes = np.zeros(256, np.int64)  # class 0: bytes that training never met
-    classes[symbols] = np.arange(1, len(symbols) + 1)
-    held = {d: hot[d].toArrow().to_pandas().sort_values("ctx") for d in hot}
-    names = [np.zeros(1, np.int64)] + [held[d]["ctx"].to_numpy() for d in range(1, DEPTH + 1)]
+        low, taken = level, taken + n
+    parts_of = _hot_parts(model, low)
+
+    names = [np.zeros(1, np.int64), top.names[1][keep[1]], top.names[2][keep[2]]]
+    backs = [None, *(np.log10(top.back[d][keep[d]]) for d in (1, 2))]
+    for d in range(3, DEPTH + 1):
+        held = [_unpress(bytes(x), 2) for x in parts_of["ctx"][parts_of["d"] == d]]
+        name = np.concatenate([x[0] for x in held] or [np.zeros(0, np.int64)])
+        order = np.argsort(name)
+        names.append(name[order])
+        backs.append(_floats(np.concatenate([x[1] for x in held] or [np.zeros(0, np.int64)]))[order])
     base = np.zeros(len(names) + 1, np.int64)
     base[1:] = np.cumsum([len(k) for k in names])
     child = np.zeros(base[-1] * width, np.int32)
-    p = np.zeros((base[-1], width))
-    for d in range(DEPTH + 1):
-        if d == 0:
-            n0 = sizes[0].first()
-            p[0] = n0["pull"] / (n0["all"] + n0["pull"]) / 256  # the unseen bytes share class 0
-            mine = root
-        else:
-            parent = base[d - 1] + np.searchsorted(names[d - 1], names[d] & ((1 << 8 * (d - 1)) - 1))
-            child[parent * width + classes[names[d] >> (8 * (d - 1))]] = base[d] + np.arange(len(names[d]))
-            back = (held[d]["pull"] / (held[d]["all"] + held[d]["pull"])).to_numpy()
-            p[base[d]:base[d + 1]] = back[:, None] * p[parent]
-            mine = seen[d].join(hot[d].select("ctx"), "ctx", "left_semi").toArrow().to_pandas()
-            # where a context goes on outside the code
-            more = cold[d].select(suffix(d).alias("suf"), F.shiftright("ctx", 8 * (d - 1)).alias("byte"))
-            if d > 1:
-                more = more.join(hot[d - 1].select(F.col("ctx").alias("suf")), "suf", "left_semi")
-            more = more.toArrow().to_pandas()
-            parent = base[d - 1] + np.searchsorted(names[d - 1], more["suf"].to_numpy(np.int64))
-            child[parent * width + classes[more["byte"].to_numpy(np.int64)]] = -1
-        row = base[d] + np.searchsorted(names[d], mine["ctx"].to_numpy(np.int64))
-        p[row, classes[mine["sym"].to_numpy(np.int64)]] = mine["p"]
-
-    rest = None
-    if sum(n for _, n in map(tuple, levels)) > base[-1] - 1:
-        entry = F.struct("sym", F.log10("p").alias("lp"))
-        rest = stage(reduce(DataFrame.unionAll, [
-            seen[d].join(cold[d], "ctx").groupBy("ctx")
-            .agg(F.first(F.log10(F.col("pull") / (F.col("all") + F.col("pull")))).alias("back"),
-                 F.map_from_entries(F.collect_list(entry)).alias("seen"))
-            .select(F.lit(d).alias("d"), "ctx", "back", "seen") for d in cold]))
-    return SuffixTree(classes, child, np.log10(p).astype(np.float32).ravel(), width, rest)
-
-
-def _beyond(tree: SuffixTree, met: DataFrame) -> DataFrame:
-    """(gram, lp): log10 probabilities of the (context, symbol) keys in ``met`` that go on among the tree's rest.
-
-    Each different key meets its contexts beyond the code by one join, then takes them from
-    short to long: the symbol's own entry, or the step back added to what came before.
+    logp = np.zeros((base[-1], width), np.float32)
+    logp[0] = np.log10(top.p[0][0])
+    for d in range(1, DEPTH + 1):
+        parent = base[d - 1] + np.searchsorted(names[d - 1], names[d] >> 8)
+        child[parent * width + top.classes[names[d] & 255]] = base[d] + np.arange(len(names[d]))
+        if d < 3:
+            logp[base[d]:base[d + 1]] = np.log10(top.p[d][keep[d]])
+            continue
+        logp[base[d]:base[d + 1]] = backs[d][:, None] + logp[parent]
+        for seen, on in parts_of[["seen", "on"]][parts_of["d"] == d].itertuples(index=False):
+            key, lp = _unpress(bytes(seen), 2)
+            logp[base[d] + np.searchsorted(names[d], key >> 8), top.classes[key & 255]] = _floats(lp)
+            on, = _unpress(bytes(on), 1)  # where a context goes on outside the code
+            child[(base[d - 1] + np.searchsorted(names[d - 1], on >> 8)) * width + top.classes[on & 255]] = -1
+    rest = model.select("part", "ctx", "seen") if sum(n for _, n in map(tuple, levels)) > taken else None
+    return SuffixTree(top.classes, child, logp.ravel(), width, rest, low, parts)
+
+
+def _beyond(tree: SuffixTree, blocks: DataFrame) -> DataFrame:
+    """(rid, lp): sums of the log10 probabilities of the symbols in ``blocks``, whose context goes on among the tree's rest.
+
+    A part's model comes before its blocks, which pass one by one: each different key takes
+    the contexts beyond the code from short to long, the symbol's own entry or the step back
+    added to what came before.
     """
-    inner = replace(tree, rest=None)
+    inner, low = replace(tree, rest=None), tree.low
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, model = None, []
         for pdf in batches:
-            depth, lp = inner.place(pdf["gram"].to_numpy(np.int64))
-            yield pd.DataFrame({"gram": pdf["gram"], "depth": depth, "lp": lp})
-
-    placed = met.select("gram").distinct().mapInPandas(run, "gram long, depth int, lp double")
-    steps = (placed.select("gram", "lp", F.explode(F.sequence(F.col("depth") + 1, F.lit(DEPTH))).alias("d"))
-             .withColumn("ctx", F.expr("shiftright(gram, 8) & (shiftleft(1L, 8 * d) - 1L)")))
-    step = F.struct("d", "back", F.try_element_at("seen", F.col("gram").bitwiseAND(F.lit(255))).alias("own"))
-    return (steps.join(tree.rest, ["d", "ctx"]).groupBy("gram")
-            .agg(F.first("lp").alias("lp"), F.array_sort(F.collect_list(step)).alias("steps"))
-            .select("gram", F.aggregate("steps", F.col("lp"), lambda lp, x: F.coalesce(x["own"], lp + x["back"])).alias("lp")))
+            rids, sums = [], []
+            for p, ctxs, seens, body in zip(pdf["part"], pdf["ctx"], pdf["seen"], pdf["body"]):
+                if p != part:
+                    part, model = p, []
+                if body is None:
+                    for d, (ctx, seen) in enumerate(zip(ctxs, seens), 3):
+                        name, back, level = _unpress(bytes(ctx), 3)
+                        key, lp = _unpress(bytes(seen), 2)
+                        mine = np.isin(key >> 8, name[level < low])
+                        cold = level < low
+                        if cold.any():
+                            model.append((d, name[cold], _floats(back[cold]), key[mine], _floats(lp[mine])))
+                    continue
+                key, rid = _unpress(bytes(body), 2)
+                first = _firsts(key)
+                one = key[first]
+                lp = inner.place(one)
+                for d, name, back, seen, own in model:
+                    ctx = one >> 8 * (DEPTH + 1 - d)
+                    at = np.minimum(np.searchsorted(name, ctx), len(name) - 1)
+                    hit = np.flatnonzero(name[at] == ctx)
+                    want = (ctx[hit] << 8) | (one[hit] & 255)
+                    to = np.minimum(np.searchsorted(seen, want), len(seen) - 1)
+                    lp[hit] = np.where(seen[to] == want, own[to], lp[hit] + back[at[hit]])
+                who, of = np.unique(rid, return_inverse=True)
+                rids.append(who)
+                sums.append(np.bincount(of, np.repeat(lp, np.diff(np.append(first, len(key))))))
+            if rids:
+                yield pd.DataFrame({"rid": np.concatenate(rids), "lp": np.concatenate(sums)})
+
+    none = F.lit(None)
+    return (tree.rest.select("part", "ctx", "seen", none.cast("binary").alias("body"))
+            .unionAll(blocks.select("part", none.cast("array<binary>").alias("ctx"), none.cast("array<binary>").alias("seen"), "body"))
+            .repartitionById(tree.parts, F.col("part")).sortWithinPartitions("part", F.col("body").isNotNull())
+            .mapInPandas(run, "rid long, lp double").groupBy("rid").agg(F.sum("lp").alias("more_score")))
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -333,33 +544,52 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     Words above the share HOT of the training tokens, at most 1 / HOT of them, travel with the
     code; all other words meet their counts by a join, so the vocabulary may grow freely.
     The same holds for the tree: symbols whose context goes on beyond the states in the code
-    meet their longest kept context by joins.
+    are sent, packed, to the part of the subtrees that holds it, and only sums come back.
     """
     # ids travel as text: pandas would turn integers beside a null into floats
     src = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"),
                       F.coalesce(training, F.lit(False)).alias("trained"))
     learn = src.filter("trained")
-    parts = count_corpus(learn, "text")
-    n_docs = learn.count()
-    vocab = stage(parts.filter("word is not null").groupBy("word").agg(F.sum("n").alias("c")))
+    n_docs, size = learn.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+    parts = min(PARTS, max(8, (size or 0) // PART))
+    counts = count_corpus(learn, "text", parts)
+    vocab = counts.filter("word is not null").select("word", F.col("n").alias("c"))
     v = vocab.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     n_all, kinds = (v["n"] or 0) + n_docs, v["v"] + (n_docs > 0)
     floor = n_all + 0.5 * (kinds + 1)
-    tree = grow_tree(parts.filter("gram is not null").select("gram", "n"), gain, cells)
+    tree = _grow(counts.filter("body is not null"), gain, cells, parts)
     inner = replace(tree, rest=None)
     often = vocab.filter((F.col("c") >= max(1.0, HOT * n_all)) & (F.octet_length("word") <= HOT_BYTES)).toPandas()
     hot = dict(zip(map(bytes, often["word"]), np.log10((often["c"] + 0.5) / floor).tolist()))
     end_score = math.log10((n_docs + 0.5) / floor)
 
+    columns = ("rid long, id string, trained boolean, n_tokens long, known long, base double, score double, "
+               "rare array<binary>, part int, body binary")
+    fields = [c.split()[0] for c in columns.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = hot.get
+        keys: list[np.ndarray] = []
+        rids: list[np.ndarray] = []
+        held = 0
+
+        def block_rows() -> pd.DataFrame:
+            rows = list(_split(np.concatenate(keys), np.concatenate(rids), parts))
+            return pd.DataFrame({**dict.fromkeys(fields), "part": [p for p, _ in rows], "body": [b for _, b in rows]})
+
         for pdf in batches:
             for first, toks in _slices(pdf["text"].tolist()):
+                rows = pdf.iloc[first:first + len(toks)]
+                rid = rows["rid"].to_numpy(np.int64)
                 score = np.zeros(len(toks))
-                beyond: list[np.ndarray] = []
                 for a, b, buf, at in _streams(toks):
                     score[a:b], of, key = inner.walk(buf, at)
-                    beyond += np.split(key, np.searchsorted(of, np.arange(1, b - a)))
+                    keys.append(key)
+                    rids.append(rid[a + of])
+                    held += len(key)
+                    if held > HELD:
+                        yield block_rows()
+                        keys, rids, held = [], [], 0
                 sums, known, rare = [], [], []
                 for t in toks:
                     got = list(map(get, t))
@@ -369,25 +599,22 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                     sums.append(math.fsum(got) + end_score)
                     known.append(len(got) + (n_docs > 0))
                     rare.append(cold)
-                rows = pdf.iloc[first:first + len(toks)]
-                yield pd.DataFrame({"id": rows["id"].to_numpy(), "trained": rows["trained"].to_numpy(),
+                yield pd.DataFrame({"rid": rid, "id": rows["id"].to_numpy(), "trained": rows["trained"].to_numpy(),
                                     "n_tokens": [len(t) + 1 for t in toks], "known": known, "base": sums,
-                                    "score": score, "rare": rare, "beyond": beyond})
+                                    "score": score, "rare": rare, "part": None, "body": None})
+        if held:
+            yield block_rows()
 
-    scored = stage(src.mapInPandas(run, "id string, trained boolean, n_tokens long, known long, base double, "
-                                        "score double, rare array<binary>, beyond array<long>")
-                   .withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
-                   .withColumn("rid", F.monotonically_increasing_id()))
+    both = stage(src.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, columns))
+    scored = both.filter("part is null").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
     cold = (scored.select("rid", F.explode("rare").alias("word")).join(vocab, "word", "left").groupBy("rid")
             .agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(floor))).alias("more"),
                  F.count("c").alias("more_known")))
     score = F.col("score")
     if tree.rest is not None:
-        met = scored.select("rid", F.explode("beyond").alias("gram"))
-        more = met.join(_beyond(tree, met), "gram").groupBy("rid").agg(F.sum("lp").alias("more_score"))
-        scored = scored.join(more, "rid", "left")
+        scored = scored.join(_beyond(tree, both.filter("part is not null")), "rid", "left")
         score = score + F.coalesce("more_score", F.lit(0.0))
-    return scored.drop("rare", "beyond").join(cold, "rid", "left").select(
+    return scored.drop("rare", "part", "body").join(cold, "rid", "left").select(
         "id", "trained", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))

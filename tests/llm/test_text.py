@@ -261,6 +261,64 @@ def test_a_few_symbols_can_save_more_than_8_bits_each(spark):
     assert tree.child[tree.classes[ord("x")]] > 0
 
 
+def _slow_tree(streams, gain):
+    """Counts, kept contexts and the probability of a symbol, by dictionaries of byte strings."""
+    n = {}
+    for body in streams:
+        full = b"\n" * S.DEPTH + body
+        for p in range(S.DEPTH, len(full)):
+            for d in range(S.DEPTH + 1):
+                n.setdefault(full[p - d:p], Counter())[full[p]] += 1
+    kept = {b""}
+    for c, after in n.items():
+        up, both = n[c[1:]], (sum(after.values()), sum(n[c[1:]].values()))
+        if c and sum(k * (math.log2(k / both[0]) - math.log2(up[s] / both[1])) for s, k in after.items()) >= gain:
+            kept |= {c[i:] for i in range(len(c))}
+
+    def prob(c, s):
+        total, pull = sum(n[c].values()), S.PULL * len(n[c])
+        return (n[c][s] + pull * (prob(c[1:], s) if c else 1 / 256)) / (total + pull)
+
+    def score(body):
+        full, out = b"\n" * S.DEPTH + body, 0.0
+        for p in range(S.DEPTH, len(full)):
+            out += math.log10(prob(next(full[p - d:p] for d in range(S.DEPTH, -1, -1) if full[p - d:p] in kept), full[p]))
+        return out
+
+    return kept, score
+
+
+@pytest.mark.parametrize("gain,cells,parts", [(4.0, S.CELLS, 8), (4.0, 4000, 8), (12.0, 300, 3), (4.0, 0, 1)])
+def test_kept_contexts_and_scores_match_brute_force(docs, text, monkeypatch, gain, cells, parts):
+    monkeypatch.setattr(S, "PARTS", parts)
+    monkeypatch.setattr(S, "PART", 1)
+    data = [(i, text(i, 20 + i % 30)) for i in range(40)] + [(200, None), (201, ""), (202, "Größe 中文 über"), (3, text(3, 28))]
+    data += [(203, "q" * 5000), (204, text(4, 20))]
+    body = {t: b" ".join(S.tokens(t)) + b"\n" for _, t in data}
+    learn = [body[t] for i, t in data if zlib.crc32(str(i).encode()) % 5 != 1]
+    kept, slow = _slow_tree(learn, gain)
+    got = score_documents(docs(data), crc_mod(F.col("doc_id"), 5) != 1, gain=gain, cells=cells).collect()
+    want = sorted((i, slow(body[t])) for i, t in data)
+    got = sorted((r["id"], r["score"]) for r in got)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-6, atol=1e-3)
+    if cells == S.CELLS:
+        counts = Counter()
+        for _, _, buf, at in S._streams([S.tokens(t) for i, t in data if zlib.crc32(str(i).encode()) % 5 != 1]):
+            for k, n in S._grams(buf, at):
+                counts.update(dict(zip(k.tolist(), n.tolist())))
+        tree = S.grow_tree(docs(data).sparkSession.createDataFrame(list(counts.items()), "gram bigint, n bigint"), gain=gain)
+        assert len(tree.logp) // tree.width == len(kept) and tree.rest is None
+
+
+def test_one_context_may_hold_nearly_all_counts(docs):
+    data = [(i, "a" * 6000) for i in range(20)] + [(20 + i, "b ab ba " * 30) for i in range(20)]
+    _, slow = _slow_tree([t.strip().encode() + b"\n" for _, t in data], 4.0)
+    got = {r["id"]: r["score"] for r in score_documents(docs(data), F.lit(True), gain=4.0, cells=0).collect()}
+    want = {t: slow(t.strip().encode() + b"\n") for t in {t for _, t in data}}
+    assert len(got) == 40 and all(math.isclose(got[i], want[t], rel_tol=1e-6, abs_tol=1e-3) for i, t in data)
+
+
 def test_states_outside_the_code_score_alike(docs, text):
     data = [(i, text(i, 25 + i % 40)) for i in range(60)] + [(200, None), (201, "Never SEEN wordé"), (None, "w1 w2"), (3, text(3, 28))]
     pick = lambda df: sorted((repr(r["id"]), r["n_tokens"], round(r["score"], 3)) for r in df.collect())
