@@ -35,8 +35,8 @@ HOT = 2.0**-20  # share of training tokens from which on a word travels with the
 HOT_BYTES = 64  # longest such word
 CHUNK = 1 << 20  # bytes in work at once
 FLUSH = 1 << 18  # words of a task's count table before it is handed on
-HELD = 1 << 21  # grams of a task's count table, or symbols of its blocks, before they are handed on
-PART = 1 << 22  # training bytes for each part of the subtrees
+HELD = 1 << 22  # symbols that a task sorts before it hands them on
+PART = 1 << 24  # training bytes for each part of the subtrees
 PARTS = 1 << 14  # most parts
 END = b"\n"  # cannot occur in a text whose white space is folded
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -75,23 +75,38 @@ def _streams(texts: list[list[bytes]]) -> Iterator[tuple[int, int, np.ndarray, n
         a = b
 
 
-def _grams(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Distinct (context, symbol) keys and counts of a stream, oldest byte highest."""
+def _keys(buf: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+    """The turned (context, symbol) key of every symbol of a stream: newest byte of the context highest."""
     real = np.ones(len(buf), bool)
     for k in range(1, DEPTH + 1):
         real[at - k] = False
     for lo in range(DEPTH, len(buf), CHUNK):
         hi = min(len(buf), lo + CHUNK)
         key = np.zeros(hi - lo, np.int64)
-        for k in range(DEPTH, -1, -1):
-            key <<= 8
+        for k in range(1, DEPTH + 1):
             key |= buf[lo - k:hi - k]
-        yield np.unique(key[real[lo:hi]], return_counts=True)
+            key <<= 8
+        key |= buf[lo:hi]
+        yield key[real[lo:hi]]
+
+
+def _runs(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, and their counts."""
+    k = np.sort(np.concatenate(keys))
+    first = _firsts(k)
+    return k[first], np.diff(np.append(first, len(k)))
+
+
+def _grams(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Distinct (context, symbol) keys and counts of a stream as ``grow_tree`` takes them, oldest byte highest."""
+    for key in _keys(buf, at):
+        k, n = _runs([key])
+        yield _turn(k), n
 
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, n = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
+    order = np.argsort(k)
     k, n = k[order], n[order]
     first = _firsts(k)
     return k[first], np.add.reduceat(n, first)
@@ -102,7 +117,7 @@ def _firsts(k: np.ndarray) -> np.ndarray:
 
 
 def _turn(key: np.ndarray) -> np.ndarray:
-    """(context, symbol) keys with the newest byte of the context highest instead of the oldest."""
+    """(context, symbol) keys with the context's bytes the other way round."""
     ctx = (key >> 8).byteswap().view(np.uint64) >> np.uint64(64 - 8 * DEPTH)
     return (ctx.astype(np.int64) << 8) | (key & 255)
 
@@ -114,7 +129,7 @@ def _part(key: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _press(keys: np.ndarray, *more: np.ndarray) -> bytes:
-    """Ascending keys, as steps, and other integers, compressed byte plane by byte plane."""
+    """Keys, as steps, and other integers, compressed byte plane by byte plane."""
     if not len(keys):
         return b""
     cols = [np.diff(keys, prepend=np.int64(0)), *more]
@@ -139,9 +154,9 @@ def _floats(x: np.ndarray) -> np.ndarray:
 
 
 def _split(key: np.ndarray, of: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    """Turned keys and a number for each, pressed part by part in ascending order."""
-    part = _part(key, parts)
-    order = np.lexsort((key, part))
+    """Ascending turned keys and a number for each, pressed part by part."""
+    part = _part(key, parts).astype(np.uint16)
+    order = np.argsort(part, kind="stable")
     key, of, part = key[order], of[order], part[order]
     first = _firsts(part)
     for a, b in zip(first, [*first[1:], len(part)]):
@@ -151,8 +166,8 @@ def _split(key: np.ndarray, of: np.ndarray, parts: int) -> Iterator[tuple[int, b
 _COUNTS = "part int, word binary, n long, body binary"
 
 
-def _gram_rows(keys: list[np.ndarray], counts: list[np.ndarray], parts: int) -> pd.DataFrame:
-    rows = list(_split(*_merge(keys, counts), parts))
+def _gram_rows(key: np.ndarray, n: np.ndarray, parts: int) -> pd.DataFrame:
+    rows = list(_split(key, n, parts))
     return pd.DataFrame({"part": [p for p, _ in rows], "word": None, "n": None, "body": [b for _, b in rows]})
 
 
@@ -164,10 +179,12 @@ def _combine(counted: DataFrame, parts: int) -> DataFrame:
         counts: list[np.ndarray] = []
         part, held = None, 0
         for pdf in batches:
-            for p, word, n, body in zip(pdf["part"], pdf["word"], pdf["n"], pdf["body"]):
+            for p, word, body in zip(pdf["part"], pdf["word"], pdf["body"]):
                 part = int(p)
                 if word is not None:
-                    words[bytes(word)] += int(n)
+                    c, = _unpress(bytes(body), 1)
+                    for w, x in zip(zstandard.ZstdDecompressor().decompress(bytes(word)).split(), c.tolist()):
+                        words[w] += x
                     continue
                 k, c = _unpress(bytes(body), 2)
                 keys.append(k)
@@ -192,35 +209,36 @@ def count_corpus(docs: DataFrame, text_col: str, parts: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: Counter = Counter()
         keys: list[np.ndarray] = []
-        counts: list[np.ndarray] = []
         held = 0
 
         def word_rows() -> pd.DataFrame:
-            return pd.DataFrame({"part": [zlib.crc32(w) % parts for w in words], "word": list(words),
-                                 "n": list(words.values()), "body": None})
+            dealt: dict[int, list[bytes]] = {}
+            for w in words:
+                dealt.setdefault(zlib.crc32(w) % parts, []).append(w)
+            for w in dealt.values():
+                w.sort()
+            pack = zstandard.ZstdCompressor(level=1).compress
+            return pd.DataFrame({"part": list(dealt), "word": [pack(b" ".join(w)) for w in dealt.values()], "n": None,
+                                 "body": [_press(np.array([words[x] for x in w])) for w in dealt.values()]})
 
         for pdf in batches:
             for _, toks in _slices(pdf["text"].tolist()):
                 for t in toks:
                     words.update(t)
                 for _, _, buf, at in _streams(toks):
-                    for k, n in _grams(buf, at):
-                        keys.append(_turn(k))
-                        counts.append(n)
-                        held += len(k)
-                    if held > HELD:
-                        k, n = _merge(keys, counts)
-                        keys, counts, held = [k], [n], len(k)
-                    if held > HELD // 2:
-                        yield _gram_rows(keys, counts, parts)
-                        keys, counts, held = [], [], 0
+                    for key in _keys(buf, at):
+                        keys.append(key)
+                        held += len(key)
+                        if held > HELD:
+                            yield _gram_rows(*_runs(keys), parts)
+                            keys, held = [], 0
                 if len(words) > FLUSH:
                     yield word_rows()
                     words.clear()
         if words:
             yield word_rows()
         if keys:
-            yield _gram_rows(keys, counts, parts)
+            yield _gram_rows(*_runs(keys), parts)
 
     return _combine(docs.select(F.col(text_col).alias("text")).mapInPandas(run, _COUNTS), parts)
 
@@ -245,33 +263,33 @@ class SuffixTree:
     def walk(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of every text of a stream but for the symbols whose context goes on
         among ``rest``; the number of the text and the (context, symbol) key of each of those."""
-        cls = self.classes[buf]
+        cls = self.classes.astype(np.int32)[buf]
         real = np.ones(len(buf), bool)
         for k in range(1, DEPTH + 1):
             real[at - k] = False
         out = np.zeros(len(buf))
         left = []
+        width = np.int32(self.width)
         for lo in range(DEPTH, len(buf), CHUNK):
             hi = min(len(buf), lo + CHUNK)
-            pos = np.arange(lo, hi)
             state = np.zeros(hi - lo, np.int32)
-            on = np.arange(hi - lo)
+            on, now = np.flatnonzero(real[lo:hi]).astype(np.int32), np.int32(0)
             for k in range(1, DEPTH + 1):
-                to = self.child[state[on] * self.width + cls[pos[on] - k]]
-                left.append(lo + on[to < 0])
-                go = to > 0
-                on = on[go]
-                state[on] = to[go]
-            out[lo:hi] = self.logp[state * self.width + cls[lo:hi]]
+                to = self.child.take(now * width + cls[lo - k:hi - k].take(on))
+                left.append(lo + on[to < 0].astype(np.int64))
+                go = np.flatnonzero(to > 0)
+                on, now = on.take(go), to.take(go)
+                state[on] = now
+            out[lo:hi] = self.logp.take(state * width + cls[lo:hi])
         out[~real] = 0.0
         pos = np.sort(np.concatenate(left)) if left else np.zeros(0, np.int64)
-        pos = pos[real[pos]]
         out[pos] = 0.0
         key = np.zeros(len(pos), np.int64)
-        for k in range(DEPTH, -1, -1):
-            key <<= 8
+        for k in range(1, DEPTH + 1):
             key |= buf[pos - k]
-        return np.add.reduceat(out, at), np.searchsorted(at, pos, "right") - 1, _turn(key)
+            key <<= 8
+        key |= buf[pos]
+        return np.add.reduceat(out, at), np.searchsorted(at, pos, "right") - 1, key
 
     def score(self, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of every text of a stream, if the tree has no ``rest``."""
@@ -407,7 +425,7 @@ def grow_tree(grams: DataFrame, gain: float = GAIN, cells: int = CELLS, parts: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield _gram_rows([_turn(pdf["gram"].to_numpy(np.int64))], [pdf["n"].to_numpy(np.int64)], parts)
+                yield _gram_rows(*_merge([_turn(pdf["gram"].to_numpy(np.int64))], [pdf["n"].to_numpy(np.int64)]), parts)
 
     return _grow(_combine(grams.select("gram", "n").mapInPandas(run, _COUNTS), parts).filter("body is not null"), gain, cells, parts)
 
@@ -481,30 +499,39 @@ def _grow(grams: DataFrame, gain: float, cells: int, parts: int) -> SuffixTree:
     return SuffixTree(top.classes, child, logp.ravel(), width, rest, low, parts)
 
 
-def _beyond(tree: SuffixTree, blocks: DataFrame) -> DataFrame:
-    """(rid, lp): sums of the log10 probabilities of the symbols in ``blocks``, whose context goes on among the tree's rest.
+_SCORED = "rid long, id string, trained boolean, n_tokens long, known long, base double, score double, rare binary"
+_FIELDS = [c.split()[0] for c in _SCORED.split(", ")]
 
-    A part's model comes before its blocks, which pass one by one: each different key takes
-    the contexts beyond the code from short to long, the symbol's own entry or the step back
-    added to what came before.
+
+def _beyond(tree: SuffixTree, walked: DataFrame) -> DataFrame:
+    """One row per document of ``walked``, with the log10 probabilities of the symbols in its blocks, whose context goes
+    on among the tree's rest, added to ``score``.
+
+    Everything is shuffled once. A part's model comes before its blocks, which pass one by one:
+    each different key takes the contexts beyond the code from short to long, the symbol's own
+    entry or the step back added to what came before. Blocks return a sum per document.
     """
     inner, low = replace(tree, rest=None), tree.low
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, model = None, []
         for pdf in batches:
+            docs = pdf[pdf["n_tokens"].notna()]
+            if len(docs):
+                yield docs[_FIELDS]
             rids, sums = [], []
             for p, ctxs, seens, body in zip(pdf["part"], pdf["ctx"], pdf["seen"], pdf["body"]):
                 if p != part:
                     part, model = p, []
-                if body is None:
+                if ctxs is not None:
                     for d, (ctx, seen) in enumerate(zip(ctxs, seens), 3):
                         name, back, level = _unpress(bytes(ctx), 3)
                         key, lp = _unpress(bytes(seen), 2)
-                        mine = np.isin(key >> 8, name[level < low])
                         cold = level < low
+                        mine = np.isin(key >> 8, name[cold])
                         if cold.any():
                             model.append((d, name[cold], _floats(back[cold]), key[mine], _floats(lp[mine])))
+                if body is None:
                     continue
                 key, rid = _unpress(bytes(body), 2)
                 first = _firsts(key)
@@ -521,13 +548,16 @@ def _beyond(tree: SuffixTree, blocks: DataFrame) -> DataFrame:
                 rids.append(who)
                 sums.append(np.bincount(of, np.repeat(lp, np.diff(np.append(first, len(key))))))
             if rids:
-                yield pd.DataFrame({"rid": np.concatenate(rids), "lp": np.concatenate(sums)})
+                yield pd.DataFrame({**dict.fromkeys(_FIELDS), "rid": np.concatenate(rids), "score": np.concatenate(sums)})
 
     none = F.lit(None)
-    return (tree.rest.select("part", "ctx", "seen", none.cast("binary").alias("body"))
-            .unionAll(blocks.select("part", none.cast("array<binary>").alias("ctx"), none.cast("array<binary>").alias("seen"), "body"))
-            .repartitionById(tree.parts, F.col("part")).sortWithinPartitions("part", F.col("body").isNotNull())
-            .mapInPandas(run, "rid long, lp double").groupBy("rid").agg(F.sum("lp").alias("more_score")))
+    rows = (walked.withColumn("ctx", none.cast("array<binary>")).withColumn("seen", none.cast("array<binary>"))
+            .unionByName(tree.rest, allowMissingColumns=True)
+            .repartitionById(tree.parts, F.col("part")).sortWithinPartitions("part", F.col("ctx").isNull())
+            .mapInPandas(run, _SCORED))
+    doc = F.when(F.col("n_tokens").isNotNull(), F.struct(*[c for c in _FIELDS if c not in ("rid", "score")]))
+    return (rows.select("rid", "score", doc.alias("doc")).groupBy("rid")
+            .agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("score").alias("score")).select("rid", "score", "doc.*"))
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -563,10 +593,6 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     hot = dict(zip(map(bytes, often["word"]), np.log10((often["c"] + 0.5) / floor).tolist()))
     end_score = math.log10((n_docs + 0.5) / floor)
 
-    columns = ("rid long, id string, trained boolean, n_tokens long, known long, base double, score double, "
-               "rare array<binary>, part int, body binary")
-    fields = [c.split()[0] for c in columns.split(", ")]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         get = hot.get
         keys: list[np.ndarray] = []
@@ -574,8 +600,10 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         held = 0
 
         def block_rows() -> pd.DataFrame:
-            rows = list(_split(np.concatenate(keys), np.concatenate(rids), parts))
-            return pd.DataFrame({**dict.fromkeys(fields), "part": [p for p, _ in rows], "body": [b for _, b in rows]})
+            key = np.concatenate(keys)
+            order = np.argsort(key)
+            rows = list(_split(key[order], np.concatenate(rids)[order], parts))
+            return pd.DataFrame({**dict.fromkeys(_FIELDS), "part": [p for p, _ in rows], "body": [b for _, b in rows]})
 
         for pdf in batches:
             for first, toks in _slices(pdf["text"].tolist()):
@@ -598,23 +626,21 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                         got = [x for x in got if x is not None]
                     sums.append(math.fsum(got) + end_score)
                     known.append(len(got) + (n_docs > 0))
-                    rare.append(cold)
+                    rare.append(b" ".join(cold) or None)
                 yield pd.DataFrame({"rid": rid, "id": rows["id"].to_numpy(), "trained": rows["trained"].to_numpy(),
                                     "n_tokens": [len(t) + 1 for t in toks], "known": known, "base": sums,
-                                    "score": score, "rare": rare, "part": None, "body": None})
+                                    "score": score, "rare": rare, "part": rid % parts, "body": None})
         if held:
             yield block_rows()
 
-    both = stage(src.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, columns))
-    scored = both.filter("part is null").withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
-    cold = (scored.select("rid", F.explode("rare").alias("word")).join(vocab, "word", "left").groupBy("rid")
+    walked = src.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, f"{_SCORED}, part int, body binary")
+    scored = stage(walked.drop("part", "body") if tree.rest is None else _beyond(tree, walked))
+    scored = scored.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
+    cold = (scored.select("rid", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
+            .withColumn("word", F.col("word").cast("binary")).join(vocab, "word", "left").groupBy("rid")
             .agg(F.sum(F.log10((F.coalesce("c", F.lit(0)) + F.lit(0.5)) / F.lit(floor))).alias("more"),
                  F.count("c").alias("more_known")))
-    score = F.col("score")
-    if tree.rest is not None:
-        scored = scored.join(_beyond(tree, both.filter("part is not null")), "rid", "left")
-        score = score + F.coalesce("more_score", F.lit(0.0))
-    return scored.drop("rare", "part", "body").join(cold, "rid", "left").select(
+    return scored.drop("rare").join(cold, "rid", "left").select(
         "id", "trained", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
         F.lit(n_all).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), score.alias("score"))
+        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
