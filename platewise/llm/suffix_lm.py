@@ -22,6 +22,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,8 @@ HOT_BYTES = 64  # longest such word
 CHUNK = 1 << 20  # bytes in work at once
 FLUSH = 1 << 18  # words of a task's count table before it is handed on
 HELD = 1 << 22  # symbols that a task sorts before it hands them on
-PART = 1 << 24  # training bytes for each part of the subtrees
+PART = 1 << 22  # training bytes for each part of the subtrees
+SCORED_AT_ONCE = 4  # parts that a scoring task takes one after the other, so that fewer sums per document come back
 PARTS = 1 << 14  # most parts
 END = b"\n"  # cannot occur in a text whose white space is folded
 _FOLD = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -260,6 +262,16 @@ class SuffixTree:
     low: float = -math.inf
     parts: int = 1
 
+    def __getstate__(self) -> dict:
+        """Compressed on its way to the workers; most cells of ``child`` are 0."""
+        pack = zstandard.ZstdCompressor(level=1).compress
+        return {**vars(self), "child": pack(self.child.tobytes()), "logp": pack(self.logp.tobytes())}
+
+    def __setstate__(self, state: dict) -> None:
+        unpack = zstandard.ZstdDecompressor().decompress
+        vars(self).update(state, child=np.frombuffer(unpack(state["child"]), np.int32),
+                          logp=np.frombuffer(unpack(state["logp"]), np.float32))
+
     def walk(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of every text of a stream but for the symbols whose context goes on
         among ``rest``; the number of the text and the (context, symbol) key of each of those."""
@@ -387,13 +399,14 @@ def _grow_parts(grams: DataFrame, top: _Top, gain: float) -> DataFrame:
             for part, body in zip(pdf["part"], pdf["body"]):
                 ctx, seen, levels = [], [], []
                 found = _subtrees(*_unpress(bytes(body), 2), top, gain)
-                for t in found:
+                up = np.unique(found[0]["name"][found[0]["keep"]] >> 8)
+                while found:
+                    t = found.pop(0)
                     keep, of = t["keep"], t["of"]
                     levels.append(np.floor(8 * np.log2(t["all"][keep])).astype(np.int64))
                     ctx.append(_press(t["name"][keep], _bits(np.log10(t["back"][keep])), levels[-1]))
                     seen.append(_press(t["key"][keep[of]], _bits(np.log10(t["p"][keep[of]]))))
                 level, size = np.unique(np.concatenate(levels), return_counts=True)
-                up = np.unique(found[0]["name"][found[0]["keep"]] >> 8)
                 yield pd.DataFrame({"part": [part], "ctx": [ctx], "seen": [seen], "up": [up], "level": [level.astype(np.int32)],
                                     "size": [size]})
 
@@ -450,7 +463,7 @@ def _grow(grams: DataFrame, gain: float, cells: int, parts: int) -> SuffixTree:
     pairs = (grams.select("body").mapInPandas(short, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
              .toArrow().to_pandas())
     if not len(pairs):
-        return SuffixTree(np.zeros(256, np.int64), np.zeros(1, np.int32), np.full(1, math.log10(1 / 256)), 1)
+        return SuffixTree(np.zeros(256, np.int64), np.zeros(1, np.int32), np.full(1, math.log10(1 / 256), np.float32), 1)
     top = _Top.of(pairs["k"].to_numpy(np.int64), pairs["n"].to_numpy(np.int64), gain)
     width = top.p[0].shape[1]
     model = _grow_parts(grams.select("part", "body"), top, gain)
@@ -503,7 +516,7 @@ _SCORED = "rid long, id string, trained boolean, n_tokens long, known long, base
 _FIELDS = [c.split()[0] for c in _SCORED.split(", ")]
 
 
-def _beyond(tree: SuffixTree, walked: DataFrame) -> DataFrame:
+def _beyond(tree: SuffixTree, code: Broadcast, walked: DataFrame) -> DataFrame:
     """One row per document of ``walked``, with the log10 probabilities of the symbols in its blocks, whose context goes
     on among the tree's rest, added to ``score``.
 
@@ -511,7 +524,7 @@ def _beyond(tree: SuffixTree, walked: DataFrame) -> DataFrame:
     each different key takes the contexts beyond the code from short to long, the symbol's own
     entry or the step back added to what came before. Blocks return a sum per document.
     """
-    inner, low = replace(tree, rest=None), tree.low
+    low, tasks = tree.low, max(1, tree.parts // SCORED_AT_ONCE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, model = None, []
@@ -536,7 +549,7 @@ def _beyond(tree: SuffixTree, walked: DataFrame) -> DataFrame:
                 key, rid = _unpress(bytes(body), 2)
                 first = _firsts(key)
                 one = key[first]
-                lp = inner.place(one)
+                lp = code.value.place(one)
                 for d, name, back, seen, own in model:
                     ctx = one >> 8 * (DEPTH + 1 - d)
                     at = np.minimum(np.searchsorted(name, ctx), len(name) - 1)
@@ -553,7 +566,7 @@ def _beyond(tree: SuffixTree, walked: DataFrame) -> DataFrame:
     none = F.lit(None)
     rows = (walked.withColumn("ctx", none.cast("array<binary>")).withColumn("seen", none.cast("array<binary>"))
             .unionByName(tree.rest, allowMissingColumns=True)
-            .repartitionById(tree.parts, F.col("part")).sortWithinPartitions("part", F.col("ctx").isNull())
+            .repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", F.col("ctx").isNull())
             .mapInPandas(run, _SCORED))
     doc = F.when(F.col("n_tokens").isNotNull(), F.struct(*[c for c in _FIELDS if c not in ("rid", "score")]))
     return (rows.select("rid", "score", doc.alias("doc")).groupBy("rid")
@@ -588,7 +601,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
     n_all, kinds = (v["n"] or 0) + n_docs, v["v"] + (n_docs > 0)
     floor = n_all + 0.5 * (kinds + 1)
     tree = _grow(counts.filter("body is not null"), gain, cells, parts)
-    inner = replace(tree, rest=None)
+    code = docs.sparkSession.sparkContext.broadcast(replace(tree, rest=None))  # bounded by CELLS
     often = vocab.filter((F.col("c") >= max(1.0, HOT * n_all)) & (F.octet_length("word") <= HOT_BYTES)).toPandas()
     hot = dict(zip(map(bytes, often["word"]), np.log10((often["c"] + 0.5) / floor).tolist()))
     end_score = math.log10((n_docs + 0.5) / floor)
@@ -611,7 +624,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                 rid = rows["rid"].to_numpy(np.int64)
                 score = np.zeros(len(toks))
                 for a, b, buf, at in _streams(toks):
-                    score[a:b], of, key = inner.walk(buf, at)
+                    score[a:b], of, key = code.value.walk(buf, at)
                     keys.append(key)
                     rids.append(rid[a + of])
                     held += len(key)
@@ -634,7 +647,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
             yield block_rows()
 
     walked = src.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, f"{_SCORED}, part int, body binary")
-    scored = stage(walked.drop("part", "body") if tree.rest is None else _beyond(tree, walked))
+    scored = stage(walked.drop("part", "body") if tree.rest is None else _beyond(tree, code, walked))
     scored = scored.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
     cold = (scored.select("rid", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
             .withColumn("word", F.col("word").cast("binary")).join(vocab, "word", "left").groupBy("rid")
