@@ -36,7 +36,8 @@ HOT = 2.0**-20  # share of training tokens from which on a word travels with the
 HOT_BYTES = 64  # longest such word
 CHUNK = 1 << 20  # bytes in work at once
 FLUSH = 1 << 18  # words of a task's count table before it is handed on
-HELD = 1 << 22  # symbols that a task sorts before it hands them on
+HELD = 1 << 21  # symbols that a counting task sorts before it hands them on
+BLOCK = 1 << 20  # symbols beyond the code that a scoring task sorts at once
 PART = 1 << 22  # training bytes for each part of the subtrees
 SCORED_AT_ONCE = 4  # parts that a scoring task takes one after the other, so that fewer sums per document come back
 PARTS = 1 << 14  # most parts
@@ -628,7 +629,7 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                     keys.append(key)
                     rids.append(rid[a + of])
                     held += len(key)
-                    if held > HELD:
+                    if held > BLOCK:
                         yield block_rows()
                         keys, rids, held = [], [], 0
                 sums, known, rare = [], [], []
