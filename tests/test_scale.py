@@ -26,3 +26,41 @@ def test_pooled_vectors_are_summed_whole(spark, monkeypatch, width, most):
     assert {(r["id"], r["dim"]): r["value"] for r in pooled.collect()} == {
         (1, 0): 222.0, (1, 1): 44.0, (1, 2): 60.0, (1, 3): 80.0, (1, 4): 100.0}
     assert {r["id"]: r["unknown_tokens"] for r in unknown.collect()} == {1: 1, 2: 2, 4: 1}
+
+
+# ---------------------------------------------------------------- C3 / C4
+def _bits(grams, n_bits):
+    return sorted({int(hashlib.md5(g.encode()).hexdigest()[:8], 16) % n_bits for g in grams})
+
+
+def _grams(text, radius):
+    return {text[i:i + n] for n in range(1, radius + 1) for i in range(len(text) - n + 1)}
+
+
+def test_prints_of_a_text_are_made_in_its_own_row(spark, monkeypatch):
+    monkeypatch.setattr(C, "STRETCH", 1)  # 64 characters a stretch
+    rows = [(1, "ab\nc𝒳é" * 40), (2, ""), (3, None), (4, "xyz"), (4, "uv"), (4, "xyz")]
+    df = spark.createDataFrame(rows, "candidate_id bigint, t string")
+    fp = C.hashed_fingerprint(df, "t", 3, 256)
+    plan = _plan(fp)
+    assert "Generate" not in plan and "MapInPandas" in plan  # grams are never rows
+    want = {1: _bits(_grams(rows[0][1], 3), 256), 2: [], 3: [], 4: _bits(_grams("xyz", 3) | _grams("uv", 3), 256)}
+    got = [(r["candidate_id"], r["bits"]) for r in fp.collect()]
+    assert len(got) == 6 and all(bits == want[i] for i, bits in got)
+
+
+def test_difference_prints_are_made_in_one_row(spark):
+    rows = [(1, "abcd", "abxd"), (2, None, "ab"), (3, "same", "same"), (4, "ab", "q"), (4, "q", None)]
+    fp = C.difference_fingerprint(spark.createDataFrame(rows, "candidate_id bigint, a string, b string"), "a", "b", 3, 512)
+    assert "Generate" not in _plan(fp)
+    want = {1: _grams("abcd", 3) ^ _grams("abxd", 3), 2: _grams("ab", 3), 3: set(), 4: _grams("ab", 3)}
+    got = [(r["candidate_id"], r["bits"]) for r in fp.collect()]
+    assert len(got) == 5 and all(bits == _bits(want[i], 512) for i, bits in got)
+
+
+# ---------------------------------------------------------------- C13
+def test_dense_prints_are_laid_out_once(spark):
+    df = spark.createDataFrame([([1, 3, 3, 9, -1],), ([],), (None,), ([0, None],)], "b array<int>")
+    out = df.select(C.bits_to_dense("b", 5).alias("d"))
+    assert "array_contains" not in _plan(out)  # no search per position
+    assert [r["d"] for r in out.collect()] == [[0, 1, 0, 1, 0], [0] * 5, [0] * 5, [1, 0, 0, 0, 0]]
