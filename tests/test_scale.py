@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from platewise.functions.kernels import np_kernel
 from platewise.operators import features as C
+from platewise.operators import similarity as S
 
 
 def _plan(df) -> str:
@@ -64,3 +66,20 @@ def test_dense_prints_are_laid_out_once(spark):
     out = df.select(C.bits_to_dense("b", 5).alias("d"))
     assert "array_contains" not in _plan(out)  # no search per position
     assert [r["d"] for r in out.collect()] == [[0, 1, 0, 1, 0], [0] * 5, [0] * 5, [1, 0, 0, 0, 0]]
+
+
+# ---------------------------------------------------------------- E5
+def test_average_similarity_sends_a_row_a_bounded_number_of_times(spark, monkeypatch):
+    seen = []
+    pack = S.pack_blocks
+    monkeypatch.setattr(S, "TILE_ROWS", 4)
+    monkeypatch.setattr(S, "TILE_BLOCKS", 3)
+    monkeypatch.setattr(S, "pack_blocks", lambda *a: seen.append(pack(*a)) or seen[-1])
+    x = np.random.default_rng(5).normal(size=(40, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, x array<double>")
+    got = S.average_similarity(df, "id", "x", "matern25").first()[0]
+    assert seen[0][0].count() == 3  # ten blocks of the least size before
+    k = np_kernel("matern25", x, x)
+    off = ~np.eye(40, dtype=bool)
+    lo, hi = (np.array([f(k[off[:, j], j]) for j in range(40)]) for f in (np.min, np.max))
+    assert abs(got - ((k - lo) / (hi - lo))[off].mean()) < 1e-9
