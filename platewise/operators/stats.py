@@ -227,6 +227,15 @@ def ks_exact_p(m: Column, n: Column, d: Column) -> Column:
 PAIR_BUCKETS = 32  # each level meets a bucket of partners per task, so one group's pairs spread
 
 
+PART_ROWS = 250_000  # rows of both levels of all pairs that one task counts, sorts and sums
+
+
+def _pair_parts(pairs: DataFrame) -> int:
+    """Tasks for the value counts of all pairs: at least the session's, and more with the rows."""
+    least = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-(pairs.agg(F.sum(F.col("na") + F.col("nb"))).first()[0] or 0) // PART_ROWS))
+
+
 def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
                     keys: Sequence[str] = (), with_p: bool = True) -> DataFrame:
     """K3 (and K4 with ``keys``): Mann-Whitney U and Welch t for every unordered pair of
@@ -260,18 +269,20 @@ def pairwise_levels(df: DataFrame, param: str, metric: str, order_col: str,
         .withColumn("dof", F.try_divide((sa + sb) * (sa + sb), F.try_divide(sa * sa, F.col("na") - 1)
                                         + F.try_divide(sb * sb, F.col("nb") - 1)))
     # Mann-Whitney from pooled value counts of each pair
-    vc = d.groupBy(*keys, param, metric).agg(F.count(F.lit(1)).alias("c"))
+    n_parts = _pair_parts(pairs)
+    vc = d.select(*keys, param, metric).repartition(n_parts, *keys, param, metric).groupBy(*keys, param, metric).agg(
+        F.count(F.lit(1)).alias("c"))
     pk = pairs.select(*keys, "level_a", "level_b")
     side_a = vc.join(pk.withColumnRenamed("level_a", param), keys + [param]) \
         .select(*keys, F.col(param).alias("level_a"), "level_b", metric, F.col("c").alias("ca"), F.lit(0).cast("bigint").alias("cb"))
     side_b = vc.join(pk.withColumnRenamed("level_b", param), keys + [param]) \
         .select(*keys, "level_a", F.col(param).alias("level_b"), metric, F.lit(0).cast("bigint").alias("ca"), F.col("c").alias("cb"))
-    pv = side_a.unionByName(side_b).groupBy(*keys, "level_a", "level_b", metric) \
+    pv = side_a.unionByName(side_b).repartition(n_parts, *keys, "level_a", "level_b", metric).groupBy(*keys, "level_a", "level_b", metric) \
         .agg(F.sum("ca").alias("ca"), F.sum("cb").alias("cb"))
     tcount = F.col("ca") + F.col("cb")
     pv = pv.withColumn("__t", tcount)
     pv = global_cumsum(pv, [*keys, "level_a", "level_b", metric], ["__t"],
-                       group_cols=[*keys, "level_a", "level_b"]).withColumnRenamed("__t_before", "below")
+                       group_cols=[*keys, "level_a", "level_b"], n_parts=n_parts).withColumnRenamed("__t_before", "below")
     rank = F.col("below") + (tcount + F.lit(1)) / F.lit(2.0)
     ties = tcount.cast("double")  # the cube of a large tie has no room in 64 bits
     rs = pv.groupBy(*keys, "level_a", "level_b").agg(

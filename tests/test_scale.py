@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from platewise.functions.kernels import np_kernel
 from platewise.operators import features as C
 from platewise.operators import similarity as S
+from platewise.operators import stats as K
 
 
 def _plan(df) -> str:
@@ -83,3 +84,16 @@ def test_average_similarity_sends_a_row_a_bounded_number_of_times(spark, monkeyp
     off = ~np.eye(40, dtype=bool)
     lo, hi = (np.array([f(k[off[:, j], j]) for j in range(40)]) for f in (np.min, np.max))
     assert abs(got - ((k - lo) / (hi - lo))[off].mean()) < 1e-9
+
+
+# ---------------------------------------------------------------- K3 / K4
+def test_value_counts_of_pairs_get_more_tasks_with_the_rows(spark, monkeypatch):
+    asked = []
+    cumsum = K.global_cumsum
+    monkeypatch.setattr(K, "PART_ROWS", 10)
+    monkeypatch.setattr(K, "global_cumsum", lambda *a, **kw: asked.append(kw.get("n_parts")) or cumsum(*a, **kw))
+    df = spark.createDataFrame([(i, "abc"[i % 3], float(i * 7 % 11)) for i in range(90)], "id bigint, p string, m double")
+    many = sorted(map(str, K.pairwise_levels(df, "p", "m", "id").collect()))
+    monkeypatch.setattr(K, "PART_ROWS", 10_000)
+    assert many == sorted(map(str, K.pairwise_levels(df, "p", "m", "id").collect())) and len(many) == 3
+    assert asked == [18, int(spark.conf.get("spark.sql.shuffle.partitions"))]
