@@ -47,6 +47,14 @@ def mix_u32(h: Column, r: Column) -> Column:
     return _xs(x, 16)
 
 
+def np_mix_u32(h, r):
+    """``mix_u32`` of int64 numpy arrays, used inside Arrow batches."""
+    x = h ^ ((r * MIX_R) & (TWO32 - 1))
+    x = ((x ^ (x >> 16)) * MIX_A) & (TWO32 - 1)
+    x = ((x ^ (x >> 15)) * MIX_B) & (TWO32 - 1)
+    return x ^ (x >> 16)
+
+
 # ---- SQL twins (DuckDB) -------------------------------------------------
 def sql_md5_u32(expr_sql: str) -> str:
     return f"(('0x' || substr(md5({expr_sql}), 1, 8))::BIGINT)"

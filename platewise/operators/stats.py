@@ -8,23 +8,118 @@ collected sample.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.moments import stddev_samp, var_samp
 from platewise.functions.normal import two_sided_normal_p
-from platewise.functions.rand import TWO32, md5_u32, mix_u32
+from platewise.functions.rand import TWO32, md5_u32, np_mix_u32
 from platewise.operators.ordered import global_cumsum, place_in_groups
 from platewise.session import cut_lineage
 
 
 # ------------------------------------------------------------------ K8
 DRAW_BLOCK = 64  # rows of a group whose values travel together; a draw copies its block once
+DRAW_CHUNK = 1 << 20  # rows of a group whose places are drawn together
+DRAW_SPAN = 256  # blocks whose rows are drawn together
+DRAW_PARTS = 16  # ranges of replicates that the chunks of a group of many rows are dealt to
+DRAW_CELLS = 1 << 22  # counts that a task holds before it hands them on
+DRAWN_AT_ONCE = 1 << 18
+
+
+def _votes(n: int):
+    """Arrow function of one chunk (one row: g, n, part, parts, hashes) that draws a place per row and replicate
+    and gives the counts per block: (g, span, r0, k, counts of k replicates from r0 on)."""
+    def votes(t: pa.Table) -> pa.Table:
+        out = []
+        for g, total, part, parts, h in zip(*[t.column(c) for c in ("__g", "__n", "__part", "__parts", "__hs")]):
+            g, total, part, parts = (v.as_py() for v in (g, total, part, parts))
+            h = h.values.to_numpy(zero_copy_only=False).astype(np.int64) + (1 << 31)
+            last, blocks = (part + 1) * n // parts, -(-total // DRAW_BLOCK)
+            step = max(1, DRAW_CELLS // blocks)  # by the group alone, so the counts of its chunks fit together
+            for r0 in range(part * n // parts, last, step):
+                k = min(step, last - r0)
+                counts = np.zeros((k, blocks), np.int64)
+                at_once = max(1, DRAWN_AT_ONCE // len(h))
+                for s in range(0, k, at_once):
+                    reps = np.arange(r0 + s, r0 + min(k, s + at_once), dtype=np.int64)
+                    place = (np_mix_u32(h[None], reps[:, None]) / float(TWO32) * total).astype(np.int64) // DRAW_BLOCK
+                    place += np.arange(len(reps))[:, None] * blocks
+                    counts[s:s + len(reps)] = np.bincount(place.ravel(), minlength=len(reps) * blocks).reshape(-1, blocks)
+                kind = np.uint16 if counts.max() < 1 << 16 else np.uint64
+                for s in range(0, blocks, DRAW_SPAN):
+                    out.append((g, s // DRAW_SPAN, r0, k, counts[:, s:s + DRAW_SPAN].astype(kind).tobytes()))
+        cols = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["__g", "__span", "r0", "k", "counts"])
+
+    return votes
+
+
+def _span_draws(seed: int, g: int, span: int, m: int, votes: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(replicates, draws of each, positions drawn among the m rows of a span), some replicates at a time."""
+    sizes = np.full(-(-m // DRAW_BLOCK), DRAW_BLOCK, np.int64)
+    sizes[-1] = m - DRAW_BLOCK * (len(sizes) - 1)
+    first = np.arange(len(sizes)) * DRAW_BLOCK
+    names = [f"{seed}:{g}:{span * DRAW_SPAN + b}:" for b in range(len(sizes))]
+    given: dict[int, np.ndarray] = {}
+    for r0, k, raw in zip(*[votes.column(c) for c in ("r0", "k", "counts")]):
+        raw, k = raw.as_py(), k.as_py()
+        c = np.frombuffer(raw, np.uint16 if len(raw) == 2 * k * len(sizes) else np.uint64).astype(np.int64).reshape(k, -1)
+        given[r0.as_py()] = given[r0.as_py()] + c if r0.as_py() in given else c
+    for r0 in sorted(given):
+        at_once = max(1, DRAWN_AT_ONCE // m)
+        for s in range(0, len(given[r0]), at_once):
+            c = given[r0][s:s + at_once]
+            reps = np.arange(r0 + s, r0 + s + len(c))
+            own = np.fromiter((int.from_bytes(md5(f"{b}{r}".encode()).digest()[:4], "big") for r in reps.tolist() for b in names),
+                              np.int64, c.size)
+            flat = c.ravel()
+            cell = np.repeat(np.arange(len(flat)), flat)
+            j = np.arange(1, len(cell) + 1) - np.repeat(np.cumsum(flat) - flat, flat)
+            block = cell % len(sizes)
+            at = (np_mix_u32(own[cell], j) / float(TWO32) * sizes[block]).astype(np.int64) + first[block]
+            yield reps, c.sum(1), at
+
+
+def _drawn(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[str], n: int, seed: int,
+           out: Callable[[pa.Array, Iterator], list[pa.Array]], schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``out`` per span of a group, preceded by __g; (by..., __g)). ``out`` gets the span's values and its draws."""
+    by = list(by)
+    d = df.select(*by, F.col(value).alias("__v"), md5_u32(F.lit(str(seed)), *[F.col(c) for c in id_cols]).alias("__h"),
+                  *[F.col(c).alias(f"__i{k}") for k, c in enumerate(id_cols)])
+    rank = place_in_groups(d, by, [f"__i{k}" for k in range(len(id_cols))])
+    part = lambda rows, name: F.floor(F.col("__place") / F.lit(rows)).cast("bigint").alias(name)
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parts = F.when(F.col("__n") > DRAW_BLOCK * DRAW_SPAN // 4, F.lit(min(DRAW_PARTS, n))).otherwise(F.lit(1))
+    chunks = rank.groupBy("__g", "__n", part(DRAW_CHUNK, "__chunk")).agg(
+        F.collect_list((F.col("__h") - F.lit(1 << 31)).cast("int")).alias("__hs"))
+    chunks = chunks.withColumn("__parts", parts).withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1)))
+    votes = chunks.repartition(tasks, "__g", "__chunk", "__part").groupBy("__g", "__chunk", "__part").applyInArrow(
+        _votes(n), "__g long, __span long, r0 int, k int, counts binary")
+    spans = rank.groupBy("__g", part(DRAW_BLOCK * DRAW_SPAN, "__span")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct(F.col("__place").alias("p"), "__v"))), lambda x: x["__v"]).alias("__values"))
+
+    names = [c.strip().split()[0] for c in schema.split(",")]
+
+    def draw(values: pa.Table, counts: pa.Table) -> pa.Table:
+        g, span = values.column("__g")[0].as_py(), values.column("__span")[0].as_py()
+        v = values.column("__values")[0].values
+        cols = out(v, _span_draws(seed, g, span, len(v), counts))
+        return pa.table([pa.array(np.full(len(cols[0]), g)), *cols], names=["__g", *names])
+
+    key = ["__g", "__span"]
+    drawn = (spans.repartition(tasks, *key).groupBy(*key).cogroup(votes.repartition(tasks, *key).groupBy(*key))
+             .applyInArrow(draw, f"__g long, {schema}"))
+    return drawn, rank.select(*by, "__g").distinct()
 
 
 def resamples(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:
@@ -32,30 +127,47 @@ def resamples(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[st
 
     A draw is made in two steps. Every row of a group draws a place in its group for each
     replicate, of which only the block of ``DRAW_BLOCK`` places is kept: the counts per
-    (group, replicate, block) are multinomial and add up to the size of the group, and are
-    combined before they are shuffled. Each block then draws as many of its own rows as it was
-    given. So the shuffle carries every value once, and counts; neither places nor draws travel,
-    and a hot group is as many blocks as it needs. Draws are hashes of the ids: reruns agree.
+    (group, replicate, block) are multinomial and add up to the size of the group. A task counts
+    the draws of ``DRAW_CHUNK`` rows, so what is shuffled are counts, not draws. Each block then
+    draws as many of its own rows as it was given, ``DRAW_SPAN`` blocks in a task. A hot group is as
+    many chunks and spans as it needs. Draws are hashes of the ids: reruns agree.
     """
-    by = list(by)
-    d = df.select(*by, F.col(value).alias("__v"), md5_u32(F.lit(str(seed)), *[F.col(c) for c in id_cols]).alias("__h"),
-                  *[F.col(c).alias(f"__i{k}") for k, c in enumerate(id_cols)])
-    rank = place_in_groups(d, by, [f"__i{k}" for k in range(len(id_cols))])
-    place = F.col("__place")
-    block = lambda c: F.floor(c / F.lit(DRAW_BLOCK)).cast("bigint").alias("__block")
-    unit = lambda h, r: mix_u32(h, r) / F.lit(float(TWO32))
-    blocks = rank.groupBy(*by, "__g", block(place)).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("p"), "__v"))), lambda x: x["__v"]).alias("__values"))
-    votes = rank.select("__g", "__n", "__h", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("rep"))
-    votes = votes.groupBy("__g", "rep", block(F.floor(unit(F.col("__h"), F.col("rep")) * F.col("__n")))).agg(
-        F.count(F.lit(1)).alias("c"))
-    votes = votes.groupBy("__g", "__block").agg(F.collect_list(F.struct("rep", "c")).alias("__counts"))
-    dealt = blocks.join(votes, ["__g", "__block"]).select(*by, "__g", "__block", "__values", F.explode("__counts").alias("s"))
-    own = md5_u32(F.lit(str(seed)), F.col("__g"), F.col("__block"), F.col("s.rep"))
-    drawn = dealt.select(*by, F.col("s.rep").alias("rep"), "__values", own.alias("__h"),
-                         F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("s.c"))).alias("j"))
-    at = F.floor(unit(F.col("__h"), F.col("j")) * F.size("__values")).cast("int") + 1
-    return drawn.select(*by, "rep", F.element_at("__values", at).alias(value))
+    def rows(v: pa.Array, draws: Iterator) -> list[pa.Array]:
+        got = [(np.repeat(reps, c), at) for reps, c, at in draws]
+        return [pa.array(np.concatenate([r for r, _ in got]).astype(np.int32)), v.take(pa.array(np.concatenate([at for _, at in got])))]
+
+    kind = df.select(F.col(value).alias("v")).schema["v"].dataType.simpleString()
+    drawn, groups = _drawn(df, by, value, id_cols, n, seed, rows, f"rep int, __value {kind}")
+    return _named(drawn, groups, by).select(*by, "rep", F.col("__value").alias(value))
+
+
+def resample_totals(df: DataFrame, by: Sequence[str], value: str, id_cols: Sequence[str], n: int, seed: int) -> DataFrame:
+    """(by..., rep, total, n): sums of the ``resamples`` and their sizes. Sums are taken where a span's rows are
+    drawn, so no drawn row leaves its task; whole numbers are summed as longs, others as doubles."""
+    whole = df.select(F.col(value).alias("v")).schema["v"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    kind = "bigint" if whole else "double"
+
+    def totals(v: pa.Array, draws: Iterator) -> list[pa.Array]:
+        x = v.to_numpy(zero_copy_only=False)
+        big = max(abs(int(x.max())), abs(int(x.min()))) if whole else 0
+        got = []
+        for reps, c, at in draws:
+            drawn = x[at] if big * int(c.max()) < 1 << 63 else x[at].astype(object)  # object: exact, and an error beyond a long
+            s, some = np.zeros(len(reps), drawn.dtype), c > 0
+            s[some] = np.add.reduceat(drawn, (np.cumsum(c) - c)[some]) if some.any() else 0
+            got.append((reps, s, c))
+        reps, s, c = (np.concatenate([p[i] for p in got]) for i in range(3))
+        return [pa.array(reps.astype(np.int32)), pa.array(s, pa.int64() if whole else pa.float64()), pa.array(c)]
+
+    d = df.select(*by, *[c for c in id_cols if c not in by and c != value], F.col(value).cast(kind).alias("__x"),
+                  *([value] if value in id_cols and value not in by else []))
+    drawn, groups = _drawn(d, by, "__x", id_cols, n, seed, totals, "rep int, s " + kind + ", c long")
+    sums = drawn.groupBy("__g", "rep").agg(F.sum("s").alias("total"), F.sum("c").alias("n"))
+    return _named(sums, groups, by).select(*by, "rep", "total", "n")
+
+
+def _named(drawn: DataFrame, groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    return drawn.join(groups, "__g") if by else drawn
 
 
 def bootstrap_ci(df: DataFrame, by: Sequence[str], metric: str, id_cols: Sequence[str],
@@ -73,8 +185,8 @@ def bootstrap_ci(df: DataFrame, by: Sequence[str], metric: str, id_cols: Sequenc
     src = df.select(*by, *[c for c in id_cols if c not in by], metric)
     if scale is not None:  # integer units once per input row, not once per draw
         src = src.withColumn(metric, F.round(F.col(metric) * F.lit(10 ** scale)).cast("bigint"))
-    mean = F.avg(metric) if scale is None else F.sum(metric) / (F.count(F.lit(1)) * F.lit(float(10 ** scale)))
-    per_rep = resamples(src, by, metric, id_cols, n, seed).groupBy(*by, "rep").agg(mean.alias("m"))
+    mean = F.col("total") / (F.col("n") * F.lit(1.0 if scale is None else float(10 ** scale)))
+    per_rep = resample_totals(src, by, metric, id_cols, n, seed).select(*by, "rep", mean.alias("m"))
     lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
     ci = per_rep.groupBy(*by).agg(F.percentile("m", [lo, hi]).alias("__ci"))
     if not by:

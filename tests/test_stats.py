@@ -2,11 +2,14 @@
 
 import itertools
 import math
+from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from platewise.functions.rand import np_mix_u32
 from platewise.operators import metrics as H
 from platewise.operators import scale as D
 from platewise.operators import stats as K
@@ -125,3 +128,38 @@ def test_bootstrap_without_groups_and_without_rows(spark):
     r = K.bootstrap_ci(df, [], "v", ["id"], n=200).first()
     assert r["mean"] == 24.5 and r["n"] == 50 and 15 < r["ci_lo"] < 24.5 < r["ci_hi"] < 34
     assert K.bootstrap_ci(df.filter("id < 0").withColumn("g", F.lit(1)), ["g"], "v", ["id"], n=10).count() == 0
+
+
+def _drawn_by_hand(seed, n, ids):
+    """Per replicate, the positions of ids (in order) that the rule of ``resamples`` draws, for a group that comes first."""
+    u32 = lambda *p: int(md5(":".join(map(str, p)).encode()).hexdigest()[:8], 16)
+    mix = lambda h, r: int(np_mix_u32(np.int64(h), np.int64(r)))
+    for rep in range(n):
+        votes = Counter(mix(u32(seed, i), rep) * len(ids) // 2**32 // 64 for i in ids)
+        yield rep, sorted(64 * b + mix(u32(seed, 0, b, rep), j) * min(64, len(ids) - 64 * b) // 2**32
+                          for b, c in votes.items() for j in range(1, c + 1))
+
+
+def test_resample_totals_are_summed_where_rows_are_drawn(spark, monkeypatch):
+    monkeypatch.setattr(K, "DRAW_CHUNK", 7000)  # three chunks and two spans
+    ids = list(range(3, 3 + 20_000))
+    df = spark.createDataFrame([(None, i, 7 * i, float(i) / 3) for i in ids], "g string, id long, w long, v double")
+    totals = {r["rep"]: (r["g"], r["total"], r["n"]) for r in K.resample_totals(df, ["g"], "w", ["id"], 3, 5).collect()}
+    floats = {r["rep"]: r["total"] for r in K.resample_totals(df, ["g"], "v", ["id"], 3, 5).collect()}
+    rows = {}
+    for r in K.resamples(df, ["g"], "id", ["id"], 3, 5).collect():
+        rows.setdefault(r["rep"], []).append(r["id"])
+    for rep, at in _drawn_by_hand(5, 3, ids):
+        assert sorted(rows[rep]) == [ids[k] for k in at]
+        assert totals[rep] == (None, sum(7 * ids[k] for k in at), 20_000)
+        assert abs(floats[rep] - sum(ids[k] / 3 for k in at)) < 1e-3
+
+
+def test_resamples_keep_nulls_and_other_types_and_totals_beyond_a_long_fail(spark):
+    df = spark.createDataFrame([(1, i, None if i == 2 else f"t{i}", float("nan") if i else 1.0, 2**62) for i in range(5)],
+                               "g int, id long, s string, v double, w long")
+    assert {r["s"] for r in K.resamples(df, ["g"], "s", ["id"], 40, 1).collect()} == {"t0", "t1", None, "t3", "t4"}
+    means = [r["total"] / r["n"] for r in K.resample_totals(df, ["g"], "v", ["id"], 10, 1).collect()]
+    assert any(math.isnan(m) for m in means) and K.bootstrap_ci(df, ["g"], "v", ["id"], n=10).first()["n"] == 5
+    with pytest.raises(Exception, match="[Oo]verflow|too (big|large)"):
+        K.resample_totals(df, ["g"], "w", ["id"], 10, 1).collect()
