@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from platewise.functions.kernels import euclidean, jaccard_distance, sqdist
 from platewise.functions.rand import md5_u32
 from platewise.operators.ordered import global_rank
-from platewise.operators.similarity import literal_set
+from platewise.operators.similarity import TILE_BLOCKS, TILE_BYTES, TILE_ROWS, literal_set
+from platewise.operators.tiles import matrix, self_tiles
 from platewise.session import cut_lineage
 
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
@@ -173,54 +174,101 @@ def init_kmeans(df: DataFrame, id_col: str, features: str, k: int, use_pca: int
 
 
 # ------------------------------------------------------------------ E9
-def _best_members(a: DataFrame, id_col: str, features: str, dist: Callable, pivots: dict[int, list[float]],
-                  batch: int, bounded: bool) -> dict[int, object]:
+NEAR = 1e-6  # share of the squared norms below which a squared distance is taken from the differences
+FINALIST = 1e-7  # relative distance from the smallest sum up to which sums are compared exactly
+
+
+def _np_distances(metric: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of a to those of b, to a relative 1e-8 (jaccard: exact)."""
+    if metric == "jaccard":
+        same = np.stack([((x == b) & (x != 0)).sum(1) for x in a]) if len(a) else np.zeros((0, len(b)))
+        met = (a != 0).astype(float) @ (b != 0).astype(float).T
+        some = (a != 0).sum(1)[:, None] + (b != 0).sum(1) - met
+        return np.where(some > 0, (some - same) / np.maximum(some, 1), 0.0)
+    norms = (a * a).sum(1)[:, None] + (b * b).sum(1)
+    sq = norms - 2.0 * (a @ b.T)
+    i, j = np.nonzero(sq <= NEAR * norms)
+    for s in range(0, len(i), 1 << 16):
+        at = i[s:s + (1 << 16)], j[s:s + (1 << 16)]
+        sq[at] = ((a[at[0]] - b[at[1]]) ** 2).sum(1)
+    return sq if metric == "sqeuclidean" else np.sqrt(sq)
+
+
+def _best_members(a: DataFrame, id_col: str, features: str, metric: str, pivots: dict[int, list[float]],
+                  batch: int) -> dict[int, object]:
     """The member of each cluster with the smallest summed distance to all members (ties: lowest id).
 
-    Members are visited by rising distance to the cluster's pivot p. By the triangle
-    inequality a member m has sum(m) >= n * d(m, p) - sum(p) and, the distances being
-    non-negative, sum(m) >= 0; once the bound of the next member exceeds the best sum found, no
-    later one can win and the cluster is through (``bounded``: only for a metric that obeys the
-    triangle inequality; otherwise all members are summed). ``batch`` members per cluster are summed in
-    one pass over all rows; it does not affect the result.
+    Members are dealt to blocks that meet two at a time, so a task holds two blocks and a strip of
+    their distances, and a member is sent once per block of its cluster. Those sums are right
+    to a relative 1e-8; members within ``FINALIST`` of the smallest are summed again from the
+    differences, ``batch`` vectors of each cluster in one pass, equal vectors once.
     """
-    pv = F.array(*[F.lit(pivots.get(c, [])).cast("array<double>") for c in range(max(pivots) + 1)])
-    a = cut_lineage(a.withColumn("__dp", dist(F.col(features), F.element_at(pv, F.col("cluster") + 1))))
-    base = {r["cluster"]: (r["n"], r["s"]) for r in a.groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("__dp").alias("s")).collect()}
-    best: dict[int, tuple] = {}
-    seen: dict[int, tuple] = {c: (-1.0, None) for c in base}
+    dist = _metric(metric)
+    centres = {c: np.array(p, float) for c, p in pivots.items() if None not in p}  # no vector counts as near an unknown one
+    if metric == "jaccard":
+        centres = dict.fromkeys(centres, 0.0)
+    a = a.filter(F.col("cluster").isin(list(centres)))
+    whole = F.coalesce(~F.exists(features, lambda v: v.isNull() | F.isnan(v.cast("double"))), F.lit(False))
+    a = a.filter(whole).select("__at", id_col, F.col(features).cast("array<double>").alias(features), "cluster")
+    size = {r["cluster"]: (r["n"], r["d"]) for r in a.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size(features)).alias("d")).collect()}
+    if not size:
+        return {}
+    n, dims = max(v[0] for v in size.values()), max(v[1] for v in size.values())
+    rows = max(TILE_ROWS, min(-(-n // TILE_BLOCKS), TILE_BYTES // (8 * max(dims, 1))))
+    count = F.element_at(F.array(*[F.lit(-(-size.get(c, (1,))[0] // rows)) for c in range(max(size) + 1)]), F.col("cluster") + 1)
+    dealt = a.select(F.col("cluster").alias("g"), (count * F.lit(rows)).cast("bigint").alias("total"),
+                     F.pmod(F.xxhash64("__at"), count).cast("int").alias("o"), "__at", F.col(features).alias("data"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["data"].to_numpy()).astype(float)
+        x = x - np.nan_to_num(centres[int(pdf["g"].iloc[0])])
+        return pd.DataFrame([{"g": pdf["g"].iloc[0], "total": pdf["total"].iloc[0], "o": pdf["o"].iloc[0], "n": len(x),
+                              "at": pdf["__at"].to_numpy(np.int64).tobytes(), "data": x.tobytes()}])
+
+    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) == 1 and pdf["__i"].iloc[0] != pdf["__j"].iloc[0]:  # the other block got no member
+            return pd.DataFrame({"g": [], "at": [], "s": []})
+        x, y = (matrix(pdf[c].iloc[k], pdf["n"].iloc[k]) for c, k in (("data", 0), ("data", -1)))
+        by_row, by_col = np.zeros(len(x)), np.zeros(len(y))
+        for s in range(0, len(x), TILE_ROWS // 2):
+            d = _np_distances(metric, x[s:s + TILE_ROWS // 2], y)
+            by_row[s:s + len(d)] = d.sum(1)
+            by_col += d.sum(0)
+        parts = [(-1, by_col)] if len(pdf) == 1 else [(0, by_row), (-1, by_col)]
+        return pd.concat([pd.DataFrame({"g": pdf["g"].iloc[k], "at": np.frombuffer(pdf["at"].iloc[k], np.int64), "s": v})
+                          for k, v in parts])
+
+    blocks = cut_lineage(dealt.groupBy("g", "o").applyInPandas(pack, "g int, total long, o int, n int, at binary, data binary"))
+    sums = cut_lineage(self_tiles(blocks, rows, tile, "g int, at long, s double").groupBy("g", "at").agg(F.sum("s").alias("s")))
+    least = {r["g"]: r["s"] for r in sums.groupBy("g").agg(F.min("s").alias("s")).collect()}
+    limit = F.element_at(F.array(*[F.lit(least.get(c, 0.0) * (1 + FINALIST)) for c in range(max(least) + 1)]), F.col("g") + 1)
+    close = sums.filter(F.col("s") <= limit).select(F.col("at").alias("__at"))
+    finalists = cut_lineage(a.join(close, "__at").groupBy("cluster", features).agg(F.min(id_col).alias("id")))
+    left = {r["cluster"]: r["n"] for r in finalists.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    best: dict[int, tuple] = {r["cluster"]: (0.0, r["id"]) for r in finalists.filter(
+        F.col("cluster").isin([c for c, k in left.items() if k == 1])).collect()}
+    seen: dict[int, object] = {c: None for c, k in left.items() if k > 1}
     while seen:
-        parts = []
-        for c, (d0, i0) in seen.items():
-            later = F.col("__dp") > d0 if i0 is None else (F.col("__dp") > d0) | ((F.col("__dp") == d0) & (F.col(id_col) > i0))
-            parts.append(a.filter((F.col("cluster") == c) & later).orderBy("__dp", id_col).limit(batch))
+        parts = [finalists.filter((F.col("cluster") == c) & (F.lit(True) if i is None else F.col("id") > F.lit(i)))
+                 .orderBy("id").limit(batch) for c, i in seen.items()]
         got: dict[int, list] = {}
         for r in reduce(lambda x, y: x.unionByName(y), parts).collect():
-            got.setdefault(r["cluster"], []).append((r["__dp"], r[id_col], r[features]))
-        go_on = {}
-        for c in list(seen):
-            rows = sorted(got.get(c, []), key=lambda x: (x[0], x[1]))
-            n, s = base[c]
-            if bounded and c in best:  # rounding: a bound has to be clearly above
-                rows = [x for x in rows if n * x[0] - s <= best[c][0] * (1 + 1e-9) + 1e-9]
-            if rows:
-                go_on[c] = rows
-        seen = {}
-        if not go_on:
+            got.setdefault(r["cluster"], []).append((r["id"], r[features]))
+        seen = {c: max(i for i, _ in v) for c, v in got.items() if len(v) == batch}
+        if not got:
             break
-        per_c = F.array(*[literal_set([(i, v) for _, i, v in go_on[c]]) if c in go_on else
-                          F.array().cast("array<struct<id:bigint,v:array<double>>>") for c in range(max(base) + 1)])
-        own = F.element_at(per_c, F.col("cluster") + 1)
-        sums = (a.select("cluster", F.explode(F.transform(own, lambda q: F.struct(
+        kind = a.schema[id_col].dataType.simpleString()
+        per_c = F.array(*[literal_set(got[c], kind) if c in got else
+                          F.array().cast(f"array<struct<id:{kind},v:array<double>>>") for c in range(max(got) + 1)])
+        tried = a.filter(F.col("cluster").isin(list(got)))
+        again = (tried.select("cluster", F.explode(F.transform(F.element_at(per_c, F.col("cluster") + 1), lambda q: F.struct(
             q["id"].alias("cand"), dist(F.col(features), q["v"]).alias("d")))).alias("s"))
-                .groupBy("cluster", "s.cand").agg(F.sum("s.d").alias("tot"))
-                .groupBy("cluster").agg(F.min(F.struct("tot", "cand")).alias("b")).collect())
-        for r in sums:
-            c, new = r["cluster"], (r["b"]["tot"], r["b"]["cand"])
-            best[c] = min(best.get(c, new), new)
-            if len(go_on[c]) == batch:
-                seen[c] = go_on[c][-1][:2]
+                 .groupBy("cluster", "s.cand").agg(F.sum("s.d").alias("tot"))
+                 .groupBy("cluster").agg(F.min(F.struct("tot", "cand")).alias("b")).collect())
+        for r in again:
+            new = (r["b"]["tot"], r["b"]["cand"])
+            best[r["cluster"]] = min(best.get(r["cluster"], new), new)
     return {c: v[1] for c, v in best.items()}
 
 
@@ -230,25 +278,25 @@ def init_kmedoids(df: DataFrame, id_col: str, features: str, k: int, metric: str
     then replace each medoid by the member of its cluster with the smallest summed distance,
     until none changes.
 
-    Every member is a candidate unless a distance bound rules it out, and sums run over all
-    members; no pairs of members are materialised. In high dimensions the bound rules out
-    little, so a round may cost a pass per ``batch`` members of the largest cluster.
+    Every member is a candidate, and sums run over all members, block against block; the
+    distances of a round are the squares of the clusters' sizes. Rows with null or NaN features
+    are in no sum.
     """
     dist = _metric(metric)
-    d = cut_lineage(df.select(id_col, features))
+    d = cut_lineage(df.select(id_col, features).withColumn("__at", F.monotonically_increasing_id()))
     med_ids = init_random(d, id_col, k, seed)
     for _ in range(max_iter):
         meds = {r[id_col]: list(r[features]) for r in d.filter(F.col(id_col).isin(med_ids)).collect()}
         pivots = {c: meds[i] for c, i in enumerate(med_ids)}
         a = d.withColumn("cluster", _assign(features, [meds[i] for i in med_ids], dist)["c"])
         new = list(med_ids)
-        for c, i in _best_members(a, id_col, features, dist, pivots, batch, metric == "euclidean").items():
+        for c, i in _best_members(a, id_col, features, metric, pivots, batch).items():
             new[c] = i
         if new == med_ids:
             break
         med_ids = new
     meds = {r[id_col]: r[features] for r in d.filter(F.col(id_col).isin(med_ids)).collect()}
-    assigned = d.withColumn("cluster", _assign(features, [meds[i] for i in med_ids], dist)["c"])
+    assigned = d.drop("__at").withColumn("cluster", _assign(features, [meds[i] for i in med_ids], dist)["c"])
     return med_ids, assigned
 
 

@@ -334,6 +334,24 @@ def test_medoids_equal_a_search_over_all_members(spark):
         assert got == meds and {r["id"]: r["cluster"] for r in assigned.collect()} == own
 
 
+@pytest.mark.parametrize("metric", ["euclidean", "sqeuclidean", "jaccard"])
+def test_sums_of_members_meet_in_blocks_and_ties_go_to_the_lowest_id(spark, monkeypatch, metric):
+    from platewise.operators import design as E
+
+    monkeypatch.setattr(E, "TILE_ROWS", 16)  # several blocks of a cluster
+    monkeypatch.setattr(E, "TILE_BLOCKS", 3)
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 3, (90, 4)).astype(float) + 1e4  # quarters: sums of jaccard distances are exact
+    x = np.vstack([x, x])  # every vector twice: equal sums
+    rows = [(i, [float(v) for v in p], int(i % 2)) for i, p in enumerate(x)] + [(500, None, 0), (501, [None] * 4, 1)]
+    a = spark.createDataFrame(rows, "id long, x array<double>, cluster int").withColumn("__at", F.monotonically_increasing_id())
+    dist = {"euclidean": lambda p, q: np.linalg.norm(p - q), "sqeuclidean": lambda p, q: ((p - q) ** 2).sum(),
+            "jaccard": lambda p, q: (p != q).sum() / ((p != 0) | (q != 0)).sum()}[metric]
+    want = {c: min((round(sum(dist(x[i], x[j]) for j in range(c, 180, 2)), 7), i) for i in range(c, 180, 2))[1] for c in (0, 1)}
+    assert E._best_members(a, "id", "x", metric, {0: [1e4] * 4, 1: [1e4] * 4}, 1) == want
+    assert E._best_members(a, "id", "x", metric, {0: [1e4] * 4, 1: [None] * 4}, 256) == {0: want[0]}
+
+
 def test_similarity_join_gives_copies_and_empties(spark):
     rows = [(1, [1, 2, 3, 4, 5]), (2, [1, 2, 3, 4, 5]), (3, [1, 2, 3, 4, 5, 6]), (4, []), (5, []), (6, [9])]
     pairs, copies = S.similar_above(spark.createDataFrame(rows, "id bigint, bits array<int>"), "id", "bits", 0.8)
