@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from platewise.functions.normal import np_ei
 from platewise.functions.rand import md5_u32
 from platewise.operators.surrogate import GPConfig, GPModel, Nei, fit_gp, log_marginal_likelihood, nei_model, predict_np
-from platewise.session import cut_lineage
+from platewise.session import cut_lineage, spread
 
 ACQUISITIONS = {"ucb", "ei", "nei", "random"}
 BATCHES = {"top", "greedy"}
@@ -73,17 +73,18 @@ class Scorer:
     beta: float
     nei: Nei | None = None
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
+    def __call__(self, x: np.ndarray, ks: np.ndarray | None = None) -> np.ndarray:
         if self.nei is not None:
             return self.nei(x)
-        mu, var = predict_np(self.model, x)
+        mu, var = predict_np(self.model, x, ks=ks)
         if self.acquisition == "ucb":
             return mu + np.sqrt(self.beta * var)
         return np_ei(mu, var, self.best)
 
 
 def pack_candidates(cands: DataFrame, id_col: str, features: str, y: str) -> DataFrame:
-    """(id, x binary, y): every candidate once, written where a lost executor finds it again.
+    """(id, x binary, y): every candidate once, written where a lost executor finds it again, over all
+    cores: every step reads them, so few splits of the input would hold up each one.
 
     Rows with a null id, target or features, or a null or NaN feature, can't be scored or
     observed and are left out."""
@@ -95,7 +96,7 @@ def pack_candidates(cands: DataFrame, id_col: str, features: str, y: str) -> Dat
         for pdf in batches:
             yield pdf.assign(x=[np.asarray(v, float).tobytes() for v in pdf["x"]])
 
-    return cut_lineage(d.mapInPandas(pack, f"id {d.schema['id'].dataType.simpleString()}, x binary, y double"))
+    return cut_lineage(spread(d).mapInPandas(pack, f"id {d.schema['id'].dataType.simpleString()}, x binary, y double"))
 
 
 def _lowest_draws(rows: DataFrame, k: int) -> DataFrame:
@@ -153,38 +154,88 @@ def refit(spark, runs: Mapping[str, Run], grid: Sequence[tuple[float, float, flo
         r.cfg = replace(r.cfg, lengthscale=ls, outputscale=os, noise=noise)
 
 
-def best_rows(cands: DataFrame, scorers: Sequence[Scorer], b: int) -> list[Row]:
+KERNEL_CELLS = 1 << 19  # kernel values of a strip of candidates
+LAZY = 64  # best vectors of a run among which the later picks of a greedy batch are sought
+
+
+def _shared_points(scorers: Sequence[Scorer]) -> list[tuple[GPConfig, np.ndarray, dict[int, np.ndarray]]]:
+    """(kernel, distinct train rows of all runs with it, padded to whole tiles of 8; each run's rows among them)."""
+    by_cfg: dict[GPConfig, dict[int, list[bytes]]] = {}
+    for k, s in enumerate(scorers):
+        if s.nei is None:
+            by_cfg.setdefault(replace(s.model.cfg, noise=0.0), {})[k] = [row.tobytes() for row in s.model.x]
+    out = []
+    for cfg, runs in by_cfg.items():
+        place = {p: i for i, p in enumerate(dict.fromkeys(p for rows in runs.values() for p in rows))}
+        points = np.frombuffer(b"".join(place)).reshape(len(place), -1)
+        points = np.vstack([points, np.zeros((-len(points) % 8, points.shape[1]))])
+        out.append((cfg, points, {k: np.array([place[p] for p in rows]) for k, rows in runs.items()}))
+    return out
+
+
+def _scores(scorers: Sequence[Scorer], shared: list, x: np.ndarray) -> np.ndarray:
+    """Acquisition of every run (rows) and candidate (columns). Kernel values with a train row are taken once
+    for all runs that observed it, strip by strip."""
+    acq = np.empty((len(scorers), len(x)))
+    for k, s in enumerate(scorers):
+        if s.nei is not None:
+            acq[k] = s(x)
+    for cfg, points, runs in shared:
+        step = max(256, KERNEL_CELLS // len(points) // 64 * 64)
+        for at in range(0, len(x), step):
+            part = x[at:at + step]
+            ks = cfg.k(part, points)
+            for k, own in runs.items():
+                acq[k, at:at + step] = scorers[k](part, ks[:, own])
+    return acq
+
+
+def best_rows(cands: DataFrame, scorers: Sequence[Scorer], b: int, distinct: bool = False) -> list[Row]:
     """The b best unseen candidates of every run (ties to the lowest id) with the sum of all
-    acquisition values. A task keeps b rows per run while it reads its share; their number,
-    runs x b per task, is what is shuffled."""
+    acquisition values; ``distinct``: of equal vectors only the best. A task keeps b rows per run
+    while it reads its share; their number, runs x b per task, is what is shuffled."""
     kind = cands.schema["id"].dataType.simpleString()
+    shared = _shared_points(scorers)
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: list[pd.DataFrame | None] = [None] * len(scorers)
         total = [0.0] * len(scorers)
+        known = np.unique(np.concatenate([s.seen for s in scorers]))
         for pdf in batches:
             if not len(pdf):
                 continue
             x = np.frombuffer(b"".join(pdf["x"])).reshape(len(pdf), -1)
             ids = pdf["id"].to_numpy()
+            code = pd.factorize(pdf["x"])[0] if distinct else None
+            met = np.flatnonzero(np.isin(ids, known))  # observed by some run
+            scores = _scores(scorers, shared, x)
             for k, s in enumerate(scorers):
-                free = np.flatnonzero(~np.isin(ids, s.seen))
+                free = np.delete(np.arange(len(ids)), met[np.isin(ids[met], s.seen)])
                 if not len(free):
                     continue
-                acq = s(x[free])
+                acq = scores[k, free]
                 total[k] += float(acq.sum())
-                if len(free) > b:
+                if distinct:
+                    order = np.lexsort((ids[free], -acq))
+                    top = order[np.sort(np.unique(code[free][order], return_index=True)[1])[:b]]
+                    free, acq = free[top], acq[top]
+                elif len(free) > b:
                     top = np.flatnonzero(acq >= np.partition(acq, -b)[-b])
                     free, acq = free[top], acq[top]
                 here = pdf.iloc[free].assign(acq=acq)
                 both = here if kept[k] is None else pd.concat([kept[k], here])
-                kept[k] = both.sort_values(["acq", "id"], ascending=[False, True]).head(b)
+                both = both.sort_values(["acq", "id"], ascending=[False, True])
+                kept[k] = (both.drop_duplicates("x") if distinct else both).head(b)
         out = [rows.assign(run_id=s.run_id, total=[t] + [0.0] * (len(rows) - 1))
                for rows, s, t in zip(kept, scorers, total) if rows is not None]
         if out:
             yield pd.concat(out)[["run_id", "id", "x", "y", "acq", "total"]]
 
     rows = cands.mapInPandas(part, f"run_id string, id {kind}, x binary, y double, acq double, total double")
+    if distinct:
+        first = F.min(F.struct((-F.col("acq")).alias("less"), "id", "y", "acq")).alias("f")
+        rows = rows.groupBy("run_id", "x").agg(first, F.sum("total").alias("total")).select(
+            "run_id", "f.id", "x", "f.y", "f.acq", "total")
     w = Window.partitionBy("run_id")
     return (rows.withColumn("pick", F.row_number().over(w.orderBy(F.col("acq").desc(), "id")))
             .withColumn("total", F.sum("total").over(w)).filter(F.col("pick") <= b)
@@ -217,6 +268,41 @@ def _scorer(name: str, r: Run, beta: float, believed: Sequence[Row] = ()) -> Sco
     return Scorer(name, r.acquisition, model, np.array(seen), float(y.max()), beta, nei)
 
 
+def _next_in_pool(scorer: Scorer, pool: Sequence[Row], picked: Sequence[Row]) -> Row | None:
+    """The best candidate given the picks, if the pool proves it, else None.
+
+    A believed pick leaves every mean and takes variance, so UCB and EI of no candidate rise: outside
+    the pool they stay at or below its last, and a copy of a picked vector has that vector's value."""
+    acq = scorer(np.array([np.frombuffer(r["x"]) for r in pool]))
+    taken = {p["x"] for p in picked}
+    bound = max([pool[-1]["acq"] if len(pool) >= LAZY else -np.inf] + [a for a, r in zip(acq, pool) if r["x"] in taken])
+    free = [(-a, r["id"], r) for a, r in zip(acq, pool) if r["x"] not in taken]
+    best = min(free, key=lambda f: f[:2], default=None)
+    return best[2] if best is not None and -best[0] > bound + 1e-6 * scorer.model.scale else None
+
+
+def greedy_rows(cands: DataFrame, runs: Mapping[str, Run], b: int, beta: float) -> tuple[dict[str, list[Row]], dict]:
+    """Greedy batches: a pass brings the ``LAZY`` best vectors of each run, and picks are made
+    among them as long as no other candidate can be better; then the runs left take another pass."""
+    picks: dict[str, list[Row]] = {n: [] for n in runs}
+    sums: dict[str, float | None] = {n: None for n in runs}
+    left = dict(runs)
+    while left:
+        found: dict[str, list[Row]] = {}
+        for row in best_rows(cands, [_scorer(n, r, beta, picks[n]) for n, r in left.items()], LAZY, distinct=True):
+            found.setdefault(row["run_id"], []).append(row)
+        for n, pool in found.items():
+            if not picks[n]:
+                sums[n] = pool[0]["total"]
+            nxt = pool[0]
+            while nxt is not None:
+                picks[n].append(nxt)
+                provable = len(picks[n]) < b and runs[n].acquisition in ("ucb", "ei")
+                nxt = _next_in_pool(_scorer(n, runs[n], beta, picks[n]), pool, picks[n]) if provable else None
+        left = {n: r for n, r in left.items() if n in found and len(picks[n]) < b}
+    return picks, sums
+
+
 def choose(cands: DataFrame, runs: Mapping[str, Run], b: int, batch: str, beta: float) -> tuple[dict[str, list[Row]], dict]:
     """(picks, acquisition sum) of every run. ``top`` takes the b best of one scoring; ``greedy``
     scores anew after each pick, given the picks before it."""
@@ -224,13 +310,14 @@ def choose(cands: DataFrame, runs: Mapping[str, Run], b: int, batch: str, beta:
     drawn = {n: r for n, r in runs.items() if r.acquisition == "random"}
     picks: dict[str, list[Row]] = {n: [] for n in runs}
     sums: dict[str, float | None] = {n: None for n in runs}
-    rounds, each = (b, 1) if batch == "greedy" else (1, b)
-    if scored:
-        for k in range(rounds):
-            for row in best_rows(cands, [_scorer(n, r, beta, picks[n]) for n, r in scored.items()], each):
-                picks[row["run_id"]].append(row)
-                if k == 0:
-                    sums[row["run_id"]] = row["total"]
+    if scored and batch == "greedy":
+        found, totals = greedy_rows(cands, scored, b, beta)
+        picks |= found
+        sums |= totals
+    elif scored:
+        for row in best_rows(cands, [_scorer(n, r, beta) for n, r in scored.items()], b):
+            picks[row["run_id"]].append(row)
+            sums[row["run_id"]] = row["total"]
     if drawn:
         for row in random_rows(cands, drawn, b):
             picks[row["run_id"]].append(row)

@@ -80,6 +80,23 @@ def test_campaign_equals_full_refits_and_conditioning(spark, plate, grid, b, bat
         assert step.suggestion_y == max(ys[picked])
 
 
+def test_a_greedy_batch_takes_one_pass_unless_copies_could_win(spark, plate, monkeypatch):
+    df, xs, ys = plate
+    passes, plain = [], L.best_rows
+    monkeypatch.setattr(L, "best_rows", lambda *a, **k: passes.append(1) or plain(*a, **k))
+    kw = dict(acquisition="ei", seed=3, b=4, batch="greedy")
+    got = L.optimise(df, "id", "feats", "y", 6, 3, **kw)
+    assert len(passes) == 3 and L.pack_candidates(df.coalesce(1), "id", "feats", "y").rdd.getNumPartitions() > 1
+    copies = df.unionAll(df.selectExpr("id + 1000", "feats", "y", "kernel")).unionAll(df.selectExpr("id + 2000", "feats", "y", "kernel"))
+    monkeypatch.setattr(L, "LAZY", 2)  # a pool that proves little
+    start = init_random(df, "id", 6, 3)
+    few = L.run_sweep(copies, "id", "feats", "y", {"run": {"seed": 3, "acquisition": "ei"}}, 6, 3, b=4, batch="greedy", designs={"run": start})
+    monkeypatch.setattr(L, "_next_in_pool", lambda *a: None)  # a pass per pick
+    assert [t.picked for t in few] == [t.picked for t in L.run_sweep(
+        copies, "id", "feats", "y", {"run": {"seed": 3, "acquisition": "ei"}}, 6, 3, b=4, batch="greedy", designs={"run": start})]
+    assert [t.picked for t in got] == [t.picked for t in L.optimise(df, "id", "feats", "y", 6, 3, **kw)]
+
+
 def test_runs_of_a_sweep_do_not_touch_each_other(spark, plate):
     df, xs, ys = plate
     runs = {f"{a}{s}": {"seed": s, "acquisition": a} for a in ("ucb", "ei", "nei", "random") for s in (1, 2)}
