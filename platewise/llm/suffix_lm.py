@@ -38,6 +38,7 @@ CHUNK = 1 << 20  # bytes in work at once
 FLUSH = 1 << 18  # words of a task's count table before it is handed on
 HELD = 1 << 21  # symbols that a counting task sorts before it hands them on
 BLOCK = 1 << 20  # symbols beyond the code that a scoring task sorts at once
+SPAN = 1 << 24  # bytes of text that one block of them comes from at most, but for a longer text
 PART = 1 << 22  # training bytes for each part of the subtrees
 SCORED_AT_ONCE = 4  # parts that a scoring task takes one after the other, so that fewer sums per document come back
 PARTS = 1 << 14  # most parts
@@ -521,9 +522,10 @@ def _beyond(tree: SuffixTree, code: Broadcast, walked: DataFrame) -> DataFrame:
     """One row per document of ``walked``, with the log10 probabilities of the symbols in its blocks, whose context goes
     on among the tree's rest, added to ``score``.
 
-    Everything is shuffled once. A part's model comes before its blocks, which pass one by one:
-    each different key takes the contexts beyond the code from short to long, the symbol's own
-    entry or the step back added to what came before. Blocks return a sum per document.
+    A part's model comes before its pieces of blocks, which pass one by one: each different key
+    takes the contexts beyond the code from short to long, the symbol's own entry or the step back
+    added to what came before. A piece returns one row, the pressed sums of its documents; they
+    meet the documents of their block, ``src``, which are added up one block after the other.
     """
     low, tasks = tree.low, max(1, tree.parts // SCORED_AT_ONCE)
 
@@ -532,9 +534,9 @@ def _beyond(tree: SuffixTree, code: Broadcast, walked: DataFrame) -> DataFrame:
         for pdf in batches:
             docs = pdf[pdf["n_tokens"].notna()]
             if len(docs):
-                yield docs[_FIELDS]
-            rids, sums = [], []
-            for p, ctxs, seens, body in zip(pdf["part"], pdf["ctx"], pdf["seen"], pdf["body"]):
+                yield docs[[*_FIELDS, "src"]].assign(part=None, body=None)
+            srcs, at_part, sums = [], [], []
+            for p, ctxs, seens, body, src in zip(pdf["part"], pdf["ctx"], pdf["seen"], pdf["body"], pdf["src"]):
                 if p != part:
                     part, model = p, []
                 if ctxs is not None:
@@ -559,19 +561,45 @@ def _beyond(tree: SuffixTree, code: Broadcast, walked: DataFrame) -> DataFrame:
                     to = np.minimum(np.searchsorted(seen, want), len(seen) - 1)
                     lp[hit] = np.where(seen[to] == want, own[to], lp[hit] + back[at[hit]])
                 who, of = np.unique(rid, return_inverse=True)
-                rids.append(who)
-                sums.append(np.bincount(of, np.repeat(lp, np.diff(np.append(first, len(key))))))
-            if rids:
-                yield pd.DataFrame({**dict.fromkeys(_FIELDS), "rid": np.concatenate(rids), "score": np.concatenate(sums)})
+                srcs.append(src)
+                at_part.append(p)
+                sums.append(_press(who, np.bincount(of, np.repeat(lp, np.diff(np.append(first, len(key))))).view(np.int64)))
+            if srcs:
+                yield pd.DataFrame({**dict.fromkeys(_FIELDS), "src": srcs, "part": at_part, "body": sums})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        src, held, rid, total = None, [], None, None
+
+        def documents() -> pd.DataFrame:
+            nonlocal held, rid, total
+            whole = held[0] if len(held) == 1 else pd.concat(held).sort_values("rid")
+            held, rid, total = [whole], whole["rid"].to_numpy(np.int64), whole["score"].to_numpy(float).copy()
+            return whole
+
+        for pdf in batches:
+            for now, rows in pdf.groupby("src"):
+                if now != src and held:
+                    yield (documents() if total is None else held[0]).assign(score=total)
+                if now != src:
+                    src, held, total = now, [], None
+                docs = rows[rows["body"].isna()]
+                if len(docs):
+                    held.append(docs[_FIELDS].sort_values("rid"))
+                for body in rows["body"].dropna():
+                    if total is None:
+                        documents()
+                    who, x = _unpress(bytes(body), 2)
+                    total[np.searchsorted(rid, who)] += x.view(float)
+        if held:
+            yield (documents() if total is None else held[0]).assign(score=total)
 
     none = F.lit(None)
     rows = (walked.withColumn("ctx", none.cast("array<binary>")).withColumn("seen", none.cast("array<binary>"))
             .unionByName(tree.rest, allowMissingColumns=True)
             .repartitionById(tasks, F.col("part") % tasks).sortWithinPartitions("part", F.col("ctx").isNull())
-            .mapInPandas(run, _SCORED))
-    doc = F.when(F.col("n_tokens").isNotNull(), F.struct(*[c for c in _FIELDS if c not in ("rid", "score")]))
-    return (rows.select("rid", "score", doc.alias("doc")).groupBy("rid")
-            .agg(F.first("doc", ignorenulls=True).alias("doc"), F.sum("score").alias("score")).select("rid", "score", "doc.*"))
+            .mapInPandas(run, f"{_SCORED}, src long, part int, body binary"))
+    # documents before sums, sums by part, so that reruns add in the same order
+    return (rows.repartition("src").sortWithinPartitions("src", F.col("body").isNotNull(), "part").mapInPandas(add, _SCORED))
 
 
 def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
@@ -611,27 +639,32 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
         get = hot.get
         keys: list[np.ndarray] = []
         rids: list[np.ndarray] = []
-        held = 0
+        held, span, src = 0, 0, None
 
         def block_rows() -> pd.DataFrame:
             key = np.concatenate(keys)
             order = np.argsort(key)
             rows = list(_split(key[order], np.concatenate(rids)[order], parts))
-            return pd.DataFrame({**dict.fromkeys(_FIELDS), "part": [p for p, _ in rows], "body": [b for _, b in rows]})
+            return pd.DataFrame({**dict.fromkeys(_FIELDS), "part": [p for p, _ in rows], "body": [b for _, b in rows],
+                                 "src": src})
 
         for pdf in batches:
             for first, toks in _slices(pdf["text"].tolist()):
                 rows = pdf.iloc[first:first + len(toks)]
                 rid = rows["rid"].to_numpy(np.int64)
-                score = np.zeros(len(toks))
+                score, block = np.zeros(len(toks)), np.zeros(len(toks), np.int64)
                 for a, b, buf, at in _streams(toks):
+                    src = rid[a] if src is None else src  # a block is named after its first document
+                    block[a:b] = src
                     score[a:b], of, key = code.value.walk(buf, at)
                     keys.append(key)
                     rids.append(rid[a + of])
                     held += len(key)
-                    if held > BLOCK:
-                        yield block_rows()
-                        keys, rids, held = [], [], 0
+                    span += len(buf)
+                    if held > BLOCK or span > SPAN:
+                        if held:
+                            yield block_rows()
+                        keys, rids, held, span, src = [], [], 0, 0, None
                 sums, known, rare = [], [], []
                 for t in toks:
                     got = list(map(get, t))
@@ -643,12 +676,12 @@ def score_documents(docs: DataFrame, training: Column, id_col: str = "doc_id", t
                     rare.append(b" ".join(cold) or None)
                 yield pd.DataFrame({"rid": rid, "id": rows["id"].to_numpy(), "trained": rows["trained"].to_numpy(),
                                     "n_tokens": [len(t) + 1 for t in toks], "known": known, "base": sums,
-                                    "score": score, "rare": rare, "part": rid % parts, "body": None})
+                                    "score": score, "rare": rare, "part": rid % parts, "body": None, "src": block})
         if held:
             yield block_rows()
 
-    walked = src.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, f"{_SCORED}, part int, body binary")
-    scored = stage(walked.drop("part", "body") if tree.rest is None else _beyond(tree, code, walked))
+    walked = src.withColumn("rid", F.monotonically_increasing_id()).mapInPandas(run, f"{_SCORED}, part int, body binary, src long")
+    scored = stage(walked.drop("part", "body", "src") if tree.rest is None else _beyond(tree, code, walked))
     scored = scored.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
     cold = (scored.select("rid", F.explode(F.split(F.col("rare").cast("string"), " ")).alias("word"))
             .withColumn("word", F.col("word").cast("binary")).join(vocab, "word", "left").groupBy("rid")

@@ -467,3 +467,24 @@ def test_the_pipeline_runs_on_a_table(spark, tmp_path):
     assert [n for n, _ in P.STAGES] == ["language_id", "line_dedup", "near_dedup", "mixing", "packing"]
     out = P.run(spark, "/root/testdata/sf0.001")
     assert out.count() > 0 and re.fullmatch(r"\d+", str(out.agg(F.max("sequence_id")).first()[0]))
+
+
+def test_sums_beyond_the_code_come_back_as_one_row_per_piece(docs, text, monkeypatch):
+    """Not as one row per document and part of the subtrees, which grow together."""
+    monkeypatch.setattr(S, "PARTS", 40)
+    monkeypatch.setattr(S, "PART", 1)
+    made = []
+    beyond = S._beyond
+
+    def watched(tree, code, walked):
+        real = type(walked).mapInPandas
+        with monkeypatch.context() as m:
+            m.setattr(type(walked), "mapInPandas", lambda df, fn, kind: made.append(real(df, fn, kind)) or made[-1])
+            out = beyond(tree, code, walked)
+        return out
+
+    monkeypatch.setattr(S, "_beyond", watched)
+    data = [(i, text(i, 60 + i % 30)) for i in range(300)]
+    got = score_documents(docs(data).coalesce(1), F.lit(True), gain=4.0, cells=0).collect()
+    assert len(got) == 300
+    assert made[0].count() <= 300 + 40  # one block of documents: a row each, and one for each part
