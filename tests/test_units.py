@@ -1,5 +1,6 @@
 """Formula, property and edge-case tests for the operators."""
 
+import re
 import math
 import random
 
@@ -489,3 +490,22 @@ def test_grams_of_long_texts_come_stretch_by_stretch(spark, monkeypatch):
     assert got == want
     one = C.exploded_grams(df, ["id"], F.col("t"), 1, 1).count()
     assert one == sum(len(t or "") for t in texts)
+
+
+def test_grams_are_counted_in_the_texts_own_task(spark, monkeypatch):
+    from platewise.operators import features as C
+
+    monkeypatch.setattr(C, "STRETCH", 1)  # stretches of 64 characters
+    texts = [(1, "ab  \n ab"), (2, "x" * 200), (2, "xy"), (None, "\U0001F600b"), (None, "b"), (3, None), (4, ""), (5, "abc " * 50)]
+    df = spark.createDataFrame(texts, "id long, t string")
+    counts = C.char_ngrams(df, "id", "t", 5)
+    want = {}
+    for i, t in texts:
+        t = re.sub(r"\s\s+", " ", t or "")
+        for n in range(1, 6):
+            for k in range(len(t) - n + 1):
+                want[i, t[k:k + n]] = want.get((i, t[k:k + n]), 0) + 1
+    got = [((r["id"], r["gram"]), r["count"]) for r in counts.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan  # no row per occurrence of a gram
