@@ -360,6 +360,40 @@ def test_similarity_join_gives_copies_and_empties(spark):
     assert sorted((r["id"], r["representative_id"]) for r in copies.collect()) == [(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)]
 
 
+@pytest.mark.parametrize("threshold, block_rows", [(0.8, 16), (0.8, None), (0.3, 50), (1.0, 30)])
+def test_similarity_join_of_prints_that_share_most_bits(spark, threshold, block_rows):
+    rng = np.random.default_rng(8)
+    common, rows = np.arange(300), []
+    for i in range(120):  # every bit is in many prints; families of near copies of all sizes
+        seed = np.random.default_rng(i // 4)
+        base = seed.choice(common, int(seed.integers(1, 250)), replace=False)
+        rows.append((i, sorted({int(b) for b in base if rng.random() > 0.03} | {int(b) for b in rng.choice(5000, 2)})))
+    rows += [(200, rows[7][1]), (201, rows[7][1][::-1]), (202, []), (203, [5, None]), (204, [5, 6, None]), (205, None)]
+    want = {}
+    sets = {i: frozenset(b) for i, b in rows if b}
+    reps = {b: min(i for i in sets if sets[i] == b) for b in sets.values()}
+    for a, i in reps.items():
+        for b, j in reps.items():
+            sim = (len(a & b) + 1e-6) / (1e-6 + len(a) + len(b) - len(a & b))
+            if i < j and sim >= threshold:
+                want[i, j] = round(sim, 12)
+    pairs, copies = S.similar_above(spark.createDataFrame(rows, "id bigint, bits array<int>").repartition(3), "id", "bits", threshold,
+                                    block_rows=block_rows)
+    got = [(r["id_a"], r["id_b"], round(r["similarity"], 12)) for r in pairs.collect()]
+    assert len(got) == len(want) and {(a, b): v for a, b, v in got} == want and (threshold == 1.0 or len(want) > 50)
+    assert {(r["id"], r["representative_id"]) for r in copies.collect() if r["id"] in (7, 200, 201, 202, 205)} == {
+        (7, 7), (200, 7), (201, 7), (202, 202)}
+
+
+def test_common_bits_make_no_candidates(spark):
+    rng = np.random.default_rng(9)  # two prints share two thirds of their bits, which was a candidate for each common bit
+    rows = [(i, sorted(rng.choice(400, 320, replace=False).tolist()), 320) for i in range(400)]
+    rows.append((400, [*rows[0][1][:-1], 9999], 320))
+    reps = spark.createDataFrame(rows, "rid bigint, bits array<int>, n bigint")
+    found = {(r["ra"], r["rb"]) for r in S._candidates(reps, 0.8, 1e-6, 64).collect()}
+    assert (0, 400) in found and len(found) < 400
+
+
 def test_a_hot_value_is_one_row_of_the_quantile_search(spark):
     df = spark.range(20_000).select((F.col("id") % 2).alias("g"), F.when(F.col("id") % 10 < 8, 5.0).otherwise(
         F.col("id").cast("double")).alias("v"))
