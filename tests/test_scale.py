@@ -1,6 +1,7 @@
 """Operators whose cost once grew faster than their rows: same results by the new forms, and what they no longer do."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -69,6 +70,33 @@ def test_dense_prints_are_laid_out_once(spark):
     assert [r["d"] for r in out.collect()] == [[0, 1, 0, 1, 0], [0] * 5, [0] * 5, [1, 0, 0, 0, 0]]
 
 
+def test_featurize_makes_every_vector_once(spark, tmp_path):
+    from platewise.plans.features_q import q_featurize
+
+    rows = [(1, "ab 12, http://x.y", "en"), (2, None, "en"), (3, "", "en"), (4, "é7 Z\n", "fr")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = q_featurize(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("dense(") == 1 and plan.count("count(cast(") == 1  # not once more for the planner's checks of sizes
+    got = {i: {r["dim"]: r["value"] for r in out.collect() if r["candidate_id"] == i} for i in range(1, 5)}
+    for i, text, _ in rows:
+        want = {b: 1.0 for b in _bits(_grams(text or "", 2), 1024)}
+        want |= {1024 + k: n for k, p in enumerate(C.PATTERN_CATALOGUE.values()) if (n := len(re.findall(p, text or "")))}
+        assert got[i] == want
+
+
+def test_patterns_of_plain_classes_are_counted_in_bytes(spark):
+    texts = ["a1 b22 (x[3])=# Http://a https://b\n\n é𝒳9z AB.c,;!@ ", "", None, "9", "aaab", "é" * 5, "xx1x1 1x"]
+    odd = {"dot": ".", "two": "aa", "any": "[^a]", "either": "a|b", "same": "[a-c][b-d]", "some": "[é]+", "range": "[+-9]"}
+    catalogue = C.PATTERN_CATALOGUE | odd
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id bigint, t string")
+    out = C.pattern_counts(df, "t", catalogue)
+    assert "\\[a-z\\]" not in _plan(out) and "[a-z]" not in _plan(out)  # no regex scan for it
+    for r in out.collect():
+        t = texts[r["id"]]
+        assert r["counts"] == [None if t is None else len(re.findall(p, t)) for p in catalogue.values()]
+
+
 # ---------------------------------------------------------------- E5
 def test_average_similarity_sends_a_row_a_bounded_number_of_times(spark, monkeypatch):
     seen = []
